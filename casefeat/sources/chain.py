@@ -12,13 +12,16 @@ from ..operators.ranking import with_position
 
 
 def id_chain(levels: Sequence[tuple[str, DataFrame]]) -> DataFrame:
-    """Distinct id combinations down the chain, every parent kept. A missing
-    child gets ``M`` and the parent's id, so it is unique and repeatable."""
+    """Distinct id combinations down the chain, every parent kept. A level's
+    table holds its own id and at least its parent's. A missing child gets
+    ``M`` and the parent's id, so it is unique and repeatable."""
     ids = [name for name, _ in levels]
-    tables = [
-        df.select(*[F.col(c).cast("string").alias(c) for c in ids[: i + 1]]).distinct()
-        for i, (_, df) in enumerate(levels)
-    ]
+    tables = []
+    for i, (name, df) in enumerate(levels):
+        known = [c for c in ids[: i + 1] if c in df.columns]
+        if name not in known or (i and ids[i - 1] not in known):
+            raise ValueError(f"the table of {name!r} lacks its own or its parent's id")
+        tables.append(df.select(*[F.col(c).cast("string").alias(c) for c in known]).distinct())
     chain = reduce(
         lambda left, right: left.join(right, [c for c in right.columns if c in left.columns], "left"),
         tables,
