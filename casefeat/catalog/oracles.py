@@ -405,6 +405,6 @@ WHERE n_before >= 2 AND n_after >= 3"""
     sql["batch_export"] = with_(
         CASES,
         f"""numbered AS (SELECT *, row_number() OVER (ORDER BY {_hash('case_id', 'batch')} % 1024,
-  CAST(case_id AS VARCHAR)) - 1 AS row_no FROM cases)""",
+  case_id) - 1 AS row_no FROM cases)""",
     ) + "SELECT row_no // 500 AS batch, row_no % 500 AS pos, row_no, case_id, pred_dt FROM numbered"
     return sql

@@ -83,7 +83,7 @@ def event_source(spark, sf, *columns: str) -> RecordSource:
 def purchase_cases(spark, sf) -> DataFrame:
     purchases = table(spark, sf, "events").where(F.col("event_type") == "purchase")
     source = RecordSource("Purchase", purchases, "user_id", "event_id", "ts", ())
-    return case_sets.trigger_cases(load_records(source))
+    return case_sets.trigger_cases(load_records(source), F.col("rec_id").cast("bigint"))
 
 
 def event_grain() -> GrainColumn:
@@ -122,15 +122,13 @@ def daypart_vocab(spark, sf) -> DataFrame:
 
 def short_tokens(spark, sf) -> Tokens:
     """Event type and part of the day."""
-    vocab = build_vocab([event_vocab(spark, sf), daypart_vocab(spark, sf)])
+    vocab = [event_vocab(spark, sf), daypart_vocab(spark, sf)]
     return Tokens("Short", [event_grain(), daypart_grain()], vocab=vocab)
 
 
 def full_tokens(spark, sf, weighted: bool = False) -> Tokens:
     """Event type, binned value and calendar."""
-    vocab = build_vocab(
-        [event_vocab(spark, sf), value_vocab(spark, sf), calendar_vocab(spark, 2023, 2025)]
-    )
+    vocab = [event_vocab(spark, sf), value_vocab(spark, sf), calendar_vocab(spark, 2023, 2025)]
     return Tokens("Full", [event_grain(), value_grain(weighted)], calendar="RDTCal", vocab=vocab)
 
 
@@ -359,7 +357,7 @@ def recnum_after(spark, sf):
 @query
 def recnum_every_record(spark, sf):
     """Every event is a case observed over its own entity's events."""
-    cases = case_sets.trigger_cases(load_records(event_source(spark, sf)))
+    cases = case_sets.trigger_cases(load_records(event_source(spark, sf)), F.col("rec_id").cast("bigint"))
     return recnum(spark, sf, BF24H, cases)
 
 
@@ -514,7 +512,7 @@ def vocab_build(spark, sf):
 
 @query
 def vocab_extend(spark, sf):
-    vocab = short_tokens(spark, sf).vocab
+    vocab = build_vocab(short_tokens(spark, sf).vocab)
     return vocab_columns(extend_vocab(vocab.df, vocab.size, ["5MinInD", "DInCP"]))
 
 
@@ -619,7 +617,7 @@ def relist_tokens(spark, sf):
     lists = (
         cmp.decoded(state, vocab)
         .groupBy("case_id", "D")
-        .agg(F.array_sort(F.collect_list(entry)).alias("e"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("e"))
     )
     return lists.select(
         case_number(), *rel_columns(["D"]),

@@ -125,8 +125,8 @@ class GrainColumn:
 @dataclass(frozen=True)
 class Tokens:
     """Which grains a record's token list is made of, in order; the calendar
-    grain, when named, comes last. ``vocab`` (a ``Vocabulary``) is needed
-    once token lists are compressed or encoded."""
+    grain, when named, comes last. ``vocab`` is needed to
+    compress: a ``Vocabulary``, or the grains' vocabulary tables in order."""
 
     name: str
     grains: Sequence[GrainTable | GrainColumn] = ()

@@ -52,7 +52,7 @@ def rank_in_group(labels: Column) -> Column:
             lambda e, rank: F.struct(e["i"].alias("i"), rank.alias("rank")),
         ),
     )
-    return each(F.array_sort(F.flatten(per_label)), "rank")
+    return each(F.sort_array(F.flatten(per_label)), "rank")
 
 
 def filled_slots(entries: Column, size: int, fill: Column) -> Column:

@@ -13,10 +13,13 @@ from ..functions.hashing import HASH_RANGE, below_ratio, stable_hash
 SPLITS = ("in_train", "in_valid", "in_test", "out_test")
 
 
-def trigger_cases(records: DataFrame) -> DataFrame:
-    """Every distinct (pid, dt) of a record type is a case; the smallest
-    record id names it."""
-    return records.groupBy("pid", F.col("dt").alias("pred_dt")).agg(F.min("rec_id").alias("case_id"))
+def trigger_cases(records: DataFrame, case_id: Column | None = None) -> DataFrame:
+    """Every distinct (pid, dt) of a record type is a case. The smallest
+    ``case_id`` (default: the record id) names it; a number keeps all later
+    grouping on fixed-width keys."""
+    case_id = F.col("rec_id") if case_id is None else case_id
+    keys = ["pid", F.col("dt").alias("pred_dt")]
+    return records.groupBy(*keys).agg(F.min(case_id).alias("case_id"))
 
 
 def entity_groups(entities: DataFrame, attributes: Sequence[str]) -> DataFrame:

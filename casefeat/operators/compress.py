@@ -51,18 +51,19 @@ METHODS: Mapping[str, Method] = {
 class State:
     """Where a compress program stands.
 
-    ``keys`` identify a case (plus the ``unk`` flag while stand-in rows are
-    still mixed in); ``order`` sorts the rows of a case; ``raw`` rows are
-    single records, whose number per case has no bound.
+    ``raw`` rows are single records, whose number per case has no bound;
+    ``order`` sorts the rows of a case; ``unique`` lists hold a token once. ``stand_in`` holds one ``[UNK]`` row
+    per case until the first roll-up, which drops the ones not needed.
     """
 
     rows: DataFrame
-    keys: tuple[str, ...]
     prefix: tuple[str, ...]
     order: tuple[str, ...]
+    stand_in: DataFrame | None = None
     flat: bool = False
     exact: bool = False
     raw: bool = True
+    unique: bool = False
     sfx: tuple[str, ...] = ()
     counts: tuple[str, ...] = ()
 
@@ -72,32 +73,53 @@ class State:
 
 
 def start(observed: DataFrame, cases: DataFrame | None, vocab: Vocabulary) -> State:
-    """Encoded token rows as a program state. With ``cases``, one stand-in
-    ``[UNK]`` row per case is added under its own flag; it is dropped after
-    the first roll-up where the case turned out to have rows. That needs no
-    second pass over the observation to find the empty cases."""
+    """Encoded token rows as a program state. With ``cases``, a stand-in
+    ``[UNK]`` row per case runs along until the first roll-up shows which
+    cases have rows, so no second pass over the observation is needed to find
+    the empty ones."""
     rows = observed.select("case_id", *LEVELS, "dt", "rec_id", "tok")
-    keys: tuple[str, ...] = ("case_id",)
+    stand_in = None
     if cases is not None:
-        zeros = {level: F.lit(0).cast("bigint") for level in LEVELS}
-        unk = F.struct(
-            F.lit(UNK_IDX).alias("idx"),
-            F.lit(vocab.special[vocab.unk][1]).alias("rfg_idx"),
-            F.lit(1.0).alias("w"),
-        )
-        stand_in = cases.select("case_id").withColumns(
-            {**zeros, "tok": F.array(unk), "unk": F.lit(True)}
-        )
-        rows = rows.withColumn("unk", F.lit(False))
-        rows = rows.unionByName(stand_in, allowMissingColumns=True)
-        keys = ("case_id", "unk")
-    return State(rows, keys, LEVELS, ("dt", "rec_id"))
+        columns = {level: F.lit(0).cast("bigint") for level in LEVELS}
+        columns["dt"] = F.lit(None).cast(rows.schema["dt"].dataType)
+        columns["rec_id"] = F.lit(None).cast(rows.schema["rec_id"].dataType)
+        unk_rfg = F.lit(vocab.special[vocab.unk][1])
+        columns["tok"] = F.array(_entry(F.lit(UNK_IDX), unk_rfg, F.lit(1.0)))
+        stand_in = cases.select("case_id").withColumns(columns)
+    return State(rows, LEVELS, ("dt", "rec_id"), stand_in)
+
+
+def _on_rows(state: State, change: Callable[[DataFrame], DataFrame]) -> State:
+    """The same row-wise change on the rows and on the stand-ins."""
+    stand_in = None if state.stand_in is None else change(state.stand_in)
+    return replace(state, rows=change(state.rows), stand_in=stand_in)
+
+
+def _gathered(state: State, group: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Group the rows, and the stand-ins under a flag of their own. The two
+    are grouped apart: rows that already lie together by case and bucket
+    (after a threshold) then need no further shuffle."""
+    rows = group(state.rows)
+    if state.stand_in is None:
+        return rows
+    rows = rows.withColumn("unk", F.lit(False))
+    return rows.unionByName(group(state.stand_in).withColumn("unk", F.lit(True)))
+
+
+def _settled(state: State, rows: DataFrame) -> DataFrame:
+    """Drop the stand-ins of cases that have rows of their own."""
+    if state.stand_in is None:
+        return rows
+    has_rows = F.max(~F.col("unk")).over(Window.partitionBy("case_id"))
+    kept = rows.withColumn("__has", has_rows).where(~F.col("unk") | ~F.col("__has"))
+    return kept.drop("__has", "unk")
 
 
 def flatten(state: State) -> State:
     """Tokens as weights: of a repeated token the last entry counts."""
-    rows = state.rows.withColumn("tok", last_per_idx(F.col("tok"))).drop(*state.lists)
-    return replace(state, rows=rows, flat=True, sfx=())
+    tok = F.col("tok") if state.unique else last_per_idx(F.col("tok"))
+    flat = _on_rows(state, lambda rows: rows.withColumn("tok", tok).drop(*state.lists))
+    return replace(flat, flat=True, unique=True, sfx=())
 
 
 def _entry(idx, rfg_idx, w) -> Column:
@@ -108,24 +130,29 @@ def roll_up(state: State, rule: str, method: Method, vocab: Vocabulary) -> State
     """Group flat tokens by the columns down to the rule's target. The number
     of rows of each group joins the tokens under the rule's own name."""
     prefix = state.prefix[: state.prefix.index(split_rule(rule)[1]) + 1]
-    group = [*state.keys, *prefix]
     natural = state.exact and not method.linear
     one = F.lit(1).cast("bigint") if state.exact else F.lit(1.0)
     row = F.array(_entry(F.lit(ROW_IDX), F.lit(ROW_IDX), one))
-    long = state.rows.select(*group, F.explode(F.concat(row, F.col("tok"))).alias("t"))
-    weight = F.col("t.w") / 1000 if natural else F.col("t.w")
-    long = long.select(*group, "t.idx", "t.rfg_idx", weight.alias("weight"))
-    summed = long.groupBy(*group, "idx", "rfg_idx").agg(
-        method.agg(F.col("weight")).alias("v"), F.count("*").alias("present")
-    )
+
+    def sums(rows: DataFrame) -> DataFrame:
+        long = rows.select("case_id", *prefix, F.explode(F.concat(row, F.col("tok"))).alias("t"))
+        weight = F.col("t.w") / 1000 if natural else F.col("t.w")
+        long = long.select("case_id", *prefix, "t.idx", "t.rfg_idx", weight.alias("weight"))
+        return long.groupBy("case_id", *prefix, "idx", "rfg_idx").agg(
+            method.agg(F.col("weight")).alias("v"), F.count("*").alias("present")
+        )
+
+    summed = _gathered(state, sums)
     if state.raw:
         # From here on a case is small (time buckets x vocabulary): placing
         # it by case once lets every later step run without a shuffle.
         summed = summed.repartition("case_id")
-    entries = F.collect_list(F.struct("idx", "rfg_idx", "v", "present"))
-    grouped = summed.groupBy(*group).agg(
-        F.max(F.when(F.col("idx") == ROW_IDX, F.col("present"))).alias("n"), entries.alias("e")
+    flag = [] if state.stand_in is None else ["unk"]
+    grouped = summed.groupBy("case_id", *flag, *prefix).agg(
+        F.max(F.when(F.col("idx") == ROW_IDX, F.col("present"))).alias("n"),
+        F.collect_list(F.struct("idx", "rfg_idx", "v", "present")).alias("e"),
     )
+    grouped = _settled(state, grouped)
     exact = method.rounded or (state.exact and method.linear)
 
     def finished(e):
@@ -148,63 +175,69 @@ def roll_up(state: State, rule: str, method: Method, vocab: Vocabulary) -> State
     idx, rfg_idx = vocab.special[rule]
     n = (F.col("n") * 1000 if exact else F.col("n")).cast(kind)
     count = F.array(_entry(F.lit(idx), F.lit(rfg_idx), n))
-    rows = grouped.withColumn("tok", F.array_sort(F.concat(tokens, count))).drop("e", "n")
-    return _settled(replace(state, rows=rows, prefix=prefix, order=prefix, exact=exact, raw=False, counts=()))
+    rows = grouped.withColumn("tok", F.concat(tokens, count)).drop("e", "n")
+    return replace(
+        state, rows=rows, stand_in=None, prefix=prefix, order=prefix, exact=exact, raw=False, counts=()
+    )
 
 
 def concatenate(state: State, rule: str) -> State:
     """``cat`` on lists: one list per group, rows in their order; the row
     count becomes a column."""
     prefix = state.prefix[: state.prefix.index(split_rule(rule)[1]) + 1]
-    group = [*state.keys, *prefix]
     columns = ["tok", *state.lists]
-    ordered = F.array_sort(F.collect_list(F.struct(*state.order, *columns)))
-    grouped = state.rows.groupBy(*group).agg(ordered.alias("e"), F.count("*").alias(rule))
-    joined = {c: F.flatten(each(F.col("e"), c)) for c in columns}
-    rows = grouped.withColumns(joined).drop("e")
-    return _settled(replace(state, rows=rows, prefix=prefix, order=prefix, raw=False, counts=(rule,)))
+    ordered = F.sort_array(F.collect_list(F.struct(*state.order, *columns)))
 
+    def gathered(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("case_id", *prefix).agg(ordered.alias("e"), F.count("*").alias(rule))
 
-def _settled(state: State) -> State:
-    """Drop the stand-in rows of cases that have rows of their own."""
-    if "unk" not in state.keys:
-        return state
-    has_rows = F.max(~F.col("unk")).over(Window.partitionBy("case_id"))
-    rows = state.rows.withColumn("__has", has_rows).where(~F.col("unk") | ~F.col("__has"))
-    return replace(state, rows=rows.drop("__has", "unk"), keys=("case_id",))
+    grouped = _settled(state, _gathered(state, gathered))
+    joined = {c: F.flatten(each(F.col("e"), c)) for c in columns}
+    rows = grouped.withColumns(joined).drop("e")
+    return replace(
+        state, rows=rows, stand_in=None, prefix=prefix, order=prefix, raw=False, unique=False,
+        counts=(rule,),
+    )
 
 
 def convert(state: State) -> State:
     """Back to lists, in vocabulary order; only positive weights remain."""
-    listed = F.array_sort(F.filter("tok", lambda t: t["w"] > 0))
-    return replace(state, rows=state.rows.withColumn("tok", listed), flat=False)
+    listed = F.sort_array(F.filter("tok", lambda t: t["w"] > 0))
+    return replace(_on_rows(state, lambda rows: rows.withColumn("tok", listed)), flat=False)
 
 
 def add_suffix(state: State, sfx: str) -> State:
     """A list parallel to the tokens: grain group (``rfg``), position inside
     the group (``keyInrfg``), a time column (``DInCP``), or the index of a
     time bucket inside a coarser one (``HInD``)."""
-    rows, tok = state.rows, F.col("tok")
+    tok, name = F.col("tok"), f"tkn_{sfx}"
     base = sfx.replace("InCP", "")
-    if sfx == "rfg":
-        return replace(state, sfx=(*state.sfx, sfx))
+
+    def repeated(value: str):
+        return lambda rows: rows.withColumn(name, F.array_repeat(F.col(value), F.size(tok)))
+
     if sfx == "keyInrfg":
-        value = rank_in_group(each(tok, "rfg_idx"))
-        rows = rows.withColumn(f"tkn_{sfx}", value)
+        ranks = rank_in_group(each(tok, "rfg_idx"))
+        state = _on_rows(state, lambda rows: rows.withColumn(name, ranks))
     elif base in (*state.prefix, *state.counts):
-        rows = rows.withColumn(f"tkn_{sfx}", F.array_repeat(F.col(base), F.size(tok)))
-    else:
-        source, target = split_rule(sfx)
-        # Rows of single records run from old to new, so buckets count down.
-        order = F.desc(source) if state.raw else F.asc(source)
-        index = F.dense_rank().over(Window.partitionBy(*state.keys, target).orderBy(order)) - 1
-        if state.raw:
-            pairs = rows.select(*state.keys, target, source).distinct().withColumn("__i", index)
-            rows = rows.join(pairs, [*state.keys, target, source])
-        else:
-            rows = rows.withColumn("__i", index)
-        rows = rows.withColumn(f"tkn_{sfx}", F.array_repeat(F.col("__i"), F.size(tok))).drop("__i")
-    return replace(state, rows=rows, sfx=(*state.sfx, sfx))
+        state = _on_rows(state, repeated(base))
+    elif sfx != "rfg":
+        indexed = _on_rows(state, lambda rows: _bucket_index(rows, sfx, state.raw))
+        state = _on_rows(_on_rows(indexed, repeated("__i")), lambda rows: rows.drop("__i"))
+    return replace(state, sfx=(*state.sfx, sfx))
+
+
+def _bucket_index(rows: DataFrame, rule: str, raw: bool) -> DataFrame:
+    """``__i``: index of bucket A among the buckets A of the row's B."""
+    source, target = split_rule(rule)
+    # Rows of single records run from old to new, so buckets count down.
+    order = F.desc(source) if raw else F.asc(source)
+    index = F.dense_rank().over(Window.partitionBy("case_id", target).orderBy(order)) - 1
+    if not raw:
+        return rows.withColumn("__i", index)
+    # Records have no bound per case: rank their distinct buckets only.
+    keys = ["case_id", target, source]
+    return rows.join(rows.select(*keys).distinct().withColumn("__i", index), keys)
 
 
 def run_program(state: State, program: Compress, vocab: Vocabulary) -> State:
@@ -250,16 +283,16 @@ def value_columns(state: State) -> dict[str, Column]:
 def decoded(state: State, vocab: Vocabulary, extra: Sequence[str] = ()) -> DataFrame:
     """Long form with token names: one row per list entry."""
     weight = weight_of(state)
-    kept = [*state.keys, *state.prefix, *(extra or ()), *state.counts]
+    kept = ["case_id", *state.prefix, *extra, *state.counts]
     long = state.rows.select(*kept, F.posexplode("tok").alias("pos", "t"))
     long = long.select(*kept, "pos", "t.idx", weight(F.col("t")).alias("weight"))
-    names = long.transform(lambda df: vocab.lookup(df, "idx", by="idx"))
+    names = vocab.lookup(long, "idx", by="idx")
     return names.select(*kept, "pos", "idx", F.col("grn").alias("token"), "rfg", "rfg_idx", "weight")
 
 
 def wide(state: State, vocab: Vocabulary, tokens: Sequence[str]) -> DataFrame:
     """Flat tokens as one column per named token, absent ones 0."""
     long = decoded(state, vocab)
-    by_row = [*state.keys, *state.prefix]
+    by_row = ["case_id", *state.prefix]
     pivoted = long.groupBy(*by_row).pivot("token", list(tokens)).agg(F.first("weight"))
     return pivoted.na.fill(0.0, list(tokens))

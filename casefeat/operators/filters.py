@@ -22,15 +22,15 @@ def filter_rows(rows: DataFrame, flt: Filter) -> DataFrame:
     return rows.where(in_hours(F.col("dt"), hours[flt.name]))
 
 
-def apply_thresholds(rows: DataFrame, rules: dict[str, float]) -> DataFrame:
-    """For each rule ``AInB`` in order, keep the rows whose bucket B of the
-    case has enough distinct values of A. Later rules see the survivors.
+def good_buckets(rows: DataFrame, rules: dict[str, float]) -> list[DataFrame]:
+    """For each rule ``AInB`` in order: the (case, B) buckets with enough
+    distinct values of A. Later rules see the survivors of earlier ones.
 
-    The distinct count is partially aggregated; rows are then kept by a semi
-    join with the short list of good buckets, so a crowded bucket is never
-    gathered in one place.
+    The count is partially aggregated, so a crowded bucket is never gathered
+    in one place.
     """
     as_column = {"DT": "dt", "R": "rec_id"}
+    found = []
     for rule, need in rules.items():
         source, target = (as_column.get(p, p) for p in split_rule(rule))
         good = (
@@ -40,11 +40,19 @@ def apply_thresholds(rows: DataFrame, rules: dict[str, float]) -> DataFrame:
             .select("case_id", target)
         )
         rows = rows.join(good, ["case_id", target], "left_semi")
-    return rows
+        found.append(good)
+    return found
 
 
-def apply_filter(observed: DataFrame, flt: Filter, record_name: str) -> DataFrame:
+def apply_filter(
+    observed: DataFrame, flt: Filter, record_name: str, thin: DataFrame | None = None
+) -> DataFrame:
     """Predicate, relative time, thresholds. The relative-time columns stay:
-    later stages need them."""
+    later stages need them. ``thin``, the same observation with only the key
+    and time columns, lets the threshold counts skip the token work."""
     rows = add_relative_time(filter_rows(observed, flt))
-    return apply_thresholds(rows, flt.rules_for(record_name))
+    rules = flt.rules_for(record_name)
+    counted = rows if thin is None else add_relative_time(filter_rows(thin, flt))
+    for good in good_buckets(counted, rules):
+        rows = rows.join(good, good.columns, "left_semi")
+    return rows

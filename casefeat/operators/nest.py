@@ -21,7 +21,7 @@ def nest(
     for depth in range(len(prefix), 0, -1):
         entry = F.struct(*inner, *values)
         grouped = rows.groupBy("case_id", *prefix[:depth]).agg(
-            F.array_sort(F.collect_list(entry)).alias("e")
+            F.sort_array(F.collect_list(entry)).alias("e")
         )
         listed = {v: each(F.col("e"), v) for v in values}
         rows = grouped.withColumns(listed).drop("e")
@@ -33,7 +33,7 @@ def one_row_per_case(rows: DataFrame, order: Sequence[str], name: str) -> DataFr
     """All rows of a case as one list of structs, in order."""
     fields = [c for c in rows.columns if c not in ("case_id", "pid", "pred_dt", *order)]
     entry = F.struct(*order, *fields)
-    return rows.groupBy("case_id").agg(F.array_sort(F.collect_list(entry)).alias(name))
+    return rows.groupBy("case_id").agg(F.sort_array(F.collect_list(entry)).alias(name))
 
 
 def in_batches(cases: DataFrame, size: int, cells: int = 1024) -> DataFrame:
@@ -43,6 +43,6 @@ def in_batches(cases: DataFrame, size: int, cells: int = 1024) -> DataFrame:
     numbered = with_position(cases, [], F.pmod(draw, F.lit(cells)), ["case_id"], "row_no")
     entry = F.struct("row_no", *cases.columns)
     batches = numbered.groupBy(F.expr(f"row_no div {size}").alias("batch")).agg(
-        F.array_sort(F.collect_list(entry)).alias("rows")
+        F.sort_array(F.collect_list(entry)).alias("rows")
     )
     return batches

@@ -69,7 +69,7 @@ def encode_tokens(
     )
     grouped = found.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in extra],
-        F.array_sort(F.collect_list(entry)).alias("tok"),
+        F.sort_array(F.collect_list(entry)).alias("tok"),
     )
     listed = F.transform(
         F.filter("tok", lambda t: t["idx"].isNotNull()),
@@ -106,7 +106,7 @@ def one_token_per_slot(
         .agg(F.max_by(token, F.struct("dt", "rec_id")).alias("value"))
     )
     entries = latest.groupBy("case_id").agg(
-        F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("entries")
+        F.sort_array(F.collect_list(F.struct("slot", "value"))).alias("entries")
     )
     none = F.array().cast(entries.schema["entries"].dataType)
     joined = cases.join(entries, "case_id", "left")

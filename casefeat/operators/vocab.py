@@ -28,11 +28,11 @@ class Vocabulary:
 
     @classmethod
     def of(cls, rows: DataFrame, rules: Sequence[str] = (), unk: str = UNK) -> Vocabulary:
-        """Materialize the rows once and measure them."""
+        """Materialize the rows once; measure them and find the special ids."""
         rows = materialize(rows)
-        wanted = rows.where(F.col("grn").isin(unk, *rules))
-        special = {r.grn: (r.idx, r.rfg_idx) for r in wanted.collect()}
-        return cls(rows, rows.count(), special, unk)
+        named = F.when(F.col("grn").isin(unk, *rules), F.struct("grn", "idx", "rfg_idx"))
+        seen = rows.agg(F.count("*").alias("n"), F.collect_list(named).alias("special")).first()
+        return cls(rows, seen.n, {r.grn: (r.idx, r.rfg_idx) for r in seen.special}, unk)
 
     def lookup(self, rows: DataFrame, key: str, how: str = "left", by: str = "grn") -> DataFrame:
         """Join ``rows.key`` with the vocabulary. Small vocabularies are
@@ -56,31 +56,42 @@ class Vocabulary:
         return cls.of(spark.read.parquet(path), rules, unk)
 
 
-def vocab_rows(tables: Sequence[DataFrame], unk: str = UNK) -> DataFrame:
+def vocab_rows(
+    tables: Sequence[DataFrame], rules: Sequence[str] = (), unk: str = UNK
+) -> DataFrame:
     """Combine grain vocabularies ``(grn, rfg, pos)``: id 0 is unknown, then
-    each grain's tokens in order. A token met twice keeps its first place and
-    group. Only distinct tokens are ranked."""
+    each grain's tokens in order, then the count tokens of ``rules``. A token
+    met twice keeps its first place and group; one named like a rule belongs
+    to the rule's group. Only distinct tokens are ranked."""
     spark = tables[0].sparkSession
-    start = spark.range(1).select(
-        F.lit(-1).alias("src"),
-        F.lit(0).cast("bigint").alias("pos"),
-        F.lit(unk).alias("grn"),
-        F.lit(unk).alias("rfg"),
-    )
-    union = start
+    union = _listed(spark, [unk], -1)
     for src, table in enumerate(tables):
         union = union.unionByName(
             table.select(F.lit(src).alias("src"), F.col("pos").cast("bigint"), "grn", "rfg")
         )
+    if rules:
+        union = union.unionByName(_listed(spark, rules, len(tables)))
     first = union.groupBy("grn").agg(F.min(F.struct("src", "pos", "rfg")).alias("f"))
+    group = F.col("f.rfg")
+    if rules:
+        group = F.when(F.col("grn").isin(*rules), F.col("grn")).otherwise(group)
     placed = first.select(
         (F.row_number().over(Window.orderBy("f.src", "f.pos")) - 1).alias("idx"),
         "grn",
-        F.col("f.rfg").alias("rfg"),
+        group.alias("rfg"),
     )
     return _with_rfg_idx(placed)
 
 
+def _listed(spark: SparkSession, names: Sequence[str], src: int) -> DataFrame:
+    """Tokens of their own group, in the given order."""
+    listed = F.posexplode(F.array(*[F.lit(n) for n in names])).alias("pos", "grn")
+    rows = spark.range(1).select(listed)
+    return rows.select(
+        F.lit(src).alias("src"), F.col("pos").cast("bigint"), "grn", F.col("grn").alias("rfg")
+    )
+
+
 def _with_rfg_idx(rows: DataFrame) -> DataFrame:
     """Group ids: rank of the group name among the distinct names."""
     return rows.withColumn("rfg_idx", F.dense_rank().over(Window.orderBy("rfg")) - 1)
@@ -89,8 +100,7 @@ def _with_rfg_idx(rows: DataFrame) -> DataFrame:
 def build_vocab(
     tables: Sequence[DataFrame], rules: Sequence[str] = (), unk: str = UNK
 ) -> Vocabulary:
-    vocab = Vocabulary.of(vocab_rows(tables, unk), unk=unk)
-    return vocab.extended(rules) if rules else vocab
+    return Vocabulary.of(vocab_rows(tables, rules, unk), rules, unk)
 
 
 def extend_vocab(rows: DataFrame, size: int, rules: Sequence[str]) -> DataFrame:
@@ -98,12 +108,9 @@ def extend_vocab(rows: DataFrame, size: int, rules: Sequence[str]) -> DataFrame:
     A token that already exists keeps its id and changes group."""
     rules = list(dict.fromkeys(rules))
     spark = rows.sparkSession
-    names = spark.range(len(rules)).select(
-        F.element_at(F.array(*[F.lit(r) for r in rules]), (F.col("id") + 1).cast("int")).alias("grn"),
-        F.col("id"),
-    )
+    names = _listed(spark, rules, 0)
     missing = names.join(rows.select("grn"), "grn", "left_anti")
-    order = Window.orderBy("id")
+    order = Window.orderBy("pos")
     added = missing.select(
         (F.row_number().over(order) - 1 + F.lit(size)).alias("idx"), "grn", F.col("grn").alias("rfg")
     )
@@ -118,7 +125,7 @@ def vocab_conflicts(tables: Sequence[DataFrame]) -> DataFrame:
     union = tables[0].select("grn", "rfg")
     for table in tables[1:]:
         union = union.unionByName(table.select("grn", "rfg"))
-    groups = union.groupBy("grn").agg(F.array_sort(F.collect_set("rfg")).alias("rfgs"))
+    groups = union.groupBy("grn").agg(F.sort_array(F.collect_set("rfg")).alias("rfgs"))
     return groups.where(F.size("rfgs") > 1)
 
 

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Feature
+from ..config import Feature, Tokens
 from ..constants import LEVELS
 from ..operators import compress as cmp
 from ..operators.filters import apply_filter
 from ..operators.nest import nest, one_row_per_case
 from ..operators.observe import check_period, observe
 from ..operators.tokens import attach_tokens, encode_tokens, record_label, with_unk
-from ..operators.vocab import Vocabulary
+from ..operators.vocab import Vocabulary, build_vocab
 from ..sources.records import load_records
 
 
@@ -22,37 +23,50 @@ def observation(cases: DataFrame, feature: Feature, records: DataFrame, **how) -
     return observe(cases.select("case_id", "pid", "pred_dt"), records, feature.period, **how)
 
 
+def filtered_rows(cases: DataFrame, feature: Feature, records: DataFrame, **how) -> DataFrame:
+    """Observed and filtered records. Thresholds are counted on the bare
+    records, not on their tokens."""
+    bare = load_records(feature.source).select("pid", "rec_id", "dt")
+    thin = observation(cases, feature, bare, **how)
+    wide = observation(cases, feature, records, **how)
+    return apply_filter(wide, feature.filter, feature.source.name, thin)
+
+
 def token_rows(cases: DataFrame, feature: Feature, **how) -> DataFrame:
     """Filtered records of each case with their token lists."""
     records = attach_tokens(load_records(feature.source), feature.tokens)
     records = records.select("pid", "rec_id", "dt", "tkn_key", "tkn_wgt")
-    observed = observation(cases, feature, records, **how)
-    return apply_filter(observed, feature.filter, feature.source.name)
+    return filtered_rows(cases, feature, records, **how)
+
+
+def vocabulary(tokens: Tokens, rules: Sequence[str]) -> Vocabulary:
+    """The feature's vocabulary with the count tokens of its steps."""
+    if isinstance(tokens.vocab, Vocabulary):
+        return tokens.vocab.extended(rules)
+    return build_vocab(tokens.vocab, rules, tokens.unk)
 
 
 def compressed(cases: DataFrame, feature: Feature, **how) -> tuple[cmp.State, Vocabulary]:
     """The compress program's final state. Tokens are turned into ids once
     per record, so cases and their windows only ever move numbers."""
     tokens, program = feature.tokens, feature.compress
-    vocab = tokens.vocab.extended(program.rules)
+    vocab = vocabulary(tokens, program.rules)
     records = attach_tokens(load_records(feature.source), tokens)
     records = records.select("pid", "rec_id", "dt", "tkn_key", "tkn_wgt")
     first = program.steps[0].actions[0][0] if program.steps else None
     on_unknown = "drop" if first == "flatten" else tokens.on_unknown
-    records = encode_tokens(records, vocab, ["pid", "rec_id"], on_unknown)
-    observed = observation(cases, feature, records, **how)
-    rows = apply_filter(observed, feature.filter, feature.source.name)
+    records = encode_tokens(records, vocab, ["pid", "rec_id", "dt"], on_unknown)
+    rows = filtered_rows(cases, feature, records, **how)
     state = cmp.start(rows, cases, vocab)
     if not any(step.method for step in program.steps):
-        state = cmp.State(_filled(rows, cases, state), ("case_id",), LEVELS, ("dt", "rec_id"))
+        state = _filled(state)
     return cmp.run_program(state, program, vocab), vocab
 
 
-def _filled(rows: DataFrame, cases: DataFrame, state: cmp.State) -> DataFrame:
+def _filled(state: cmp.State) -> cmp.State:
     """Without a roll-up, empty cases are found by an anti join."""
-    empty = cases.select("case_id").join(rows.select("case_id").distinct(), "case_id", "left_anti")
-    stand_in = state.rows.where("unk").join(empty, "case_id", "left_semi")
-    return state.rows.where("NOT unk").unionByName(stand_in).drop("unk")
+    empty = state.stand_in.join(state.rows.select("case_id").distinct(), "case_id", "left_anti")
+    return replace(state, rows=state.rows.unionByName(empty), stand_in=None)
 
 
 def feature_rows(cases: DataFrame, feature: Feature, **how) -> DataFrame:
@@ -77,7 +91,7 @@ def build_feature(cases: DataFrame, feature: Feature, **how) -> DataFrame:
         return observation(cases, feature, load_records(feature.source), **how)
     if feature.tokens is None:
         records = load_records(feature.source).select("pid", "rec_id", "dt")
-        rows = apply_filter(observation(cases, feature, records, **how), feature.filter, feature.source.name)
+        rows = filtered_rows(cases, feature, records, **how)
         return rows.select("case_id", "pid", "pred_dt", "rec_id", "dt")
     if feature.compress is None:
         rows = with_unk(cases, token_rows(cases, feature, **how), feature.tokens.unk)

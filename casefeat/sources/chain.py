@@ -59,7 +59,7 @@ def collect_per_leaf(
     placed = with_position(records.select(leaf, *fields), [leaf], cell, order)
     chunk = F.expr(f"pos div {chunk_rows}")
     lists = placed.groupBy(leaf, chunk.alias("chunk")).agg(
-        F.array_sort(F.collect_list(F.struct("pos", *fields))).alias(name)
+        F.sort_array(F.collect_list(F.struct("pos", *fields))).alias(name)
     )
     joined = chain.join(lists, leaf, "left")
     return joined.withColumn("chunk", F.coalesce("chunk", F.lit(0).cast("bigint")))

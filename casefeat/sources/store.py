@@ -1,7 +1,7 @@
 """Parquet feature store: rows first, manifest last, only misses computed.
 
-``rows/feature=<key>/run=<id>/grp=<g>`` holds feature rows and
-``manifest/feature=<key>/run=<id>`` one line per stored case with its row
+Below ``group=<g>/scope=<s>/feature=<key>``, ``rows/run=<id>/grp=<n>`` holds
+feature rows and ``manifest/run=<id>`` one line per stored case with its row
 count. Readers take the rows of manifest lines only, so an interrupted run
 leaves nothing visible. The key holds a hash of the settings.
 """
@@ -23,8 +23,19 @@ from ..session import materialize
 
 
 class FeatureStore:
-    def __init__(self, spark: SparkSession, path: str, groups: int = 64):
-        self.spark, self.path, self.groups = spark, path.rstrip("/"), groups
+    """Features of one case set: ``group`` names the entities, ``scope`` the
+    cases (whole, filtered, ...); ``groups`` is the number of storage groups."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        group: str = "all",
+        scope: str = "whole",
+        groups: int = 64,
+    ):
+        self.spark, self.groups = spark, groups
+        self.path = f"{path.rstrip('/')}/group={group}/scope={scope}"
 
     def key(self, feature: Feature) -> str:
         text = "".join(c if c.isalnum() or c in "._-" else "_" for c in feature.name)
@@ -39,7 +50,7 @@ class FeatureStore:
             raise
 
     def _folder(self, kind: str, feature: Feature) -> str:
-        return f"{self.path}/{kind}/feature={self.key(feature)}"
+        return f"{self.path}/feature={self.key(feature)}/{kind}"
 
     def manifest(self, feature: Feature, cases: DataFrame) -> DataFrame:
         """Stored cases: ``case_id, pid, pred_dt, nrow, run``."""
@@ -50,6 +61,12 @@ class FeatureStore:
         extra = [T.StructField("nrow", T.LongType()), T.StructField("run", T.StringType())]
         return self.spark.createDataFrame([], T.StructType([*fields, *extra]))
 
+    def size(self, feature: Feature, cases: DataFrame) -> DataFrame:
+        """Stored cases and rows of a feature (one line)."""
+        return self.manifest(feature, cases).agg(
+            F.count("*").alias("n_cases"), F.coalesce(F.sum("nrow"), F.lit(0)).alias("n_rows")
+        )
+
     def status(self, feature: Feature, cases: DataFrame) -> DataFrame:
         """Cases with ``status``: hit, empty (known to have no rows) or miss."""
         known = self.manifest(feature, cases).select("case_id", "nrow")
