@@ -87,7 +87,7 @@ def purchase_cases(spark, sf) -> DataFrame:
 
 
 def event_grain() -> GrainColumn:
-    return GrainColumn("EventGrn", lambda: F.array("event_type"))
+    return GrainColumn("EventGrn", lambda: [F.col("event_type")])
 
 
 def value_token() -> Column:
@@ -95,12 +95,12 @@ def value_token() -> Column:
 
 
 def value_grain(weighted: bool = False) -> GrainColumn:
-    wgt = (lambda: F.array("value")) if weighted else None
-    return GrainColumn("ValueGrn", lambda: F.array(value_token()), wgt)
+    wgt = (lambda: [F.col("value")]) if weighted else None
+    return GrainColumn("ValueGrn", lambda: [value_token()], wgt)
 
 
 def daypart_grain() -> GrainColumn:
-    return GrainColumn("MEANGrn", lambda: F.array(daypart_token()))
+    return GrainColumn("MEANGrn", lambda: [daypart_token()])
 
 
 def daypart_token() -> Column:

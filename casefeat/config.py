@@ -9,6 +9,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .constants import FILTER_SHARE, LEVELS, RECORD_THRESHOLDS, UNIT_MICROS, UNK
 
@@ -114,12 +115,23 @@ class GrainTable:
 
 @dataclass(frozen=True)
 class GrainColumn:
-    """Token lists computed from the record itself: ``key`` builds an
-    ``array<string>`` column, ``wgt`` (default: all 1) an array of numbers."""
+    """Tokens computed from the record itself. ``key`` builds either a list
+    of text columns, one token each (null: no token), or one
+    ``array<string>`` column; ``wgt`` the weights in the same form (default:
+    all 1). Single columns are looked up fastest."""
 
     name: str
-    key: Callable[[], Column]
-    wgt: Callable[[], Column] | None = None
+    key: Callable[[], Column | Sequence[Column]]
+    wgt: Callable[[], Column | Sequence[Column]] | None = None
+
+    @property
+    def single(self) -> list[tuple[Column, Column]] | None:
+        """(token, weight) columns, or ``None`` for the array form."""
+        keys = self.key()
+        if isinstance(keys, Column):
+            return None
+        weights = self.wgt() if self.wgt else [F.lit(1.0)] * len(keys)
+        return [(k, w.cast("double")) for k, w in zip(keys, weights, strict=True)]
 
 
 @dataclass(frozen=True)

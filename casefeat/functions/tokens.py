@@ -9,11 +9,14 @@ from ..constants import CALENDAR_PREFIXES
 from .timing import daypart
 
 
-def calendar_tokens(dt: Column) -> Column:
+def calendar_columns(dt: Column) -> list[Column]:
     """``Year-2024, Month-1, Date-1, MEAN-Night, Hour-0, Min-7``."""
     parts = [F.year(dt), F.month(dt), F.day(dt), daypart(dt), F.hour(dt), F.minute(dt)]
-    tokens = [F.concat(F.lit(p), v.cast("string")) for p, v in zip(CALENDAR_PREFIXES, parts)]
-    return F.array(*tokens)
+    return [F.concat(F.lit(p), v.cast("string")) for p, v in zip(CALENDAR_PREFIXES, parts)]
+
+
+def calendar_tokens(dt: Column) -> Column:
+    return F.array(*calendar_columns(dt))
 
 
 def each(items: Column, name: str) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..config import Compress, split_rule
 from ..constants import LEVELS, UNK_IDX
 from ..functions.tokens import each, last_per_idx, rank_in_group
+from .observe import CELL
 from .vocab import Vocabulary
 
 # Id of the entry that stands for the row itself while tokens are summed.
@@ -31,19 +32,23 @@ class Method:
     ``agg`` aggregates the weights that are present; ``finish(value, present,
     rows)`` sees how many of the group's rows had the token, so absent zeros
     can be accounted for. ``linear`` methods scale with their weights and can
-    run on thousandths; others get natural weights.
+    run on thousandths; others get natural weights. ``merge`` combines partial
+    values; a method that has it is pre-aggregated where the rows lie.
     """
 
     agg: Callable[[Column], Column]
     finish: Callable[[Column, Column, Column], Column] = lambda value, present, rows: value
     rounded: bool = False
     linear: bool = False
+    merge: Callable[[Column], Column] | None = None
 
 
 METHODS: Mapping[str, Method] = {
-    "mean": Method(F.sum, lambda value, present, rows: value / rows, rounded=True, linear=True),
-    "sum": Method(F.sum, rounded=True, linear=True),
-    "cat": Method(F.sum, linear=True),
+    "mean": Method(
+        F.sum, lambda value, present, rows: value / rows, rounded=True, linear=True, merge=F.sum
+    ),
+    "sum": Method(F.sum, rounded=True, linear=True, merge=F.sum),
+    "cat": Method(F.sum, linear=True, merge=F.sum),
 }
 
 
@@ -52,7 +57,8 @@ class State:
     """Where a compress program stands.
 
     ``raw`` rows are single records, whose number per case has no bound;
-    ``order`` sorts the rows of a case; ``unique`` lists hold a token once. ``stand_in`` holds one ``[UNK]`` row
+    ``order`` sorts the rows of a case; ``unique`` lists hold a token once;
+    ``cell`` names the columns raw rows were joined on. ``stand_in`` holds one ``[UNK]`` row
     per case until the first roll-up, which drops the ones not needed.
     """
 
@@ -66,27 +72,32 @@ class State:
     unique: bool = False
     sfx: tuple[str, ...] = ()
     counts: tuple[str, ...] = ()
+    cell: tuple[str, ...] = ()
 
     @property
     def lists(self) -> list[str]:
         return [f"tkn_{s}" for s in self.sfx if s != "rfg"]
 
 
-def start(observed: DataFrame, cases: DataFrame | None, vocab: Vocabulary) -> State:
+def start(
+    observed: DataFrame, cases: DataFrame | None, vocab: Vocabulary, unique: bool = False
+) -> State:
     """Encoded token rows as a program state. With ``cases``, a stand-in
     ``[UNK]`` row per case runs along until the first roll-up shows which
     cases have rows, so no second pass over the observation is needed to find
     the empty ones."""
-    rows = observed.select("case_id", *LEVELS, "dt", "rec_id", "tok")
+    cell = [c for c in CELL if c in observed.columns]
+    rows = observed.select("case_id", *LEVELS, "dt", "rec_id", "tok", *cell)
     stand_in = None
     if cases is not None:
         columns = {level: F.lit(0).cast("bigint") for level in LEVELS}
         columns["dt"] = F.lit(None).cast(rows.schema["dt"].dataType)
         columns["rec_id"] = F.lit(None).cast(rows.schema["rec_id"].dataType)
         unk_rfg = F.lit(vocab.special[vocab.unk][1])
+        columns.update({c: F.lit(None).cast(rows.schema[c].dataType) for c in cell})
         columns["tok"] = F.array(_entry(F.lit(UNK_IDX), unk_rfg, F.lit(1.0)))
-        stand_in = cases.select("case_id").withColumns(columns)
-    return State(rows, LEVELS, ("dt", "rec_id"), stand_in)
+        stand_in = cases.select("case_id", *[columns[c].alias(c) for c in rows.columns[1:]])
+    return State(rows, LEVELS, ("dt", "rec_id"), stand_in, unique=unique, cell=tuple(cell))
 
 
 def _on_rows(state: State, change: Callable[[DataFrame], DataFrame]) -> State:
@@ -134,20 +145,32 @@ def roll_up(state: State, rule: str, method: Method, vocab: Vocabulary) -> State
     one = F.lit(1).cast("bigint") if state.exact else F.lit(1.0)
     row = F.array(_entry(F.lit(ROW_IDX), F.lit(ROW_IDX), one))
 
+    flag = [] if state.stand_in is None else ["unk"]
+    token = ["idx", "rfg_idx"]
+    merged = state.raw and method.merge is not None
+
     def sums(rows: DataFrame) -> DataFrame:
-        long = rows.select("case_id", *prefix, F.explode(F.concat(row, F.col("tok"))).alias("t"))
+        long = rows.select(
+            "case_id", *state.cell, *prefix, F.explode(F.concat(row, F.col("tok"))).alias("t")
+        )
         weight = F.col("t.w") / 1000 if natural else F.col("t.w")
-        long = long.select("case_id", *prefix, "t.idx", "t.rfg_idx", weight.alias("weight"))
-        return long.groupBy("case_id", *prefix, "idx", "rfg_idx").agg(
+        long = long.select("case_id", *state.cell, *prefix, "t.idx", "t.rfg_idx", weight.alias("weight"))
+        # Grouping by the join's cell as well needs no shuffle after it.
+        by = state.cell if merged else ()
+        summed = long.groupBy("case_id", *by, *prefix, *token).agg(
             method.agg(F.col("weight")).alias("v"), F.count("*").alias("present")
         )
+        return summed.drop(*by)
 
     summed = _gathered(state, sums)
     if state.raw:
-        # From here on a case is small (time buckets x vocabulary): placing
-        # it by case once lets every later step run without a shuffle.
+        # The one shuffle after the join. From here on a case is small (time
+        # buckets x vocabulary) and placed by case for all later steps.
         summed = summed.repartition("case_id")
-    flag = [] if state.stand_in is None else ["unk"]
+    if merged:
+        summed = summed.groupBy("case_id", *flag, *prefix, *token).agg(
+            method.merge(F.col("v")).alias("v"), F.sum("present").alias("present")
+        )
     grouped = summed.groupBy("case_id", *flag, *prefix).agg(
         F.max(F.when(F.col("idx") == ROW_IDX, F.col("present"))).alias("n"),
         F.collect_list(F.struct("idx", "rfg_idx", "v", "present")).alias("e"),
@@ -177,7 +200,8 @@ def roll_up(state: State, rule: str, method: Method, vocab: Vocabulary) -> State
     count = F.array(_entry(F.lit(idx), F.lit(rfg_idx), n))
     rows = grouped.withColumn("tok", F.concat(tokens, count)).drop("e", "n")
     return replace(
-        state, rows=rows, stand_in=None, prefix=prefix, order=prefix, exact=exact, raw=False, counts=()
+        state, rows=rows, stand_in=None, prefix=prefix, order=prefix, exact=exact, raw=False, counts=(),
+        cell=(),
     )
 
 
@@ -196,7 +220,7 @@ def concatenate(state: State, rule: str) -> State:
     rows = grouped.withColumns(joined).drop("e")
     return replace(
         state, rows=rows, stand_in=None, prefix=prefix, order=prefix, raw=False, unique=False,
-        counts=(rule,),
+        counts=(rule,), cell=(),
     )
 
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Filter, split_rule
-from ..constants import DAYPART_HOURS, LEGACY_DAYPART_HOURS
+from ..config import CheckPeriod, Filter, split_rule
+from ..constants import DAYPART_HOURS, FINER_PER_LEVEL, LEGACY_DAYPART_HOURS, LEVELS, SECONDS_IN_5MIN
 from ..functions.timing import add_relative_time, in_hours
 
+# Good buckets of a case travel as a list on the case up to this many;
+# beyond, rows are kept by a semi join.
+MAX_LISTED_BUCKETS = 256
+
 
 def filter_rows(rows: DataFrame, flt: Filter) -> DataFrame:
     """Apply the predicate the filter names; ``Whl`` keeps everything."""
@@ -22,37 +26,76 @@ def filter_rows(rows: DataFrame, flt: Filter) -> DataFrame:
     return rows.where(in_hours(F.col("dt"), hours[flt.name]))
 
 
-def good_buckets(rows: DataFrame, rules: dict[str, float]) -> list[DataFrame]:
+def counts_bare_times(rules: dict[str, float]) -> bool:
+    """Whether the rules look at times only, so records of one instant may
+    be counted as one."""
+    parts = [split_rule(rule) for rule in rules]
+    return all(source in ("DT", *LEVELS) and target in LEVELS for source, target in parts)
+
+
+def good_buckets(rows: DataFrame, rules: dict[str, float], distinct_times: bool = False) -> list[DataFrame]:
     """For each rule ``AInB`` in order: the (case, B) buckets with enough
     distinct values of A. Later rules see the survivors of earlier ones.
 
     The count is partially aggregated, so a crowded bucket is never gathered
-    in one place.
+    in one place. ``distinct_times`` says that a case's rows already differ
+    in time; times are then counted without telling them apart again.
     """
     as_column = {"DT": "dt", "R": "rec_id"}
     found = []
     for rule, need in rules.items():
         source, target = (as_column.get(p, p) for p in split_rule(rule))
-        good = (
-            rows.groupBy("case_id", target)
-            .agg(F.count_distinct(source).alias("n"))
-            .where(F.col("n") >= need)
-            .select("case_id", target)
-        )
+        plain = distinct_times and source == "dt"
+        n = F.count("*") if plain else F.count_distinct(source)
+        good = rows.groupBy("case_id", target).agg(n.alias("n")).where(F.col("n") >= need)
+        good = good.select("case_id", target)
         rows = rows.join(good, ["case_id", target], "left_semi")
         found.append(good)
     return found
 
 
-def apply_filter(
-    observed: DataFrame, flt: Filter, record_name: str, thin: DataFrame | None = None
-) -> DataFrame:
-    """Predicate, relative time, thresholds. The relative-time columns stay:
-    later stages need them. ``thin``, the same observation with only the key
-    and time columns, lets the threshold counts skip the token work."""
-    rows = add_relative_time(filter_rows(observed, flt))
-    rules = flt.rules_for(record_name)
-    counted = rows if thin is None else add_relative_time(filter_rows(thin, flt))
-    for good in good_buckets(counted, rules):
+def can_be_listed(target: str, period: CheckPeriod) -> bool:
+    """Whether a case has few enough buckets of this level in the period."""
+    if target not in LEVELS:
+        return False
+    if target == "CP":
+        return True
+    seconds = SECONDS_IN_5MIN
+    for level, finer in FINER_PER_LEVEL.items():
+        if target == "5Min":
+            break
+        seconds *= finer
+        if level == target:
+            break
+    return period.length_us // (seconds * 1_000_000) + 2 <= MAX_LISTED_BUCKETS
+
+
+def with_good_lists(cases: DataFrame, listed: list[DataFrame]) -> DataFrame:
+    """Cases that can have rows, each with its good buckets per rule."""
+    for i, good in enumerate(listed):
+        target = good.columns[1]
+        lists = good.groupBy("case_id").agg(F.collect_list(target).alias(f"__good{i}"))
+        cases = cases.join(lists, "case_id")
+    return cases
+
+
+def keep_listed(rows: DataFrame, listed: list[DataFrame]) -> DataFrame:
+    """Rows whose bucket is among the case's good ones."""
+    for i, good in enumerate(listed):
+        name = f"__good{i}"
+        rows = rows.where(F.array_contains(name, F.col(good.columns[1]))).drop(name)
+    return rows
+
+
+def relative_rows(observed: DataFrame, flt: Filter) -> DataFrame:
+    """Rows that satisfy the predicate, with their relative times."""
+    return add_relative_time(filter_rows(observed, flt))
+
+
+def apply_filter(observed: DataFrame, flt: Filter, record_name: str) -> DataFrame:
+    """Predicate, relative time and thresholds on an observation. The
+    relative-time columns stay: later stages need them."""
+    rows = relative_rows(observed, flt)
+    for good in good_buckets(rows, flt.rules_for(record_name)):
         rows = rows.join(good, good.columns, "left_semi")
     return rows

@@ -12,6 +12,9 @@ from ..functions.hashing import stable_hash
 from ..functions.timing import bucket, micros, shifted
 from ..session import materialize
 
+# Columns that place an observed row: rows of one cell lie together.
+CELL = ("pid", "__b", "__part")
+
 # A list of hot cells longer than this is joined without a broadcast.
 MAX_BROADCAST_CELLS = 100_000
 
@@ -40,6 +43,7 @@ def observe(
     how: str = "bucketed",
     width_us: int | None = None,
     hot_cell_rows: int | None = None,
+    keep_cell: bool = False,
 ) -> DataFrame:
     """One row per case and record of its entity inside the period.
 
@@ -47,7 +51,8 @@ def observe(
     ``bucketed`` cuts time into buckets of the window's length, so a case
     meets at most two buckets of its entity and an entity's history is
     spread over many tasks. ``hot_cell_rows`` additionally splits every
-    (entity, bucket) cell with more records than that.
+    (entity, bucket) cell with more records than that. ``keep_cell`` leaves
+    the columns the join was made on (``CELL``) in the result.
     """
     windows = _with_window(cases, period)
     rows = records.withColumn("__u", micros(records, "dt"))
@@ -65,8 +70,9 @@ def observe(
         raise ValueError(f"how must be plain or bucketed, got {how!r}")
     inside = (F.col("__u") >= F.col("__s")) & (F.col("__u") < F.col("__e"))
     joined = windows.alias("c").join(rows.alias("r"), [F.col(f"c.{k}") == F.col(f"r.{k}") for k in keys] + [inside])
-    hidden = {"__s", "__e", "__u", "__b", "__part"}
-    left = [F.col(f"c.{c}") for c in cases.columns if c not in hidden]
+    left = [F.col(f"c.{c}") for c in cases.columns]
+    if keep_cell:
+        left += [F.col(f"c.{k}") for k in keys[1:]]
     right = [F.col(f"r.{c}") for c in records.columns if c not in {*cases.columns}]
     return joined.select(*left, *right)
 
@@ -80,7 +86,8 @@ def _split_hot_cells(windows: DataFrame, rows: DataFrame, limit: int):
     if hot.limit(MAX_BROADCAST_CELLS + 1).count() <= MAX_BROADCAST_CELLS:
         hot = F.broadcast(hot)
     parts = F.coalesce(F.col("__parts"), F.lit(1))
-    draw = F.pmod(stable_hash(F.col("rec_id"), "part"), parts).cast("int")
+    spread = "rec_id" if "rec_id" in rows.columns else "__u"
+    draw = F.pmod(stable_hash(F.col(spread), "part"), parts).cast("int")
     rows = rows.join(hot, cell, "left").withColumn("__part", draw).drop("__parts")
     every = F.explode(F.sequence(F.lit(0), parts - 1))
     windows = windows.join(hot, cell, "left").withColumn("__part", every).drop("__parts")

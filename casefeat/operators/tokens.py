@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import GrainTable, Tokens
 from ..constants import LEVELS, UNK_IDX
-from ..functions.tokens import calendar_tokens, filled_slots, ones_like
-from .vocab import Vocabulary
+from ..functions.tokens import calendar_columns, calendar_tokens, filled_slots, ones_like
+from .vocab import MAX_BROADCAST_TOKENS, Vocabulary
 
 
 def attach_tokens(records: DataFrame, tokens: Tokens) -> DataFrame:
@@ -28,6 +28,11 @@ def attach_tokens(records: DataFrame, tokens: Tokens) -> DataFrame:
             weights.append(
                 F.coalesce(F.col(wgt).cast("array<double>"), F.array().cast("array<double>"))
             )
+        elif grain.single is not None:
+            key = F.array(*[k for k, _ in grain.single])
+            wgt = F.array(*[w for _, w in grain.single])
+            keys.append(F.array_compact(key))
+            weights.append(_beside(wgt, key))
         else:
             key = grain.key()
             keys.append(key)
@@ -44,6 +49,63 @@ def record_label(record_name: str, rec_id: str = "rec_id") -> Column:
     return F.concat(F.lit(record_name), F.col(rec_id))
 
 
+def _beside(weights: Column, keys: Column) -> Column:
+    """Weights whose key is not null."""
+    return F.filter(weights, lambda _, i: keys[i].isNotNull())
+
+
+def _known(idx: Column, rfg_idx: Column, token: Column, vocab: Vocabulary, on_unknown: str):
+    """Ids of a looked-up token: one outside the vocabulary fails, turns into
+    the unknown token, or stays without an id."""
+    unknown = token.isNotNull() & idx.isNull()
+    if on_unknown == "unk":
+        idx = F.when(unknown, F.lit(UNK_IDX)).otherwise(idx)
+        rfg_idx = F.when(unknown, F.lit(vocab.special[vocab.unk][1])).otherwise(rfg_idx)
+    elif on_unknown == "fail":
+        problem = F.raise_error(F.concat(F.lit("token outside the vocabulary: "), token))
+        idx = F.when(unknown, problem.cast("int")).otherwise(idx)
+    return idx.alias("idx"), rfg_idx.alias("rfg_idx")
+
+
+def encoded_records(
+    records: DataFrame, tokens: Tokens, vocab: Vocabulary, on_unknown: str = "fail"
+) -> DataFrame:
+    """Records as ``pid, rec_id, dt, tok``: token lists already as ids.
+
+    When every token is a column of its own, each is looked up by a broadcast
+    join and the list is put together in place: no shuffle. Otherwise the
+    lists are built first and encoded by ``encode_tokens``.
+    """
+    single = []
+    for grain in tokens.grains:
+        pairs = None if isinstance(grain, GrainTable) else grain.single
+        if pairs is None:
+            single = None
+            break
+        single += pairs
+    if single is None or vocab.size > MAX_BROADCAST_TOKENS:
+        listed = attach_tokens(records, tokens).select("pid", "rec_id", "dt", "tkn_key", "tkn_wgt")
+        return encode_tokens(listed, vocab, ["pid", "rec_id", "dt"], on_unknown)
+    if tokens.calendar is not None:
+        single += [(k, F.lit(1.0)) for k in calendar_columns(F.col("dt"))]
+    names = [f"__{i}" for i in range(len(single))]
+    rows = records.select(
+        "pid", "rec_id", "dt",
+        *[k.alias(f"{n}k") for n, (k, _) in zip(names, single)],
+        *[w.alias(f"{n}w") for n, (_, w) in zip(names, single)],
+    )
+    entries = []
+    for n in names:
+        side = vocab.df.select(
+            F.col("grn").alias(f"{n}k"), F.col("idx").alias(f"{n}i"), F.col("rfg_idx").alias(f"{n}g")
+        )
+        rows = rows.join(F.broadcast(side), f"{n}k", "left")
+        ids = _known(F.col(f"{n}i"), F.col(f"{n}g"), F.col(f"{n}k"), vocab, on_unknown)
+        entries.append(F.struct(*ids, F.col(f"{n}w").alias("w")))
+    tok = F.filter(F.array(*entries), lambda t: t["idx"].isNotNull())
+    return rows.select("pid", "rec_id", "dt", tok.alias("tok"))
+
+
 def encode_tokens(
     rows: DataFrame, vocab: Vocabulary, keys: Sequence[str], on_unknown: str = "fail"
 ) -> DataFrame:
@@ -56,20 +118,10 @@ def encode_tokens(
     long = rows.select(*kept, F.posexplode_outer(pair).alias("pos", "t"))
     long = long.select(*kept, "pos", "t.grn", "t.weight")
     found = vocab.lookup(long, "grn")
-    idx, rfg_idx = F.col("idx"), F.col("rfg_idx")
-    unknown = F.col("grn").isNotNull() & idx.isNull()
-    if on_unknown == "unk":
-        idx = F.when(unknown, F.lit(UNK_IDX)).otherwise(idx)
-        rfg_idx = F.when(unknown, F.lit(vocab.special[vocab.unk][1])).otherwise(rfg_idx)
-    elif on_unknown == "fail":
-        problem = F.raise_error(F.concat(F.lit("token outside the vocabulary: "), F.col("grn")))
-        idx = F.when(unknown, problem.cast("int")).otherwise(idx)
-    entry = F.struct(
-        "pos", idx.alias("idx"), rfg_idx.alias("rfg_idx"), F.col("weight").cast("double").alias("w")
-    )
+    ids = _known(F.col("idx"), F.col("rfg_idx"), F.col("grn"), vocab, on_unknown)
+    entry = F.struct("pos", *ids, F.col("weight").cast("double").alias("w"))
     grouped = found.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in extra],
-        F.sort_array(F.collect_list(entry)).alias("tok"),
+        *[F.first(c).alias(c) for c in extra], F.sort_array(F.collect_list(entry)).alias("tok")
     )
     listed = F.transform(
         F.filter("tok", lambda t: t["idx"].isNotNull()),

@@ -10,11 +10,19 @@ from pyspark.sql import functions as F
 
 from ..config import Feature, Tokens
 from ..constants import LEVELS
+from ..functions.tokens import last_per_idx
 from ..operators import compress as cmp
-from ..operators.filters import apply_filter
+from ..operators.filters import (
+    can_be_listed,
+    counts_bare_times,
+    good_buckets,
+    keep_listed,
+    relative_rows,
+    with_good_lists,
+)
 from ..operators.nest import nest, one_row_per_case
 from ..operators.observe import check_period, observe
-from ..operators.tokens import attach_tokens, encode_tokens, record_label, with_unk
+from ..operators.tokens import attach_tokens, encoded_records, record_label, with_unk
 from ..operators.vocab import Vocabulary, build_vocab
 from ..sources.records import load_records
 
@@ -23,13 +31,32 @@ def observation(cases: DataFrame, feature: Feature, records: DataFrame, **how) -
     return observe(cases.select("case_id", "pid", "pred_dt"), records, feature.period, **how)
 
 
-def filtered_rows(cases: DataFrame, feature: Feature, records: DataFrame, **how) -> DataFrame:
-    """Observed and filtered records. Thresholds are counted on the bare
-    records, not on their tokens."""
-    bare = load_records(feature.source).select("pid", "rec_id", "dt")
-    thin = observation(cases, feature, bare, **how)
-    wide = observation(cases, feature, records, **how)
-    return apply_filter(wide, feature.filter, feature.source.name, thin)
+def filtered_rows(
+    cases: DataFrame, feature: Feature, records: DataFrame, keep_cell: bool = False, **how
+) -> DataFrame:
+    """Observed and filtered records.
+
+    Thresholds are settled first, on bare times, and their good buckets
+    travel with the cases into the one join that carries tokens: rows of
+    failing buckets are never produced, and no row is shuffled to be kept.
+    """
+    flt, period = feature.filter, feature.period
+    rules = flt.rules_for(feature.source.name)
+    keys = cases.select("case_id", "pid", "pred_dt")
+    listed, joined = [], []
+    if rules:
+        bare = load_records(feature.source).select("pid", "rec_id", "dt")
+        times_only = counts_bare_times(rules)
+        if times_only:
+            bare = bare.select("pid", "dt").distinct()
+        thin = relative_rows(observe(keys, bare, period, **how), flt)
+        for good in good_buckets(thin, rules, times_only):
+            (listed if can_be_listed(good.columns[1], period) else joined).append(good)
+    rows = observe(with_good_lists(keys, listed), records, period, keep_cell=keep_cell, **how)
+    rows = keep_listed(relative_rows(rows, flt), listed)
+    for good in joined:
+        rows = rows.join(good, good.columns, "left_semi")
+    return rows
 
 
 def token_rows(cases: DataFrame, feature: Feature, **how) -> DataFrame:
@@ -51,13 +78,16 @@ def compressed(cases: DataFrame, feature: Feature, **how) -> tuple[cmp.State, Vo
     per record, so cases and their windows only ever move numbers."""
     tokens, program = feature.tokens, feature.compress
     vocab = vocabulary(tokens, program.rules)
-    records = attach_tokens(load_records(feature.source), tokens)
-    records = records.select("pid", "rec_id", "dt", "tkn_key", "tkn_wgt")
-    first = program.steps[0].actions[0][0] if program.steps else None
-    on_unknown = "drop" if first == "flatten" else tokens.on_unknown
-    records = encode_tokens(records, vocab, ["pid", "rec_id", "dt"], on_unknown)
-    rows = filtered_rows(cases, feature, records, **how)
-    state = cmp.start(rows, cases, vocab)
+    # Flattening drops unknown tokens and keeps the last of repeated ones.
+    # Both depend on the record alone, so they are done before it meets cases.
+    flat = bool(program.steps) and program.steps[0].actions[0][0] == "flatten"
+    records = encoded_records(
+        load_records(feature.source), tokens, vocab, "drop" if flat else tokens.on_unknown
+    )
+    if flat:
+        records = records.withColumn("tok", last_per_idx(F.col("tok")))
+    rows = filtered_rows(cases, feature, records, keep_cell=True, **how)
+    state = cmp.start(rows, cases, vocab, unique=flat)
     if not any(step.method for step in program.steps):
         state = _filled(state)
     return cmp.run_program(state, program, vocab), vocab
@@ -70,16 +100,15 @@ def _filled(state: cmp.State) -> cmp.State:
 
 
 def feature_rows(cases: DataFrame, feature: Feature, **how) -> DataFrame:
-    """A compressed feature's output rows, ``CP`` left out."""
+    """A compressed feature's output rows by ``case_id``, ``CP`` left out."""
     state, _ = compressed(cases, feature, **how)
     program = feature.compress
     values = cmp.value_columns(state)
-    layers = [*program.prefix_layers, *program.focal_layers]
-    rows = state.rows.select("case_id", *dict.fromkeys(layers), *[v.alias(k) for k, v in values.items()])
+    layers = dict.fromkeys([*program.prefix_layers, *program.focal_layers])
+    rows = state.rows.select("case_id", *layers, *[v.alias(k) for k, v in values.items()])
     if program.prefix_layers:
         rows = nest(rows, program.prefix_layers, program.focal_layers, list(values))
-    rows = rows.drop("CP")
-    return cases.select("case_id", "pid", "pred_dt").join(rows, "case_id")
+    return rows.drop("CP")
 
 
 def build_feature(cases: DataFrame, feature: Feature, **how) -> DataFrame:
@@ -99,7 +128,9 @@ def build_feature(cases: DataFrame, feature: Feature, **how) -> DataFrame:
             "case_id", "pid", "pred_dt", *LEVELS, "dt",
             record_label(feature.source.name).alias("R"), "tkn_key", "tkn_wgt",
         )
-    return feature_rows(cases, feature, **how)
+    return cases.select("case_id", "pid", "pred_dt").join(
+        feature_rows(cases, feature, **how), "case_id"
+    )
 
 
 def row_order(feature: Feature) -> list[str]:
@@ -122,7 +153,8 @@ def build_features(cases: DataFrame, features: Sequence[Feature], **how) -> Data
         raise ValueError("two features share a name; give one an alias")
     joined = cases.select("case_id", "pid", "pred_dt")
     for feature in features:
-        rows = build_feature(cases, feature, **how)
+        whole = feature.compress is not None
+        rows = (feature_rows if whole else build_feature)(cases, feature, **how)
         joined = joined.join(one_row_per_case(rows, row_order(feature), feature.column), "case_id", "left")
     return joined
 

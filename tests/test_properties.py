@@ -126,7 +126,7 @@ def event_inputs(spark):
     table = events.select(F.col("event_type").alias("grn")).distinct().selectExpr(
         "grn", "'T' AS rfg", "row_number() OVER (ORDER BY grn) AS pos"
     )
-    tokens = Tokens("T", [GrainColumn("T", lambda: F.array("event_type"))], vocab=build_vocab([table]))
+    tokens = Tokens("T", [GrainColumn("T", lambda: [F.col("event_type")])], vocab=build_vocab([table]))
     steps = [rolled("5MinInD", "mean"), rolled("DInCP", "mean")]
     program = Compress(steps, focal_layers=["CP"])
     return cases, Feature(CheckPeriod.parse("Bf7D"), source, Filter(thresholds={}), tokens, program)
