@@ -266,7 +266,9 @@ class Compress:
 
 @dataclass(frozen=True)
 class Feature:
-    """One feature: the chain stops at the first stage that is ``None``."""
+    """One feature: the chain stops at the first stage that is ``None``.
+    ``version`` tells apart stored results when code or tables behind the
+    same names have changed."""
 
     period: CheckPeriod
     source: RecordSource | None = None
@@ -274,6 +276,7 @@ class Feature:
     tokens: Tokens | None = None
     compress: Compress | None = None
     alias: str | None = None
+    version: str = ""
 
     def __post_init__(self):
         stages = [self.source, self.filter, self.tokens, self.compress]
@@ -311,6 +314,7 @@ class Feature:
     def config_hash(self) -> str:
         """Tells apart features that share a name but not their settings."""
         described = {
+            "version": self.version,
             "period": [self.period.start_us, self.period.end_us, self.period.start_exclusive],
             "source": self.source
             and [self.source.name, self.source.dt, _plain(self.source.columns)],

@@ -22,9 +22,9 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``. Only a local
-    master may fall back to a folder of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder the cluster names in ``spark.checkpoint.dir`` (or has set as
+    checkpoint folder). Only a local master may fall back to one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):

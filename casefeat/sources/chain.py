@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import keep_all_left
 from ..operators.ranking import with_position
 
 
@@ -23,7 +24,7 @@ def id_chain(levels: Sequence[tuple[str, DataFrame]]) -> DataFrame:
             raise ValueError(f"the table of {name!r} lacks its own or its parent's id")
         tables.append(df.select(*[F.col(c).cast("string").alias(c) for c in known]).distinct())
     chain = reduce(
-        lambda left, right: left.join(right, [c for c in right.columns if c in left.columns], "left"),
+        lambda left, right: keep_all_left(left, right, [c for c in right.columns if c in left.columns]),
         tables,
     )
     for parent, child in zip(ids, ids[1:]):
@@ -39,7 +40,7 @@ def align_to_leaf(chain: DataFrame, records: DataFrame) -> DataFrame:
     records = records.withColumns({c: F.col(c).cast("string") for c in shared})
     if leaf in records.columns:
         return records
-    return chain.join(records, shared, "left")
+    return keep_all_left(chain, records, shared)
 
 
 def collect_per_leaf(
@@ -61,5 +62,5 @@ def collect_per_leaf(
     lists = placed.groupBy(leaf, chunk.alias("chunk")).agg(
         F.sort_array(F.collect_list(F.struct("pos", *fields))).alias(name)
     )
-    joined = chain.join(lists, leaf, "left")
+    joined = keep_all_left(chain, lists, [leaf], records)
     return joined.withColumn("chunk", F.coalesce("chunk", F.lit(0).cast("bigint")))

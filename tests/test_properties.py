@@ -148,6 +148,72 @@ def test_two_level_mean_equals_wide_brute_force(spark):
     assert got == {c: expected.get(c, empty) for c in ids}
 
 
+def long_result(cases, feature, **how):
+    state, vocab = compressed(cases, feature, **how)
+    return sorted(cmp.decoded(state, vocab).select("case_id", "token", "pos", "weight").collect())
+
+
+def variant(feature, **changes):
+    from dataclasses import replace
+
+    return replace(feature, **changes)
+
+
+def test_features_do_not_depend_on_the_join_form(spark):
+    cases, feature = event_inputs(spark)
+    feature = variant(feature, filter=Filter(thresholds={"DTInD": 2, "HInCP": 3}))
+    base = long_result(cases, feature)
+    assert base == long_result(cases, feature, how="plain")
+    assert base == long_result(cases, feature, hot_cell_rows=5)
+    assert base == long_result(cases, feature, width_us=40_000_000_000)
+
+
+def test_good_buckets_as_list_or_semi_join(spark, monkeypatch):
+    cases, feature = event_inputs(spark)
+    feature = variant(feature, filter=Filter(thresholds={"RInH": 2, "DTInD": 3, "DInCP": 2}))
+    listed = long_result(cases, feature)
+    monkeypatch.setattr("casefeat.plans.features.can_be_listed", lambda target, period: False)
+    assert long_result(cases, feature) == listed
+    assert {r.case_id for r in listed} == {r.case_id for r in cases.collect()}
+
+
+def test_few_buckets_are_listed():
+    from casefeat.operators.filters import can_be_listed
+
+    week, years = CheckPeriod.parse("Bf7D"), CheckPeriod("x", -3650, 0, "D")
+    assert [can_be_listed(x, week) for x in ("CP", "D", "H", "5Min", "dt")] == [True, True, True, False, False]
+    assert [can_be_listed(x, years) for x in ("CP", "M", "W", "D")] == [True, True, False, False]
+
+
+def test_single_columns_and_arrays_encode_alike(spark, monkeypatch):
+    cases, feature = event_inputs(spark)
+    words = F.when(F.col("value") > 40, F.col("event_type"))  # null: no token
+    single = GrainColumn("T", lambda: [words, F.lit("click")], lambda: [F.col("value"), F.lit(2)])
+    array = GrainColumn(
+        "T",
+        lambda: F.array_compact(F.array(words, F.lit("click"))),
+        lambda: F.when(words.isNull(), F.array(F.lit(2.0))).otherwise(F.array("value", F.lit(2.0))),
+    )
+    steps = [rolled("5MinInH", "sum"), rolled("HInCP", "mean")]
+    results = []
+    for grain in (single, array):
+        tokens = Tokens("T", [grain], vocab=feature.tokens.vocab)
+        results.append(long_result(cases, variant(feature, tokens=tokens, compress=Compress(steps))))
+    monkeypatch.setattr("casefeat.operators.tokens.MAX_BROADCAST_TOKENS", 0)
+    tokens = Tokens("T", [single], vocab=feature.tokens.vocab)
+    results.append(long_result(cases, variant(feature, tokens=tokens, compress=Compress(steps))))
+    assert results[0] == results[1] == results[2]
+
+
+def test_left_join_by_parts(spark):
+    from casefeat.operators.joins import keep_all_left
+
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, l string")
+    right = spark.createDataFrame([(1, "x")] * 4 + [(3, "y"), (9, "z")], "k int, r string")
+    expected = sorted(map(str, left.join(right, "k", "left").collect()))
+    assert sorted(map(str, keep_all_left(left, right, ["k"]).collect())) == expected
+
+
 def test_partitioning_and_input_order_do_not_matter(spark):
     cases, feature = event_inputs(spark)
 
