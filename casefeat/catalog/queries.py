@@ -27,7 +27,7 @@ from ..functions.tokens import number_to_token
 from ..operators import cases as case_sets
 from ..operators import compress as cmp
 from ..operators.nest import in_batches
-from ..operators.observe import check_period, observe, observed_count, prune_records, record_count
+from ..operators.observe import check_period, observe, observed_count, record_count
 from ..operators.tokens import attach_tokens, one_token_per_slot
 from ..operators.vocab import (
     Vocabulary,
@@ -72,8 +72,15 @@ def entry(spark: SparkSession) -> DataFrame:
 # -- inputs -------------------------------------------------------------
 
 
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf}/{name}.parquet")
+    """A test table; its schema is read once per application."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _TABLES:
+        _TABLES[key] = configure(spark).read.parquet(f"{sf}/{name}.parquet")
+    return _TABLES[key]
 
 
 def event_source(spark, sf, *columns: str) -> RecordSource:
@@ -120,9 +127,11 @@ def daypart_vocab(spark, sf) -> DataFrame:
     return learn_vocab(events, F.array(daypart_token()), "MEANGrn")
 
 
-def short_tokens(spark, sf) -> Tokens:
-    """Event type and part of the day."""
+def short_tokens(spark, sf, build: bool = False) -> Tokens:
+    """Event type and part of the day. Several features share one built
+    vocabulary."""
     vocab = [event_vocab(spark, sf), daypart_vocab(spark, sf)]
+    vocab = build_vocab(vocab) if build else vocab
     return Tokens("Short", [event_grain(), daypart_grain()], vocab=vocab)
 
 
@@ -283,11 +292,9 @@ def check_periods(spark, sf):
     return out
 
 
-def observed(spark, sf, period, prune=False, **how) -> DataFrame:
+def observed(spark, sf, period, **how) -> DataFrame:
     cases = purchase_cases(spark, sf)
     records = load_records(event_source(spark, sf, "event_type", "value"))
-    if prune:
-        records = prune_records(cases, records, period)
     rows = observe(cases, records, period, **how)
     return rows.select(case_number(), "pid", "pred_dt", rec_number(), "dt", "event_type", "value")
 
@@ -688,7 +695,7 @@ def nested_layers(spark, sf):
 def multi_feature(spark, sf):
     cases = purchase_cases(spark, sf)
     source = event_source(spark, sf, "event_type", "value")
-    tokens = short_tokens(spark, sf)
+    tokens = short_tokens(spark, sf, build=True)
     by_day = Feature(
         BF7D, source, FULL_DAYS, tokens,
         Compress([rolled("5MinInD", "mean")], focal_layers=["CP", "D"]), alias="days_before",

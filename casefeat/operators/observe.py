@@ -43,6 +43,7 @@ def observe(
     how: str = "bucketed",
     width_us: int | None = None,
     hot_cell_rows: int | None = None,
+    prune: bool = False,
     keep_cell: bool = False,
 ) -> DataFrame:
     """One row per case and record of its entity inside the period.
@@ -51,9 +52,12 @@ def observe(
     ``bucketed`` cuts time into buckets of the window's length, so a case
     meets at most two buckets of its entity and an entity's history is
     spread over many tasks. ``hot_cell_rows`` additionally splits every
-    (entity, bucket) cell with more records than that. ``keep_cell`` leaves
+    (entity, bucket) cell with more records than that. ``prune`` first cuts
+    the records to the time range the cases can reach. ``keep_cell`` leaves
     the columns the join was made on (``CELL``) in the result.
     """
+    if prune:
+        records = prune_records(cases, records, period)
     windows = _with_window(cases, period)
     rows = records.withColumn("__u", micros(records, "dt"))
     keys = ["pid"]

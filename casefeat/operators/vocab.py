@@ -29,7 +29,10 @@ class Vocabulary:
     @classmethod
     def of(cls, rows: DataFrame, rules: Sequence[str] = (), unk: str = UNK) -> Vocabulary:
         """Materialize the rows once; measure them and find the special ids."""
-        rows = materialize(rows)
+        return cls._measured(materialize(rows), rules, unk)
+
+    @classmethod
+    def _measured(cls, rows: DataFrame, rules: Sequence[str], unk: str) -> Vocabulary:
         named = F.when(F.col("grn").isin(unk, *rules), F.struct("grn", "idx", "rfg_idx"))
         seen = rows.agg(F.count("*").alias("n"), F.collect_list(named).alias("special")).first()
         return cls(rows, seen.n, {r.grn: (r.idx, r.rfg_idx) for r in seen.special}, unk)
@@ -46,14 +49,15 @@ class Vocabulary:
         return salted.join(side.withColumn("__salt", every), [key, "__salt"], how).drop("__salt")
 
     def extended(self, rules: Sequence[str]) -> Vocabulary:
-        return Vocabulary.of(extend_vocab(self.df, self.size, rules), rules, self.unk)
+        """With the count tokens of ``rules``; a short step on the stored rows."""
+        return self._measured(extend_vocab(self.df, self.size, rules), rules, self.unk)
 
     def write(self, path: str) -> None:
         self.df.write.mode("errorifexists").parquet(path)
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, rules: Sequence[str] = (), unk: str = UNK):
-        return cls.of(spark.read.parquet(path), rules, unk)
+        return cls._measured(spark.read.parquet(path), rules, unk)
 
 
 def vocab_rows(
