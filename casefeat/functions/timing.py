@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +51,16 @@ def add_relative_time(df: DataFrame) -> DataFrame:
     return df.withColumns({level: columns[level] for level in LEVELS}).drop(name)
 
 
+def coarser(level: str, target: str) -> Column:
+    """The ``target`` bucket that holds a bucket of the finer ``level``."""
+    if target == "CP":
+        return F.lit(0).cast("bigint")
+    steps = list(FINER_PER_LEVEL)
+    first = 0 if level == "5Min" else steps.index(level) + 1
+    size = math.prod(FINER_PER_LEVEL[s] for s in steps[first : steps.index(target) + 1])
+    return F.expr(f"`{level}` div {size}")
+
+
 def daypart(dt: Column) -> Column:
     """Name of the part of the day, from the hour."""
     names = F.array(*[F.lit(n) for n in sorted(DAYPART_HOURS, key=DAYPART_HOURS.get)])

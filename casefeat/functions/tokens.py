@@ -19,6 +19,12 @@ def calendar_tokens(dt: Column) -> Column:
     return F.array(*calendar_columns(dt))
 
 
+def token_entry(idx: Column, w: Column, rfg_idx: Column | None = None) -> Column:
+    """A token of a list: id, grain group where wanted, weight."""
+    group = [] if rfg_idx is None else [rfg_idx.alias("rfg_idx")]
+    return F.struct(idx.alias("idx"), *group, w.alias("w"))
+
+
 def each(items: Column, name: str) -> Column:
     """One field of every struct in a list."""
     return F.transform(items, lambda e: e[name])

@@ -1,6 +1,7 @@
 """Compress stage: roll token lists up the time hierarchy.
 
-Rows carry one ``tok`` list of ``(idx, rfg_idx, w)`` per record or group.
+Rows carry one ``tok`` list of ``(idx, w)`` per record or group, with the
+grain group ``rfg_idx`` in between where a program asks for it.
 A token absent from a list counts as weight 0, so nothing is ever pivoted:
 a mean is the weight sum over the number of rows. Once rounded, weights are
 whole thousandths (BIGINT), which makes later levels exact and independent
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..config import Compress, split_rule
 from ..constants import LEVELS, UNK_IDX
-from ..functions.tokens import each, last_per_idx, rank_in_group
+from ..functions.timing import coarser
+from ..functions.tokens import each, last_per_idx, rank_in_group, token_entry
 from .observe import CELL
 from .vocab import Vocabulary
 
@@ -58,8 +60,9 @@ class State:
 
     ``raw`` rows are single records, whose number per case has no bound;
     ``order`` sorts the rows of a case; ``unique`` lists hold a token once;
-    ``cell`` names the columns raw rows were joined on. ``stand_in`` holds one ``[UNK]`` row
-    per case until the first roll-up, which drops the ones not needed.
+    ``cell`` names the columns raw rows were joined on; ``rfg`` tells whether
+    entries carry their grain group. ``stand_in`` holds one ``[UNK]`` row per
+    case until the first roll-up, which drops the ones not needed.
     """
 
     rows: DataFrame
@@ -70,6 +73,7 @@ class State:
     exact: bool = False
     raw: bool = True
     unique: bool = False
+    rfg: bool = False
     sfx: tuple[str, ...] = ()
     counts: tuple[str, ...] = ()
     cell: tuple[str, ...] = ()
@@ -80,7 +84,11 @@ class State:
 
 
 def start(
-    observed: DataFrame, cases: DataFrame | None, vocab: Vocabulary, unique: bool = False
+    observed: DataFrame,
+    cases: DataFrame | None,
+    vocab: Vocabulary,
+    unique: bool = False,
+    rfg: bool = False,
 ) -> State:
     """Encoded token rows as a program state. With ``cases``, a stand-in
     ``[UNK]`` row per case runs along until the first roll-up shows which
@@ -93,11 +101,12 @@ def start(
         columns = {level: F.lit(0).cast("bigint") for level in LEVELS}
         columns["dt"] = F.lit(None).cast(rows.schema["dt"].dataType)
         columns["rec_id"] = F.lit(None).cast(rows.schema["rec_id"].dataType)
-        unk_rfg = F.lit(vocab.special[vocab.unk][1])
         columns.update({c: F.lit(None).cast(rows.schema[c].dataType) for c in cell})
-        columns["tok"] = F.array(_entry(F.lit(UNK_IDX), unk_rfg, F.lit(1.0)))
+        group = F.lit(vocab.special[vocab.unk][1]) if rfg else None
+        columns["tok"] = F.array(token_entry(F.lit(UNK_IDX), F.lit(1.0), group))
         stand_in = cases.select("case_id", *[columns[c].alias(c) for c in rows.columns[1:]])
-    return State(rows, LEVELS, ("dt", "rec_id"), stand_in, unique=unique, cell=tuple(cell))
+    order = ("dt", "rec_id")
+    return State(rows, LEVELS, order, stand_in, unique=unique, rfg=rfg, cell=tuple(cell))
 
 
 def _on_rows(state: State, change: Callable[[DataFrame], DataFrame]) -> State:
@@ -106,24 +115,26 @@ def _on_rows(state: State, change: Callable[[DataFrame], DataFrame]) -> State:
     return replace(state, rows=change(state.rows), stand_in=stand_in)
 
 
-def _gathered(state: State, group: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Group the rows, and the stand-ins under a flag of their own. The two
-    are grouped apart: rows that already lie together by case and bucket
-    (after a threshold) then need no further shuffle."""
+def _gathered(state: State, level: str, group: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Group the rows and the stand-ins, which get no ``level`` to tell them
+    apart. They are grouped separately: rows that already lie together need
+    no shuffle for it."""
     rows = group(state.rows)
     if state.stand_in is None:
         return rows
-    rows = rows.withColumn("unk", F.lit(False))
-    return rows.unionByName(group(state.stand_in).withColumn("unk", F.lit(True)))
+    stand_in = group(state.stand_in).withColumn(level, F.lit(None).cast("bigint"))
+    return rows.unionByName(stand_in)
 
 
-def _settled(state: State, rows: DataFrame) -> DataFrame:
-    """Drop the stand-ins of cases that have rows of their own."""
-    if state.stand_in is None:
-        return rows
-    has_rows = F.max(~F.col("unk")).over(Window.partitionBy("case_id"))
-    kept = rows.withColumn("__has", has_rows).where(~F.col("unk") | ~F.col("__has"))
-    return kept.drop("__has", "unk")
+def _settled(state: State, level: str, prefix: Sequence[str], rows: DataFrame) -> DataFrame:
+    """Drop the stand-ins of cases that have rows of their own, and bring
+    back the levels above ``level``: each follows from the finer one."""
+    if state.stand_in is not None:
+        has_rows = F.max(F.col(level).isNotNull()).over(Window.partitionBy("case_id"))
+        rows = rows.withColumn("__has", has_rows)
+        rows = rows.where(F.col(level).isNotNull() | ~F.col("__has")).drop("__has")
+        rows = rows.withColumn(level, F.coalesce(level, F.lit(0).cast("bigint")))
+    return rows.withColumns({c: coarser(level, c) for c in prefix if c != level})
 
 
 def flatten(state: State) -> State:
@@ -133,49 +144,47 @@ def flatten(state: State) -> State:
     return replace(flat, flat=True, unique=True, sfx=())
 
 
-def _entry(idx, rfg_idx, w) -> Column:
-    return F.struct(idx.alias("idx"), rfg_idx.alias("rfg_idx"), w.alias("w"))
-
-
 def roll_up(state: State, rule: str, method: Method, vocab: Vocabulary) -> State:
     """Group flat tokens by the columns down to the rule's target. The number
     of rows of each group joins the tokens under the rule's own name."""
-    prefix = state.prefix[: state.prefix.index(split_rule(rule)[1]) + 1]
+    level = split_rule(rule)[1]
+    prefix = state.prefix[: state.prefix.index(level) + 1]
     natural = state.exact and not method.linear
     one = F.lit(1).cast("bigint") if state.exact else F.lit(1.0)
-    row = F.array(_entry(F.lit(ROW_IDX), F.lit(ROW_IDX), one))
-
-    flag = [] if state.stand_in is None else ["unk"]
-    token = ["idx", "rfg_idx"]
+    no_group = F.lit(ROW_IDX) if state.rfg else None
+    row = F.array(token_entry(F.lit(ROW_IDX), one, no_group))
+    group = ["rfg_idx"] if state.rfg else []
+    same_group = [F.min("rfg_idx").alias("rfg_idx")] if state.rfg else []
     merged = state.raw and method.merge is not None
 
     def sums(rows: DataFrame) -> DataFrame:
         long = rows.select(
-            "case_id", *state.cell, *prefix, F.explode(F.concat(row, F.col("tok"))).alias("t")
+            "case_id", level, *state.cell, F.explode(F.concat(row, F.col("tok"))).alias("t")
         )
         weight = F.col("t.w") / 1000 if natural else F.col("t.w")
-        long = long.select("case_id", *state.cell, *prefix, "t.idx", "t.rfg_idx", weight.alias("weight"))
+        fields = ["t.idx", *[f"t.{g}" for g in group], weight.alias("weight")]
+        long = long.select("case_id", level, *state.cell, *fields)
         # Grouping by the join's cell as well needs no shuffle after it.
         by = state.cell if merged else ()
-        summed = long.groupBy("case_id", *by, *prefix, *token).agg(
-            method.agg(F.col("weight")).alias("v"), F.count("*").alias("present")
+        summed = long.groupBy("case_id", *by, level, "idx").agg(
+            *same_group, method.agg(F.col("weight")).alias("v"), F.count("*").alias("present")
         )
         return summed.drop(*by)
 
-    summed = _gathered(state, sums)
+    summed = _gathered(state, level, sums)
     if state.raw:
         # The one shuffle after the join. From here on a case is small (time
         # buckets x vocabulary) and placed by case for all later steps.
         summed = summed.repartition("case_id")
     if merged:
-        summed = summed.groupBy("case_id", *flag, *prefix, *token).agg(
-            method.merge(F.col("v")).alias("v"), F.sum("present").alias("present")
+        summed = summed.groupBy("case_id", level, "idx").agg(
+            *same_group, method.merge(F.col("v")).alias("v"), F.sum("present").alias("present")
         )
-    grouped = summed.groupBy("case_id", *flag, *prefix).agg(
+    grouped = summed.groupBy("case_id", level).agg(
         F.max(F.when(F.col("idx") == ROW_IDX, F.col("present"))).alias("n"),
-        F.collect_list(F.struct("idx", "rfg_idx", "v", "present")).alias("e"),
+        F.collect_list(F.struct("idx", *group, "v", "present")).alias("e"),
     )
-    grouped = _settled(state, grouped)
+    grouped = _settled(state, level, prefix, grouped)
     exact = method.rounded or (state.exact and method.linear)
 
     def finished(e):
@@ -193,11 +202,11 @@ def roll_up(state: State, rule: str, method: Method, vocab: Vocabulary) -> State
     kind = "bigint" if exact else "double"
     tokens = F.transform(
         F.filter("e", lambda e: e["idx"] != ROW_IDX),
-        lambda e: _entry(e["idx"], e["rfg_idx"], finished(e).cast(kind)),
+        lambda e: token_entry(e["idx"], finished(e).cast(kind), e["rfg_idx"] if state.rfg else None),
     )
     idx, rfg_idx = vocab.special[rule]
     n = (F.col("n") * 1000 if exact else F.col("n")).cast(kind)
-    count = F.array(_entry(F.lit(idx), F.lit(rfg_idx), n))
+    count = F.array(token_entry(F.lit(idx), n, F.lit(rfg_idx) if state.rfg else None))
     rows = grouped.withColumn("tok", F.concat(tokens, count)).drop("e", "n")
     return replace(
         state, rows=rows, stand_in=None, prefix=prefix, order=prefix, exact=exact, raw=False, counts=(),
@@ -208,14 +217,15 @@ def roll_up(state: State, rule: str, method: Method, vocab: Vocabulary) -> State
 def concatenate(state: State, rule: str) -> State:
     """``cat`` on lists: one list per group, rows in their order; the row
     count becomes a column."""
-    prefix = state.prefix[: state.prefix.index(split_rule(rule)[1]) + 1]
+    level = split_rule(rule)[1]
+    prefix = state.prefix[: state.prefix.index(level) + 1]
     columns = ["tok", *state.lists]
     ordered = F.sort_array(F.collect_list(F.struct(*state.order, *columns)))
 
     def gathered(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("case_id", *prefix).agg(ordered.alias("e"), F.count("*").alias(rule))
+        return rows.groupBy("case_id", level).agg(ordered.alias("e"), F.count("*").alias(rule))
 
-    grouped = _settled(state, _gathered(state, gathered))
+    grouped = _settled(state, level, prefix, _gathered(state, level, gathered))
     joined = {c: F.flatten(each(F.col("e"), c)) for c in columns}
     rows = grouped.withColumns(joined).drop("e")
     return replace(
@@ -304,10 +314,10 @@ def value_columns(state: State) -> dict[str, Column]:
     return columns
 
 
-def decoded(state: State, vocab: Vocabulary, extra: Sequence[str] = ()) -> DataFrame:
+def decoded(state: State, vocab: Vocabulary) -> DataFrame:
     """Long form with token names: one row per list entry."""
     weight = weight_of(state)
-    kept = ["case_id", *state.prefix, *extra, *state.counts]
+    kept = ["case_id", *state.prefix, *state.counts]
     long = state.rows.select(*kept, F.posexplode("tok").alias("pos", "t"))
     long = long.select(*kept, "pos", "t.idx", weight(F.col("t")).alias("weight"))
     names = vocab.lookup(long, "idx", by="idx")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import GrainTable, Tokens
 from ..constants import LEVELS, UNK_IDX
-from ..functions.tokens import calendar_columns, calendar_tokens, filled_slots, ones_like
+from ..functions.tokens import calendar_columns, calendar_tokens, each, filled_slots, ones_like, token_entry
 from .vocab import MAX_BROADCAST_TOKENS, Vocabulary
 
 
@@ -64,11 +64,15 @@ def _known(idx: Column, rfg_idx: Column, token: Column, vocab: Vocabulary, on_un
     elif on_unknown == "fail":
         problem = F.raise_error(F.concat(F.lit("token outside the vocabulary: "), token))
         idx = F.when(unknown, problem.cast("int")).otherwise(idx)
-    return idx.alias("idx"), rfg_idx.alias("rfg_idx")
+    return idx, rfg_idx
 
 
 def encoded_records(
-    records: DataFrame, tokens: Tokens, vocab: Vocabulary, on_unknown: str = "fail"
+    records: DataFrame,
+    tokens: Tokens,
+    vocab: Vocabulary,
+    on_unknown: str = "fail",
+    rfg: bool = False,
 ) -> DataFrame:
     """Records as ``pid, rec_id, dt, tok``: token lists already as ids.
 
@@ -85,7 +89,7 @@ def encoded_records(
         single += pairs
     if single is None or vocab.size > MAX_BROADCAST_TOKENS:
         listed = attach_tokens(records, tokens).select("pid", "rec_id", "dt", "tkn_key", "tkn_wgt")
-        return encode_tokens(listed, vocab, ["pid", "rec_id", "dt"], on_unknown)
+        return encode_tokens(listed, vocab, ["pid", "rec_id", "dt"], on_unknown, rfg)
     if tokens.calendar is not None:
         single += [(k, F.lit(1.0)) for k in calendar_columns(F.col("dt"))]
     names = [f"__{i}" for i in range(len(single))]
@@ -100,17 +104,21 @@ def encoded_records(
             F.col("grn").alias(f"{n}k"), F.col("idx").alias(f"{n}i"), F.col("rfg_idx").alias(f"{n}g")
         )
         rows = rows.join(F.broadcast(side), f"{n}k", "left")
-        ids = _known(F.col(f"{n}i"), F.col(f"{n}g"), F.col(f"{n}k"), vocab, on_unknown)
-        entries.append(F.struct(*ids, F.col(f"{n}w").alias("w")))
+        idx, group = _known(F.col(f"{n}i"), F.col(f"{n}g"), F.col(f"{n}k"), vocab, on_unknown)
+        entries.append(token_entry(idx, F.col(f"{n}w"), group if rfg else None))
     tok = F.filter(F.array(*entries), lambda t: t["idx"].isNotNull())
     return rows.select("pid", "rec_id", "dt", tok.alias("tok"))
 
 
 def encode_tokens(
-    rows: DataFrame, vocab: Vocabulary, keys: Sequence[str], on_unknown: str = "fail"
+    rows: DataFrame,
+    vocab: Vocabulary,
+    keys: Sequence[str],
+    on_unknown: str = "fail",
+    rfg: bool = False,
 ) -> DataFrame:
-    """Replace ``tkn_key``/``tkn_wgt`` by ``tok``: the same list as structs
-    ``(idx, rfg_idx, w)``. ``keys`` identify a row. A token outside the
+    """Replace ``tkn_key``/``tkn_wgt`` by ``tok``: the same list as token
+    entries, with grain groups if wanted. ``keys`` identify a row. A token outside the
     vocabulary fails, turns into the unknown token, or is dropped."""
     kept = [c for c in rows.columns if c not in ("tkn_key", "tkn_wgt")]
     extra = [c for c in kept if c not in keys]
@@ -118,15 +126,13 @@ def encode_tokens(
     long = rows.select(*kept, F.posexplode_outer(pair).alias("pos", "t"))
     long = long.select(*kept, "pos", "t.grn", "t.weight")
     found = vocab.lookup(long, "grn")
-    ids = _known(F.col("idx"), F.col("rfg_idx"), F.col("grn"), vocab, on_unknown)
-    entry = F.struct("pos", *ids, F.col("weight").cast("double").alias("w"))
+    idx, group = _known(F.col("idx"), F.col("rfg_idx"), F.col("grn"), vocab, on_unknown)
+    token = token_entry(idx, F.col("weight").cast("double"), group if rfg else None)
+    entry = F.struct("pos", token.alias("token"))
     grouped = found.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in extra], F.sort_array(F.collect_list(entry)).alias("tok")
     )
-    listed = F.transform(
-        F.filter("tok", lambda t: t["idx"].isNotNull()),
-        lambda t: F.struct(t["idx"].alias("idx"), t["rfg_idx"].alias("rfg_idx"), t["w"].alias("w")),
-    )
+    listed = F.filter(each(F.col("tok"), "token"), lambda t: t["idx"].isNotNull())
     return grouped.withColumn("tok", listed).select(*kept, "tok")
 
 

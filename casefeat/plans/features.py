@@ -81,13 +81,15 @@ def compressed(cases: DataFrame, feature: Feature, **how) -> tuple[cmp.State, Vo
     # Flattening drops unknown tokens and keeps the last of repeated ones.
     # Both depend on the record alone, so they are done before it meets cases.
     flat = bool(program.steps) and program.steps[0].actions[0][0] == "flatten"
+    wanted = {s for step in program.steps for a in step.actions if a[0] == "add_sfx" for s in a[1]}
+    rfg = not wanted.isdisjoint({"rfg", "keyInrfg"})
     records = encoded_records(
-        load_records(feature.source), tokens, vocab, "drop" if flat else tokens.on_unknown
+        load_records(feature.source), tokens, vocab, "drop" if flat else tokens.on_unknown, rfg
     )
     if flat:
         records = records.withColumn("tok", last_per_idx(F.col("tok")))
     rows = filtered_rows(cases, feature, records, keep_cell=True, **how)
-    state = cmp.start(rows, cases, vocab, unique=flat)
+    state = cmp.start(rows, cases, vocab, unique=flat, rfg=rfg)
     if not any(step.method for step in program.steps):
         state = _filled(state)
     return cmp.run_program(state, program, vocab), vocab
