@@ -239,6 +239,9 @@ FROM order_cases c JOIN recs r ON c.pid = r.pid
     sql["recnum_every_record"] = with_(
         EV, "every AS (SELECT min(rec_id) AS case_id, pid, dt AS pred_dt FROM ev GROUP BY pid, dt)"
     ) + _count(-DAY_US, 0, "every")
+    sql["recnum_one_entity"] = """WITH moments AS (SELECT min(event_id) AS case_id, ts, count(*) AS n FROM events GROUP BY ts)
+SELECT case_id, CAST(coalesce(sum(n) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING
+  AND INTERVAL 1 MICROSECOND PRECEDING), 0) AS BIGINT) AS rec_num FROM moments"""
     sql["recnum_joined"] = with_(CASES, EV) + _count(-DAY_US, 0).replace("rec_num", "nrow")
     sql["relative_time"] = with_(CASES, EV, obs(-7 * DAY_US, 7 * DAY_US)) + """SELECT case_id, rec_id,
   rel_cp, rel_m, rel_w, rel_d, rel_h, rel_5min FROM obs"""

@@ -368,6 +368,16 @@ def recnum_every_record(spark, sf):
     return recnum(spark, sf, BF24H, cases)
 
 
+@query
+def recnum_one_entity(spark, sf):
+    """All events as one entity's, every event a case: the crowded extreme."""
+    events = table(spark, sf, "events").withColumn("everyone", F.lit("all"))
+    records = load_records(RecordSource("Events", events, "everyone", "event_id", "ts", ()))
+    cases = case_sets.trigger_cases(records, F.col("rec_id").cast("bigint"))
+    counts = record_count(cases, records, BF24H, width_us=3_600_000_000)
+    return counts.select(case_number(), "rec_num")
+
+
 @query
 def recnum_joined(spark, sf):
     cases = purchase_cases(spark, sf)

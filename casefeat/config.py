@@ -65,7 +65,8 @@ class RecordSource:
     """A record table and the columns that play pid, record id and time.
 
     ``dt=None`` takes the first column whose name contains ``DT``;
-    ``columns`` is ``"ALL"`` or a list, where unknown names are ignored.
+    ``columns`` is ``"ALL"`` or a list, where unknown names are ignored. Ids
+    become text unless ``text_ids`` is off (all tables must then agree).
     """
 
     name: str
@@ -74,6 +75,7 @@ class RecordSource:
     rec_id: str = "rec_id"
     dt: str | None = None
     columns: str | Sequence[str] = "ALL"
+    text_ids: bool = True
 
 
 @dataclass(frozen=True)

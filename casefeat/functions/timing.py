@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 
 from ..constants import DAYPART_HOURS, FINER_PER_LEVEL, LEVELS, SECONDS_IN_5MIN
 
+# Microseconds from a record to its case's observation time.
+DISTANCE = "__distance"
+
 
 def micros(df: DataFrame, name: str) -> Column:
     """Microseconds since 1970 of a timestamp column, with or without zone."""
@@ -37,18 +40,18 @@ def bucket(us: Column, width_us: int) -> Column:
 def add_relative_time(df: DataFrame) -> DataFrame:
     """Columns CP, M, W, D, H, 5Min of ``dt`` seen from ``pred_dt``. Buckets
     count away from ``pred_dt`` and truncate toward zero, so they are
-    negative after it."""
-    name = "__rel"
-    rel = F.timestamp_diff("MICROSECOND", F.col("dt"), F.col("pred_dt"))
-    df = df.withColumn(name, rel)
+    negative after it. A distance column, where there is one, is used up."""
+    if DISTANCE not in df.columns:
+        distance = F.timestamp_diff("MICROSECOND", F.col("dt"), F.col("pred_dt"))
+        df = df.withColumn(DISTANCE, distance)
     divisor = SECONDS_IN_5MIN * 1_000_000
     # Truncation composes: dividing twice equals dividing by the product.
-    columns = {"5Min": F.expr(f"{name} div {divisor}")}
+    columns = {"5Min": F.expr(f"{DISTANCE} div {divisor}")}
     for level, finer in FINER_PER_LEVEL.items():
         divisor *= finer
-        columns[level] = F.expr(f"{name} div {divisor}")
+        columns[level] = F.expr(f"{DISTANCE} div {divisor}")
     columns["CP"] = F.lit(0).cast("bigint")
-    return df.withColumns({level: columns[level] for level in LEVELS}).drop(name)
+    return df.withColumns({level: columns[level] for level in LEVELS}).drop(DISTANCE)
 
 
 def coarser(level: str, target: str) -> Column:

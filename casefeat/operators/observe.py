@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..config import CheckPeriod
 from ..constants import UNIT_MICROS
 from ..functions.hashing import stable_hash
-from ..functions.timing import bucket, micros, shifted
+from ..functions.timing import DISTANCE, bucket, micros, shifted
 from ..session import materialize
 
 # Columns that place an observed row: rows of one cell lie together.
@@ -33,7 +33,9 @@ def _with_window(cases: DataFrame, period: CheckPeriod) -> DataFrame:
     """Window bounds as microseconds, half-open."""
     at = micros(cases, "pred_dt")
     first = period.start_us + (1 if period.start_exclusive else 0)
-    return cases.withColumns({"__s": at + F.lit(first), "__e": at + F.lit(period.end_us)})
+    return cases.withColumns(
+        {"__p": at, "__s": at + F.lit(first), "__e": at + F.lit(period.end_us)}
+    )
 
 
 def observe(
@@ -54,7 +56,8 @@ def observe(
     spread over many tasks. ``hot_cell_rows`` additionally splits every
     (entity, bucket) cell with more records than that. ``prune`` first cuts
     the records to the time range the cases can reach. ``keep_cell`` leaves
-    the columns the join was made on (``CELL``) in the result.
+    the columns the join was made on (``CELL``) in the result, and the time
+    distance in microseconds.
     """
     if prune:
         records = prune_records(cases, records, period)
@@ -77,6 +80,7 @@ def observe(
     left = [F.col(f"c.{c}") for c in cases.columns]
     if keep_cell:
         left += [F.col(f"c.{k}") for k in keys[1:]]
+        left.append((F.col("c.__p") - F.col("r.__u")).alias(DISTANCE))
     right = [F.col(f"r.{c}") for c in records.columns if c not in {*cases.columns}]
     return joined.select(*left, *right)
 

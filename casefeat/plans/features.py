@@ -31,9 +31,7 @@ def observation(cases: DataFrame, feature: Feature, records: DataFrame, **how) -
     return observe(cases.select("case_id", "pid", "pred_dt"), records, feature.period, **how)
 
 
-def filtered_rows(
-    cases: DataFrame, feature: Feature, records: DataFrame, keep_cell: bool = False, **how
-) -> DataFrame:
+def filtered_rows(cases: DataFrame, feature: Feature, records: DataFrame, **how) -> DataFrame:
     """Observed and filtered records.
 
     Thresholds are settled first, on bare times, and their good buckets
@@ -49,10 +47,10 @@ def filtered_rows(
         times_only = counts_bare_times(rules)
         if times_only:
             bare = bare.select("pid", "dt").distinct()
-        thin = relative_rows(observe(keys, bare, period, **how), flt)
+        thin = relative_rows(observe(keys, bare, period, keep_cell=True, **how), flt)
         for good in good_buckets(thin, rules, times_only):
             (listed if can_be_listed(good.columns[1], period) else joined).append(good)
-    rows = observe(with_good_lists(keys, listed), records, period, keep_cell=keep_cell, **how)
+    rows = observe(with_good_lists(keys, listed), records, period, keep_cell=True, **how)
     rows = keep_listed(relative_rows(rows, flt), listed)
     for good in joined:
         rows = rows.join(good, good.columns, "left_semi")
@@ -88,7 +86,7 @@ def compressed(cases: DataFrame, feature: Feature, **how) -> tuple[cmp.State, Vo
     )
     if flat:
         records = records.withColumn("tok", last_per_idx(F.col("tok")))
-    rows = filtered_rows(cases, feature, records, keep_cell=True, **how)
+    rows = filtered_rows(cases, feature, records, **how)
     state = cmp.start(rows, cases, vocab, unique=flat, rfg=rfg)
     if not any(step.method for step in program.steps):
         state = _filled(state)

@@ -20,25 +20,30 @@ def time_column(df: DataFrame) -> str:
 
 
 def load_records(source: RecordSource) -> DataFrame:
-    """Records as ``pid, rec_id`` (text), ``dt`` and the asked-for columns."""
+    """Records as ``pid, rec_id, dt`` and the asked-for columns."""
     df = source.df
     dt = source.dt or time_column(df)
     keys = {"pid": source.pid, "rec_id": source.rec_id}
     wanted = df.columns if source.columns == "ALL" else source.columns
     rest = [c for c in wanted if c in df.columns and c not in (*keys.values(), dt)]
-    ids = [F.col(c).cast("string").alias(name) for name, c in keys.items()]
-    return df.select(*ids, F.col(dt).alias("dt"), *rest)
+    ids = {name: F.col(c).cast("string") if source.text_ids else F.col(c) for name, c in keys.items()}
+    return df.select(*[c.alias(name) for name, c in ids.items()], F.col(dt).alias("dt"), *rest)
+
+
+def write_by_group(rows: DataFrame, path: str, order: Sequence[str]) -> None:
+    """Write rows with a ``grp`` column, one folder per group. Rebalancing
+    gathers small groups and splits crowded ones into several files by size;
+    rows are sorted for row-group skipping."""
+    placed = rows.hint("rebalance", F.col("grp")).sortWithinPartitions("grp", *order)
+    placed.write.mode("errorifexists").partitionBy("grp").parquet(path)
 
 
 def write_grouped(
     records: DataFrame, path: str, range_size: int | None = None, groups: int = 64
 ) -> None:
-    """Write records in storage groups of entities. Range partitioning gives
-    a crowded group several files; rows are sorted for row-group skipping."""
+    """Write records in storage groups of entities."""
     grp = entity_group(F.col("pid"), range_size, groups)
-    placed = records.withColumn("grp", grp)
-    placed = placed.repartitionByRange("grp", "pid", "dt").sortWithinPartitions("grp", "pid", "dt")
-    placed.write.mode("errorifexists").partitionBy("grp").parquet(path)
+    write_by_group(records.withColumn("grp", grp), path, ["pid", "dt"])
 
 
 def read_grouped(spark: SparkSession, path: str, groups: Sequence[int] | None = None) -> DataFrame:

@@ -20,6 +20,7 @@ from ..config import Feature
 from ..functions.hashing import entity_group
 from ..plans.features import build_feature
 from ..session import materialize
+from .records import write_by_group
 
 
 class FeatureStore:
@@ -45,7 +46,8 @@ class FeatureStore:
         try:
             return self.spark.read.parquet(folder)
         except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
+            # Nothing stored yet, or only cases without rows.
+            if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None
             raise
 
@@ -95,10 +97,8 @@ class FeatureStore:
         run = f"r{uuid.uuid4().hex}"
         rows = rows.join(new.select("case_id"), "case_id", "left_semi")
         rows = rows.withColumn("grp", entity_group(F.col("pid"), groups=self.groups))
-        placed = rows.repartitionByRange("grp", "pid", "pred_dt")
-        placed = placed.sortWithinPartitions("grp", "pid", "pred_dt")
         folder = f"{self._folder('rows', feature)}/run={run}"
-        placed.write.mode("errorifexists").partitionBy("grp").parquet(folder)
+        write_by_group(rows, folder, ["pid", "pred_dt"])
         # Counts are taken from what was written, not from a second run of
         # the plan.
         written = self.spark.read.schema(_key_schema(cases)).parquet(folder)

@@ -58,6 +58,14 @@ def test_known_empty_cases(cases, source, store):
     assert status == {"c1": (3, "hit"), "c2": (0, "empty")}
 
 
+def test_only_empty_cases(cases, source, store):
+    plain = Feature(BF24, source, Filter(thresholds={}))
+    empty = cases.where("case_id = 'c2'")
+    assert store.compute_missing(plain, empty) is None
+    assert store.status(plain, empty).first().status == "empty"
+    assert store.compute_missing(plain, cases).count() == 3
+
+
 def test_changed_settings_miss(cases, source, plan, store):
     plain = Feature(BF24, source, Filter(thresholds={}))
     store.append(plain, cases, build_feature(cases, plain))
