@@ -316,6 +316,9 @@ UNION ALL SELECT case_id, pid, 0, 0, 0, 0, 0, 0, NULL, NULL, 'UNK', '1000' FROM
 SELECT case_id, rel_d, count(*) FILTER (pos = 0) OVER (PARTITION BY case_id, rel_d) AS n_rows,
   row_number() OVER (PARTITION BY case_id, rel_d ORDER BY dt, pos) - 1 AS pos, token, w AS weight FROM toks
 UNION ALL SELECT case_id, 0, 1, 0, 'UNK', 1.0 FROM empty"""
+    sql["compress_cat_rows"] = with_(CASES, EV, BF7D, FULL_DAYS, toks("kept"), empties("kept")) + """
+SELECT case_id, rel_d, row_number() OVER (PARTITION BY case_id, rel_d ORDER BY dt, pos) - 1 AS pos, token, w AS weight
+FROM toks UNION ALL SELECT case_id, 0, 0, 'UNK', 1.0 FROM empty"""
     sql["compress_custom_max"] = with_(
         CASES, EV, BF7D, FULL_DAYS, toks("kept", "full", weighted=True), empties("kept"),
         "step_n AS (SELECT case_id, rel_d, count(*) AS n FROM kept GROUP BY ALL)",

@@ -38,7 +38,7 @@ from ..operators.vocab import (
     vocab_conflicts,
     vocab_rows,
 )
-from ..plans.features import build_feature, build_features, compressed
+from ..plans.features import build_feature, build_features, compressed, token_state
 from ..session import configure, shared_folder
 from ..sources.chain import align_to_leaf, collect_per_leaf, id_chain
 from ..sources.records import load_records, read_grouped, union_records, write_grouped
@@ -602,6 +602,16 @@ def compress_cat(spark, sf):
     )
 
 
+@query
+def compress_cat_rows(spark, sf):
+    """The same entries as rows with their places, for any window size."""
+    steps = [Step("5MinInD", [("method", "cat")])]
+    feature = event_feature(spark, sf, steps, focal_layers=["CP", "D"])
+    state, vocab = token_state(purchase_cases(spark, sf), feature)
+    long = vocab.lookup(cmp.concatenated_rows(state, "5MinInD"), "idx", by="idx")
+    return long.select(case_number(), *rel_columns(["D"]), "pos", F.col("grn").alias("token"), "weight")
+
+
 @query
 def compress_custom_max(spark, sf):
     highest = cmp.Method(

@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Compress, split_rule
-from ..constants import LEVELS, UNK_IDX
-from ..functions.timing import coarser
+from ..constants import LEVELS, UNIT_MICROS, UNK_IDX
+from ..functions.timing import bucket, coarser, micros
 from ..functions.tokens import each, last_per_idx, rank_in_group, token_entry
 from .observe import CELL
+from .ranking import with_position
 from .vocab import Vocabulary
 
 # Id of the entry that stands for the row itself while tokens are summed.
@@ -234,6 +235,34 @@ def concatenate(state: State, rule: str) -> State:
     )
 
 
+def fill_empty(state: State) -> State:
+    """Without a roll-up, the cases without rows are found by an anti join
+    and keep their stand-ins."""
+    empty = state.stand_in.join(state.rows.select("case_id").distinct(), "case_id", "left_anti")
+    return replace(state, rows=state.rows.unionByName(empty), stand_in=None)
+
+
+def concatenated_rows(
+    state: State, rule: str, cell_us: int = UNIT_MICROS["H"]
+) -> DataFrame:
+    """``cat`` of single records as rows ``(case_id, levels, pos, idx, w)``
+    instead of lists, for windows that may hold any number of records. The
+    place of each entry comes from counts per time cell of ``cell_us``."""
+    level = split_rule(rule)[1]
+    prefix = state.prefix[: state.prefix.index(level) + 1]
+    rows = fill_empty(state).rows.withColumn("size", F.size("tok"))
+    cell = F.coalesce(bucket(micros(rows, "dt"), cell_us), F.lit(0).cast("bigint"))
+    placed = with_position(
+        rows.select("case_id", level, *state.order, "tok", "size"),
+        ["case_id", level], cell, state.order, "first", "size",
+    )
+    long = placed.select("case_id", level, "first", F.posexplode("tok").alias("i", "t"))
+    levels = [coarser(level, c).alias(c) if c != level else F.col(c) for c in prefix]
+    return long.select(
+        "case_id", *levels, (F.col("first") + F.col("i")).alias("pos"), "t.idx", F.col("t.w").alias("weight")
+    )
+
+
 def convert(state: State) -> State:
     """Back to lists, in vocabulary order; only positive weights remain."""
     listed = F.sort_array(F.filter("tok", lambda t: t["w"] > 0))

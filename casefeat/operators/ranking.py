@@ -14,9 +14,10 @@ def with_position(
     cell: Column,
     order: Sequence[str],
     name: str = "pos",
+    size: str | None = None,
 ) -> DataFrame:
     """0-based position of each row in its ``keys`` group, ordered by
-    ``(cell, *order)``.
+    ``(cell, *order)``; a row takes up one place, or ``size`` places.
 
     ``cell`` cuts a group into consecutive pieces (time buckets, hash
     ranges). Rows are ranked inside a cell only; the rows of all earlier
@@ -24,13 +25,16 @@ def with_position(
     """
     keys = list(keys)
     df = df.withColumn("__cell", cell)
-    counts = df.groupBy(*keys, "__cell").agg(F.count("*").alias("__n"))
+    places = F.lit(1).cast("bigint") if size is None else F.col(size).cast("bigint")
+    counts = df.groupBy(*keys, "__cell").agg(F.sum(places).alias("__n"))
     earlier = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         *keys, "__cell", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")
     )
-    inside = Window.partitionBy(*keys, "__cell").orderBy(*order)
-    ranked = df.withColumn("__rank", F.row_number().over(inside) - 1)
+    inside = (
+        Window.partitionBy(*keys, "__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    ranked = df.withColumn("__rank", F.coalesce(F.sum(places).over(inside), F.lit(0)))
     placed = ranked.join(offsets, [*keys, "__cell"])
     return placed.withColumn(name, F.col("__before") + F.col("__rank")).drop(
         "__cell", "__rank", "__before"

@@ -23,7 +23,8 @@ def attach_tokens(records: DataFrame, tokens: Tokens) -> DataFrame:
         if isinstance(grain, GrainTable):
             key, wgt = f"{grain.name}_key", f"{grain.name}_wgt"
             on = [c for c in grain.df.columns if c in records.columns]
-            records = records.join(grain.df, on, "left")
+            same = {c: F.col(c).cast(records.schema[c].dataType) for c in on}
+            records = records.join(grain.df.withColumns(same), on, "left")
             keys.append(F.coalesce(F.col(key), F.array().cast("array<string>")))
             weights.append(
                 F.coalesce(F.col(wgt).cast("array<double>"), F.array().cast("array<double>"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..constants import CALENDAR_GRAIN, CALENDAR_PREFIXES, DAYPART_HOURS, UNK
 from ..session import materialize
 
+SCHEMA = "idx int, grn string, rfg string, rfg_idx int"
+
 # Larger vocabularies are looked up with a salted shuffle join.
 MAX_BROADCAST_TOKENS = 500_000
 SALTS = 32
@@ -52,12 +54,20 @@ class Vocabulary:
         """With the count tokens of ``rules``; a short step on the stored rows."""
         return self._measured(extend_vocab(self.df, self.size, rules), rules, self.unk)
 
-    def write(self, path: str) -> None:
-        self.df.write.mode("errorifexists").parquet(path)
+    def write(self, path: str, form: str = "parquet") -> None:
+        self.df.write.mode("errorifexists").format(form).save(path)
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str, rules: Sequence[str] = (), unk: str = UNK):
-        return cls._measured(spark.read.parquet(path), rules, unk)
+    def read(
+        cls,
+        spark: SparkSession,
+        path: str,
+        rules: Sequence[str] = (),
+        unk: str = UNK,
+        form: str = "parquet",
+    ) -> Vocabulary:
+        rows = spark.read.format(form).schema(SCHEMA).load(path)
+        return cls._measured(rows, rules, unk)
 
 
 def vocab_rows(

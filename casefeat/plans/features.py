@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,8 +71,16 @@ def vocabulary(tokens: Tokens, rules: Sequence[str]) -> Vocabulary:
 
 
 def compressed(cases: DataFrame, feature: Feature, **how) -> tuple[cmp.State, Vocabulary]:
-    """The compress program's final state. Tokens are turned into ids once
-    per record, so cases and their windows only ever move numbers."""
+    """The compress program's final state."""
+    state, vocab = token_state(cases, feature, **how)
+    if not any(step.method for step in feature.compress.steps):
+        state = cmp.fill_empty(state)
+    return cmp.run_program(state, feature.compress, vocab), vocab
+
+
+def token_state(cases: DataFrame, feature: Feature, **how) -> tuple[cmp.State, Vocabulary]:
+    """Where the compress program starts. Tokens are turned into ids once per
+    record, so cases and their windows only ever move numbers."""
     tokens, program = feature.tokens, feature.compress
     vocab = vocabulary(tokens, program.rules)
     # Flattening drops unknown tokens and keeps the last of repeated ones.
@@ -87,16 +94,7 @@ def compressed(cases: DataFrame, feature: Feature, **how) -> tuple[cmp.State, Vo
     if flat:
         records = records.withColumn("tok", last_per_idx(F.col("tok")))
     rows = filtered_rows(cases, feature, records, **how)
-    state = cmp.start(rows, cases, vocab, unique=flat, rfg=rfg)
-    if not any(step.method for step in program.steps):
-        state = _filled(state)
-    return cmp.run_program(state, program, vocab), vocab
-
-
-def _filled(state: cmp.State) -> cmp.State:
-    """Without a roll-up, empty cases are found by an anti join."""
-    empty = state.stand_in.join(state.rows.select("case_id").distinct(), "case_id", "left_anti")
-    return replace(state, rows=state.rows.unionByName(empty), stand_in=None)
+    return cmp.start(rows, cases, vocab, unique=flat, rfg=rfg), vocab
 
 
 def feature_rows(cases: DataFrame, feature: Feature, **how) -> DataFrame:
@@ -167,4 +165,6 @@ def assemble(cases: DataFrame, rows_by_name: dict[str, tuple[DataFrame, Sequence
     return joined
 
 
-__all__ = ["assemble", "build_feature", "build_features", "compressed", "feature_rows", "token_rows"]
+__all__ = [
+    "assemble", "build_feature", "build_features", "compressed", "feature_rows", "token_rows", "token_state",
+]

@@ -119,6 +119,8 @@ def test_thresholds(cases, source):
     assert kept(thresholds={"DTInD": 2}) == ["r2", "r3"]
     assert kept(thresholds={"DTInD": 2, "DInCP": 2}) == []
     assert kept(thresholds={"RInCP": 3, "DTInD": 0}) == ["r1", "r2", "r3"]
+    assert kept(thresholds={"RInDT": 1}) == ["r1", "r2", "r3"]
+    assert kept(thresholds={"RInDT": 2}) == []
     assert kept(thresholds={"DTInD": 4}, share=0.5) == ["r2", "r3"]
     # The share of a part of the day is a quarter.
     assert kept(name="Evening", thresholds={"DTInD": 4}) == ["r3"]
@@ -160,6 +162,20 @@ def test_grain_tables(spark, cases, source):
     assert rows["Recr3"].tkn_key == ["y", "z", "b"]
 
 
+def test_number_ids(spark, cases, tokens):
+    """Ids may stay numbers; stored grains are matched in the records' type."""
+    rows = [(1, i, datetime(2024, 1, 1, 20 + i)) for i in range(3)]
+    records = spark.createDataFrame(rows, "pid bigint, rec_id bigint, dt timestamp_ntz")
+    grain = spark.createDataFrame(
+        [("1", "2", ["x"], [1.0])], "pid string, rec_id string, G_key array<string>, G_wgt array<double>"
+    )
+    numbered = cases.withColumn("pid", F.lit(1).cast("bigint")).where("case_id = 'c1'")
+    source = RecordSource("Rec", records, dt="dt", text_ids=False)
+    plan = Feature(BF24, source, Filter(), Tokens("G", [GrainTable("G", grain)]))
+    got = {r.R: r.tkn_key for r in build_feature(numbered, plan).collect()}
+    assert got == {"Rec0": [], "Rec1": [], "Rec2": ["x"]}
+
+
 def test_vocab(vocab):
     rows = {r.grn: r for r in vocab.df.collect()}
     assert [rows[t].idx for t in ("UNK", "a", "b", "Year-2024", "Month-1")] == [0, 1, 2, 3, 4]
@@ -178,10 +194,11 @@ def test_vocab_conflicts(spark, tok_table):
 
 
 def test_vocab_on_disk(spark, vocab, tmp_path):
-    vocab.write(f"{tmp_path}/v")
-    again = Vocabulary.read(spark, f"{tmp_path}/v")
-    assert sorted(again.df.collect()) == sorted(vocab.df.collect())
-    assert again.size == vocab.size
+    for form in ("parquet", "json"):
+        vocab.write(f"{tmp_path}/{form}", form)
+        again = Vocabulary.read(spark, f"{tmp_path}/{form}", form=form)
+        assert sorted(again.df.collect()) == sorted(vocab.df.collect())
+        assert (again.size, again.special) == (vocab.size, vocab.special)
 
 
 def test_salted_lookup(spark, vocab, monkeypatch):
