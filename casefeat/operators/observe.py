@@ -46,6 +46,7 @@ def observe(
     width_us: int | None = None,
     hot_cell_rows: int | None = None,
     prune: bool = False,
+    partitions: int | None = None,
     keep_cell: bool = False,
 ) -> DataFrame:
     """One row per case and record of its entity inside the period.
@@ -55,7 +56,9 @@ def observe(
     meets at most two buckets of its entity and an entity's history is
     spread over many tasks. ``hot_cell_rows`` additionally splits every
     (entity, bucket) cell with more records than that. ``prune`` first cuts
-    the records to the time range the cases can reach. ``keep_cell`` leaves
+    the records to the time range the cases can reach. ``partitions`` fixes
+    the number of join tasks, for windows so crowded that the pairs far
+    outgrow the shuffled input. ``keep_cell`` leaves
     the columns the join was made on (``CELL``) in the result, and the time
     distance in microseconds.
     """
@@ -75,6 +78,8 @@ def observe(
             keys.append("__part")
     elif how != "plain":
         raise ValueError(f"how must be plain or bucketed, got {how!r}")
+    if partitions is not None:
+        windows, rows = (side.repartition(partitions, *keys) for side in (windows, rows))
     inside = (F.col("__u") >= F.col("__s")) & (F.col("__u") < F.col("__e"))
     joined = windows.alias("c").join(rows.alias("r"), [F.col(f"c.{k}") == F.col(f"r.{k}") for k in keys] + [inside])
     left = [F.col(f"c.{c}") for c in cases.columns]

@@ -7,11 +7,14 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 # Skewed joins are split at run time even where that costs one more shuffle.
+# A few shuffled records grow into many (case, record) pairs, so partitions
+# are merged less eagerly than by default.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
 }
 
 

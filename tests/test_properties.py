@@ -165,7 +165,7 @@ def test_features_do_not_depend_on_the_join_form(spark):
     base = long_result(cases, feature)
     assert base == long_result(cases, feature, how="plain")
     assert base == long_result(cases, feature, hot_cell_rows=5)
-    assert base == long_result(cases, feature, width_us=40_000_000_000)
+    assert base == long_result(cases, feature, width_us=40_000_000_000, partitions=13)
 
 
 def test_good_buckets_as_list_or_semi_join(spark, monkeypatch):
