@@ -30,7 +30,6 @@ from ..operators.nest import in_batches
 from ..operators.observe import check_period, observe, observed_count, record_count
 from ..operators.tokens import attach_tokens, one_token_per_slot
 from ..operators.vocab import (
-    Vocabulary,
     build_vocab,
     calendar_vocab,
     extend_vocab,

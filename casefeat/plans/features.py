@@ -157,14 +157,6 @@ def build_features(cases: DataFrame, features: Sequence[Feature], **how) -> Data
     return joined
 
 
-def assemble(cases: DataFrame, rows_by_name: dict[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
-    """Stored or computed features side by side, as ``build_features``."""
-    joined = cases.select("case_id", "pid", "pred_dt")
-    for name, (rows, order) in rows_by_name.items():
-        joined = joined.join(one_row_per_case(rows, order, name), "case_id", "left")
-    return joined
-
-
 __all__ = [
-    "assemble", "build_feature", "build_features", "compressed", "feature_rows", "token_rows", "token_state",
+    "build_feature", "build_features", "compressed", "feature_rows", "token_rows", "token_state",
 ]

@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from casefeat import GrainColumn, GrainTable, RecordSource, Tokens  # noqa: E402
+from casefeat import GrainColumn, RecordSource, Tokens  # noqa: E402
 from casefeat.operators.vocab import build_vocab, calendar_vocab  # noqa: E402
 from casefeat.session import configure  # noqa: E402
 

@@ -9,11 +9,10 @@ from casefeat import CheckPeriod, Compress, Feature, Filter, GrainColumn, GrainT
 from casefeat import build_feature, build_features
 from casefeat.config import rolled
 from casefeat.operators import compress as cmp
-from casefeat.operators.filters import apply_filter
 from casefeat.operators.observe import check_period, observe, observed_count, record_count
 from casefeat.operators.tokens import encode_tokens
 from casefeat.operators.vocab import Vocabulary, build_vocab, vocab_conflicts
-from casefeat.plans.features import compressed, token_rows
+from casefeat.plans.features import compressed
 from casefeat.sources.records import load_records
 
 BF24, AF2 = CheckPeriod.parse("Bf24H"), CheckPeriod.parse("Af2H")
@@ -126,6 +125,14 @@ def test_thresholds(cases, source):
     assert kept(name="Evening", thresholds={"DTInD": 4}) == ["r3"]
 
 
+def test_filter_on_a_finished_observation(cases, source):
+    from casefeat.operators.filters import apply_filter
+
+    observed = observe(cases, load_records(source), BF24)
+    for flt in (Filter(thresholds={"DTInD": 2}), Filter("Morning", thresholds={"RInCP": 4})):
+        assert ids(apply_filter(observed, flt, "Rec")) == ids(build_feature(cases, Feature(BF24, source, flt)))
+
+
 def test_default_thresholds():
     assert Filter().rules_for("CGM5Min") == {"DTInD": 288 * 0.7}
     assert Filter("Night").rules_for("CGM5Min") == {"DTInD": 288 * 0.7 * 0.25}
