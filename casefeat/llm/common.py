@@ -53,6 +53,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def n_words(text: Column) -> Column:
     """Runs of characters that are not ASCII white space; 0 for null."""
     squeezed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " "))

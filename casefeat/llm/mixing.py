@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, settle
+from .common import fresh, n_words, settle
 
 CAP = 3
 
@@ -99,9 +99,9 @@ def mixed_rows(docs: DataFrame, seed: int = 0, cap: int = CAP) -> DataFrame:
     )
     met = docs.join(
         wanted,
-        docs["doc_id"].eqNullSafe(F.col("__d"))
-        & (F.xxhash64(docs["text"]) == F.col("__t"))
-        & docs["source"].eqNullSafe(F.col("__s")),
+        docs["doc_id"].eqNullSafe(wanted["__d"])
+        & (F.xxhash64(docs["text"]) == wanted["__t"])
+        & docs["source"].eqNullSafe(wanted["__s"]),
     )
-    each = F.explode(F.sequence(F.lit(1), F.col("__copies")))
-    return met.withColumn("__k", each).select(*docs.columns)
+    each, columns = fresh(docs, "copy"), [docs[f"`{c}`"] for c in docs.columns]
+    return met.select(*columns, F.explode(F.sequence(F.lit(1), wanted["__copies"])).alias(each)).drop(each)

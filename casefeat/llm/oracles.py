@@ -48,4 +48,76 @@ counted AS (
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM counted
 """
 
-ORACLES = {"op2_source_mixing": OP2}
+OP3 = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM good a JOIN good b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+),
+classes AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN classes USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""
+
+OP5 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages
+),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+FROM q
+"""
+
+OP7 = """
+WITH b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS x FROM documents),
+strings AS (
+  SELECT doc_id, n, s, substr(x, (2 * s + 1)::BIGINT, 200) AS w
+  FROM (SELECT doc_id, n, x, unnest(range(0, greatest(n - 99, 0))) AS s FROM b)
+),
+later AS (
+  SELECT doc_id, s FROM (
+    SELECT doc_id, s, row_number() OVER (PARTITION BY md5(w) ORDER BY doc_id, s) AS k FROM strings
+  ) WHERE k > 1
+),
+marked AS (
+  SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM later
+),
+numbered AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM marked),
+spans AS (SELECT doc_id, span, min(s) AS lo, max(s) + 100 AS hi FROM numbered GROUP BY doc_id, span),
+edges AS (
+  SELECT doc_id, lo, hi FROM spans
+  UNION ALL SELECT doc_id, n, n FROM b
+),
+pieces AS (
+  SELECT e.doc_id, e.lo, substr(x, (2 * coalesce(lag(e.hi) OVER w, 0) + 1)::BIGINT,
+                                (2 * (e.lo - coalesce(lag(e.hi) OVER w, 0)))::BIGINT) AS kept
+  FROM edges e JOIN b USING (doc_id)
+  WINDOW w AS (PARTITION BY e.doc_id ORDER BY e.lo, e.hi)
+),
+kept AS (SELECT doc_id, sha256(unhex(string_agg(kept, '' ORDER BY lo))) AS h FROM pieces GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(hi - lo) AS r, count(*) AS c FROM spans GROUP BY doc_id)
+SELECT b.doc_id, n::BIGINT AS n_bytes, coalesce(r, 0)::BIGINT AS n_removed, coalesce(c, 0)::BIGINT AS n_spans, h AS kept_sha256
+FROM b JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
+
+ORACLES = {
+    "op2_source_mixing": OP2,
+    "op3_embedding_near_dedup": OP3,
+    "op5_warc_archive": OP5,
+    "op7_suffix_dedup": OP7,
+}

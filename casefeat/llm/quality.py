@@ -146,13 +146,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", own: float =
     return Model(mean, np.stack(inverse), np.array(constant))
 
 
-def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """Add the score of the whole text: 0 to 1, higher where label 1 is
-    likelier. Null and empty texts have the score of zero statistics, equal
-    texts equal scores; nothing but the text is read."""
+def score_of(model: Model):
+    """A function of the text column: the score of the whole text, 0 to 1,
+    higher where label 1 is likelier. Null and empty texts have the score of
+    zero statistics, equal texts equal scores; nothing but the text is read."""
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.stack([statistics(t) for t in texts])) if len(texts) else [], dtype=float)
 
-    return docs.withColumn(name, of("text"))
+    return of
+
+
+def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """Add the score; a column of that name is replaced."""
+    return docs.withColumn(name, score_of(model)("text"))

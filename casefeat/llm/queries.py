@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding, simhash
+from . import decontaminate, mixing, quality, sharding, simhash, suffix, tokens, urls, vectors, warc
+from .ship import with_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +37,11 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken, "copies")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and class of every vector."""
+    return vectors.vector_classes(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document; shard counts at most one apart."""
     docs = _table(spark, sf_dir, "documents")
@@ -48,6 +54,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages say of each page."""
+    records = warc.archived(_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and class of every document."""
     classes = simhash.simhash_classes(_table(spark, sf_dir, "documents"))
@@ -55,6 +67,26 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", hexed, "component_id")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated strings of 100 bytes take from each document."""
+    return suffix.without_repeats(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every url, by rule or by template."""
+    judged = urls.url_verdicts(_table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """What the token files of all documents hold of each document."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return tokens.tokenized(_table(spark, sf_dir, "documents"), tokenizer)
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item."""
     return decontaminate.contaminated_pairs(
@@ -70,10 +102,22 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (
-        op1_quality_classifier, op2_source_mixing, op4_sharding, op6_simhash_near_dedup,
-        op10_benchmark_decontamination, pipeline,
-    )}
+    return {
+        f.__name__: with_package(f)
+        for f in (
+            op1_quality_classifier,
+            op2_source_mixing,
+            op3_embedding_near_dedup,
+            op4_sharding,
+            op5_warc_archive,
+            op6_simhash_near_dedup,
+            op7_suffix_dedup,
+            op8_url_filter,
+            op9_token_files,
+            op10_benchmark_decontamination,
+            pipeline,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shared_folder
-from .common import partitions
+from .common import fresh, partitions
 
 ROWS_PER_BIN = 250_000
 MAX_CELLS = 4_000_000
@@ -99,8 +99,10 @@ def shard_rows(df: DataFrame, shards: int = 8, seed: int = 0) -> DataFrame:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(spark))
-    keep = [c for c in df.columns if c not in ("shard", "slot")]
+    keep = [f"`{c}`" for c in df.columns if c.lower() not in ("shard", "slot")]
     fixed = df.select(*keep).checkpoint()
+    names = [fresh(fixed, n) for n in ("bin", "key", "origin")]
+    bin_, key_, origin_ = names
     counted = fixed.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n"))
     counts = {r["p"]: r["n"] for r in counted.collect()}
     total = sum(counts.values())
@@ -108,7 +110,7 @@ def shard_rows(df: DataFrame, shards: int = 8, seed: int = 0) -> DataFrame:
     bins = bin_sizes(total, shards, len(order), partitions(spark))
     matrix = communication_matrix([counts[p] for p in order], [n for _, _, n in bins], seed)
     sent = sc.broadcast({p: matrix[k] for k, p in enumerate(order)})
-    added = [T.StructField("__bin", T.IntegerType()), T.StructField("__key", T.LongType()), T.StructField("__from", T.LongType())]
+    added = [T.StructField(n, t) for n, t in zip(names, (T.IntegerType(), T.LongType(), T.LongType()), strict=True)]
     schema = T.StructType([*fixed.schema.fields, *added])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,13 +126,14 @@ def shard_rows(df: DataFrame, shards: int = 8, seed: int = 0) -> DataFrame:
             key = rng.integers(0, 2**63 - 1, n, dtype=np.int64)
             origin = (np.int64(p) << 40) + np.arange(at, at + n)
             arrays = [*batch.columns, pa.array(where[at : at + n]), pa.array(key), pa.array(origin)]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "__bin", "__key", "__from"])
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, *names])
             at += n
 
     dealt = fixed.mapInArrow(deal, schema)
-    places = spark.createDataFrame(
-        [(b, s, f) for b, (s, f, _) in enumerate(bins)], "__bin int, shard int, __first long"
-    )
-    line = Window.partitionBy("__bin").orderBy("__key", "__from")
-    placed = dealt.withColumn("__r", F.row_number().over(line) - 1).join(F.broadcast(places), "__bin")
-    return placed.select(*keep, "shard", (F.col("__first") + F.col("__r")).alias("slot"))
+    first = fresh(dealt, "first")
+    kinds = T.StructType([T.StructField(bin_, T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField(first, T.LongType())])
+    places = spark.createDataFrame([(b, s, f) for b, (s, f, _) in enumerate(bins)], kinds)
+    line = Window.partitionBy(bin_).orderBy(key_, origin_)
+    rank = fresh(dealt, "rank")
+    placed = dealt.withColumn(rank, F.row_number().over(line) - 1).join(F.broadcast(places), bin_)
+    return placed.select(*keep, "shard", (F.col(first) + F.col(rank)).alias("slot"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, forest, group_starts, grouped_batches, partitions, settle, split_crowded
+from .common import connected_components, forest, fresh, group_starts, grouped_batches, partitions, settle, split_crowded
 
 SEED = 42
 SEGMENT_BITS = 2
@@ -177,9 +177,9 @@ def near_links(fps: DataFrame, max_distance: int = 4, crowded: int = CROWDED) ->
 
 
 def simhash_classes(docs: DataFrame, width: int = 4, max_distance: int = 4, crowded: int = CROWDED) -> DataFrame:
-    """``(doc_id, fp, component_id)`` of every row of ``docs``: its
-    fingerprint and the smallest doc_id reachable over links of at most
-    ``max_distance`` differing bits.
+    """``(doc_id, fp, component_id, component)`` of every row of ``docs``: its
+    fingerprint, the smallest doc_id reachable over links of at most
+    ``max_distance`` differing bits, and the smallest fingerprint there.
 
     Null and empty texts have fingerprint 0 and link like any other. Repeated
     rows stay rows. A null doc_id is reached but never names a class unless
@@ -194,7 +194,7 @@ def simhash_classes(docs: DataFrame, width: int = 4, max_distance: int = 4, crow
     member = connected_components(links).withColumnRenamed("id", "fp")
     named = lowest.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes, _ = settle(named.join(least, "component").select("fp", "component_id"), "classes")
+    classes, _ = settle(named.join(least, "component").select("fp", "component_id", "component"), "classes")
     return marked.join(classes, "fp")
 
 

@@ -15,37 +15,42 @@ from pyspark.sql import DataFrame, SparkSession
 from casefeat.llm.common import settle
 from casefeat.llm.decontaminate import clean
 from casefeat.llm.mixing import mixed_rows
-from casefeat.llm.quality import fit, with_score
+from casefeat.llm.quality import fit, score_of
 from casefeat.llm.sharding import shard_rows
+from casefeat.llm.ship import with_package
 from casefeat.llm.simhash import keep_first
 
 SCORE_LIMIT = 0.3
 SHARDS = 8
 
 
+@with_package
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the limit go. The model learns from the
     labelled rows among ``docs``, held-out ones excepted."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = with_score(docs, fit(docs, labels), "__score")
-    return scored.where(scored["__score"] >= SCORE_LIMIT).select(*docs.columns)
+    return docs.where(score_of(fit(docs, labels))("text") >= SCORE_LIMIT)
 
 
+@with_package
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
     return keep_first(docs)
 
 
+@with_package
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@with_package
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their sources take them."""
     return mixed_rows(docs)
 
 
+@with_package
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with their shard and their slot in it."""
     return shard_rows(docs, SHARDS)

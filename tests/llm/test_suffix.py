@@ -1,0 +1,164 @@
+"""Repeated byte strings against brute force over every string."""
+
+import hashlib
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from compare import difference, duck
+from helpers import SF_DIR, docs_of, sent, words  # noqa: F401
+
+from casefeat.llm import suffix as S
+from casefeat.llm.oracles import ORACLES
+from casefeat.llm.queries import queries
+
+
+def brute(rows):
+    """Per row of ``(order, text)``: bytes, removed, spans, hash of the rest."""
+    seen = set()
+    out = []
+    for _, text in sorted(rows, key=lambda r: r[0]):
+        raw = (text or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for at in range(len(raw) - S.WINDOW + 1):
+            w = raw[at : at + S.WINDOW]
+            if w in seen:
+                gone[at : at + S.WINDOW] = True
+            seen.add(w)
+        spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+        kept = bytes(np.frombuffer(raw, np.uint8)[~gone])
+        out.append((len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def found(frame):
+    return [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in frame.orderBy("doc_id").collect()]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_transform(seed):
+    rng = random.Random(seed)
+    for _ in range(60):
+        strings = [bytes(rng.choice(b"ab" if seed % 2 else b"abcd") for _ in range(rng.randint(0, 20))) for _ in range(rng.randint(1, 9))]
+        strings += strings[: rng.randint(0, 2)]
+        string, offset, prefix = S.column_transform(strings, 7)
+        suffixes = [strings[a][b:] for a, b in zip(string, offset, strict=True)]
+        assert suffixes == sorted(s[k:] for s in strings for k in range(len(s) + 1))
+        assert len(set(zip(string.tolist(), offset.tolist(), strict=True))) == len(suffixes)
+        for k in range(1, len(suffixes)):
+            same = 0
+            for x, y in zip(suffixes[k - 1], suffixes[k], strict=False):
+                if x != y:
+                    break
+                same += 1
+            assert prefix[k] == min(same, 7)
+
+
+def test_segments_hold_every_string_once():
+    rng = random.Random(1)
+    pieces = [words(rng, 90).encode(), b"x" * 300, b"ab" * 120, words(rng, 3).encode(), words(rng, 40).encode() * 3]
+    raw, ends = b"".join(pieces), np.cumsum([len(p) for p in pieces])
+    starts = np.append(0, ends[:-1])
+    piece, first, last, anchor, hashes = S.segments(np.frombuffer(raw, np.uint8), starts, ends)
+    strings = []
+    for p, a, b, at in zip(piece, first, last, anchor, strict=True):
+        assert starts[p] <= a <= b <= ends[p] - S.WINDOW and b - a < S.WINDOW
+        assert b <= at <= a + S.WINDOW - S.ANCHOR
+        strings += range(a, b + 1)
+    assert strings == [s for a, b in zip(starts, ends, strict=True) for s in range(a, b - S.WINDOW + 1)]
+    by_text = {}
+    for k in range(len(first)):
+        for s in range(first[k], last[k] + 1):
+            assert by_text.setdefault(raw[s : s + S.WINDOW], (hashes[k], anchor[k] - s)) == (hashes[k], anchor[k] - s)
+
+
+def corpus(seed):
+    rng = random.Random(seed)
+    passage = words(rng, 60)
+    texts = [words(rng, rng.randint(0, 120)) for _ in range(25)]
+    for k in range(25, 70):
+        kind = rng.randrange(7)
+        if kind == 0:
+            text = texts[rng.randrange(len(texts))]
+        elif kind == 1:
+            text = words(rng, rng.randint(0, 30)) + passage + words(rng, rng.randint(0, 30))
+        elif kind == 2:
+            other = texts[rng.randrange(len(texts))]
+            text = other[: rng.randint(0, len(other))] + words(rng, 5) + other[rng.randint(0, len(other)) :]
+        elif kind == 3:
+            text = rng.choice(["ab", "abc ", "é", "word "]) * rng.randint(10, 200)
+        elif kind == 4:
+            part = words(rng, 25)
+            text = part + " mid " + part + part
+        elif kind == 5:
+            parts = texts[rng.randrange(25)].split()
+            for _ in range(3):
+                if parts:
+                    parts[rng.randrange(len(parts))] = "ß"
+            text = " ".join(parts)
+        else:
+            text = words(rng, rng.randint(0, 60))
+        texts.append(text)
+    return texts
+
+
+@pytest.mark.parametrize(("seed", "hot"), [(0, S.HOT), (1, S.HOT), (2, 1), (3, 0)])
+def test_against_brute_force(spark, docs_of, seed, hot):
+    rows = list(enumerate(corpus(seed)))
+    shuffled = random.Random(seed).sample(rows, len(rows))
+    docs = docs_of(shuffled).selectExpr("*", "1 AS doc", "2 AS tie", "3 AS key", "4 AS k").repartition(3)
+    assert found(S.without_repeats(docs, hot=hot)) == brute(rows)
+
+
+def test_crowded_passage(spark, docs_of):
+    """Many texts around one passage: its anchors are split by core."""
+    rng = random.Random(4)
+    passage = words(rng, 40)
+    rows = [(k, words(rng, 8) + passage + words(rng, 8)) for k in range(150)]
+    assert found(S.without_repeats(docs_of(rows).repartition(4), hot=20)) == brute(rows)
+
+
+def test_equal_ids_null_ids_and_empty_texts(spark, docs_of):
+    a, b = "a long text " * 20, "another text " * 20
+    rows = [(1, a), (1, a), (1, a), (1, b), (2, a), (None, b), (None, b), (3, None), (4, ""), (4, ""), (5, "short"), (5, "short")]
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"]) for r in S.without_repeats(docs_of(rows)).collect())
+    alone = {t: brute([(0, t)])[0][1] for t in (a, b)}
+    assert got == sorted([
+        (0, len(b), alone[b], 1), (0, len(b), len(b), 1), (1, len(a), alone[a], 1), (1, len(a), len(a), 1), (1, len(a), len(a), 1),
+        (1, len(b), len(b), 1), (2, len(a), len(a), 1), (3, 0, 0, 0), (4, 0, 0, 0), (4, 0, 0, 0), (5, 5, 0, 0), (5, 5, 0, 0),
+    ])
+    assert S.without_repeats(docs_of([])).count() == 0
+
+
+def test_texts_longer_than_a_buffer():
+    rng = np.random.default_rng(2)
+    text = bytes(rng.integers(97, 123, S.BUFFER + 5000, dtype=np.uint8)).decode()
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 150, text, None, "y" * 120]})
+    strings = 0
+    for raw, starts, ends, row, base in S.buffers(batch):
+        assert len(raw) <= S.BUFFER + 2 * S.WINDOW
+        for s, e, r, b in zip(starts, ends, row, base, strict=True):
+            own = batch.column("text")[int(r)].as_py().encode()
+            assert raw[s:e] == own[b : b + e - s]
+            strings += e - s - S.WINDOW + 1
+    assert strings == 51 + len(text) - 99 + 21
+
+
+def test_a_very_long_text(spark, docs_of):
+    rng = random.Random(6)
+    unique = words(rng, 60_000)
+    rows = [(1, unique), (2, "start " + unique[-400:]), (3, unique[1000:1300])]
+    got = found(S.without_repeats(docs_of(rows)))
+    assert [g[0] for g in got] == [len(t) for _, t in rows]
+    assert got[1][1] == 400 + (unique[-401] == " ") and got[2][1] == 300
+
+
+def test_against_sql(spark):
+    name = "op7_suffix_dedup"
+    assert difference(queries()[name](spark, SF_DIR), duck(SF_DIR), ORACLES[name]) is None
+
+
+def test_merged_spans():
+    owner, start, end = S.merged(np.array([1, 0, 0, 1, 0]), np.array([5, 10, 0, 0, 3]), np.array([9, 12, 4, 5, 7]))
+    assert list(zip(owner, start, end, strict=True)) == [(0, 0, 7), (0, 10, 12), (1, 0, 9)]

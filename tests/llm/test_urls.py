@@ -1,0 +1,124 @@
+"""URL parts, rules and the template tree against plain Python."""
+
+import random
+import re
+
+import pytest
+from helpers import sent  # noqa: F401
+
+from casefeat.llm import urls as U
+
+ODD = [
+    None, "", "no scheme", "http://", "http:///p", "HTTP://A.NET/x", "http://net/", "http://net", "http://net?x", "http://xnet/",
+    "http://b.example.net/en/1", "http://example.net/en/", "http://example.net/en", "http://Example.NET/EN/", "http://example.net/en/?q#f",
+    "https://a.example.com/de/5", "https://notexample.com/de/5", "http://x.org/fr/1", "http://org/fr/", "ftp://h.org#/fr/",
+    "http://h.org?/fr/", "a://b://c/d", "http://É.org/fr/É", "http://h.com:80/de/", "http://h\n.net/a\nb", "http://h.net/" + "s/" * 5000,
+]
+
+
+def parts(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest).group()
+    path = re.match(r"[^?#]*", rest[len(host) :]).group()
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), path
+
+
+def rule(host, path):
+    best = None
+    for verdict, name in (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")):
+        own, prefix = name.split("/", 1)
+        if (host == own or host.endswith("." + own)) and path.startswith("/" + prefix) and (best is None or len(name) > len(best[1])):
+            best = (verdict, name)
+    return best
+
+
+def test_parts_and_rules(spark):
+    frame = spark.createDataFrame(list(enumerate(ODD)), "page_id long, url string").selectExpr("*", "1 AS host", "2 AS template", "3 AS n")
+    got = {r["page_id"]: r for r in U.url_verdicts(frame).collect()}
+    assert len(got) == len(ODD)
+    for k, url in enumerate(ODD):
+        host, path = parts(url)
+        fits = rule(host, path)
+        assert (got[k]["host"], got[k]["path"], got[k]["rule"]) == (host, path, fits and fits[1]), url
+        assert got[k]["verdict"] == fits[0] if fits else got[k]["verdict"] in ("allow", "block")
+
+
+def slow_tree(paths, tree):
+    """Templates by recursion over one host's paths: ``{path: template}``."""
+    out = {}
+
+    def split(rows, template, level):
+        deeper = [r for r in rows if len(r[1]) > level]
+        out.update({r[0]: template for r in rows if len(r[1]) <= level})
+        total = sum(r[2] for r in deeper)
+        a, b = sum(r[3] for r in deeper), sum(r[4] for r in deeper)
+        groups = {}
+        for part in {r[1][level] for r in deeper}:
+            own = [r for r in deeper if r[1][level] == part]
+            n, x, y = (sum(r[k] for r in own) for k in (2, 3, 4))
+            share = a / (a + b) if a + b else 0
+            if n < tree.support or n < tree.share * total:
+                name = "*"
+            elif x + y == 0:
+                name = "{unknown}"
+            elif abs(x / (x + y) - share) > tree.z * (share * (1 - share) / (x + y)) ** 0.5 or (0 < share < 1 and (x == 0 or y == 0)):
+                name = part
+            else:
+                name = "{alike}"
+            groups.setdefault(name, []).extend(own)
+        for name, own in groups.items():
+            split(own, f"{template}/{name}", level + 1)
+
+    split(paths, "", 0)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_templates(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for host in ("a.com", "b.com"):
+        seen = set()
+        for _ in range(150):
+            lang, kind = rng.choice(["en", "de", "fr", "it"]), rng.choice(["news", "shop", "tag"])
+            path = f"/{lang}/{kind}/{rng.randrange(60)}" + ("/" if rng.random() < 0.2 else "/x" * rng.randrange(3))
+            if path not in seen:
+                seen.add(path)
+                bad = rng.random() < (0.9 if (lang, kind) == ("de", "shop") else 0.1)
+                known = rng.random() < 0.5 and lang != "it"
+                n = rng.randint(1, 3)
+                rows.append((host, path, n, n if known and not bad else 0, n if known and bad else 0))
+    frame = spark.createDataFrame(rows, "host string, path string, n long, allowed long, blocked long")
+    tree = U.Tree(depth=4)
+    got = {(r["host"], r["path"]): r for r in U.template_verdicts(frame, tree).collect()}
+    assert len(got) == len(rows)
+    for host in ("a.com", "b.com"):
+        own = [(p, [s for s in p.split("/") if s][:4], n, a, b) for h, p, n, a, b in rows if h == host]
+        want = slow_tree(own, tree)
+        for path, _, *_ in own:
+            assert got[host, path]["template"] == want[path], path
+            a = sum(r[3] for r in own if want[r[0]] == want[path])
+            b = sum(r[4] for r in own if want[r[0]] == want[path])
+            purity = (a + tree.strength * tree.prior) / (a + b + tree.strength)
+            assert got[host, path]["purity"] == pytest.approx(purity)
+            assert got[host, path]["verdict"] == ("block" if purity < tree.least else "allow")
+
+
+def test_a_bad_branch_is_rejected_and_its_siblings_are_not(spark):
+    rules = (U.Rule("block", "h.com", "/bad/"), U.Rule("allow", "h.com", "/good/"), U.Rule("block", "h.com", "/mixed/ads/"))
+    urls = [f"http://h.com/{part}/{k}" for part in ("bad", "good", "other") for k in range(20)]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in U.url_verdicts(frame, rules).collect()}
+    for k, url in enumerate(urls):
+        assert got[k]["verdict"] == ("block" if "/bad/" in url else "allow")
+    assert {got[k]["template"] for k in range(20)} == {"/bad/*"}
+
+
+def test_repeated_rows_and_no_rows(spark):
+    rows = [(1, "http://a.org/x"), (1, "http://a.org/x"), (None, "http://a.org/x"), (2, None), (2, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    got = U.url_verdicts(frame).collect()
+    assert len(got) == 5 and {r["verdict"] for r in got} == {"allow"}
+    assert U.url_verdicts(frame.limit(0)).count() == 0
