@@ -51,7 +51,7 @@ VALUE_VOCAB = f"""SELECT 1 AS src, row_number() OVER (ORDER BY grn) - 1 AS pos,
 MEAN_VOCAB = f"""SELECT 1 AS src, row_number() OVER (ORDER BY grn) - 1 AS pos, grn, 'MEANGrn' AS rfg
   FROM (SELECT DISTINCT 'MEAN-' || ({DAYPART.replace('dt', 'ts')}) AS grn FROM events)"""
 CAL_VOCAB = """SELECT 2 AS src, block * 100 + i AS pos, grn, 'RDTCal' AS rfg FROM (
-    SELECT 0 AS block, i, 'Year-' || i AS grn FROM (SELECT unnest(range(2023, 2026)) - 2000 AS k, unnest(range(2023, 2026)) AS i)
+    SELECT 0 AS block, i, 'Year-' || i AS grn FROM (SELECT unnest(range((SELECT min(year(ts)) FROM events), (SELECT max(year(ts)) + 1 FROM events))) AS i)
     UNION ALL SELECT 30, i, 'Month-' || i FROM (SELECT unnest(range(1, 13)) AS i)
     UNION ALL SELECT 31, i, 'Date-' || i FROM (SELECT unnest(range(1, 32)) AS i)
     UNION ALL SELECT 32, i, 'MEAN-' || ['Night', 'Morning', 'Afternoon', 'Evening'][i + 1]
@@ -211,6 +211,12 @@ SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, coalesce(pos // 25, 0) AS chunk,
 FROM customer LEFT JOIN placed ON user_id = c_custkey GROUP BY 1, 2"""
     sql["group_buckets"] = """SELECT c_custkey // 10 AS grp, count(DISTINCT c_custkey) AS n_entities,
   count(event_id) AS n_records FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1"""
+    sql["group_pruned_read"] = """SELECT user_id // 4 AS grp, CAST(user_id AS VARCHAR) AS pid, event_id AS rec_id, ts AS dt, value
+FROM events WHERE user_id // 4 IN (0, 2)"""
+    sql["group_hash_totals"] = """SELECT CAST(user_id AS VARCHAR) AS pid, CAST(1 AS BIGINT) AS groups, count(*) AS n_records
+FROM events GROUP BY 1"""
+    sql["group_big_ids"] = """SELECT 9007199254740992 + user_id AS pid, (9007199254740992 + user_id) // 3 AS grp, count(*) AS n
+FROM events GROUP BY 1, 2"""
     sql["union_groups"] = """SELECT CAST(user_id AS VARCHAR) AS pid, CAST(event_id AS VARCHAR) AS rec_id, ts AS dt,
   value, CAST(NULL AS DOUBLE) AS o_totalprice FROM events
 UNION ALL SELECT CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR), o_orderdate, NULL, o_totalprice FROM orders"""
@@ -250,6 +256,11 @@ SELECT case_id, CAST(coalesce(sum(n) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 24
         return with_(CASES, EV, BF7D) + f"{FILTER_COLUMNS} FROM obs WHERE {condition}"
 
     sql["daypart_morning"] = hours("hour(dt) BETWEEN 6 AND 11")
+    sql["daypart_afternoon"] = hours("hour(dt) BETWEEN 12 AND 17")
+    sql["value_predicate"] = with_(
+        CASES, EV, BF7D, "high AS (SELECT * FROM obs WHERE value > 25)"
+    ) + f"""{FILTER_COLUMNS} FROM high SEMI JOIN (SELECT case_id, rel_d FROM high GROUP BY 1, 2
+  HAVING count(DISTINCT dt) >= 2) USING (case_id, rel_d)"""
     sql["daypart_evening"] = hours("hour(dt) BETWEEN 18 AND 23")
     sql["daypart_legacy"] = hours("hour(dt) BETWEEN 12 AND 17")
     sql["custom_predicate"] = hours("dayofweek(dt) IN (0, 6)")
@@ -272,18 +283,23 @@ SELECT case_id, CAST(coalesce(sum(n) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 24
     sql["grain_tokens"] = with_(EV) + f"""SELECT rec_id, CAST(0 AS BIGINT) AS pos, event_type AS token,
   CAST(1 AS DOUBLE) AS weight FROM ev
 UNION ALL SELECT rec_id, 1, {VALUE_TOKEN}, value FROM ev WHERE event_type = 'purchase'"""
+    sql["grain_suffix_lists"] = with_(EV) + f"""SELECT rec_id, CAST(0 AS BIGINT) AS pos, event_type AS token,
+  CAST(1 AS DOUBLE) AS weight, 'Type' AS rfg, CAST(0 AS BIGINT) AS in_rfg FROM ev WHERE event_type <> 'view'
+UNION ALL SELECT rec_id, 1, {VALUE_TOKEN}, value, 'Amount', rec_id % 3 FROM ev WHERE event_type <> 'view'
+UNION ALL SELECT rec_id, CASE WHEN event_type = 'view' THEN 0 ELSE 2 END, 'MEAN-' || ({DAYPART}), 1, 'MEANGrn', 0 FROM ev"""
     sql["n2c_tokens"] = """SELECT event_id, 'value-' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS token FROM events"""
     sql["token_rows_with_unk"] = with_(CASES, EV, BF24H, empties("obs")) + f"""
 SELECT case_id, pid, rel_cp, rel_m, rel_w, rel_d, rel_h, rel_5min, dt, 'Events' || rec_id AS R,
   event_type || ',MEAN-' || ({DAYPART}) AS tokens, '1000,1000' AS weights FROM obs
 UNION ALL SELECT case_id, pid, 0, 0, 0, 0, 0, 0, NULL, NULL, 'UNK', '1000' FROM empty JOIN cases USING (case_id)"""
     one_value = "'value-' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)"
-    sql["one_tkn_in_5min"] = _slots(one_value, 288, BF24H, "UNK", "tkn")
+    sql["one_tkn_in_5min"] = _slots(one_value, 289, BF24H, "UNK", "tkn")
     sql["one_tkn_in_5min_tknidx"] = _slots(
         f"(SELECT idx FROM vocab WHERE grn = {VALUE_TOKEN})", 24, AF2H, "0", "tknidx", (vocab(VALUE_VOCAB),)
     )
 
     sql["vocab_build"] = _vocab_query(full_vocab())
+    sql["vocab_stored"] = sql["vocab_build"]
     sql["vocab_extend"] = _vocab_query(short_vocab("5MinInD", "DInCP"))
     sql["vocab_learn"] = with_(CASES, EV, BF24H, toks("obs", "full")) + """SELECT grn, 'All' AS rfg,
   row_number() OVER (ORDER BY grn) - 1 AS pos FROM (SELECT DISTINCT token AS grn FROM toks)"""
@@ -319,6 +335,52 @@ UNION ALL SELECT case_id, 0, 1, 0, 'UNK', 1.0 FROM empty"""
     sql["compress_cat_rows"] = with_(CASES, EV, BF7D, FULL_DAYS, toks("kept"), empties("kept")) + """
 SELECT case_id, rel_d, row_number() OVER (PARTITION BY case_id, rel_d ORDER BY dt, pos) - 1 AS pos, token, w AS weight
 FROM toks UNION ALL SELECT case_id, 0, 0, 'UNK', 1.0 FROM empty"""
+    sql["compress_cat_flat"] = with_(
+        CASES, EV, BF7D, FULL_DAYS, toks("kept"), empties("kept"),
+        "step_n AS (SELECT case_id, rel_d, count(*) AS n FROM kept GROUP BY ALL)",
+    ) + """SELECT case_id, rel_d, token, sum(w) AS weight FROM toks GROUP BY ALL
+UNION ALL SELECT case_id, rel_d, '5MinInD', CAST(n AS DOUBLE) FROM step_n
+UNION ALL SELECT case_id, 0, 'UNK', 1.0 FROM empty UNION ALL SELECT case_id, 0, '5MinInD', 1.0 FROM empty"""
+    def mean_day(cases=CASES, ev=EV, window=BF7D, keep=FULL_DAYS, method="mean", kind="short"):
+        return with_(
+            cases, ev, window, keep, toks("kept", kind),
+            rolled("step", "kept", "toks", "rel_d", "5MinInD", method), empties("kept"),
+            f"day AS (SELECT * FROM step WHERE m > 0 UNION ALL {unk_tokens(['5MinInD'], ', 0 AS rel_d')})",
+        ) + "SELECT case_id, rel_d, token, m / 1000.0 AS weight FROM day"
+
+    few = """ev AS (SELECT CAST(user_id AS VARCHAR) AS pid, event_id AS rec_id, ts AS dt,
+  CASE WHEN event_type = 'view' THEN 'UNK' ELSE event_type END AS event_type, value FROM events)"""
+    sql["compress_unknown"] = mean_day(ev=few)
+    twice = """ev AS (SELECT CAST(user_id AS VARCHAR) AS pid, event_id AS rec_id, ts AS dt, event_type, value FROM events
+  UNION ALL SELECT CAST(user_id AS VARCHAR), event_id, ts, 'view', 1.0 FROM events)"""
+    sql["repeated_records_single"] = mean_day(ev=twice, keep=WHOLE)
+    sql["repeated_records_array"] = sql["repeated_records_single"]
+    later = "(SELECT * REPLACE (ts + INTERVAL 3 YEAR AS ts) FROM events)"
+    dated = toks("kept", "full").split(" UNION ALL ")
+    dated = "toks AS (" + " UNION ALL ".join(p.removeprefix("toks AS (") for i, p in enumerate(dated) if i != 1)
+    sql["compress_later_years"] = mean_day(
+        CASES.replace("FROM events", f"FROM {later}"), EV.replace("FROM events", f"FROM {later}"), kind="full"
+    ).replace(toks("kept", "full"), dated)
+    one = [CASES.replace("CAST(user_id AS VARCHAR) AS pid", "'all' AS pid").replace("GROUP BY user_id, ts", "GROUP BY ts"),
+           EV.replace("CAST(user_id AS VARCHAR) AS pid", "'all' AS pid")]
+    sql["compress_crowded_entity"] = mean_day(*one, BF24H, WHOLE, "sum")
+
+    # Events numbered inside each entity; cases are told apart by all of
+    # (number, entity, time), so the twins join and group by the pair.
+    local = """numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS number FROM events)"""
+    local_cases = """cases AS (SELECT min(number) AS local_id, CAST(user_id AS VARCHAR) || '@' || ts AS case_id,
+  CAST(user_id AS VARCHAR) AS pid, ts AS pred_dt FROM numbered WHERE event_type = 'purchase' GROUP BY user_id, ts)"""
+    sql["local_ids_cases"] = with_(local, local_cases) + "SELECT local_id AS case_id, pid, pred_dt FROM cases"
+    sql["local_ids_recnum"] = with_(local, local_cases, EV) + f"""SELECT local_id AS case_id, pid, pred_dt, rec_num
+FROM cases JOIN ({_count(-DAY_US, 0)}) USING (case_id)"""
+    sql["local_ids_feature"] = mean_day(f"{local},\n{local_cases}").replace(
+        "SELECT case_id, rel_d, token, m / 1000.0 AS weight FROM day",
+        "SELECT local_id AS case_id, pid, pred_dt, rel_d, token, m / 1000.0 AS weight FROM day JOIN cases USING (case_id)",
+    )
+    sql["local_ids_store"] = with_(local, local_cases, EV) + f"""SELECT local_id AS case_id, pid, pred_dt,
+  CASE WHEN CAST(pid AS BIGINT) % 2 = 0 THEN rec_num ELSE -1 END AS nrow,
+  CASE WHEN CAST(pid AS BIGINT) % 2 = 1 THEN 'miss' WHEN rec_num = 0 THEN 'empty' ELSE 'hit' END AS status
+FROM cases JOIN ({_count(-DAY_US, 0)}) USING (case_id)"""
     sql["compress_custom_max"] = with_(
         CASES, EV, BF7D, FULL_DAYS, toks("kept", "full", weighted=True), empties("kept"),
         "step_n AS (SELECT case_id, rel_d, count(*) AS n FROM kept GROUP BY ALL)",
@@ -333,6 +395,12 @@ UNION ALL SELECT case_id, 0, 'UNK', 1.0 FROM empty UNION ALL SELECT case_id, 0,
     }
     columns = ", ".join(f"coalesce(max(m) FILTER (token = '{t}'), 0) / 1000.0 AS {c}" for c, t in names.items())
     sql["flatten_wide"] = with_(*MEAN_DAY) + f"SELECT case_id, rel_d, {columns} FROM day GROUP BY 1, 2"
+    every = ["UNK", "click", "error", "purchase", "signup", "view", "MEAN-Afternoon", "MEAN-Evening", "MEAN-Morning", "MEAN-Night", "5MinInD"]
+    columns = ", ".join(
+        f"coalesce(max(m) FILTER (token = '{t}'), 0) / 1000.0 AS {t.lower().replace('-', '_').replace('5minind', 'n_rows')}"
+        for t in every
+    )
+    sql["flatten_wide_all"] = with_(*MEAN_DAY) + f"SELECT case_id, rel_d, {columns} FROM day GROUP BY 1, 2"
     sql["relist_tokens"] = with_(*MEAN_DAY, short_vocab("5MinInD")) + f"""SELECT case_id, rel_d,
   {listed('token')} AS keys, {listed('m')} AS weights FROM day JOIN vocab ON token = grn GROUP BY 1, 2"""
 
@@ -389,6 +457,12 @@ FROM cases JOIN days_before d USING (case_id) JOIN after_lists a USING (case_id)
     sql["store_incremental"] = with_(*MEAN_DAY, short_vocab("5MinInD")) + f"""SELECT case_id, any_value(pid) AS pid,
   any_value(pred_dt) AS pred_dt, rel_d, {listed('idx')} AS keyidx, {listed('m')} AS wgt
 FROM day JOIN vocab ON token = grn JOIN cases USING (case_id) GROUP BY case_id, rel_d"""
+    for name in ("grown_vocabulary", "other_groups", "raced", "compacted", "stage_reuse"):
+        sql[f"store_{name}"] = sql["store_incremental"]
+    sql["store_size"] = with_(CASES, EV) + f"""SELECT count(*) AS n_cases, CAST(sum(n) AS BIGINT) AS n_rows FROM (
+  SELECT c.case_id, count(e.rec_id) AS n FROM cases c LEFT JOIN ev e ON c.pid = e.pid
+    AND e.dt >= c.pred_dt - to_microseconds({DAY_US}) AND e.dt < c.pred_dt
+  WHERE c.pred_dt < TIMESTAMP '2024-01-16' GROUP BY 1)"""
     sql["store_status"] = with_(CASES, EV) + f"""SELECT case_id, CASE WHEN early THEN n ELSE -1 END AS nrow,
   CASE WHEN NOT early THEN 'miss' WHEN n = 0 THEN 'empty' ELSE 'hit' END AS status FROM (
   SELECT c.case_id, c.pred_dt < TIMESTAMP '2024-01-16' AS early, count(e.rec_id) AS n FROM cases c LEFT JOIN ev e

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import (
@@ -20,7 +20,7 @@ from ..config import (
     Tokens,
     rolled,
 )
-from ..constants import LEVELS
+from ..constants import CASE_KEY, LEVELS
 from ..functions.hashing import entity_group
 from ..functions.timing import add_relative_time, bucket, daypart, micros
 from ..functions.tokens import number_to_token
@@ -30,15 +30,17 @@ from ..operators.nest import in_batches
 from ..operators.observe import check_period, observe, observed_count, record_count
 from ..operators.tokens import attach_tokens, one_token_per_slot
 from ..operators.vocab import (
+    Vocabulary,
     build_vocab,
     calendar_vocab,
+    calendar_years,
     extend_vocab,
     learn_vocab,
     vocab_conflicts,
     vocab_rows,
 )
 from ..plans.features import build_feature, build_features, compressed, token_state
-from ..session import configure, shared_folder
+from ..session import configure, scratch_folder, with_default_folder
 from ..sources.chain import align_to_leaf, collect_per_leaf, id_chain
 from ..sources.records import load_records, read_grouped, union_records, write_grouped
 from ..sources.store import FeatureStore, lists_from_json, lists_to_json
@@ -72,16 +74,29 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 _TABLES: dict[tuple[str, str, str], DataFrame] = {}
+_VOCABS: dict[tuple[str, str, str], Vocabulary] = {}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A test table; its schema is read once per application."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _TABLES:
-        _TABLES[key] = configure(spark).read.parquet(f"{sf}/{name}.parquet")
+        _TABLES[key] = configure(with_default_folder(spark)).read.parquet(f"{sf}/{name}.parquet")
     return _TABLES[key]
 
 
+def stored_vocab(spark, sf, name: str, tables: Callable[[], list[DataFrame]]) -> Vocabulary:
+    """A vocabulary that is learned and written once per application, and
+    read from then on."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _VOCABS:
+        learned = vocab_rows(tables())
+        path = f"{scratch_folder(spark, 'vocabulary')}"
+        learned.write.parquet(path)
+        _VOCABS[key] = Vocabulary.read(spark, path)
+    return _VOCABS[key]
+
+
 def event_source(spark, sf, *columns: str) -> RecordSource:
     return RecordSource("Events", table(spark, sf, "events"), "user_id", "event_id", "ts", columns)
 
@@ -126,25 +141,36 @@ def daypart_vocab(spark, sf) -> DataFrame:
     return learn_vocab(events, F.array(daypart_token()), "MEANGrn")
 
 
-def short_tokens(spark, sf, build: bool = False) -> Tokens:
-    """Event type and part of the day. Several features share one built
-    vocabulary."""
-    vocab = [event_vocab(spark, sf), daypart_vocab(spark, sf)]
-    vocab = build_vocab(vocab) if build else vocab
-    return Tokens("Short", [event_grain(), daypart_grain()], vocab=vocab)
+def calendar(spark, sf) -> DataFrame:
+    """Calendar tokens of the years that the events have."""
+    return calendar_vocab(spark, *calendar_years(table(spark, sf, "events"), "ts"))
+
+
+def full_tables(spark, sf) -> list[DataFrame]:
+    return [event_vocab(spark, sf), value_vocab(spark, sf), calendar(spark, sf)]
+
+
+def short_tables(spark, sf) -> list[DataFrame]:
+    return [event_vocab(spark, sf), daypart_vocab(spark, sf)]
+
+
+def short_tokens(spark, sf, **settings) -> Tokens:
+    """Event type and part of the day."""
+    vocab = stored_vocab(spark, sf, "short", lambda: short_tables(spark, sf))
+    return Tokens("Short", [event_grain(), daypart_grain()], vocab=vocab, **settings)
 
 
 def full_tokens(spark, sf, weighted: bool = False) -> Tokens:
     """Event type, binned value and calendar."""
-    vocab = [event_vocab(spark, sf), value_vocab(spark, sf), calendar_vocab(spark, 2023, 2025)]
+    vocab = stored_vocab(spark, sf, "full", lambda: full_tables(spark, sf))
     return Tokens("Full", [event_grain(), value_grain(weighted)], calendar="RDTCal", vocab=vocab)
 
 
 def event_feature(
-    spark, sf, steps, period=BF7D, flt=FULL_DAYS, tokens=None, methods=None, **layers
+    spark, sf, steps, period=BF7D, flt=FULL_DAYS, tokens=None, methods=None, source=None, **layers
 ) -> Feature:
     program = Compress(steps, methods=methods or {}, **(layers or {"focal_layers": ["CP"]}))
-    source = event_source(spark, sf, "event_type", "value")
+    source = source or event_source(spark, sf, "event_type", "value")
     return Feature(period, source, flt, tokens or short_tokens(spark, sf), program)
 
 
@@ -174,10 +200,10 @@ def thousandths(col) -> Column:
     return F.array_join(whole, ",")
 
 
-def long_rows(cases, feature, levels) -> DataFrame:
+def long_rows(cases, feature, levels, *keys: str, stored=None) -> DataFrame:
     """One row per case, bucket and token with its weight."""
-    state, vocab = compressed(cases, feature)
-    return cmp.decoded(state, vocab).select(case_number(), *rel_columns(levels), "token", "weight")
+    state, vocab = compressed(cases, feature, stored)
+    return cmp.decoded(state, vocab).select(case_number(), *keys, *rel_columns(levels), "token", "weight")
 
 
 # -- cases, ids, storage --------------------------------------------------
@@ -245,11 +271,40 @@ def records_per_entity(spark, sf):
     )
 
 
+def grouped_events(spark, sf, **grouping) -> str:
+    """Events written in storage groups."""
+    records = load_records(event_source(spark, sf, "value"))
+    path = scratch_folder(spark, "grouped")
+    write_grouped(records, path, **grouping)
+    return path
+
+
+@query
+def group_pruned_read(spark, sf):
+    """Two storage groups only: the others' folders are not opened."""
+    records = read_grouped(spark, grouped_events(spark, sf, range_size=4), [0, 2])
+    return records.select(F.col("grp").cast("bigint").alias("grp"), "pid", rec_number(), "dt", "value")
+
+
+@query
+def group_hash_totals(spark, sf):
+    """Groups by hash: every entity in one group, nothing lost."""
+    records = read_grouped(spark, grouped_events(spark, sf, groups=8))
+    entities = records.groupBy("pid").agg(F.count_distinct("grp").alias("groups"), F.count("*").alias("n_records"))
+    return entities.select("pid", "groups", "n_records")
+
+
+@query
+def group_big_ids(spark, sf):
+    """Ids beyond 2^53 keep their own groups."""
+    pid = F.lit(2**53).cast("bigint") + F.col("user_id")
+    records = table(spark, sf, "events").select(pid.alias("pid"))
+    return records.groupBy("pid", entity_group(F.col("pid"), range_size=3).alias("grp")).agg(F.count("*").alias("n"))
+
+
 @query
 def group_buckets(spark, sf):
-    path = f"{shared_folder(configure(spark))}/grouped-{uuid.uuid4().hex}"
-    write_grouped(load_records(event_source(spark, sf, "value")), path, range_size=10)
-    records = read_grouped(spark, path)
+    records = read_grouped(spark, grouped_events(spark, sf, range_size=10))
     per_entity = records.groupBy("pid").agg(F.count("*").alias("n"))
     entities = id_chain([("c_custkey", table(spark, sf, "customer"))])
     entities = entities.withColumnRenamed("c_custkey", "pid")
@@ -277,18 +332,16 @@ def union_groups(spark, sf):
 
 @query
 def check_periods(spark, sf):
-    cases = purchase_cases(spark, sf)
-    out = cases.select(case_number())
+    out, bounds = purchase_cases(spark, sf), []
     for name, period in {
         "bf24h": BF24H,
         "af2m10d": CheckPeriod.parse("Af2M10D"),
         "mixed": CheckPeriod("mixed", -1.5, 0.25, "D"),
     }.items():
-        bounds = check_period(cases, period).select(
-            case_number(), F.col("dt_start").alias(f"{name}_start"), F.col("dt_end").alias(f"{name}_end")
-        )
-        out = out.join(bounds, "case_id")
-    return out
+        names = {"dt_start": f"{name}_start", "dt_end": f"{name}_end"}
+        out = check_period(out, period).withColumnsRenamed(names)
+        bounds += names.values()
+    return out.select(case_number(), *bounds)
 
 
 def observed(spark, sf, period, **how) -> DataFrame:
@@ -373,7 +426,7 @@ def recnum_one_entity(spark, sf):
     events = table(spark, sf, "events").withColumn("everyone", F.lit("all"))
     records = load_records(RecordSource("Events", events, "everyone", "event_id", "ts", ()))
     cases = case_sets.trigger_cases(records, F.col("rec_id").cast("bigint"))
-    counts = record_count(cases, records, BF24H, width_us=3_600_000_000)
+    counts = record_count(cases, records, BF24H)
     return counts.select(case_number(), "rec_num")
 
 
@@ -405,6 +458,11 @@ def daypart_morning(spark, sf):
     return filtered(spark, sf, Filter("Morning", thresholds={}))
 
 
+@query
+def daypart_afternoon(spark, sf):
+    return filtered(spark, sf, Filter("Afternoon", thresholds={}))
+
+
 @query
 def daypart_evening(spark, sf):
     return filtered(spark, sf, Filter("Evening", thresholds={}))
@@ -421,6 +479,15 @@ def custom_predicate(spark, sf):
     return filtered(spark, sf, Filter("Weekend", thresholds={}, predicates=weekend))
 
 
+@query
+def value_predicate(spark, sf):
+    """A condition on a record's value, then whole days of such records."""
+    high = Filter("High", thresholds={"DTInD": 2}, predicates={"High": F.col("value") > 25})
+    plan = Feature(BF7D, event_source(spark, sf, "value"), high)
+    rows = build_feature(purchase_cases(spark, sf), plan)
+    return rows.select(case_number(), "pid", "pred_dt", rec_number(), "dt")
+
+
 @query
 def threshold_dtind(spark, sf):
     return filtered(spark, sf, FULL_DAYS)
@@ -468,6 +535,28 @@ def grain_tokens(spark, sf):
     return record_tokens(spark, sf, tokens)
 
 
+@query
+def grain_suffix_lists(spark, sf):
+    """A stored grain with its own group and place lists, beside one without."""
+    events = table(spark, sf, "events")
+    ids = [F.col("user_id").cast("string").alias("pid"), F.col("event_id").cast("string").alias("rec_id")]
+    stored = events.where(F.col("event_type") != "view").select(
+        *ids,
+        F.array("event_type", value_token()).alias("Pair_key"),
+        F.array(F.lit(1.0), F.col("value")).alias("Pair_wgt"),
+        F.array(F.lit("Type"), F.lit("Amount")).alias("Pair_rfg"),
+        F.array(F.lit(0), F.col("event_id") % 3).alias("Pair_keyInrfg"),
+    )
+    tokens = Tokens("Lists", [GrainTable("Pair", stored), daypart_grain()])
+    records = attach_tokens(load_records(event_source(spark, sf)), tokens)
+    lists = F.arrays_zip("tkn_key", "tkn_wgt", "tkn_rfg", "tkn_keyInrfg")
+    long = records.select(rec_number(), F.posexplode(lists).alias("pos", "t"))
+    return long.select(
+        "rec_id", F.col("pos").cast("bigint").alias("pos"), F.col("t.tkn_key").alias("token"),
+        F.col("t.tkn_wgt").alias("weight"), F.col("t.tkn_rfg").alias("rfg"), F.col("t.tkn_keyInrfg").alias("in_rfg"),
+    )
+
+
 @query
 def concat_tokens(spark, sf):
     return record_tokens(spark, sf, Tokens("All", [event_grain(), value_grain(True)], calendar="RDTCal"))
@@ -496,18 +585,18 @@ def one_tkn_in_5min(spark, sf):
     records = load_records(event_source(spark, sf, "value"))
     records = records.withColumn("token", number_to_token("value", F.col("value"), 1))
     rows = add_relative_time(observe(cases, records, BF24H))
-    dense = one_token_per_slot(cases, rows, F.col("token"), 288, F.lit("UNK"))
+    dense = one_token_per_slot(cases, rows, F.col("token"), BF24H, F.lit("UNK"))
     return dense.select(case_number(), F.array_join("tkn", ",").alias("tkn"))
 
 
 @query
 def one_tkn_in_5min_tknidx(spark, sf):
     cases = purchase_cases(spark, sf)
-    vocab = build_vocab([value_vocab(spark, sf)])
+    vocab = stored_vocab(spark, sf, "value", lambda: [value_vocab(spark, sf)])
     records = load_records(event_source(spark, sf, "value")).withColumn("grn", value_token())
     records = vocab.lookup(records, "grn").select("pid", "rec_id", "dt", "idx")
     rows = add_relative_time(observe(cases, records, AF2H))
-    dense = one_token_per_slot(cases, rows, F.col("idx"), 24, F.lit(0))
+    dense = one_token_per_slot(cases, rows, F.col("idx"), AF2H, F.lit(0))
     return dense.select(case_number(), joined("tkn").alias("tknidx"))
 
 
@@ -522,13 +611,20 @@ def vocab_columns(rows: DataFrame) -> DataFrame:
 
 @query
 def vocab_build(spark, sf):
-    tables = [event_vocab(spark, sf), value_vocab(spark, sf), calendar_vocab(spark, 2023, 2025)]
-    return vocab_columns(vocab_rows(tables))
+    return vocab_columns(vocab_rows(full_tables(spark, sf)))
+
+
+@query
+def vocab_stored(spark, sf):
+    """A vocabulary as it is read from its files, JSON text included."""
+    path = scratch_folder(spark, "vocabulary")
+    full_tokens(spark, sf).vocab.write(path, "json")
+    return vocab_columns(Vocabulary.read(spark, path, form="json").df)
 
 
 @query
 def vocab_extend(spark, sf):
-    vocab = build_vocab(short_tokens(spark, sf).vocab)
+    vocab = short_tokens(spark, sf).vocab
     return vocab_columns(extend_vocab(vocab.df, vocab.size, ["5MinInD", "DInCP"]))
 
 
@@ -611,6 +707,130 @@ def compress_cat_rows(spark, sf):
     return long.select(case_number(), *rel_columns(["D"]), "pos", F.col("grn").alias("token"), "weight")
 
 
+@query
+def compress_cat_flat(spark, sf):
+    """``cat`` on flat tokens: weights add up, unrounded."""
+    feature = event_feature(spark, sf, [rolled("5MinInD", "cat")], focal_layers=["CP", "D"])
+    return long_rows(purchase_cases(spark, sf), feature, ["D"])
+
+
+@query
+def compress_unknown(spark, sf):
+    """Tokens outside the vocabulary turn into the unknown one, flat or not."""
+    known = table(spark, sf, "events").where(F.col("event_type") != "view")
+    tables = [learn_vocab(known, F.array("event_type"), "EventGrn"), daypart_vocab(spark, sf)]
+    vocab = stored_vocab(spark, sf, "known", lambda: tables)
+    tokens = replace(short_tokens(spark, sf), vocab=vocab, on_unknown="unk")
+    feature = event_feature(spark, sf, [rolled("5MinInD", "mean")], tokens=tokens, focal_layers=["CP", "D"])
+    return long_rows(purchase_cases(spark, sf), feature, ["D"])
+
+
+def doubled_source(spark, sf) -> RecordSource:
+    """Every event twice under one id and time, the second time as a view of
+    value 1: rows that only their tokens tell apart."""
+    events = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type", "value")
+    again = events.withColumns({"event_type": F.lit("view"), "value": F.lit(1.0)})
+    return RecordSource("Twice", events.unionByName(again), "user_id", "event_id", "ts", ["event_type", "value"])
+
+
+def of_doubled(spark, sf, tokens: Tokens) -> DataFrame:
+    feature = event_feature(
+        spark, sf, [rolled("5MinInD", "mean")], flt=WHOLE, tokens=tokens, source=doubled_source(spark, sf),
+        focal_layers=["CP", "D"],
+    )
+    return long_rows(purchase_cases(spark, sf), feature, ["D"])
+
+
+@query
+def repeated_records_single(spark, sf):
+    return of_doubled(spark, sf, short_tokens(spark, sf))
+
+
+@query
+def repeated_records_array(spark, sf):
+    """The same from list-valued grains: no row is merged with another."""
+    grains = [
+        GrainColumn("EventGrn", lambda: F.array("event_type")),
+        GrainColumn("MEANGrn", lambda: F.array(daypart_token())),
+    ]
+    return of_doubled(spark, sf, replace(short_tokens(spark, sf), grains=grains))
+
+
+@query
+def compress_later_years(spark, sf):
+    """Events three years on: the calendar follows the data."""
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts") + F.expr("INTERVAL 3 YEARS"))
+    years = calendar_years(events, "ts")
+    vocab = stored_vocab(spark, sf, "later", lambda: [event_vocab(spark, sf), calendar_vocab(spark, *years)])
+    tokens = Tokens("Later", [event_grain()], calendar="RDTCal", vocab=vocab)
+    source = RecordSource("Events", events, "user_id", "event_id", "ts", ["event_type"])
+    records = load_records(replace(source, df=events.where(F.col("event_type") == "purchase")))
+    cases = case_sets.trigger_cases(records, F.col("rec_id").cast("bigint"))
+    feature = event_feature(
+        spark, sf, [rolled("5MinInD", "mean")], tokens=tokens, source=source, focal_layers=["CP", "D"]
+    )
+    return long_rows(cases, feature, ["D"])
+
+
+@query
+def compress_crowded_entity(spark, sf):
+    """All events as one entity's, every purchase a case."""
+    events = table(spark, sf, "events").withColumn("everyone", F.lit("all"))
+    source = RecordSource("Events", events, "everyone", "event_id", "ts", ["event_type", "value"])
+    records = load_records(replace(source, df=events.where(F.col("event_type") == "purchase")))
+    cases = case_sets.trigger_cases(records, F.col("rec_id").cast("bigint"))
+    feature = event_feature(
+        spark, sf, [rolled("5MinInD", "sum")], period=BF24H, flt=WHOLE, source=source, focal_layers=["CP", "D"]
+    )
+    return long_rows(cases, feature, ["D"])
+
+
+# -- record ids that repeat from entity to entity ---------------------------------
+
+
+def numbered_source(spark, sf, triggers: bool = False) -> RecordSource:
+    """Events numbered from 1 inside each entity."""
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint")
+    events = table(spark, sf, "events").withColumn("number", number)
+    events = events.where(F.col("event_type") == "purchase") if triggers else events
+    return RecordSource("Numbered", events, "user_id", "number", "ts", ["event_type", "value"])
+
+
+def numbered_cases(spark, sf) -> DataFrame:
+    records = load_records(numbered_source(spark, sf, triggers=True))
+    return case_sets.trigger_cases(records, F.col("rec_id").cast("bigint"))
+
+
+@query
+def local_ids_cases(spark, sf):
+    return numbered_cases(spark, sf).select(case_number(), "pid", "pred_dt")
+
+
+@query
+def local_ids_recnum(spark, sf):
+    counts = record_count(numbered_cases(spark, sf), load_records(numbered_source(spark, sf)), BF24H)
+    return counts.select(case_number(), "pid", "pred_dt", "rec_num")
+
+
+@query
+def local_ids_feature(spark, sf):
+    feature = event_feature(
+        spark, sf, [rolled("5MinInD", "mean")], source=numbered_source(spark, sf), focal_layers=["CP", "D"]
+    )
+    return long_rows(numbered_cases(spark, sf), feature, ["D"], "pid", "pred_dt")
+
+
+@query
+def local_ids_store(spark, sf):
+    """Half of the entities are stored: cases of the others are misses."""
+    cases, store = numbered_cases(spark, sf), new_store(spark)
+    feature = Feature(BF24H, numbered_source(spark, sf), WHOLE)
+    store.compute_missing(feature, cases.where(F.col("pid").cast("bigint") % 2 == 0))
+    return store.status(feature, cases).select(
+        case_number(), "pid", "pred_dt", F.coalesce(F.col("nrow"), F.lit(-1)).cast("bigint").alias("nrow"), "status"
+    )
+
+
 @query
 def compress_custom_max(spark, sf):
     highest = cmp.Method(
@@ -635,6 +855,17 @@ def flatten_wide(spark, sf):
     return wide.select(case_number(), *rel_columns(["D"]), *columns)
 
 
+@query
+def flatten_wide_all(spark, sf):
+    """One column per token of the whole vocabulary."""
+    feature = event_feature(spark, sf, [rolled("5MinInD", "mean")], focal_layers=["CP", "D"])
+    state, vocab = compressed(purchase_cases(spark, sf), feature)
+    rows = cmp.wide(state, vocab)
+    names = [c for c in rows.columns if c not in (*CASE_KEY, *LEVELS)]
+    columns = [F.col(f"`{n}`").alias(n.lower().replace("-", "_").replace("5minind", "n_rows")) for n in names]
+    return rows.select(case_number(), *rel_columns(["D"]), *columns)
+
+
 @query
 def relist_tokens(spark, sf):
     feature = event_feature(spark, sf, [rolled("5MinInD", "mean")], focal_layers=["CP", "D"])
@@ -714,7 +945,7 @@ def nested_layers(spark, sf):
 def multi_feature(spark, sf):
     cases = purchase_cases(spark, sf)
     source = event_source(spark, sf, "event_type", "value")
-    tokens = short_tokens(spark, sf, build=True)
+    tokens = short_tokens(spark, sf)
     by_day = Feature(
         BF7D, source, FULL_DAYS, tokens,
         Compress([rolled("5MinInD", "mean")], focal_layers=["CP", "D"]), alias="days_before",
@@ -745,8 +976,7 @@ def stored_feature(spark, sf) -> Feature:
 
 
 def new_store(spark) -> FeatureStore:
-    folder = f"{shared_folder(configure(spark))}/store-{uuid.uuid4().hex}"
-    return FeatureStore(spark, folder, groups=8)
+    return FeatureStore(spark, scratch_folder(with_default_folder(spark), "store"), groups=8)
 
 
 def early(cases: DataFrame) -> DataFrame:
@@ -765,6 +995,73 @@ def store_incremental(spark, sf):
     )
 
 
+def stored_rows(rows) -> DataFrame:
+    return rows.select(
+        case_number(), "pid", "pred_dt", *rel_columns(["D"]),
+        joined("keyidx").alias("keyidx"), thousandths("wgt").alias("wgt"),
+    )
+
+
+@query
+def store_grown_vocabulary(spark, sf):
+    """A first run with a vocabulary of two event types, a second one with
+    all: nothing of the first is taken over."""
+    cases, store = purchase_cases(spark, sf), new_store(spark)
+    few = table(spark, sf, "events").where(F.col("event_type").isin("purchase", "view"))
+    tables = [learn_vocab(few, F.array("event_type"), "EventGrn"), daypart_vocab(spark, sf)]
+    feature = stored_feature(spark, sf)
+    tokens = replace(feature.tokens, vocab=build_vocab(tables), on_unknown="drop")
+    store.compute_missing(replace(feature, tokens=tokens), cases)
+    tokens = replace(feature.tokens, on_unknown="drop")
+    return stored_rows(store.compute_missing(replace(feature, tokens=tokens), cases))
+
+
+@query
+def store_other_groups(spark, sf):
+    """Written in 8 storage groups, reopened with 3, continued, read."""
+    cases, feature, store = purchase_cases(spark, sf), stored_feature(spark, sf), new_store(spark)
+    store.compute_missing(feature, early(cases))
+    store.groups = 3
+    return stored_rows(store.compute_missing(feature, cases))
+
+
+@query
+def store_raced(spark, sf):
+    """Two runs that both took every case for missing."""
+    cases, feature, store = purchase_cases(spark, sf), stored_feature(spark, sf), new_store(spark)
+    for _ in range(2):
+        store._publish(feature, cases, build_feature(cases, feature))
+    return stored_rows(store.read(feature, cases))
+
+
+@query
+def store_compacted(spark, sf):
+    """Two runs, rewritten as one; the old ones are deleted."""
+    cases, feature, store = purchase_cases(spark, sf), stored_feature(spark, sf), new_store(spark)
+    store.compute_missing(feature, early(cases))
+    store.compute_missing(feature, cases)
+    store.compact(feature, cases)
+    return stored_rows(store.read(feature, cases))
+
+
+@query
+def store_size(spark, sf):
+    """Stored cases and rows after a first run."""
+    cases, store = purchase_cases(spark, sf), new_store(spark)
+    feature = Feature(BF24H, event_source(spark, sf), WHOLE)
+    store.compute_missing(feature, early(cases))
+    return store.size(feature, cases)
+
+
+@query
+def store_stage_reuse(spark, sf):
+    """Compressed from stored token rows, not from the records."""
+    cases, feature, store = purchase_cases(spark, sf), stored_feature(spark, sf), new_store(spark)
+    stage = replace(feature, compress=None)
+    store.compute_missing(stage, early(cases))
+    return stored_rows(store.compute_missing(feature, cases, stage=stage))
+
+
 @query
 def store_status(spark, sf):
     """After a first run over the early cases: hit, known empty, or miss."""
@@ -781,11 +1078,10 @@ def store_json(spark, sf):
     """Feature rows through JSON text and back, next to their text."""
     rows = with_suffixes(spark, sf, ["rfg"]).select("case_id", "pred_dt", "D", "keyidx", "rfgidx")
     text = lists_to_json(rows)
-    back = lists_from_json(text, rows.schema)
-    matched = back.select("case_id", "D", "pred_dt", joined("keyidx").alias("keyidx"))
-    texts = text.select("case_id", "D", F.col("rfgidx").alias("rfgidx_json"), F.col("pred_dt").alias("pred_dt_text"))
-    return matched.join(texts, ["case_id", "D"]).select(
-        case_number(), *rel_columns(["D"]), "pred_dt", "pred_dt_text", "keyidx", "rfgidx_json"
+    kept = [F.col("rfgidx").alias("rfgidx_json"), F.col("pred_dt").alias("pred_dt_text")]
+    both = lists_from_json(text.select("*", *kept), rows.schema, ["rfgidx_json", "pred_dt_text"])
+    return both.select(
+        case_number(), *rel_columns(["D"]), "pred_dt", "pred_dt_text", joined("keyidx").alias("keyidx"), "rfgidx_json"
     )
 
 
@@ -795,10 +1091,7 @@ def store_json(spark, sf):
 def before_and_after(spark, sf, after=AFTER_TRIGGER["Af24H"]) -> tuple[DataFrame, DataFrame]:
     cases = purchase_cases(spark, sf)
     records = load_records(event_source(spark, sf))
-    counts = record_count(cases, records, BF24H, "n_before").join(
-        record_count(cases, records, after, "n_after"), "case_id"
-    )
-    return cases, counts
+    return cases, record_count(cases, records, {"n_before": BF24H, "n_after": after})
 
 
 @query

@@ -83,15 +83,16 @@ class Filter:
     """Row predicate by name plus completeness thresholds ``{"DTInD": 3}``.
 
     ``thresholds=None`` takes the defaults of the record type, ``share=None``
-    the share of the filter name. ``predicates`` adds named predicates
-    ``name -> (dt column -> condition)`` for this feature only.
+    the share of the filter name. ``predicates`` adds named predicates for
+    this feature only: a condition over the record's columns (``dt`` and
+    those the source lists), or a function of the time column.
     """
 
     name: str = "Whl"
     share: float | None = None
     thresholds: Mapping[str, float] | None = None
     legacy_dayparts: bool = False
-    predicates: Mapping[str, Callable[[Column], Column]] = field(default_factory=dict)
+    predicates: Mapping[str, Column | Callable[[Column], Column]] = field(default_factory=dict)
 
     def rules_for(self, record_name: str) -> dict[str, float]:
         """Active rules in order with the share applied; zeros are left out."""
@@ -314,38 +315,63 @@ class Feature:
 
     @property
     def config_hash(self) -> str:
-        """Tells apart features that share a name but not their settings."""
+        """Tells apart features that share a name but not their settings:
+        columns enter by their expressions, a built vocabulary by a hash of
+        its rows. Code behind the same expressions (a Python function outside
+        Spark, a table of the same name) is told apart by ``version``."""
+        source, flt, tokens, program = self.source, self.filter, self.tokens, self.compress
         described = {
             "version": self.version,
             "period": [self.period.start_us, self.period.end_us, self.period.start_exclusive],
-            "source": self.source
-            and [self.source.name, self.source.dt, _plain(self.source.columns)],
-            "filter": self.filter
+            "source": source
+            and [source.name, source.pid, source.rec_id, source.dt, _plain(source.columns), source.text_ids,
+                 source.df.schema.simpleString()],
+            "filter": flt
             and [
-                self.filter.name,
-                self.filter.legacy_dayparts,
-                self.filter.rules_for(self.source.name),
-                sorted(self.filter.predicates),
+                flt.name,
+                flt.legacy_dayparts,
+                flt.rules_for(source.name),
+                [[k, _expression(p if isinstance(p, Column) else p(F.col("dt")))] for k, p in sorted(flt.predicates.items())],
             ],
-            "tokens": self.tokens
+            "tokens": tokens
             and [
-                self.tokens.name,
-                [g.name for g in self.tokens.grains],
-                self.tokens.calendar,
-                self.tokens.unk,
-                self.tokens.on_unknown,
+                tokens.name,
+                [_grain(g) for g in tokens.grains],
+                tokens.calendar,
+                tokens.unk,
+                tokens.on_unknown,
+                getattr(tokens.vocab, "fingerprint", None),
             ],
-            "compress": self.compress
+            "compress": program
             and [
-                [[s.rule, [_plain(a) for a in s.actions]] for s in self.compress.steps],
-                list(self.compress.prefix_layers),
-                list(self.compress.focal_layers),
-                sorted(self.compress.methods),
+                [[s.rule, [_plain(a) for a in s.actions]] for s in program.steps],
+                list(program.prefix_layers),
+                list(program.focal_layers),
+                [[k, _method(m)] for k, m in sorted(program.methods.items())],
             ],
         }
         return hashlib.sha256(json.dumps(described).encode()).hexdigest()[:16]
 
 
+def _expression(column: Column) -> str:
+    """A column as text; the names of lambda variables are numbered anew."""
+    names: dict[str, str] = {}
+    return re.sub(r"\b[xyz]_\d+\b", lambda m: names.setdefault(m[0], f"v{len(names)}"), str(column))
+
+
+def _grain(grain: GrainTable | GrainColumn) -> list:
+    if isinstance(grain, GrainTable):
+        return [grain.name, grain.df.schema.simpleString()]
+    parts = [grain.key(), grain.wgt() if grain.wgt else []]
+    return [grain.name, *[[_expression(c) for c in ([p] if isinstance(p, Column) else p)] for p in parts]]
+
+
+def _method(method) -> list:
+    value, present, rows = F.col("value"), F.col("present"), F.col("rows")
+    merge = method.merge and _expression(method.merge(value))
+    return [_expression(method.agg(value)), _expression(method.finish(value, present, rows)), method.rounded, method.linear, merge]
+
+
 def _plain(value):
     if isinstance(value, (list, tuple)):
         return [_plain(v) for v in value]

@@ -1,5 +1,9 @@
 """Results depend on these names, numbers and orders."""
 
+# A case is an entity and an observation time; its name goes along. Record ids
+# may repeat from one entity to the next, so the name alone is no key.
+CASE_KEY = ("case_id", "pid", "pred_dt")
+
 # Time hierarchy of a record relative to its case, coarse to fine.
 LEVELS = ("CP", "M", "W", "D", "H", "5Min")
 

@@ -21,5 +21,8 @@ def below_ratio(key: Column, ratio: float, seed: str = "") -> Column:
 def entity_group(pid: Column, range_size: int | None = None, groups: int = 64) -> Column:
     """Storage group of an entity: id range for numeric ids, hash otherwise."""
     if range_size is not None:
-        return F.floor(pid.cast("bigint") / range_size).cast("bigint")
+        # In decimals: a double would round ids above 2^53.
+        number, size = pid.cast("bigint"), F.lit(range_size).cast("bigint")
+        whole = (number - F.pmod(number, size)).cast("decimal(20,0)")
+        return (whole / size.cast("decimal(20,0)")).cast("bigint")
     return F.pmod(F.xxhash64(pid), F.lit(groups)).cast("bigint")

@@ -54,6 +54,18 @@ def add_relative_time(df: DataFrame) -> DataFrame:
     return df.withColumns({level: columns[level] for level in LEVELS}).drop(DISTANCE)
 
 
+def level_micros(level: str) -> int:
+    """Length of one bucket of a level."""
+    width = SECONDS_IN_5MIN * 1_000_000
+    for name, finer in FINER_PER_LEVEL.items():
+        if level == "5Min":
+            break
+        width *= finer
+        if name == level:
+            break
+    return width
+
+
 def coarser(level: str, target: str) -> Column:
     """The ``target`` bucket that holds a bucket of the finer ``level``."""
     if target == "CP":

@@ -5,18 +5,20 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import CASE_KEY
 from ..functions.hashing import HASH_RANGE, below_ratio, stable_hash
+from .ranking import with_rank
 
 SPLITS = ("in_train", "in_valid", "in_test", "out_test")
 
 
 def trigger_cases(records: DataFrame, case_id: Column | None = None) -> DataFrame:
     """Every distinct (pid, dt) of a record type is a case. The smallest
-    ``case_id`` (default: the record id) names it; a number keeps all later
-    grouping on fixed-width keys."""
+    ``case_id`` (default: the record id) names it. Names may repeat from one
+    entity to the next: a case's key is its name, entity and time together."""
     case_id = F.col("rec_id") if case_id is None else case_id
     keys = ["pid", F.col("dt").alias("pred_dt")]
     return records.groupBy(*keys).agg(F.min(case_id).alias("case_id"))
@@ -26,10 +28,7 @@ def entity_groups(entities: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """Entities with ``group_id``: the rank of their attribute combination.
     Only the distinct combinations are ranked."""
     combos = entities.select(*attributes).distinct()
-    ranked = combos.select(
-        *attributes,
-        (F.dense_rank().over(Window.orderBy(*attributes)) - 1).cast("bigint").alias("group_id"),
-    )
+    ranked = with_rank(combos, attributes, "group_id")
     matches = [F.col(f"e.{a}").eqNullSafe(F.col(f"g.{a}")) for a in attributes]
     joined = entities.alias("e").join(ranked.alias("g"), matches, "left")
     return joined.select("e.*", "g.group_id")
@@ -38,7 +37,7 @@ def entity_groups(entities: DataFrame, attributes: Sequence[str]) -> DataFrame:
 def filter_cases(cases: DataFrame, counts: DataFrame, condition: Column) -> DataFrame:
     """Keep the cases whose feature values (one row per case) satisfy the
     condition, e.g. enough records before and after."""
-    return cases.join(counts.where(condition).select("case_id"), "case_id", "left_semi")
+    return cases.join(counts.where(condition).select(*CASE_KEY), list(CASE_KEY), "left_semi")
 
 
 def downsample(cases: DataFrame, ratio: float, seed: str = "downsample") -> DataFrame:

@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Compress, split_rule
-from ..constants import LEVELS, UNIT_MICROS, UNK_IDX
+from ..constants import CASE_KEY, LEVELS, UNIT_MICROS, UNK_IDX
 from ..functions.timing import bucket, coarser, micros
 from ..functions.tokens import each, last_per_idx, rank_in_group, token_entry
+from ..session import materialize
 from .observe import CELL
 from .ranking import with_position
 from .vocab import Vocabulary
@@ -27,6 +28,9 @@ from .vocab import Vocabulary
 # Id of the entry that stands for the row itself while tokens are summed.
 ROW_IDX = -1
 
+# Columns of a wide table at most.
+MAX_COLUMNS = 5_000
+
 
 @dataclass(frozen=True)
 class Method:
@@ -95,8 +99,8 @@ def start(
     ``[UNK]`` row per case runs along until the first roll-up shows which
     cases have rows, so no second pass over the observation is needed to find
     the empty ones."""
-    cell = [c for c in CELL if c in observed.columns]
-    rows = observed.select("case_id", *LEVELS, "dt", "rec_id", "tok", *cell)
+    cell = [c for c in CELL if c in observed.columns and c not in CASE_KEY]
+    rows = observed.select(*CASE_KEY, *LEVELS, "dt", "rec_id", "tok", *cell)
     stand_in = None
     if cases is not None:
         columns = {level: F.lit(0).cast("bigint") for level in LEVELS}
@@ -105,7 +109,7 @@ def start(
         columns.update({c: F.lit(None).cast(rows.schema[c].dataType) for c in cell})
         group = F.lit(vocab.special[vocab.unk][1]) if rfg else None
         columns["tok"] = F.array(token_entry(F.lit(UNK_IDX), F.lit(1.0), group))
-        stand_in = cases.select("case_id", *[columns[c].alias(c) for c in rows.columns[1:]])
+        stand_in = cases.select(*CASE_KEY, *[columns[c].alias(c) for c in rows.columns[len(CASE_KEY) :]])
     order = ("dt", "rec_id")
     return State(rows, LEVELS, order, stand_in, unique=unique, rfg=rfg, cell=tuple(cell))
 
@@ -131,7 +135,7 @@ def _settled(state: State, level: str, prefix: Sequence[str], rows: DataFrame) -
     """Drop the stand-ins of cases that have rows of their own, and bring
     back the levels above ``level``: each follows from the finer one."""
     if state.stand_in is not None:
-        has_rows = F.max(F.col(level).isNotNull()).over(Window.partitionBy("case_id"))
+        has_rows = F.max(F.col(level).isNotNull()).over(Window.partitionBy(*CASE_KEY))
         rows = rows.withColumn("__has", has_rows)
         rows = rows.where(F.col(level).isNotNull() | ~F.col("__has")).drop("__has")
         rows = rows.withColumn(level, F.coalesce(level, F.lit(0).cast("bigint")))
@@ -160,14 +164,14 @@ def roll_up(state: State, rule: str, method: Method, vocab: Vocabulary) -> State
 
     def sums(rows: DataFrame) -> DataFrame:
         long = rows.select(
-            "case_id", level, *state.cell, F.explode(F.concat(row, F.col("tok"))).alias("t")
+            *CASE_KEY, level, *state.cell, F.explode(F.concat(row, F.col("tok"))).alias("t")
         )
         weight = F.col("t.w") / 1000 if natural else F.col("t.w")
         fields = ["t.idx", *[f"t.{g}" for g in group], weight.alias("weight")]
-        long = long.select("case_id", level, *state.cell, *fields)
+        long = long.select(*CASE_KEY, level, *state.cell, *fields)
         # Grouping by the join's cell as well needs no shuffle after it.
         by = state.cell if merged else ()
-        summed = long.groupBy("case_id", *by, level, "idx").agg(
+        summed = long.groupBy(*CASE_KEY, *by, level, "idx").agg(
             *same_group, method.agg(F.col("weight")).alias("v"), F.count("*").alias("present")
         )
         return summed.drop(*by)
@@ -176,12 +180,12 @@ def roll_up(state: State, rule: str, method: Method, vocab: Vocabulary) -> State
     if state.raw:
         # The one shuffle after the join. From here on a case is small (time
         # buckets x vocabulary) and placed by case for all later steps.
-        summed = summed.repartition("case_id")
+        summed = summed.repartition(*CASE_KEY)
     if merged:
-        summed = summed.groupBy("case_id", level, "idx").agg(
+        summed = summed.groupBy(*CASE_KEY, level, "idx").agg(
             *same_group, method.merge(F.col("v")).alias("v"), F.sum("present").alias("present")
         )
-    grouped = summed.groupBy("case_id", level).agg(
+    grouped = summed.groupBy(*CASE_KEY, level).agg(
         F.max(F.when(F.col("idx") == ROW_IDX, F.col("present"))).alias("n"),
         F.collect_list(F.struct("idx", *group, "v", "present")).alias("e"),
     )
@@ -224,7 +228,7 @@ def concatenate(state: State, rule: str) -> State:
     ordered = F.sort_array(F.collect_list(F.struct(*state.order, *columns)))
 
     def gathered(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("case_id", level).agg(ordered.alias("e"), F.count("*").alias(rule))
+        return rows.groupBy(*CASE_KEY, level).agg(ordered.alias("e"), F.count("*").alias(rule))
 
     grouped = _settled(state, level, prefix, _gathered(state, level, gathered))
     joined = {c: F.flatten(each(F.col("e"), c)) for c in columns}
@@ -238,28 +242,30 @@ def concatenate(state: State, rule: str) -> State:
 def fill_empty(state: State) -> State:
     """Without a roll-up, the cases without rows are found by an anti join
     and keep their stand-ins."""
-    empty = state.stand_in.join(state.rows.select("case_id").distinct(), "case_id", "left_anti")
+    empty = state.stand_in.join(state.rows.select(*CASE_KEY).distinct(), list(CASE_KEY), "left_anti")
     return replace(state, rows=state.rows.unionByName(empty), stand_in=None)
 
 
 def concatenated_rows(
     state: State, rule: str, cell_us: int = UNIT_MICROS["H"]
 ) -> DataFrame:
-    """``cat`` of single records as rows ``(case_id, levels, pos, idx, w)``
+    """``cat`` of single records as rows ``(case, levels, pos, idx, w)``
     instead of lists, for windows that may hold any number of records. The
     place of each entry comes from counts per time cell of ``cell_us``."""
     level = split_rule(rule)[1]
     prefix = state.prefix[: state.prefix.index(level) + 1]
+    # Written once: empty cases, counts and ranks are three passes over it.
+    state = replace(state, rows=materialize(state.rows))
     rows = fill_empty(state).rows.withColumn("size", F.size("tok"))
     cell = F.coalesce(bucket(micros(rows, "dt"), cell_us), F.lit(0).cast("bigint"))
     placed = with_position(
-        rows.select("case_id", level, *state.order, "tok", "size"),
-        ["case_id", level], cell, state.order, "first", "size",
+        rows.select(*CASE_KEY, level, *state.order, "tok", "size"),
+        [*CASE_KEY, level], cell, state.order, "first", "size",
     )
-    long = placed.select("case_id", level, "first", F.posexplode("tok").alias("i", "t"))
+    long = placed.select(*CASE_KEY, level, "first", F.posexplode("tok").alias("i", "t"))
     levels = [coarser(level, c).alias(c) if c != level else F.col(c) for c in prefix]
     return long.select(
-        "case_id", *levels, (F.col("first") + F.col("i")).alias("pos"), "t.idx", F.col("t.w").alias("weight")
+        *CASE_KEY, *levels, (F.col("first") + F.col("i")).alias("pos"), "t.idx", F.col("t.w").alias("weight")
     )
 
 
@@ -295,11 +301,11 @@ def _bucket_index(rows: DataFrame, rule: str, raw: bool) -> DataFrame:
     source, target = split_rule(rule)
     # Rows of single records run from old to new, so buckets count down.
     order = F.desc(source) if raw else F.asc(source)
-    index = F.dense_rank().over(Window.partitionBy("case_id", target).orderBy(order)) - 1
+    index = F.dense_rank().over(Window.partitionBy(*CASE_KEY, target).orderBy(order)) - 1
     if not raw:
         return rows.withColumn("__i", index)
     # Records have no bound per case: rank their distinct buckets only.
-    keys = ["case_id", target, source]
+    keys = [*CASE_KEY, target, source]
     return rows.join(rows.select(*keys).distinct().withColumn("__i", index), keys)
 
 
@@ -346,16 +352,22 @@ def value_columns(state: State) -> dict[str, Column]:
 def decoded(state: State, vocab: Vocabulary) -> DataFrame:
     """Long form with token names: one row per list entry."""
     weight = weight_of(state)
-    kept = ["case_id", *state.prefix, *state.counts]
+    kept = [*CASE_KEY, *state.prefix, *state.counts]
     long = state.rows.select(*kept, F.posexplode("tok").alias("pos", "t"))
     long = long.select(*kept, "pos", "t.idx", weight(F.col("t")).alias("weight"))
     names = vocab.lookup(long, "idx", by="idx")
     return names.select(*kept, "pos", "idx", F.col("grn").alias("token"), "rfg", "rfg_idx", "weight")
 
 
-def wide(state: State, vocab: Vocabulary, tokens: Sequence[str]) -> DataFrame:
-    """Flat tokens as one column per named token, absent ones 0."""
+def wide(state: State, vocab: Vocabulary, tokens: Sequence[str] | None = None) -> DataFrame:
+    """Flat tokens as one column per named token, absent ones 0; by default
+    one per token of the vocabulary, in its order. A table of more than
+    ``MAX_COLUMNS`` columns is refused: take the long form then."""
+    if tokens is None:
+        if vocab.size > MAX_COLUMNS:
+            raise ValueError(f"{vocab.size} tokens are too many columns; name the ones wanted")
+        tokens = [r.grn for r in vocab.df.select("idx", "grn").orderBy("idx").collect()]
     long = decoded(state, vocab)
-    by_row = ["case_id", *state.prefix]
+    by_row = [*CASE_KEY, *state.prefix]
     pivoted = long.groupBy(*by_row).pivot("token", list(tokens)).agg(F.first("weight"))
     return pivoted.na.fill(0.0, list(tokens))

@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CheckPeriod, Filter, split_rule
-from ..constants import DAYPART_HOURS, FINER_PER_LEVEL, LEGACY_DAYPART_HOURS, LEVELS, SECONDS_IN_5MIN
-from ..functions.timing import add_relative_time, in_hours
+from ..constants import CASE_KEY, DAYPART_HOURS, LEGACY_DAYPART_HOURS, LEVELS
+from ..functions.timing import in_hours, level_micros
 
 # Good buckets of a case travel as a list on the case up to this many;
 # beyond, rows are kept by a semi join.
 MAX_LISTED_BUCKETS = 256
 
 
-def filter_rows(rows: DataFrame, flt: Filter) -> DataFrame:
-    """Apply the predicate the filter names; ``Whl`` keeps everything."""
+def filter_rows(records: DataFrame, flt: Filter) -> DataFrame:
+    """Apply the predicate the filter names; ``Whl`` keeps everything. A
+    predicate looks at one record, so it runs before records meet cases."""
     if flt.name == "Whl":
-        return rows
+        return records
     if flt.name in flt.predicates:
-        return rows.where(flt.predicates[flt.name](F.col("dt")))
+        predicate = flt.predicates[flt.name]
+        return records.where(predicate if isinstance(predicate, Column) else predicate(F.col("dt")))
     hours = LEGACY_DAYPART_HOURS if flt.legacy_dayparts else DAYPART_HOURS
     if flt.name not in hours:
         raise ValueError(f"unknown filter {flt.name!r}")
-    return rows.where(in_hours(F.col("dt"), hours[flt.name]))
+    return records.where(in_hours(F.col("dt"), hours[flt.name]))
 
 
 def counts_bare_times(rules: dict[str, float]) -> bool:
@@ -47,9 +49,9 @@ def good_buckets(rows: DataFrame, rules: dict[str, float], distinct_times: bool
         source, target = (as_column.get(p, p) for p in split_rule(rule))
         plain = distinct_times and source == "dt"
         n = F.count("*") if plain else F.count_distinct(source)
-        good = rows.groupBy("case_id", target).agg(n.alias("n")).where(F.col("n") >= need)
-        good = good.select("case_id", target)
-        rows = rows.join(good, ["case_id", target], "left_semi")
+        good = rows.groupBy(*CASE_KEY, target).agg(n.alias("n")).where(F.col("n") >= need)
+        good = good.select(*CASE_KEY, target)
+        rows = rows.join(good, good.columns, "left_semi")
         found.append(good)
     return found
 
@@ -60,22 +62,15 @@ def can_be_listed(target: str, period: CheckPeriod) -> bool:
         return False
     if target == "CP":
         return True
-    seconds = SECONDS_IN_5MIN
-    for level, finer in FINER_PER_LEVEL.items():
-        if target == "5Min":
-            break
-        seconds *= finer
-        if level == target:
-            break
-    return period.length_us // (seconds * 1_000_000) + 2 <= MAX_LISTED_BUCKETS
+    return period.length_us // level_micros(target) + 2 <= MAX_LISTED_BUCKETS
 
 
 def with_good_lists(cases: DataFrame, listed: list[DataFrame]) -> DataFrame:
     """Cases that can have rows, each with its good buckets per rule."""
     for i, good in enumerate(listed):
-        target = good.columns[1]
-        lists = good.groupBy("case_id").agg(F.collect_list(target).alias(f"__good{i}"))
-        cases = cases.join(lists, "case_id")
+        target = good.columns[-1]
+        lists = good.groupBy(*CASE_KEY).agg(F.collect_list(target).alias(f"__good{i}"))
+        cases = cases.join(lists, list(CASE_KEY))
     return cases
 
 
@@ -83,19 +78,5 @@ def keep_listed(rows: DataFrame, listed: list[DataFrame]) -> DataFrame:
     """Rows whose bucket is among the case's good ones."""
     for i, good in enumerate(listed):
         name = f"__good{i}"
-        rows = rows.where(F.array_contains(name, F.col(good.columns[1]))).drop(name)
-    return rows
-
-
-def relative_rows(observed: DataFrame, flt: Filter) -> DataFrame:
-    """Rows that satisfy the predicate, with their relative times."""
-    return add_relative_time(filter_rows(observed, flt))
-
-
-def apply_filter(observed: DataFrame, flt: Filter, record_name: str) -> DataFrame:
-    """Predicate, relative time and thresholds on an observation. The
-    relative-time columns stay: later stages need them."""
-    rows = relative_rows(observed, flt)
-    for good in good_buckets(rows, flt.rules_for(record_name)):
-        rows = rows.join(good, good.columns, "left_semi")
+        rows = rows.where(F.array_contains(name, F.col(good.columns[-1]))).drop(name)
     return rows

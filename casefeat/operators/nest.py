@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import CASE_KEY
 from ..functions.hashing import stable_hash
 from ..functions.tokens import each
 from .ranking import with_position
 
+CELL_CASES = 10_000
+
 
 def nest(
     rows: DataFrame, prefix: Sequence[str], focal: Sequence[str], values: Sequence[str]
@@ -20,7 +23,7 @@ def nest(
     inner = list(focal)
     for depth in range(len(prefix), 0, -1):
         entry = F.struct(*inner, *values)
-        grouped = rows.groupBy("case_id", *prefix[:depth]).agg(
+        grouped = rows.groupBy(*CASE_KEY, *prefix[:depth]).agg(
             F.sort_array(F.collect_list(entry)).alias("e")
         )
         listed = {v: each(F.col("e"), v) for v in values}
@@ -31,16 +34,21 @@ def nest(
 
 def one_row_per_case(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """All rows of a case as one list of structs, in order."""
-    fields = [c for c in rows.columns if c not in ("case_id", "pid", "pred_dt", *order)]
+    fields = [c for c in rows.columns if c not in (*CASE_KEY, *order)]
     entry = F.struct(*order, *fields)
-    return rows.groupBy("case_id").agg(F.sort_array(F.collect_list(entry)).alias(name))
+    return rows.groupBy(*CASE_KEY).agg(F.sort_array(F.collect_list(entry)).alias(name))
 
 
-def in_batches(cases: DataFrame, size: int, cells: int = 1024) -> DataFrame:
+def in_batches(cases: DataFrame, size: int, cells: int | None = None) -> DataFrame:
     """Numbered batches of ``size`` cases as lists of structs. The order is a
-    stable hash of the case, so it repeats and no task numbers all cases."""
+    stable hash of the case, so it repeats for the same cases. No task numbers
+    all of them: hash cells are numbered one by one, 1,024 of them or as many
+    as keep a cell at about ``CELL_CASES`` cases."""
+    if cells is None:
+        cells = max(1024, -(-cases.count() // CELL_CASES))
     draw = stable_hash(F.col("case_id"), "batch")
-    numbered = with_position(cases, [], F.pmod(draw, F.lit(cells)), ["case_id"], "row_no")
+    order = [c for c in CASE_KEY if c in cases.columns]
+    numbered = with_position(cases, [], F.pmod(draw, F.lit(cells)), order, "row_no")
     entry = F.struct("row_no", *cases.columns)
     batches = numbered.groupBy(F.expr(f"row_no div {size}").alias("batch")).agg(
         F.sort_array(F.collect_list(entry)).alias("rows")

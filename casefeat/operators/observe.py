@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import CheckPeriod
-from ..constants import UNIT_MICROS
+from ..constants import CASE_KEY, UNIT_MICROS
 from ..functions.hashing import stable_hash
 from ..functions.timing import DISTANCE, bucket, micros, shifted
 from ..session import materialize
@@ -18,6 +20,9 @@ CELL = ("pid", "__b", "__part")
 # A list of hot cells longer than this is joined without a broadcast.
 MAX_BROADCAST_CELLS = 100_000
 
+# Rows of one entity and time bucket that one task may number.
+MAX_CELL_ROWS = 1_000_000
+
 
 def check_period(cases: DataFrame, period: CheckPeriod) -> DataFrame:
     """Cases with the window ``[dt_start, dt_end)`` of the period."""
@@ -129,55 +134,69 @@ def _instant(records: DataFrame, us: int) -> Column:
 def record_count(
     cases: DataFrame,
     records: DataFrame,
-    period: CheckPeriod,
+    period: CheckPeriod | Mapping[str, CheckPeriod],
     name: str = "rec_num",
     width_us: int = UNIT_MICROS["D"],
+    max_cell_rows: int = MAX_CELL_ROWS,
 ) -> DataFrame:
-    """``RecNum``: number of records per case and period, 0 when none.
+    """``RecNum``: number of records per case and period, 0 when none; of
+    several named periods one column each.
 
     No case meets a record: window bounds and records are put on one time
     line per (entity, bucket), a running count gives the records before each
     bound, and the count is the difference of its two bounds. Work grows
-    with cases + records, however long or crowded the windows are.
+    with cases + records, however long or crowded the windows are. All
+    periods share the line. Buckets of more than ``max_cell_rows`` rows are
+    counted first and cut finer.
     """
-    windows = _with_window(cases, period)
-    bounds = windows.select(
-        "pid",
-        "case_id",
-        F.explode(
-            F.array(
-                F.struct(F.col("__s").alias("u"), F.lit(-1).alias("sign")),
-                F.struct(F.col("__e").alias("u"), F.lit(1).alias("sign")),
-            )
-        ).alias("m"),
-    ).select("pid", "m.u", F.lit(0).alias("is_rec"), "case_id", "m.sign")
-    marks = records.select("pid", micros(records, "dt").alias("u"), F.lit(1).alias("is_rec"))
-    line = bounds.unionByName(marks, allowMissingColumns=True).withColumn(
-        "cell", bucket(F.col("u"), width_us)
-    )
+    periods = {name: period} if isinstance(period, CheckPeriod) else dict(period)
+    marks = []
+    for i, p in enumerate(periods.values()):
+        at = micros(cases, "pred_dt")
+        first = p.start_us + (1 if p.start_exclusive else 0)
+        for offset, sign in ((first, -1), (p.end_us, 1)):
+            marks.append(F.struct((at + F.lit(offset)).alias("u"), F.lit(sign).alias("sign"), F.lit(i).alias("i")))
+    bounds = cases.select(*CASE_KEY, F.explode(F.array(*marks)).alias("m"))
+    bounds = bounds.select(*CASE_KEY, "m.u", F.lit(0).alias("is_rec"), "m.sign", "m.i")
+    rows = records.select("pid", micros(records, "dt").alias("u"), F.lit(1).alias("is_rec"))
+    line = bounds.unionByName(rows, allowMissingColumns=True).withColumn("cell", bucket(F.col("u"), width_us))
+    # Written once: counting, numbering and adding up all read the line, and
+    # the records behind it are scanned a single time.
+    line = _cut_crowded(materialize(line), width_us, max_cell_rows)
     # A bound sorts before a record of the same instant: it counts records
     # strictly earlier than itself.
     running = (
-        Window.partitionBy("pid", "cell")
+        Window.partitionBy("pid", "cell", "sub")
         .orderBy("u", "is_rec")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     inside = line.withColumn("inside", F.sum("is_rec").over(running)).where(F.col("is_rec") == 0)
-    earlier = Window.partitionBy("pid").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("pid").orderBy("cell", "sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        line.groupBy("pid", "cell")
+        line.groupBy("pid", "cell", "sub")
         .agg(F.sum("is_rec").alias("n"))
-        .select("pid", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+        .select("pid", "cell", "sub", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     )
     at_bound = F.col("sign") * (F.col("inside") + F.col("before"))
-    return (
-        inside.join(offsets, ["pid", "cell"])
-        .groupBy("case_id")
-        .agg(F.sum(at_bound).cast("bigint").alias(name))
-    )
+    counts = [
+        F.sum(F.when(F.col("i") == i, at_bound)).cast("bigint").alias(n) for i, n in enumerate(periods)
+    ]
+    return inside.join(offsets, ["pid", "cell", "sub"]).groupBy(*CASE_KEY).agg(*counts)
+
+
+def _cut_crowded(line: DataFrame, width_us: int, limit: int) -> DataFrame:
+    """Column ``sub``: the part of its bucket that a row lies in, from counts;
+    0 in buckets of at most ``limit`` rows."""
+    counts = line.groupBy("pid", "cell").agg(F.count("*").alias("__n")).where(F.col("__n") > limit)
+    crowded = materialize(counts.select("pid", "cell", F.ceil(F.col("__n") * 2 / limit).alias("__parts")))
+    if crowded.isEmpty():
+        return line.withColumn("sub", F.lit(0).cast("bigint"))
+    inside = F.col("u") - F.col("cell") * width_us
+    sub = F.floor(inside / width_us * F.coalesce("__parts", F.lit(1)))
+    return line.join(crowded, ["pid", "cell"], "left").withColumn("sub", sub).drop("__parts")
 
 
 def observed_count(cases: DataFrame, observed: DataFrame, name: str = "nrow") -> DataFrame:
     """Rows per case of anything observed, 0 for cases without rows."""
-    counts = observed.groupBy("case_id").agg(F.count("*").alias(name))
-    return cases.join(counts, "case_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    counts = observed.groupBy(*CASE_KEY).agg(F.count("*").alias(name))
+    return cases.join(counts, list(CASE_KEY), "left").withColumn(name, F.coalesce(name, F.lit(0)))

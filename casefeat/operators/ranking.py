@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def with_position(
     df: DataFrame,
@@ -39,3 +41,19 @@ def with_position(
     return placed.withColumn(name, F.col("__before") + F.col("__rank")).drop(
         "__cell", "__rank", "__before"
     )
+
+
+def with_rank(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """0-based rank of each row among all rows, ``order`` being unique. Rows
+    are dealt out by ranges and written once; a row's rank is its place in its
+    range plus the sizes of the ranges before, one number per task."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # The id holds the task's number above bit 33 and the place below.
+    placed = materialize(ranges.withColumn("__at", F.monotonically_increasing_id()))
+    task, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(task.alias("__task")).agg(F.count("*").alias("__n"))
+    earlier = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__task", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    ranked = placed.withColumn("__task", task).join(F.broadcast(offsets), "__task")
+    return ranked.withColumn(name, F.col("__before") + place).drop("__at", "__task", "__before")

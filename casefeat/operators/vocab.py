@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..constants import CALENDAR_GRAIN, CALENDAR_PREFIXES, DAYPART_HOURS, UNK
 from ..session import materialize
+from .ranking import with_rank
 
 SCHEMA = "idx int, grn string, rfg string, rfg_idx int"
+COLUMNS = ("idx", "grn", "rfg", "rfg_idx")
 
 # Larger vocabularies are looked up with a salted shuffle join.
 MAX_BROADCAST_TOKENS = 500_000
@@ -20,13 +22,15 @@ SALTS = 32
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Rows ``(idx, grn, rfg, rfg_idx)`` with their number and the ids of
-    the special tokens (unknown and step counts), known on the driver."""
+    """Rows ``(idx, grn, rfg, rfg_idx)`` with their number, the ids of the
+    special tokens (unknown and step counts) and a hash of all rows, known on
+    the driver."""
 
     df: DataFrame
     size: int
     special: dict[str, tuple[int, int]]
     unk: str = UNK
+    fingerprint: str = ""
 
     @classmethod
     def of(cls, rows: DataFrame, rules: Sequence[str] = (), unk: str = UNK) -> Vocabulary:
@@ -36,8 +40,10 @@ class Vocabulary:
     @classmethod
     def _measured(cls, rows: DataFrame, rules: Sequence[str], unk: str) -> Vocabulary:
         named = F.when(F.col("grn").isin(unk, *rules), F.struct("grn", "idx", "rfg_idx"))
-        seen = rows.agg(F.count("*").alias("n"), F.collect_list(named).alias("special")).first()
-        return cls(rows, seen.n, {r.grn: (r.idx, r.rfg_idx) for r in seen.special}, unk)
+        hashed = F.sum(F.xxhash64(*COLUMNS).cast("decimal(38,0)"))
+        seen = rows.agg(F.count("*").alias("n"), F.collect_list(named).alias("special"), hashed.alias("h")).first()
+        special = {r.grn: (r.idx, r.rfg_idx) for r in seen.special}
+        return cls(rows, seen.n, special, unk, f"{seen.n}-{seen.h}")
 
     def lookup(self, rows: DataFrame, key: str, how: str = "left", by: str = "grn") -> DataFrame:
         """Join ``rows.key`` with the vocabulary. Small vocabularies are
@@ -89,12 +95,9 @@ def vocab_rows(
     group = F.col("f.rfg")
     if rules:
         group = F.when(F.col("grn").isin(*rules), F.col("grn")).otherwise(group)
-    placed = first.select(
-        (F.row_number().over(Window.orderBy("f.src", "f.pos")) - 1).alias("idx"),
-        "grn",
-        group.alias("rfg"),
-    )
-    return _with_rfg_idx(placed)
+    placed = first.select("f.src", "f.pos", "grn", group.alias("rfg"))
+    ranked = with_rank(placed, ["src", "pos", "grn"], "idx")
+    return _with_rfg_idx(ranked.select(F.col("idx").cast("int").alias("idx"), "grn", "rfg")).select(*COLUMNS)
 
 
 def _listed(spark: SparkSession, names: Sequence[str], src: int) -> DataFrame:
@@ -107,8 +110,11 @@ def _listed(spark: SparkSession, names: Sequence[str], src: int) -> DataFrame:
 
 
 def _with_rfg_idx(rows: DataFrame) -> DataFrame:
-    """Group ids: rank of the group name among the distinct names."""
-    return rows.withColumn("rfg_idx", F.dense_rank().over(Window.orderBy("rfg")) - 1)
+    """Group ids: rank of the group name among the distinct names. Only the
+    few names are ranked, not the tokens."""
+    names = rows.select("rfg").distinct()
+    ranked = names.withColumn("rfg_idx", F.row_number().over(Window.orderBy("rfg")) - 1)
+    return rows.join(F.broadcast(ranked), "rfg")
 
 
 def build_vocab(
@@ -131,7 +137,7 @@ def extend_vocab(rows: DataFrame, size: int, rules: Sequence[str]) -> DataFrame:
     kept = rows.select(
         "idx", "grn", F.when(F.col("grn").isin(rules), F.col("grn")).otherwise(F.col("rfg")).alias("rfg")
     )
-    return _with_rfg_idx(kept.unionByName(added))
+    return _with_rfg_idx(kept.unionByName(added)).select(*COLUMNS)
 
 
 def vocab_conflicts(tables: Sequence[DataFrame]) -> DataFrame:
@@ -147,11 +153,16 @@ def learn_vocab(rows: DataFrame, key: Column, rfg: str) -> DataFrame:
     """Grain vocabulary of the tokens seen in ``key`` (array of strings),
     in token order."""
     seen = rows.select(F.explode(key).alias("grn")).distinct()
-    return seen.select(
-        "grn",
-        F.lit(rfg).alias("rfg"),
-        (F.row_number().over(Window.orderBy("grn")) - 1).cast("bigint").alias("pos"),
-    )
+    return with_rank(seen, ["grn"], "pos").select("grn", F.lit(rfg).alias("rfg"), "pos")
+
+
+def calendar_years(rows: DataFrame, dt: str = "dt") -> tuple[int, int]:
+    """First and last year among the rows' times: the years a calendar
+    vocabulary must hold so that no token is lost."""
+    first, last = rows.agg(F.min(F.year(dt)), F.max(F.year(dt))).first()
+    if first is None:
+        raise ValueError("no times to take calendar years from")
+    return first, last
 
 
 def _prefixed(prefix: str, values: Column) -> Column:

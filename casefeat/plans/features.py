@@ -3,31 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Feature, Tokens
-from ..constants import LEVELS
+from ..constants import CASE_KEY, LEVELS
+from ..functions.timing import add_relative_time
 from ..functions.tokens import last_per_idx
 from ..operators import compress as cmp
 from ..operators.filters import (
     can_be_listed,
     counts_bare_times,
+    filter_rows,
     good_buckets,
     keep_listed,
-    relative_rows,
     with_good_lists,
 )
 from ..operators.nest import nest, one_row_per_case
 from ..operators.observe import check_period, observe
-from ..operators.tokens import attach_tokens, encoded_records, record_label, with_unk
+from ..operators.tokens import TOKEN_LISTS, attach_tokens, encode_tokens, encoded_records, record_label, with_unk
 from ..operators.vocab import Vocabulary, build_vocab
+from ..session import materialize
 from ..sources.records import load_records
 
 
 def observation(cases: DataFrame, feature: Feature, records: DataFrame, **how) -> DataFrame:
-    return observe(cases.select("case_id", "pid", "pred_dt"), records, feature.period, **how)
+    return observe(cases.select(*CASE_KEY), records, feature.period, **how)
+
+
+def source_records(feature: Feature) -> DataFrame:
+    """The feature's records that its filter's predicate keeps."""
+    return filter_rows(load_records(feature.source), feature.filter)
 
 
 def filtered_rows(cases: DataFrame, feature: Feature, records: DataFrame, **how) -> DataFrame:
@@ -37,20 +45,20 @@ def filtered_rows(cases: DataFrame, feature: Feature, records: DataFrame, **how)
     travel with the cases into the one join that carries tokens: rows of
     failing buckets are never produced, and no row is shuffled to be kept.
     """
-    flt, period = feature.filter, feature.period
-    rules = flt.rules_for(feature.source.name)
-    keys = cases.select("case_id", "pid", "pred_dt")
+    period = feature.period
+    rules = feature.filter.rules_for(feature.source.name)
+    keys = cases.select(*CASE_KEY)
     listed, joined = [], []
     if rules:
-        bare = load_records(feature.source).select("pid", "rec_id", "dt")
+        bare = source_records(feature).select("pid", "rec_id", "dt")
         times_only = counts_bare_times(rules)
         if times_only:
             bare = bare.select("pid", "dt").distinct()
-        thin = relative_rows(observe(keys, bare, period, keep_cell=True, **how), flt)
+        thin = add_relative_time(observe(keys, bare, period, keep_cell=True, **how))
         for good in good_buckets(thin, rules, times_only):
-            (listed if can_be_listed(good.columns[1], period) else joined).append(good)
+            (listed if can_be_listed(good.columns[-1], period) else joined).append(good)
     rows = observe(with_good_lists(keys, listed), records, period, keep_cell=True, **how)
-    rows = keep_listed(relative_rows(rows, flt), listed)
+    rows = keep_listed(add_relative_time(rows), listed)
     for good in joined:
         rows = rows.join(good, good.columns, "left_semi")
     return rows
@@ -58,9 +66,9 @@ def filtered_rows(cases: DataFrame, feature: Feature, records: DataFrame, **how)
 
 def token_rows(cases: DataFrame, feature: Feature, **how) -> DataFrame:
     """Filtered records of each case with their token lists."""
-    records = attach_tokens(load_records(feature.source), feature.tokens)
-    records = records.select("pid", "rec_id", "dt", "tkn_key", "tkn_wgt")
-    return filtered_rows(cases, feature, records, **how)
+    records = attach_tokens(source_records(feature), feature.tokens)
+    lists = [c for c in records.columns if c in TOKEN_LISTS]
+    return filtered_rows(cases, feature, records.select("pid", "rec_id", "dt", *lists), **how)
 
 
 def vocabulary(tokens: Tokens, rules: Sequence[str]) -> Vocabulary:
@@ -70,65 +78,70 @@ def vocabulary(tokens: Tokens, rules: Sequence[str]) -> Vocabulary:
     return build_vocab(tokens.vocab, rules, tokens.unk)
 
 
-def compressed(cases: DataFrame, feature: Feature, **how) -> tuple[cmp.State, Vocabulary]:
+def compressed(
+    cases: DataFrame, feature: Feature, stored: DataFrame | None = None, **how
+) -> tuple[cmp.State, Vocabulary]:
     """The compress program's final state."""
-    state, vocab = token_state(cases, feature, **how)
+    state, vocab = token_state(cases, feature, stored, **how)
     if not any(step.method for step in feature.compress.steps):
         state = cmp.fill_empty(state)
     return cmp.run_program(state, feature.compress, vocab), vocab
 
 
-def token_state(cases: DataFrame, feature: Feature, **how) -> tuple[cmp.State, Vocabulary]:
+def token_state(
+    cases: DataFrame, feature: Feature, stored: DataFrame | None = None, **how
+) -> tuple[cmp.State, Vocabulary]:
     """Where the compress program starts. Tokens are turned into ids once per
-    record, so cases and their windows only ever move numbers."""
+    record, so cases and their windows only ever move numbers. ``stored`` are
+    finished token rows of the cases (the feature cut off after its tokens):
+    then nothing is observed again."""
     tokens, program = feature.tokens, feature.compress
     vocab = vocabulary(tokens, program.rules)
-    # Flattening drops unknown tokens and keeps the last of repeated ones.
-    # Both depend on the record alone, so they are done before it meets cases.
+    # Flattening keeps the last of repeated tokens. That depends on the
+    # record alone, so it is done before the record meets cases.
     flat = bool(program.steps) and program.steps[0].actions[0][0] == "flatten"
     wanted = {s for step in program.steps for a in step.actions if a[0] == "add_sfx" for s in a[1]}
     rfg = not wanted.isdisjoint({"rfg", "keyInrfg"})
-    records = encoded_records(
-        load_records(feature.source), tokens, vocab, "drop" if flat else tokens.on_unknown, rfg
-    )
+    if stored is not None:
+        seen = stored.where(F.col("dt").isNotNull()).withColumnRenamed("R", "rec_id")
+        seen = seen.select(*CASE_KEY, *LEVELS, "dt", "rec_id", "tkn_key", "tkn_wgt")
+        records = encode_tokens(seen, vocab, tokens.on_unknown, rfg)
+    else:
+        records = encoded_records(source_records(feature), tokens, vocab, tokens.on_unknown, rfg)
     if flat:
         records = records.withColumn("tok", last_per_idx(F.col("tok")))
-    rows = filtered_rows(cases, feature, records, **how)
+    rows = records if stored is not None else filtered_rows(cases, feature, records, **how)
     return cmp.start(rows, cases, vocab, unique=flat, rfg=rfg), vocab
 
 
-def feature_rows(cases: DataFrame, feature: Feature, **how) -> DataFrame:
-    """A compressed feature's output rows by ``case_id``, ``CP`` left out."""
-    state, _ = compressed(cases, feature, **how)
+def feature_rows(cases: DataFrame, feature: Feature, stored: DataFrame | None = None, **how) -> DataFrame:
+    """A compressed feature's output rows by case, ``CP`` left out."""
+    state, _ = compressed(cases, feature, stored, **how)
     program = feature.compress
     values = cmp.value_columns(state)
     layers = dict.fromkeys([*program.prefix_layers, *program.focal_layers])
-    rows = state.rows.select("case_id", *layers, *[v.alias(k) for k, v in values.items()])
+    rows = state.rows.select(*CASE_KEY, *layers, *[v.alias(k) for k, v in values.items()])
     if program.prefix_layers:
         rows = nest(rows, program.prefix_layers, program.focal_layers, list(values))
     return rows.drop("CP")
 
 
-def build_feature(cases: DataFrame, feature: Feature, **how) -> DataFrame:
+def build_feature(cases: DataFrame, feature: Feature, stored: DataFrame | None = None, **how) -> DataFrame:
     """Rows of one feature; the chain stops at the first stage not set.
-    ``how`` picks the form of the interval join (see ``observe``)."""
+    ``how`` picks the form of the interval join (see ``observe``). A feature
+    to compress may start from ``stored`` token rows."""
     if feature.source is None:
         return check_period(cases, feature.period)
     if feature.filter is None:
         return observation(cases, feature, load_records(feature.source), **how)
     if feature.tokens is None:
-        records = load_records(feature.source).select("pid", "rec_id", "dt")
-        rows = filtered_rows(cases, feature, records, **how)
-        return rows.select("case_id", "pid", "pred_dt", "rec_id", "dt")
+        rows = filtered_rows(cases, feature, source_records(feature).select("pid", "rec_id", "dt"), **how)
+        return rows.select(*CASE_KEY, "rec_id", "dt")
     if feature.compress is None:
         rows = with_unk(cases, token_rows(cases, feature, **how), feature.tokens.unk)
-        return rows.select(
-            "case_id", "pid", "pred_dt", *LEVELS, "dt",
-            record_label(feature.source.name).alias("R"), "tkn_key", "tkn_wgt",
-        )
-    return cases.select("case_id", "pid", "pred_dt").join(
-        feature_rows(cases, feature, **how), "case_id"
-    )
+        lists = [c for c in rows.columns if c in TOKEN_LISTS]
+        return rows.select(*CASE_KEY, *LEVELS, "dt", record_label(feature.source.name).alias("R"), *lists)
+    return feature_rows(cases, feature, stored, **how)
 
 
 def row_order(feature: Feature) -> list[str]:
@@ -143,17 +156,33 @@ def row_order(feature: Feature) -> list[str]:
     return [c for c in layers if c != "CP"]
 
 
+def with_shared_sources(features: Sequence[Feature]) -> list[Feature]:
+    """Features of one source read its records from one written table: the
+    source is scanned once, with the columns asked for only, however many
+    features and threshold passes look at it."""
+    uses = [f.source for f in features if f.source is not None]
+    shared = {}
+    for source in uses:
+        if sum(s is source for s in uses) > 1 and id(source) not in shared:
+            records = materialize(load_records(source))
+            shared[id(source)] = replace(
+                source, df=records, pid="pid", rec_id="rec_id", dt="dt", columns="ALL", text_ids=False
+            )
+    return [replace(f, source=shared.get(id(f.source), f.source)) for f in features]
+
+
 def build_features(cases: DataFrame, features: Sequence[Feature], **how) -> DataFrame:
     """Features side by side: one row per case, one column per feature with
     the feature's rows as a list (null when it has none)."""
     names = [f.column for f in features]
     if len(set(names)) != len(names):
         raise ValueError("two features share a name; give one an alias")
-    joined = cases.select("case_id", "pid", "pred_dt")
+    cases = materialize(cases.select(*CASE_KEY))
+    features = with_shared_sources(features)
+    joined = cases
     for feature in features:
-        whole = feature.compress is not None
-        rows = (feature_rows if whole else build_feature)(cases, feature, **how)
-        joined = joined.join(one_row_per_case(rows, row_order(feature), feature.column), "case_id", "left")
+        rows = build_feature(cases, feature, **how)
+        joined = joined.join(one_row_per_case(rows, row_order(feature), feature.column), list(CASE_KEY), "left")
     return joined
 
 

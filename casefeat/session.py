@@ -1,8 +1,9 @@
-"""Session settings the plans rely on, and the checkpoint folder."""
+"""Session settings the plans rely on, and the folder all executors share."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,17 +27,43 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir`` (or has set as
-    checkpoint folder). Only a local master may fall back to one of its own."""
+    checkpoint folder)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="casefeat-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def with_default_folder(spark: SparkSession) -> SparkSession:
+    """Where the cluster names no folder, take one in the warehouse, which
+    executors share as well."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/work-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+        atexit.register(_discard_at_exit, spark, folder)
+    return spark
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder. It is deleted when the driver's
+    Python ends, or earlier with :func:`discard`."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_discard_at_exit, spark, path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it is."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def _discard_at_exit(spark: SparkSession, path: str) -> None:
+    """A stopped session can delete nothing any more."""
+    if spark.sparkContext._jsc is not None:
+        discard(spark, path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext

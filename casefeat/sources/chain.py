@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import keep_all_left
 from ..operators.ranking import with_position
+from ..session import materialize
 
 
 def id_chain(levels: Sequence[tuple[str, DataFrame]]) -> DataFrame:
@@ -22,13 +22,23 @@ def id_chain(levels: Sequence[tuple[str, DataFrame]]) -> DataFrame:
         known = [c for c in ids[: i + 1] if c in df.columns]
         if name not in known or (i and ids[i - 1] not in known):
             raise ValueError(f"the table of {name!r} lacks its own or its parent's id")
-        tables.append(df.select(*[F.col(c).cast("string").alias(c) for c in known]).distinct())
-    chain = reduce(
-        lambda left, right: keep_all_left(left, right, [c for c in right.columns if c in left.columns]),
-        tables,
-    )
-    for parent, child in zip(ids, ids[1:]):
-        chain = chain.withColumn(child, F.coalesce(child, F.concat(F.lit("M"), F.col(parent))))
+        own = df.select(*[F.col(c).cast("string").alias(c) for c in known]).distinct()
+        tables.append(materialize(own) if len(levels) > 1 else own)
+    chain = tables[0]
+    for parent, child, table in zip(ids, ids[1:], tables[1:]):
+        # Parents without a child are found by their bare ids. So the chain
+        # itself only goes through inner joins, of which either side can be
+        # split, and appears once at every level.
+        up = tables[ids.index(parent)]
+        shared = [c for c in table.columns if c in up.columns]
+        found = table.join(up.select(*shared).distinct(), shared, "left_semi")
+        alone = up.select(parent).join(found.select(parent).distinct(), parent, "left_anti")
+        missing = alone.withColumn(child, F.concat(F.lit("M"), F.col(parent)))
+        tables[ids.index(child)] = found.unionByName(missing, allowMissingColumns=True)
+        older = {c: f"__{c}" for c in shared if c != parent}
+        chain = chain.join(tables[ids.index(child)].withColumnsRenamed(older), parent)
+        for own, other in older.items():
+            chain = chain.where(F.col(other).isNull() | (F.col(own) == F.col(other))).drop(other)
     return chain.select(*ids)
 
 

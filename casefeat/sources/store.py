@@ -2,14 +2,18 @@
 
 Below ``group=<g>/scope=<s>/feature=<key>``, ``rows/run=<id>/grp=<n>`` holds
 feature rows and ``manifest/run=<id>`` one line per stored case with its row
-count. Readers take the rows of manifest lines only, so an interrupted run
-leaves nothing visible. The key holds a hash of the settings.
+count. A case is known by entity and time, whatever its name. Readers take
+the rows of manifest lines only, so an interrupted run leaves nothing
+visible, and of several lines of one case the smallest run's, so runs that
+raced each other count once. The key holds a hash of the settings and of the
+vocabulary; every line says how many storage groups its run was written with.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -17,15 +21,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Feature
+from ..constants import CASE_KEY
 from ..functions.hashing import entity_group
+from ..operators.vocab import Vocabulary, build_vocab
 from ..plans.features import build_feature
 from ..session import materialize
 from .records import write_by_group
 
+PAIR = ["pid", "pred_dt"]
+# Number of compactions a feature may have: newer ones sort first.
+LAST_RUN = 10**12
+
 
 class FeatureStore:
     """Features of one case set: ``group`` names the entities, ``scope`` the
-    cases (whole, filtered, ...); ``groups`` is the number of storage groups."""
+    cases (whole, filtered, ...); ``groups`` is the number of storage groups
+    that new rows are written in."""
 
     def __init__(
         self,
@@ -38,9 +49,16 @@ class FeatureStore:
         self.spark, self.groups = spark, groups
         self.path = f"{path.rstrip('/')}/group={group}/scope={scope}"
 
+    def settled(self, feature: Feature) -> Feature:
+        """The feature with its vocabulary built: stored ids belong to one."""
+        tokens = feature.tokens
+        if feature.compress is None or isinstance(tokens.vocab, Vocabulary):
+            return feature
+        return replace(feature, tokens=replace(tokens, vocab=build_vocab(tokens.vocab, (), tokens.unk)))
+
     def key(self, feature: Feature) -> str:
         text = "".join(c if c.isalnum() or c in "._-" else "_" for c in feature.name)
-        return f"{text}_{feature.config_hash}"
+        return f"{text}_{self.settled(feature).config_hash}"
 
     def _stored(self, folder: str) -> DataFrame | None:
         try:
@@ -55,13 +73,15 @@ class FeatureStore:
         return f"{self.path}/feature={self.key(feature)}/{kind}"
 
     def manifest(self, feature: Feature, cases: DataFrame) -> DataFrame:
-        """Stored cases: ``case_id, pid, pred_dt, nrow, run``."""
+        """Stored cases: ``pid, pred_dt, nrow, run, groups``, one line each."""
         stored = self._stored(self._folder("manifest", feature))
-        if stored is not None:
-            return stored
-        fields = [cases.schema[c] for c in ("case_id", "pid", "pred_dt")]
-        extra = [T.StructField("nrow", T.LongType()), T.StructField("run", T.StringType())]
-        return self.spark.createDataFrame([], T.StructType([*fields, *extra]))
+        if stored is None:
+            fields = [cases.schema[c] for c in PAIR]
+            extra = [("run", T.StringType()), ("nrow", T.LongType()), ("groups", T.IntegerType())]
+            schema = T.StructType([*fields, *[T.StructField(n, t) for n, t in extra]])
+            return self.spark.createDataFrame([], schema)
+        first = stored.groupBy(*PAIR).agg(F.min(F.struct("run", "nrow", "groups")).alias("m"))
+        return first.select(*PAIR, "m.*")
 
     def size(self, feature: Feature, cases: DataFrame) -> DataFrame:
         """Stored cases and rows of a feature (one line)."""
@@ -71,39 +91,47 @@ class FeatureStore:
 
     def status(self, feature: Feature, cases: DataFrame) -> DataFrame:
         """Cases with ``status``: hit, empty (known to have no rows) or miss."""
-        known = self.manifest(feature, cases).select("case_id", "nrow")
+        known = self.manifest(feature, cases).select(*PAIR, "nrow")
         status = (
             F.when(F.col("nrow").isNull(), "miss").when(F.col("nrow") == 0, "empty").otherwise("hit")
         )
-        return cases.join(known, "case_id", "left").withColumn("status", status)
+        return cases.join(known, PAIR, "left").withColumn("status", status)
 
-    def read(self, feature: Feature, cases: DataFrame) -> DataFrame | None:
-        """Stored rows of the given cases, or ``None`` before the first run."""
+    def read(self, feature: Feature, cases: DataFrame, schema: T.StructType | None = None) -> DataFrame:
+        """Stored rows of the given cases, named as the cases are; none before
+        the first run. ``schema`` is the rows' schema where no row is stored
+        and it is not the feature's own."""
         stored = self._stored(self._folder("rows", feature))
         if stored is None:
-            return None
-        listed = self.manifest(feature, cases).where(F.col("nrow") > 0).select("case_id", "run")
-        wanted = listed.join(cases.select("case_id"), "case_id", "left_semi")
-        # The group folder follows from the entity: it prunes the scan when
+            schema = schema or build_feature(cases.limit(0), self.settled(feature)).schema
+            return self.spark.createDataFrame([], schema)
+        listed = self.manifest(feature, cases).where(F.col("nrow") > 0)
+        wanted = cases.select(*CASE_KEY).join(listed, PAIR)
+        wanted = wanted.withColumn("grp", _group(F.col("pid"), F.col("groups")))
+        # The folders follow from run and entity: they prune the scan when
         # few entities are asked for.
-        groups = cases.select(entity_group(F.col("pid"), groups=self.groups).alias("grp")).distinct()
-        rows = stored.join(groups, "grp", "left_semi")
-        return rows.join(wanted, ["case_id", "run"], "left_semi").drop("grp", "run")
+        rows = stored.join(wanted.select("run", "grp").distinct(), ["run", "grp"], "left_semi")
+        rows = rows.drop("case_id").join(wanted.select(*CASE_KEY, "run"), [*PAIR, "run"])
+        return rows.select(*[c for c in stored.columns if c not in ("grp", "run")])
 
     def append(self, feature: Feature, cases: DataFrame, rows: DataFrame) -> str:
         """Store the rows of ``cases``; cases already stored are skipped."""
-        new = cases.join(self.manifest(feature, cases).select("case_id"), "case_id", "left_anti")
-        new = materialize(new.select("case_id", "pid", "pred_dt"))
-        run = f"r{uuid.uuid4().hex}"
-        rows = rows.join(new.select("case_id"), "case_id", "left_semi")
+        known = self.manifest(feature, cases).select(*PAIR)
+        new = materialize(cases.select(*CASE_KEY).join(known, PAIR, "left_anti"))
+        return self._publish(feature, new, rows.join(new.select(*PAIR), PAIR, "left_semi"))
+
+    def _publish(self, feature: Feature, new: DataFrame, rows: DataFrame, run: str = "") -> str:
+        """Write the rows of ``new`` cases, then their manifest lines."""
+        run = run or f"r{uuid.uuid4().hex}"
         rows = rows.withColumn("grp", entity_group(F.col("pid"), groups=self.groups))
         folder = f"{self._folder('rows', feature)}/run={run}"
-        write_by_group(rows, folder, ["pid", "pred_dt"])
+        write_by_group(rows, folder, PAIR)
         # Counts are taken from what was written, not from a second run of
         # the plan.
-        written = self.spark.read.schema(_key_schema(cases)).parquet(folder)
-        counts = written.groupBy("case_id").agg(F.count("*").alias("nrow"))
-        lines = new.join(counts, "case_id", "left").withColumn("nrow", F.coalesce("nrow", F.lit(0)))
+        keys = T.StructType([new.schema[c] for c in PAIR])
+        counts = self.spark.read.schema(keys).parquet(folder).groupBy(*PAIR).agg(F.count("*").alias("nrow"))
+        lines = new.select(*PAIR).join(counts, PAIR, "left")
+        lines = lines.withColumns({"nrow": F.coalesce("nrow", F.lit(0)), "groups": F.lit(self.groups)})
         lines.write.mode("errorifexists").parquet(f"{self._folder('manifest', feature)}/run={run}")
         return run
 
@@ -112,19 +140,60 @@ class FeatureStore:
         feature: Feature,
         cases: DataFrame,
         compute: Callable[[DataFrame], DataFrame] | None = None,
+        stage: Feature | None = None,
     ) -> DataFrame:
         """Read-through: compute and store the cases not yet known, then read
-        all of them."""
-        compute = compute or (lambda missing: build_feature(missing, feature))
-        known = self.manifest(feature, cases).select("case_id")
-        missing = materialize(cases.join(known, "case_id", "left_anti"))
+        all of them. ``stage`` is the feature cut off after its tokens: its
+        rows are read (and stored where missing) instead of observed again."""
+        feature = self.settled(feature)
+        if compute is None:
+
+            def compute(missing):
+                stored = None if stage is None else self.compute_missing(stage, missing)
+                return build_feature(missing, feature, stored)
+
+        known = self.manifest(feature, cases).select(*PAIR)
+        missing = materialize(cases.join(known, PAIR, "left_anti"))
         if not missing.isEmpty():
-            self.append(feature, missing, compute(missing))
+            self._publish(feature, missing, compute(missing))
+        if self._stored(self._folder("rows", feature)) is None:
+            return self.read(feature, cases, compute(cases.limit(0)).schema)
         return self.read(feature, cases)
 
+    def compact(self, feature: Feature, cases: DataFrame) -> str | None:
+        """Rewrite what readers see as one run, then delete all others, lost
+        ones included. Run it while nobody writes; readers of the old runs
+        must have finished. Returns the new run, or nothing if there is none."""
+        lines = self.manifest(feature, cases)
+        stored = self._stored(self._folder("rows", feature))
+        if stored is None:
+            return None
+        lines = materialize(lines)
+        seen = stored.join(lines.where(F.col("nrow") > 0).select(*PAIR, "run"), [*PAIR, "run"], "left_semi")
+        runs = self._runs("manifest", feature) | self._runs("rows", feature)
+        done = max((LAST_RUN - int(r[1:]) for r in runs if r[0] == "c"), default=0)
+        run = f"c{LAST_RUN - done - 1}"
+        self._publish(feature, lines.select(*PAIR), seen.drop("grp", "run"), run)
+        for kind in ("manifest", "rows"):
+            for old in self._runs(kind, feature) - {run}:
+                self._delete(f"{self._folder(kind, feature)}/run={old}")
+        return run
+
+    def _runs(self, kind: str, feature: Feature) -> set[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(kind, feature))
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return set()
+        names = [f.getPath().getName() for f in files.listStatus(path)]
+        return {n.removeprefix("run=") for n in names if n.startswith("run=")}
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
-def _key_schema(cases: DataFrame) -> T.StructType:
-    return T.StructType([cases.schema["case_id"]])
+def _group(pid, groups):
+    return F.pmod(F.xxhash64(pid), groups).cast("bigint")
 
 
 def lists_to_json(rows: DataFrame) -> DataFrame:
@@ -141,12 +210,13 @@ def _to_text(field: T.StructField):
     return col
 
 
-def lists_from_json(rows: DataFrame, schema: T.StructType) -> DataFrame:
-    """The inverse of ``lists_to_json`` for rows of the given schema."""
+def lists_from_json(rows: DataFrame, schema: T.StructType, keep: Sequence[str] = ()) -> DataFrame:
+    """The inverse of ``lists_to_json`` for rows of the given schema; the
+    columns in ``keep`` stay as they are."""
     columns = []
     for field in schema.fields:
         col = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.ArrayType):
             col = F.from_json(col, field.dataType)
         columns.append(col.cast(field.dataType).alias(field.name))
-    return rows.select(*columns)
+    return rows.select(*columns, *keep)

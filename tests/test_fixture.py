@@ -125,14 +125,6 @@ def test_thresholds(cases, source):
     assert kept(name="Evening", thresholds={"DTInD": 4}) == ["r3"]
 
 
-def test_filter_on_a_finished_observation(cases, source):
-    from casefeat.operators.filters import apply_filter
-
-    observed = observe(cases, load_records(source), BF24)
-    for flt in (Filter(thresholds={"DTInD": 2}), Filter("Morning", thresholds={"RInCP": 4})):
-        assert ids(apply_filter(observed, flt, "Rec")) == ids(build_feature(cases, Feature(BF24, source, flt)))
-
-
 def test_default_thresholds():
     assert Filter().rules_for("CGM5Min") == {"DTInD": 288 * 0.7}
     assert Filter("Night").rules_for("CGM5Min") == {"DTInD": 288 * 0.7 * 0.25}
@@ -284,6 +276,10 @@ def test_bucket_index(cases, source, tokens):
     assert [(r.keyidx, r.wgt, r.HInD) for r in empty] == [([0], [1.0], [0])]
 
 
+def keyed(df):
+    return df.withColumns({"pid": F.lit("p1"), "pred_dt": F.lit("2024-01-02").cast("timestamp_ntz")})
+
+
 def token_state(spark, vocab, lists, level="D"):
     """Rows of one case with given (token, weight) lists, one bucket each."""
     rows = [
@@ -295,7 +291,7 @@ def token_state(spark, vocab, lists, level="D"):
         "case_id string, CP bigint, M bigint, W bigint, D bigint, H bigint, `5Min` bigint,"
         " rec_id string, tkn_key array<string>, tkn_wgt array<double>",
     ).withColumn("dt", F.lit("2024-01-01").cast("timestamp_ntz"))
-    return cmp.start(encode_tokens(df, vocab, ["case_id", "rec_id"], "drop"), None, vocab)
+    return cmp.start(encode_tokens(keyed(df), vocab, "drop"), None, vocab)
 
 
 def test_last_weight_of_a_repeated_token_counts(spark, vocab):
@@ -330,7 +326,7 @@ def test_rounding_half_even(spark, vocab, weights, expected):
         "case_id string, CP bigint, M bigint, W bigint, D bigint, H bigint, `5Min` bigint,"
         " rec_id string, tkn_key array<string>, tkn_wgt array<double>",
     ).withColumn("dt", F.lit("2024-01-01").cast("timestamp_ntz"))
-    state = cmp.start(encode_tokens(df, v, ["case_id", "rec_id"]), None, v)
+    state = cmp.start(encode_tokens(keyed(df), v), None, v)
     for rule in ("5MinInH", "HInD"):
         state = cmp.convert(cmp.roll_up(cmp.flatten(state), rule, cmp.METHODS["mean"], v))
     names, got = decoded(state, v)[(0,)]
@@ -364,7 +360,7 @@ def test_unknown_tokens(spark, vocab):
     )
 
     def encoded(how):
-        got = encode_tokens(rows, vocab, ["rec_id"], how).orderBy("rec_id").collect()
+        got = encode_tokens(rows, vocab, how).orderBy("rec_id").collect()
         return [[(t.idx, t.w) for t in r.tok] for r in got]
 
     assert encoded("drop") == [[(1, 1.0), (2, 3.0)], []]

@@ -34,7 +34,8 @@ def test_incremental_equals_from_scratch(spark, cases, plan, store):
         return build_feature(missing, plan)
 
     first = cases.where("case_id = 'c1'")
-    assert store.read(plan, cases) is None
+    nothing = store.read(plan, cases)
+    assert nothing.count() == 0 and set(nothing.columns) == set(build_feature(cases, plan).columns)
     store.compute_missing(plan, first, compute)
     rows = store.compute_missing(plan, cases, compute)
     again = store.compute_missing(plan, cases, compute)
@@ -61,7 +62,7 @@ def test_known_empty_cases(cases, source, store):
 def test_only_empty_cases(cases, source, store):
     plain = Feature(BF24, source, Filter(thresholds={}))
     empty = cases.where("case_id = 'c2'")
-    assert store.compute_missing(plain, empty) is None
+    assert store.compute_missing(plain, empty).count() == 0
     assert store.status(plain, empty).first().status == "empty"
     assert store.compute_missing(plain, cases).count() == 3
 
