@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,38 +9,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import discard, scratch_folder
 
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = r"[\x20\x09-\x0D]+"
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder. It is deleted when the driver's
-    Python ends, or earlier with :func:`discard`."""
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_discard_quietly, spark, path)
-    return path
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder made by :func:`new_folder`, in whatever store it is."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-
-
-def _discard_quietly(spark: SparkSession, path: str) -> None:
-    """At exit the session may be gone already; then nothing can be deleted."""
-    if spark.sparkContext._jsc is not None:
-        discard(spark, path)
-
-
 def settle(df: DataFrame, name: str, drop: str | None = None) -> tuple[DataFrame, str]:
     """Write a table to the shared folder and read it back: cuts lineage, and
     what follows is the same rows whatever executors are lost. ``drop`` is a
     folder no longer needed once this one is written."""
     spark = df.sparkSession
-    path = new_folder(spark, name)
+    path = scratch_folder(spark, name)
     df.write.parquet(path)
     if drop:
         discard(spark, drop)

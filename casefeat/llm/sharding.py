@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shared_folder
-from .common import fresh, partitions
+from ..session import materialize
+from .common import partitions
 
 ROWS_PER_BIN = 250_000
 MAX_CELLS = 4_000_000
@@ -97,12 +97,9 @@ def shard_rows(df: DataFrame, shards: int = 8, seed: int = 0) -> DataFrame:
     """
     spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(spark))
-    keep = [f"`{c}`" for c in df.columns if c.lower() not in ("shard", "slot")]
-    fixed = df.select(*keep).checkpoint()
-    names = [fresh(fixed, n) for n in ("bin", "key", "origin")]
-    bin_, key_, origin_ = names
+    # Inside, columns go by their places, so no name clashes.
+    keep = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    fixed = materialize(df.select(*[df[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(keep)]))
     counted = fixed.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n"))
     counts = {r["p"]: r["n"] for r in counted.collect()}
     total = sum(counts.values())
@@ -110,7 +107,7 @@ def shard_rows(df: DataFrame, shards: int = 8, seed: int = 0) -> DataFrame:
     bins = bin_sizes(total, shards, len(order), partitions(spark))
     matrix = communication_matrix([counts[p] for p in order], [n for _, _, n in bins], seed)
     sent = sc.broadcast({p: matrix[k] for k, p in enumerate(order)})
-    added = [T.StructField(n, t) for n, t in zip(names, (T.IntegerType(), T.LongType(), T.LongType()), strict=True)]
+    added = [T.StructField(n, t) for n, t in (("bin", T.IntegerType()), ("key", T.LongType()), ("origin", T.LongType()))]
     schema = T.StructType([*fixed.schema.fields, *added])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,14 +123,12 @@ def shard_rows(df: DataFrame, shards: int = 8, seed: int = 0) -> DataFrame:
             key = rng.integers(0, 2**63 - 1, n, dtype=np.int64)
             origin = (np.int64(p) << 40) + np.arange(at, at + n)
             arrays = [*batch.columns, pa.array(where[at : at + n]), pa.array(key), pa.array(origin)]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "bin", "key", "origin"])
             at += n
 
     dealt = fixed.mapInArrow(deal, schema)
-    first = fresh(dealt, "first")
-    kinds = T.StructType([T.StructField(bin_, T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField(first, T.LongType())])
-    places = spark.createDataFrame([(b, s, f) for b, (s, f, _) in enumerate(bins)], kinds)
-    line = Window.partitionBy(bin_).orderBy(key_, origin_)
-    rank = fresh(dealt, "rank")
-    placed = dealt.withColumn(rank, F.row_number().over(line) - 1).join(F.broadcast(places), bin_)
-    return placed.select(*keep, "shard", (F.col(first) + F.col(rank)).alias("slot"))
+    places = spark.createDataFrame([(b, s, f) for b, (s, f, _) in enumerate(bins)], "bin int, shard int, first long")
+    line = Window.partitionBy("bin").orderBy("key", "origin")
+    placed = dealt.withColumn("rank", F.row_number().over(line) - 1).join(F.broadcast(places), "bin")
+    named = [F.col(f"c{k}").alias(c) for k, c in enumerate(keep)]
+    return placed.select(*named, "shard", (F.col("first") + F.col("rank")).alias("slot"))

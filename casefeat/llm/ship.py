@@ -11,6 +11,8 @@ from typing import TypeVar
 
 from pyspark.sql import SparkSession
 
+from ..session import with_default_folder
+
 Job = TypeVar("Job", bound=Callable)
 _SENT: set[str] = set()
 
@@ -31,11 +33,12 @@ def send_package(spark: SparkSession) -> None:
 
 
 def with_package(job: Job) -> Job:
-    """A job whose first argument is the session, with the package sent."""
+    """A job whose first argument is the session, with the package sent and
+    a shared folder to write to."""
 
     @functools.wraps(job)
     def run(spark: SparkSession, *args, **kwargs):
-        send_package(spark)
+        send_package(with_default_folder(spark))
         return job(spark, *args, **kwargs)
 
     return run

@@ -22,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, partitions, settle
+from ..session import scratch_folder
+from .common import partitions, settle
 
 ROWS_PER_GROUP = 1_000
 PAGE_BYTES = 262_144
@@ -208,5 +209,5 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
     and rows that are wholly equal are interchangeable. Other columns are not
     read; an empty table gives no file and an empty result.
     """
-    folder = new_folder(docs.sparkSession, "tokens")
+    folder = scratch_folder(docs.sparkSession, "tokens")
     return read_tokens(write_tokens(docs, folder, tokenizer), folder)

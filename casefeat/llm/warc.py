@@ -19,7 +19,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, settle
+from ..session import scratch_folder
+from .common import settle
 
 MAGIC = (0x184D2A5D).to_bytes(4, "little")
 SAMPLE_RECORDS = 400
@@ -220,5 +221,5 @@ def archived(pages: DataFrame) -> DataFrame:
     target. Other columns are not archived; an empty table gives no archive
     and an empty result.
     """
-    folder = new_folder(pages.sparkSession, "warc")
+    folder = scratch_folder(pages.sparkSession, "warc")
     return read_archives(write_archives(pages, folder), folder)

@@ -10,7 +10,7 @@ from helpers import SF_DIR, docs_of, sent, words  # noqa: F401
 from tokenizers import Tokenizer
 
 from casefeat.llm import tokens as T
-from casefeat.llm.common import new_folder
+from casefeat.session import scratch_folder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
@@ -77,7 +77,7 @@ def test_equal_ids_null_ids_and_no_rows(spark, docs_of):
 
 def test_files_and_selective_reads(spark, docs_of, tokenizer, monkeypatch):
     rows = [(k, f"text of number {k} " * 3) for k in range(2500)]
-    listed = T.write_tokens(docs_of(rows), new_folder(spark, "tokens"), PATH)
+    listed = T.write_tokens(docs_of(rows), scratch_folder(spark, "tokens"), PATH)
     assert listed.agg({"documents": "sum"}).first()[0] == 2500
     for r in listed.collect():
         meta = pq.ParquetFile(r["path"].removeprefix("file://")).metadata

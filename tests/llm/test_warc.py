@@ -9,7 +9,7 @@ from compare import canonical, duck
 from helpers import SF_DIR, sent  # noqa: F401
 
 from casefeat.llm import warc as W
-from casefeat.llm.common import new_folder
+from casefeat.session import scratch_folder
 from casefeat.llm.oracles import ORACLES
 from casefeat.llm.queries import queries
 
@@ -53,7 +53,7 @@ def test_round_trip(spark):
 
 def test_format_and_payloads(spark):
     rows = pages_of(120)
-    listed = W.write_archives(spark.createDataFrame(rows, SCHEMA), new_folder(spark, "warc"))
+    listed = W.write_archives(spark.createDataFrame(rows, SCHEMA), scratch_folder(spark, "warc"))
     payloads = {}
     frames = 0
     for raw in archive_bytes(listed):
