@@ -32,7 +32,10 @@ WINDOW = 100
 ANCHOR = 32
 BUFFER = 1 << 21
 POSITION_BITS = 23
-BITMAP_BITS = 26
+CORE = ANCHOR + (WINDOW - ANCHOR) // 2
+CORE_BITS = 28
+PLACE_MAP_BITS = 26
+BUCKET_BITS = 12
 HOT = 2_000
 HOT_ANCHORS = 1_000_000
 SPLIT = 4
@@ -137,19 +140,29 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[n]
 
 
-def anchor_hashes(buffer: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every stretch of ``ANCHOR`` bytes."""
-    up, down = _powers(BUFFER + 2 * WINDOW)
+def prefix_sums(buffer: np.ndarray) -> np.ndarray:
+    """Sums that give a hash of any stretch of the buffer."""
+    up, _ = _powers(BUFFER + 2 * WINDOW)
     with np.errstate(over="ignore"):
-        sums = np.cumsum(buffer.astype(np.uint64) * up[: len(buffer)])
-        x = sums[ANCHOR - 1 :].copy()
-        x[1:] -= sums[:-ANCHOR]
-        x *= down[: len(x)]
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+        return np.concatenate(([np.uint64(0)], np.cumsum(buffer.astype(np.uint64) * up[: len(buffer)])))
+
+
+def stretch_hashes(sums: np.ndarray, start: np.ndarray | slice, size: int) -> np.ndarray:
+    """A 64-bit hash of the ``size`` bytes from each start."""
+    _, down = _powers(BUFFER + 2 * WINDOW)
+    with np.errstate(over="ignore"):
+        if isinstance(start, slice):
+            x = (sums[size:] - sums[:-size]) * down[: len(sums) - size]
+        else:
+            x = (sums[start + size] - sums[start]) * down[start]
+        return _mixed(x)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
 
 
 def least_of_windows(values: np.ndarray, width: int) -> np.ndarray:
@@ -163,26 +176,38 @@ def least_of_windows(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def segments(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+def segments(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """``(piece, first, last, anchor, hash)`` of every segment of the pieces
     ``buffer[starts:ends]``: the strings that start from ``first`` to ``last``
     share the anchor at ``anchor``."""
     if len(buffer) < WINDOW:
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
-    hashes = anchor_hashes(buffer)
+    hashes = stretch_hashes(prefix_sums(buffer) if sums is None else sums, slice(None), ANCHOR)
     keep = np.uint64(2**64 - 2**POSITION_BITS)
     marked = (hashes & keep) | np.arange(len(hashes), dtype=np.uint64)
     anchor = (least_of_windows(marked, WINDOW - ANCHOR + 1) & ~keep).astype(np.int64)
     piece = np.repeat(np.arange(len(starts)), ends - starts)[: len(anchor)]
     inside = np.arange(len(anchor)) + WINDOW <= ends[piece]
-    new = inside.copy()
-    new[1:] &= (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1]) | ~inside[:-1]
-    last = inside.copy()
-    last[:-1] &= (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1]) | ~inside[1:]
+    change = (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])
+    new, last = inside.copy(), inside.copy()
+    new[1:] &= change | ~inside[:-1]
+    last[:-1] &= change | ~inside[1:]
     first, last = np.flatnonzero(new), np.flatnonzero(last)
     return piece[first], first, last, anchor[first], hashes[anchor[first]]
 
 
+def core_hashes(sums, first, last, anchor) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every segment: a hash of the anchor with as many bytes before it as
+    make ``CORE``, whether one of its strings holds them, and the same for the
+    bytes after it. Each string of a segment holds one or the other, so of
+    two equal strings the cores are equal as well."""
+    before, after = anchor - (CORE - ANCHOR), anchor
+    has_before, has_after = first <= before, last >= before
+    room = len(sums) - 1 - CORE
+    left = stretch_hashes(sums, np.clip(before, 0, room), CORE) ^ np.uint64(1)
+    return left, has_before, stretch_hashes(sums, np.clip(after, 0, room), CORE), has_after
+
+
 def buffers(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """``(bytes, starts, ends, row, base)``: a batch's texts laid side by side
     in bounded buffers. A text longer than a buffer comes in pieces that
@@ -229,64 +254,153 @@ ROWS = pa.schema(
 ROWS_DDL = "key long, doc long, tie long, start long, end long, content binary"
 MARKS = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 MARKS_DDL = "doc long, tie long, start long, end long"
+THIN_DDL = "key long, same long, doc long, tie long, start long, end long, sealed boolean"
+FOUND_DDL = "key long, place long, doc long, tie long, start long, end long"
 
 
-def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cores(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Hashes of all cores of a batch, sorted, one row per bucket (their
+    leading bits) with the next 32 bits of each; a core met again in the batch
+    comes twice."""
     for batch in batches:
+        found = [np.zeros(0, np.uint64)]
         for raw, starts, ends, _, _ in buffers(batch):
-            *_, hashes = segments(np.frombuffer(raw, np.uint8), starts, ends)
-            own, n = np.unique(hashes.view(np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], ["anchor", "n"])
-
-
-def repeated_anchors(texts: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """A bitmap of fixed size over the hashes of all anchors that occur more
-    than once, and the hashes of the crowded ones: those of more than ``hot``
-    segments, or more than a millionth of all, so at most ``HOT_ANCHORS``."""
-    counted = texts.mapInArrow(_count_anchors, "anchor long, n long")
-    counts, _ = settle(counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"), "anchors")
-    bit = F.shiftrightunsigned("anchor", 64 - BITMAP_BITS)
-    words = counts.groupBy(F.shiftright(bit, 6).alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(anchor, {64 - BITMAP_BITS}) & 63 as int))")).alias("bits")
-    )
-    table = words.toArrow()
-    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    bitmap[table.column("word").to_numpy()] = table.column("bits").to_numpy()
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    crowded = counts.where(F.col("n") > max(hot, total // HOT_ANCHORS)).select("anchor").toArrow()
-    return bitmap, np.sort(crowded.column("anchor").to_numpy())
-
-
-def _is_repeated(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    bit = (hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-    return (bitmap[bit >> 6] >> (bit & 63)) & 1 == 1
-
-
-def _cut(batch, bitmap, crowded) -> Iterator[pa.RecordBatch]:
-    """Segments with repeated anchors. Of equal ones in a buffer only the
-    first goes on; the others are spans to remove already."""
-    doc, tie = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
+            buffer = np.frombuffer(raw, np.uint8)
+            sums = prefix_sums(buffer)
+            _, first, last, anchor, _ = segments(buffer, starts, ends, sums)
+            left, has_left, right, has_right = core_hashes(sums, first, last, anchor)
+            found += [left[has_left], right[has_right]]
+        own, n = np.unique(np.concatenate(found), return_counts=True)
+        own = np.repeat(own, np.minimum(n, 2))
+        bucket = (own >> np.uint64(64 - bits)).astype(np.int64)
+        low = (own >> np.uint64(32 - bits)).astype("<u4")
+        at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(own) else np.zeros(0, np.int64)
+        blobs = [low[s:e].tobytes() for s, e in zip(at.tolist(), [*at[1:].tolist(), len(own)], strict=True)] if len(own) else []
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "low"])
+
+
+def _repeated_cores(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Per bucket the part of the bitmap with all cores that occur twice."""
+    width = CORE_BITS - bits
+    for table in grouped_batches(batches, ["bucket"], 1_000):
+        bucket, low = table.column("bucket").to_numpy(), table.column("low").to_pylist()
+        at = np.append(group_starts(table, ["bucket"]), len(bucket)).tolist()
+        parts = []
+        for lo, hi in zip(at[:-1], at[1:], strict=True):
+            all_of = np.sort(np.frombuffer(b"".join(low[lo:hi]), "<u4"))
+            twice = all_of[1:][all_of[1:] == all_of[:-1]]
+            here = np.zeros(1 << width, bool)
+            here[twice >> np.uint32(32 - width)] = True
+            parts.append(np.packbits(here, bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]], pa.int32()), pa.array(parts, pa.binary())], ["bucket", "part"])
+
+
+def core_bitmap(texts: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over the hashes of cores that occur more than
+    once. Hashes move sorted and packed, four bytes each; a bucket of them is
+    one task's, and there are more buckets than tasks. That another core
+    shares a bit costs a comparison later, never a result."""
+    n = partitions(texts.sparkSession)
+    bits = min(max(BUCKET_BITS, n.bit_length() + 4), CORE_BITS - 3)
+    sent = texts.mapInArrow(lambda batches: _cores(batches, bits), "bucket int, low binary")
+    dealt = sent.repartition(n, "bucket").sortWithinPartitions("bucket")
+    parts = dealt.mapInArrow(lambda batches: _repeated_cores(batches, bits), "bucket int, part binary").toArrow()
+    size = 1 << (CORE_BITS - bits - 3)
+    bitmap = np.zeros((1 << bits, size), np.uint8)
+    for bucket, part in zip(parts.column("bucket").to_pylist(), parts.column("part").to_pylist(), strict=True):
+        bitmap[bucket] = np.frombuffer(part, np.uint8)
+    return bitmap.ravel()
+
+
+def _set(hashes: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
+    at = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _place(doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A hash of where a segment lies."""
+    x = _mixed(doc.astype(np.int64).view(np.uint64) + np.uint64(BASE))
+    x = _mixed(x ^ tie.astype(np.int64).view(np.uint64))
+    return _mixed(x ^ start.astype(np.int64).view(np.uint64))
+
+
+def _candidates(batch, cores) -> Iterator[tuple]:
+    """Segments of which a core repeats, cut to the strings that hold one:
+    ``(bytes, owner, first, last, anchor, hash, shift)`` per buffer."""
     for raw, starts, ends, row, base in buffers(batch):
-        piece, first, last, anchor, hashes = segments(np.frombuffer(raw, np.uint8), starts, ends)
-        pick = np.flatnonzero(_is_repeated(hashes, bitmap))
-        piece, first, last, anchor, hashes = (x[pick] for x in (piece, first, last, anchor, hashes))
-        shift = (base - starts)[piece]
-        owner = row[piece]
-        same = np.fromiter((xxhash.xxh3_64_intdigest(raw[a : b + WINDOW]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first))
+        buffer = np.frombuffer(raw, np.uint8)
+        sums = prefix_sums(buffer)
+        piece, first, last, anchor, hashes = segments(buffer, starts, ends, sums)
+        left, has_left, right, has_right = core_hashes(sums, first, last, anchor)
+        left, right = has_left & _set(left, cores, CORE_BITS), has_right & _set(right, cores, CORE_BITS)
+        middle = anchor - (CORE - ANCHOR)
+        last = np.where(right, last, np.minimum(last, middle))
+        first = np.where(left, first, np.maximum(first, middle))
+        pick = np.flatnonzero(left | right)
+        yield raw, row[piece[pick]], first[pick], last[pick], anchor[pick], hashes[pick], (base - starts)[piece[pick]]
+
+
+def _thin(batch, cores) -> Iterator[pa.RecordBatch]:
+    """Candidates as hashes and places. Of equal ones in a buffer only the
+    first goes on; the others are spans to remove already (``sealed``)."""
+    doc, tie = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
+    for raw, owner, first, last, _, hashes, shift in _candidates(batch, cores):
+        digest = xxhash.xxh3_64_intdigest
+        same = np.fromiter((digest(raw[a : b + WINDOW]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first))
         order = np.lexsort((first + shift, tie[owner], doc[owner], same, hashes))
         again = np.zeros(len(order), bool)
         a, b = order[1:], order[:-1]
         again[1:] = (hashes[a] == hashes[b]) & (same[a] == same[b])
         gone, kept = order[again], order[~again]
         who, start, end = merged(owner[gone], first[gone] + shift[gone], last[gone] + shift[gone] + WINDOW)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[who] ^ start), pa.array(doc[who]), pa.array(tie[who]), pa.array(start), pa.array(end), pa.nulls(len(who), pa.binary())],
-            schema=ROWS,
-        )
-        busy = np.isin(hashes[kept].view(np.int64), crowded)
-        plain = kept[~busy]
+        spread = _place(doc[who], tie[who], start).view(np.int64)
+        columns = [
+            np.concatenate([spread, hashes[kept].view(np.int64)]),
+            np.concatenate([spread, same[kept].view(np.int64)]),
+            np.concatenate([doc[who], doc[owner[kept]]]),
+            np.concatenate([tie[who], tie[owner[kept]]]),
+            np.concatenate([start, first[kept] + shift[kept]]),
+            np.concatenate([end, last[kept] + shift[kept] + WINDOW]),
+            np.repeat([True, False], [len(who), len(kept)]),
+        ]
+        names = ["key", "same", *MARKS.names, "sealed"]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by ``(key, same, doc, tie, start)``: the first of equal
+    segments as ``(key, place)``, the others as spans to remove."""
+    before = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, same, doc, tie, start, end = (batch.column(c).to_numpy() for c in ("key", "same", *MARKS.names))
+        sealed = batch.column("sealed").to_numpy(zero_copy_only=False)
+        again = np.zeros(len(key), bool)
+        again[1:] = (key[1:] == key[:-1]) & (same[1:] == same[:-1]) & ~sealed[1:] & ~sealed[:-1]
+        if before is not None:
+            again[0] = before == (key[0], same[0], False) and not sealed[0]
+        before = (key[-1], same[-1], bool(sealed[-1]))
+        gone, first = np.flatnonzero(again | sealed), np.flatnonzero(~again & ~sealed)
+        n, m = len(gone), len(first)
+        place = _place(doc[first], tie[first], start[first]).view(np.int64)
+        arrays = [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x)]) for x in (key[first], place)]
+        arrays += [pa.concat_arrays([pa.array(x[gone]), pa.nulls(m, pa.int64())]) for x in (doc, tie, start, end)]
+        yield pa.RecordBatch.from_arrays(arrays, ["key", "place", *MARKS.names])
+
+
+def _contents(batch, cores, places, crowded) -> Iterator[pa.RecordBatch]:
+    """The bytes of the segments that the bitmap of places names."""
+    doc, tie = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
+    for raw, owner, first, last, anchor, hashes, shift in _candidates(batch, cores):
+        named = _set(_place(doc[owner], tie[owner], first + shift), places, PLACE_MAP_BITS)
+        busy = np.isin(hashes.view(np.int64), crowded)
+        plain = np.flatnonzero(named & ~busy)
         rows = [hashes[plain].view(np.int64), owner[plain], first[plain], last[plain] + WINDOW, shift[plain]]
-        split = [_split(raw, int(first[k]), int(last[k]), int(anchor[k]), int(hashes[k]), int(owner[k]), int(shift[k])) for k in kept[busy]]
+        split = [
+            _split(raw, *(int(x[k]) for x in (first, last, anchor, hashes, owner, shift)))
+            for k in np.flatnonzero(named & busy)
+        ]
         if split:
             rows = [np.concatenate([x, y]) for x, y in zip(rows, np.concatenate(split, axis=1), strict=True)]
         key, who, start, end, move = rows
@@ -313,13 +427,6 @@ def _split(raw: bytes, first: int, last: int, anchor: int, name: int, owner: int
 
 def _repeats(table: pa.Table) -> Iterator[pa.RecordBatch]:
     """Spans to remove among the segments of whole key groups."""
-    sealed = table.column("content").is_null().to_numpy()
-    if sealed.any():
-        done = table.filter(pa.array(sealed))
-        yield from done.select(MARKS.names).to_batches()
-        table = table.filter(pa.array(~sealed))
-    if not table.num_rows:
-        return
     doc, tie, start, end = (table.column(c).to_numpy() for c in MARKS.names)
     content = table.column("content").to_pylist()
     at = np.append(group_starts(table, ["key"]), len(doc)).tolist()
@@ -362,22 +469,53 @@ def _equal_strings(doc, tie, start, content, collection: list[int]) -> pa.Record
 
 def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """``(doc, tie, start, end)`` byte spans of ``texts (doc, tie, text)``
-    whose strings all start earlier elsewhere; spans may overlap."""
+    whose strings all start earlier elsewhere; spans may overlap.
+
+    Texts are cut three times rather than moved: first the hashes of all
+    cores go to their buckets, then the candidates' hashes and places, last
+    the bytes of those segments that share an anchor but differ, which is
+    what the transform compares.
+    """
     spark = texts.sparkSession
-    bitmap, crowded = repeated_anchors(texts.select("text"), hot)
-    sent = spark.sparkContext.broadcast((bitmap, crowded))
+    n, sc = partitions(spark), spark.sparkContext
+    cores = sc.broadcast(core_bitmap(texts.select("text")))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _cut(batch, *sent.value)
+            yield from _thin(batch, cores.value)
+
+    met = texts.mapInArrow(thin, THIN_DDL).repartition(n, "key", "same")
+    met = met.sortWithinPartitions("key", "same", "doc", "tie", "start")
+    found, _ = settle(met.mapInArrow(_firsts, FOUND_DDL), "firsts")
+    equal = found.where("key is null").select(*MARKS.names)
+
+    several, _ = settle(found.where("key is not null").groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    total = several.agg(F.sum("n")).first()[0] or 0
+    crowded = several.where(F.col("n") > max(hot, total // HOT_ANCHORS)).select("key").toArrow()
+    differing = found.where("key is not null").join(several.select("key"), "key", "left_semi")
+    sent = sc.broadcast((_bitmap(differing, "place", PLACE_MAP_BITS), np.sort(crowded.column("key").to_numpy())))
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _contents(batch, cores.value, *sent.value)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped_batches(batches, ["key"], 20_000):
             yield from _repeats(table)
 
-    met = texts.mapInArrow(cut, ROWS_DDL).repartition(partitions(spark), "key").sortWithinPartitions("key")
-    found, _ = settle(met.mapInArrow(compare, MARKS_DDL), "spans")
-    return found
+    dealt = texts.mapInArrow(contents, ROWS_DDL).repartition(n, "key").sortWithinPartitions("key")
+    partly, _ = settle(dealt.mapInArrow(compare, MARKS_DDL), "spans")
+    return equal.unionByName(partly)
+
+
+def _bitmap(rows: DataFrame, name: str, bits: int) -> np.ndarray:
+    """A bitmap of ``2 ** bits`` over the leading bits of a hash column."""
+    at = F.shiftrightunsigned(name, 64 - bits)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({name}, {64 - bits}) & 63 as int))")
+    words = rows.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.astype("<i8").view(np.uint8)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
