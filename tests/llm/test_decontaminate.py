@@ -53,7 +53,7 @@ def test_pairs(spark, docs_of):
     known = sorted([(i, t) for i, t in items if t is not None], key=lambda x: x[0])
     want = {(doc_id, item) for doc_id, text in rows for item in slow_matches(text, known)}
     pairs = [(r["doc_id"], r["item_id"]) for r in D.contaminated_pairs(docs_of(rows), benchmark).collect()]
-    assert len(pairs) == len(set(pairs)) and set(pairs) == want and len(want) > 40
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want and len(want) > 25
     clean = D.clean(docs_of(rows), benchmark)
     dirty = {d for d, _ in want}
     assert sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(d) for d, _ in rows if d not in dirty)
