@@ -201,11 +201,21 @@ def simhash_classes(docs: DataFrame, width: int = 4, max_distance: int = 4, crow
 def keep_first(docs: DataFrame, width: int = 4, max_distance: int = 4) -> DataFrame:
     """One document of each class, the one with the smallest doc_id, with all
     its columns. Of several rows with that doc_id (or of a class with null
-    doc_ids only) one stays."""
-    classes = simhash_classes(docs, width, max_distance).withColumnRenamed("doc_id", "__id")
-    firsts = classes.where(F.col("__id").eqNullSafe(F.col("component_id")))
-    kept, _ = settle(firsts.groupBy("__id").agg(F.count("*").alias("__n")), "kept")
-    out = docs.join(kept.select("__id"), docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
-    if not kept.where("__n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out
+    doc_ids only) one stays.
+
+    Where doc_ids are unique, the ids that go are taken away: the shorter
+    list. Where some repeat, an id alone does not name a row; rows are then
+    met by id and fingerprint.
+    """
+    classes, _ = settle(simhash_classes(docs, width, max_distance), "members")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    if classes.groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = classes.where(~first).select(F.col("doc_id").alias("__id"))
+        return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
+    kept = classes.where(first).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__of"), "component").distinct()
+    own, group = fresh(docs, "fp"), fresh(docs, "component")
+    kept = kept.withColumnRenamed("component", group)
+    marked = with_fingerprint(docs, width, own)
+    met = marked.join(kept, marked["doc_id"].eqNullSafe(kept["__id"]) & (marked[own] == kept["__of"]))
+    columns = [marked[f"`{c}`"] for c in docs.columns]
+    return met.select(*columns, kept[group]).dropDuplicates([group]).drop(group)
