@@ -10,6 +10,7 @@ cosine is computed from the original numbers in double precision.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ SLACK = 1e-9
 SEED = 7
 
 
+@lru_cache(8)
 def rotation(dims: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((dims, dims)))
     return q * np.sign(np.diag(r))
@@ -57,7 +59,7 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 def entries(points: np.ndarray, label: np.ndarray, cosine: float, grid_dims: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``(cell, row, at home)`` of every cell that a rotated point's range
     meets, block by block. The grid covers the first ``grid_dims`` numbers of
-    a block; a cell's number holds label, length, block and place."""
+    a block; a cell's name is a hash of label, length, block and place."""
     n, dims = points.shape
     for number, (block, budget) in enumerate(zip(blocks(dims), budgets(dims, cosine), strict=True)):
         axes = block[:grid_dims]
@@ -164,19 +166,21 @@ def links(reps: DataFrame, cosine: float, grid_dims: int, crowded: int) -> DataF
             raw = table.column("raw").to_pylist()
             starts = group_starts(table, keys)
             left, right = [], []
+            length = np.fromiter(map(len, raw), np.int64, len(raw))
             for lo, hi in zip(starts, np.append(starts[1:], len(node)), strict=True):
-                if hi - lo < 2 or not home[lo:hi].any() or len({len(r) for r in raw[lo:hi]}) > 1:
-                    continue
-                at = np.arange(lo, hi)
-
-                def allowed(a, b, at=at):
-                    a, b = at[a], at[b]
-                    return (node[a] < node[b]) & ((mine[a] != mine[b]) | (ci[a] == cj[a]))
-
-                vectors = np.frombuffer(b"".join(raw[lo:hi]), kind).reshape(hi - lo, -1)
-                a, b = near_pairs(vectors, home[lo:hi].astype(bool), int(block[lo]), cosine, allowed)
-                left.append(a + lo)
-                right.append(b + lo)
+                for size in np.unique(length[lo:hi]):
+                    at = lo + np.flatnonzero(length[lo:hi] == size)
+                    if len(at) < 2 or not home[at].any():
+                        continue
+
+                    def allowed(a, b, at=at):
+                        a, b = at[a], at[b]
+                        return (node[a] < node[b]) & ((mine[a] != mine[b]) | (ci[a] == cj[a]))
+
+                    vectors = np.frombuffer(b"".join([raw[k] for k in at]), kind).reshape(len(at), -1)
+                    a, b = near_pairs(vectors, home[at].astype(bool), int(block[lo]), cosine, allowed)
+                    left.append(at[a])
+                    right.append(at[b])
             a, b = np.concatenate([*left, []]).astype(int), np.concatenate([*right, []]).astype(int)
             found = np.zeros(len(node), np.int64)
             np.add.at(found, a, copies[b])
