@@ -115,9 +115,69 @@ SELECT b.doc_id, n::BIGINT AS n_bytes, coalesce(r, 0)::BIGINT AS n_removed, coal
 FROM b JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
 """
 
+
+def _url_levels(depth: int) -> str:
+    """The template tree level by level: frequent segments stay or are merged
+    with siblings of a like labelled share, rare ones become wildcards."""
+    levels = []
+    for k in range(depth):
+        levels.append(f"""
+b{k} AS (SELECT host, template, parts[{k + 1}] AS part, sum(n) AS n, sum(a) AS a, sum(b) AS b
+  FROM s{k} WHERE len(parts) > {k} GROUP BY ALL),
+p{k} AS (SELECT host, template, sum(n) AS all_n, sum(a) AS all_a, sum(b) AS all_b FROM b{k} GROUP BY ALL),
+n{k} AS (
+  SELECT host, template, part, CASE
+    WHEN n < 3 OR n < 0.1::DOUBLE * all_n THEN '*'
+    WHEN a + b = 0 THEN '{{unknown}}'
+    WHEN abs(a::DOUBLE / (a + b) - all_a::DOUBLE / (all_a + all_b)) > 1.96::DOUBLE * sqrt(
+           all_a::DOUBLE / (all_a + all_b) * (1 - all_a::DOUBLE / (all_a + all_b)) / (a + b))
+      OR (all_a > 0 AND all_b > 0 AND (a = 0 OR b = 0)) THEN part
+    ELSE '{{alike}}' END AS name
+  FROM b{k} JOIN p{k} USING (host, template)
+),
+s{k + 1} AS (
+  SELECT s.* REPLACE (CASE WHEN len(parts) > {k} THEN s.template || '/' || name ELSE s.template END AS template)
+  FROM s{k} s LEFT JOIN n{k} m ON s.host = m.host AND s.template = m.template AND s.parts[{k + 1}] = m.part
+)""")
+    return ",".join(levels)
+
+
+OP8 = f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+),
+raw AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h, rest FROM cut),
+page AS (
+  SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path
+  FROM raw
+),
+ruled AS (
+  SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM page
+),
+judged AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS own FROM ruled),
+s0 AS (
+  SELECT host, path, count(*) AS n, count(*) FILTER (own = 'allow') AS a, count(*) FILTER (own = 'block') AS b,
+         list_slice(list_filter(string_split(path, '/'), lambda x: x <> ''), 1, 8) AS parts, '' AS template
+  FROM judged GROUP BY host, path
+),{_url_levels(8)},
+leaf AS (
+  SELECT host, template, (sum(a) + 2.0::DOUBLE * 0.7::DOUBLE) / (sum(a) + sum(b) + 2.0::DOUBLE) AS purity FROM s8 GROUP BY ALL
+),
+verdict AS (SELECT s.host, s.path, purity FROM s8 s JOIN leaf USING (host, template))
+SELECT page_id, j.host, j.path, rule, coalesce(own, CASE WHEN purity < 0.5::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j JOIN verdict v ON j.host = v.host AND j.path = v.path
+"""
+
 ORACLES = {
     "op2_source_mixing": OP2,
     "op3_embedding_near_dedup": OP3,
     "op5_warc_archive": OP5,
     "op7_suffix_dedup": OP7,
+    "op8_url_filter": OP8,
 }
