@@ -126,7 +126,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     second attempt leaves at most files that no list names.
     """
     rows = with_references(pages)
-    sampled = pages.orderBy(F.xxhash64("page_id", "url")).limit(SAMPLE_RECORDS)
+    # A hash picks about twice the sample, and no more of it is collected.
+    share = min(1.0, 2 * SAMPLE_RECORDS / max(pages.count(), 1))
+    drawn = F.shiftrightunsigned(F.xxhash64("page_id", "url"), 1) < F.lit(int(share * 2**62) * 2 - 1)
+    sampled = pages.where(drawn | F.lit(share >= 1)).limit(SAMPLE_RECORDS)
     cut = sampled.select("page_id", "url", F.substring(payload_of(F.col("html")), 1, SAMPLE_BYTES).alias("p"))
     samples = [
         record(r["page_id"], r["url"], bytes(r["p"]), hashlib.sha256(r["p"]).hexdigest(), None) for r in cut.collect()
