@@ -2,7 +2,8 @@
 
 The test items form an inverted index whose impacts are BM25 weights divided
 by the item's score for itself, in blocks of a few items with each term's
-largest impact per block. Every passage of every training text queries the
+largest impact per block. Term frequencies, mean length and longest item are
+those of all items, however many slices the index is cut into. Every passage of every training text queries the
 index. A block whose summed maxima stay below the threshold holds no answer
 and is passed over; in the others every item is scored in full. All items
 above the threshold are then compared word by word.
@@ -21,6 +22,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 OVERLAP = 0.8
@@ -40,6 +43,16 @@ def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(words[k : k + width]) for k in range(len(words) - width + 1)} if words else set()
 
 
+@dataclass(frozen=True)
+class Totals:
+    """What the weights need of a whole benchmark: its items that have words,
+    their mean length in words and that of the longest."""
+
+    items: int
+    mean: float
+    longest: int
+
+
 @dataclass
 class Index:
     """Inverted index of at most ``PASS_ITEMS`` items: postings by term, each
@@ -55,17 +68,22 @@ class Index:
     stride: int
 
     @staticmethod
-    def build(items: list[tuple[int, str]]) -> Index:
+    def build(items: list[tuple[int, str]], totals: Totals | None = None, frequency: dict[bytes, int] | None = None) -> Index:
+        """Index of ``items``, a slice of a benchmark with ``totals`` and, for
+        the words of the slice, the number of items that have them; without
+        these the items are the whole benchmark."""
         known = [(i, words_of(t)) for i, t in items]
         known = [(i, w) for i, w in known if w]
         counts = [Counter(w) for _, w in known]
-        length = np.array([len(w) for _, w in known] or [1], float)
-        frequency = Counter(t for c in counts for t in c)
-        vocabulary = {t: k for k, t in enumerate(sorted(frequency))}
-        idf = {t: np.log1p((len(known) - n + 0.5) / (n + 0.5)) for t, n in frequency.items()}
+        if totals is None:
+            size = [len(w) for _, w in known] or [1]
+            totals = Totals(len(known), sum(size) / len(size), max(size))
+            frequency = Counter(t for c in counts for t in c)
+        vocabulary = {t: k for k, t in enumerate(sorted({t for c in counts for t in c}))}
+        idf = {t: np.log1p((totals.items - frequency[t] + 0.5) / (frequency[t] + 0.5)) for t in vocabulary}
         postings = []
         for k, c in enumerate(counts):
-            norm = K1 * (1 - B + B * length[k] / length.mean())
+            norm = K1 * (1 - B + B * len(known[k][1]) / totals.mean)
             weight = {t: idf[t] * n * (K1 + 1) / (n + norm) for t, n in c.items()}
             own = sum(weight.values())
             postings += [(vocabulary[t], k, w / own) for t, w in weight.items()]
@@ -78,7 +96,7 @@ class Index:
         if len(term):
             np.maximum.at(block_max, (term, item // BLOCK_ITEMS), impact)
         first = np.searchsorted(term, np.arange(len(vocabulary) + 1))
-        stride = max([MIN_STRIDE, *(len(w) for _, w in known)])
+        stride = max(MIN_STRIDE, totals.longest)
         return Index([i for i, _ in known], [w for _, w in known], vocabulary, first, item, impact, block_max, stride)
 
     def score(self, terms: np.ndarray) -> np.ndarray:
@@ -147,23 +165,47 @@ class Index:
         return found
 
 
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per item its number of words and the distinct ones."""
+    for batch in batches:
+        words = [words_of(t.as_py()) for t in batch.column("text")]
+        columns = [batch.column("item_id"), batch.column("digest"), pa.array([len(w) for w in words], pa.int64())]
+        terms = pa.array([sorted(set(w)) for w in words], pa.list_(pa.binary()))
+        yield pa.RecordBatch.from_arrays([*columns, terms], ["item_id", "digest", "size", "terms"])
+
+
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
     """Indexes over all items, each of at most ``PASS_ITEMS`` items or
     ``PASS_BYTES`` of text (a longer item is one of its own), so what is
     sent to the executors at once is bounded. Items come one partition at a
-    time. Null texts and texts without words are in no index; rows with equal
-    ids and texts count once."""
+    time, each with the frequencies of its words in the whole benchmark, so
+    scores do not depend on the slices. Null texts and texts without words
+    are in no index; rows with equal ids and texts count once."""
+    rows = benchmark.where("item_id is not null and text is not null")
+    rows = rows.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    rows, _ = settle(rows.withColumn("digest", F.unhex(F.sha2("text", 256))), "items")
+    words = rows.mapInArrow(_item_words, "item_id long, digest binary, size long, terms array<binary>")
+    words, _ = settle(words.where("size > 0"), "item-words")
+    n, total, longest = words.agg(F.count("*"), F.sum("size"), F.max("size")).first()
+    if not n:
+        return
+    totals = Totals(n, total / n, longest)
+    posted = words.select("item_id", "digest", F.explode("terms").alias("term"))
+    frequency, _ = settle(posted.groupBy("term").agg(F.count("*").alias("n")), "frequencies")
+    met = posted.join(frequency, "term").groupBy("item_id", "digest")
+    known = rows.join(met.agg(F.collect_list(F.struct("term", "n")).alias("found")), ["item_id", "digest"])
     held: list[tuple[int, str]] = []
+    counts: dict[bytes, int] = {}
     size = 0
-    rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
-    for row in rows.orderBy("item_id", "text").toLocalIterator():
+    for row in known.select("item_id", "text", "found").orderBy("item_id", "text").toLocalIterator():
         if held and (len(held) >= PASS_ITEMS or size + len(row["text"]) > PASS_BYTES):
-            yield Index.build(held)
-            held, size = [], 0
+            yield Index.build(held, totals, counts)
+            held, counts, size = [], {}, 0
         held.append((row["item_id"], row["text"]))
+        counts.update((bytes(term), n) for term, n in row["found"])
         size += len(row["text"])
     if held:
-        yield Index.build(held)
+        yield Index.build(held, totals, counts)
 
 
 SCHEMA = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"

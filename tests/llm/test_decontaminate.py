@@ -107,3 +107,24 @@ def test_clashing_columns(spark, docs_of):
     docs = docs_of([(1, "zero one two three four five six"), (2, "else")]).selectExpr("*", "1 AS item_id", "2 AS score")
     assert [r["doc_id"] for r in D.contaminated_pairs(docs, benchmark).collect()] == [1]
     assert [tuple(r) for r in D.clean(docs, benchmark).selectExpr("doc_id", "item_id").collect()] == [(2, 1)]
+
+
+def test_slices_change_neither_pairs_nor_scores(spark, docs_of, monkeypatch):
+    """Neighbouring ids share a template of 39 words, so one slice holds only
+    them; a copy with another own word is still found."""
+    rng = random.Random(3)
+    rows, items = corpus()
+    template = words(rng, 39).split()
+    for k in range(16):
+        items.append((1000 + k, " ".join([*template[:20], f"own{k}", *template[20:]])))
+    items += [(2000 + k, words(rng, rng.randint(20, 90))) for k in range(120)]
+    rows.append((300, " ".join(["before", *template[:20], "changed", *template[20:], "after"])))
+    benchmark = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    known = sorted([(i, t) for i, t in items if t is not None], key=lambda x: x[0])
+    index = D.Index.build(known)
+    want = {(d, i, *values) for d, text in rows for i, values in index.matches(text).items()}
+    assert {i for d, i, *_ in want if d == 300} == {1000 + k for k in range(16)}
+    for size in (1000, 16, 7):
+        monkeypatch.setattr(D, "PASS_ITEMS", size)
+        assert {tuple(r) for r in D.contaminated_pairs(docs_of(rows), benchmark).collect()} == want
+    assert len(list(D.indexes(benchmark))) > 20
