@@ -39,6 +39,10 @@ BUCKET_BITS = 12
 HOT = 2_000
 HOT_ANCHORS = 1_000_000
 SPLIT = 4
+PACKED = 10
+SALTS = 16
+HELD_PARTS = 100_000
+MOST = 20_000
 BATCH_SEGMENTS = 2_000
 END = 255
 PLACE_BITS = 24
@@ -249,11 +253,13 @@ def merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
 
 
 ROWS = pa.schema(
-    [("key", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("content", pa.binary())]
+    [("key", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("content", pa.binary()), ("salt", pa.int64())]
 )
-ROWS_DDL = "key long, doc long, tie long, start long, end long, content binary"
+ROWS_DDL = "key long, doc long, tie long, start long, end long, content binary, salt long"
 MARKS = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 MARKS_DDL = "doc long, tie long, start long, end long"
+KEPT = ["key", *MARKS.names, "content"]
+KEPT_DDL = "key long, doc long, tie long, start long, end long, content binary"
 THIN_DDL = "key long, same long, doc long, tie long, start long, end long, sealed boolean"
 FOUND_DDL = "key long, place long, doc long, tie long, start long, end long"
 
@@ -389,40 +395,89 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, ["key", "place", *MARKS.names])
 
 
-def _contents(batch, cores, places, crowded) -> Iterator[pa.RecordBatch]:
-    """The bytes of the segments that the bitmap of places names."""
+def _contents(batch, cores, places, crowded, packed=()) -> Iterator[pa.RecordBatch]:
+    """The bytes of the segments that the bitmap of places names. Those of a
+    crowded anchor come in parts (``salt`` from 0 on), of equal parts in a
+    batch the first one; the others are spans to remove already (no content)."""
     doc, tie = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
+    best: dict[tuple[int, bytes], tuple[int, ...]] = {}
+    gone: list[tuple[int, ...]] = []
     for raw, owner, first, last, anchor, hashes, shift in _candidates(batch, cores):
         named = _set(_place(doc[owner], tie[owner], first + shift), places, PLACE_MAP_BITS)
-        busy = np.isin(hashes.view(np.int64), crowded)
+        busy, single = np.isin(hashes.view(np.int64), crowded), np.isin(hashes.view(np.int64), packed)
         plain = np.flatnonzero(named & ~busy)
-        rows = [hashes[plain].view(np.int64), owner[plain], first[plain], last[plain] + WINDOW, shift[plain]]
-        split = [
-            _split(raw, *(int(x[k]) for x in (first, last, anchor, hashes, owner, shift)))
-            for k in np.flatnonzero(named & busy)
-        ]
-        if split:
-            rows = [np.concatenate([x, y]) for x, y in zip(rows, np.concatenate(split, axis=1), strict=True)]
-        key, who, start, end, move = rows
+        who, start, end, move = owner[plain], first[plain], last[plain] + WINDOW, shift[plain]
         content = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(doc[who]), pa.array(tie[who]), pa.array(start + move), pa.array(end + move), pa.array(content, pa.binary())],
-            schema=ROWS,
-        )
-
-
-def _split(raw: bytes, first: int, last: int, anchor: int, name: int, owner: int, shift: int) -> np.ndarray:
-    """A segment of a crowded anchor in parts of at most ``SPLIT`` strings,
-    by their distance from the anchor. All strings of a part hold its core,
-    so equal ones still meet under the core's hash, but no longer all
-    segments of the anchor: those with one core differ in a few bytes only."""
-    out = []
-    for r in range((anchor - last) // SPLIT, (anchor - first) // SPLIT + 1):
-        high = anchor - r * SPLIT
-        core = raw[high : high - SPLIT + 1 + WINDOW]
+        yield _rows(hashes[plain].view(np.int64), doc[who], tie[who], start + move, end + move, content, np.full(len(plain), -1))
+        for k in np.flatnonzero(named & busy):
+            who, move, width = int(owner[k]), int(shift[k]), 1 if single[k] else SPLIT
+            for key, a, b in _split(raw, *(int(x[k]) for x in (first, last, anchor, hashes)), width):
+                here = (int(doc[who]), int(tie[who]), a + move, b + move, who)
+                met = best.setdefault((key, raw[a:b]), here)
+                if met is not here:
+                    best[key, raw[a:b]] = min(met, here)
+                    gone.append(max(met, here)[2:])
+            if len(best) >= HELD_PARTS:
+                yield _parts(best)
+                best = {}
+    if best:
+        yield _parts(best)
+    start, end, who = np.array(gone, np.int64).reshape(-1, 3).T
+    who, start, end = merged(who, start, end)
+    spread = _place(doc[who], tie[who], start).view(np.int64)
+    yield _rows(spread, doc[who], tie[who], start, end, [None] * len(who), np.full(len(who), -1))
+
+
+def _rows(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, ROWS.types, strict=True)], schema=ROWS)
+
+
+def _parts(best: dict[tuple[int, bytes], tuple[int, ...]]) -> pa.RecordBatch:
+    doc, tie, start, end, _ = np.array(list(best.values()), np.int64).T
+    salt = (_place(doc, tie, start) % np.uint64(SALTS)).astype(np.int64)
+    return _rows([k for k, _ in best], doc, tie, start, end, [c for _, c in best], salt)
+
+
+def _split(raw: bytes, first: int, last: int, anchor: int, name: int, width: int) -> Iterator[tuple[int, int, int]]:
+    """``(key, start, end)``: a segment of a crowded anchor in parts of at
+    most ``width`` strings, by their distance from the anchor. All strings of
+    a part hold its core, so equal ones still meet under the core's hash, but
+    no longer all segments of the anchor: those with one core differ in a few
+    bytes only, and in none where the part is a single string."""
+    for r in range((anchor - last) // width, (anchor - first) // width + 1):
+        high = anchor - r * width
+        core = raw[high : high - width + 1 + WINDOW]
         key = xxhash.xxh3_64_intdigest(core, seed=(name + r) % 2**64)
-        out.append((key - 2**64 if key >= 2**63 else key, owner, max(first, high - SPLIT + 1), min(last, high) + WINDOW, shift))
-    return np.array(out, np.int64).T
+        yield key - 2**64 if key >= 2**63 else key, max(first, high - width + 1), min(last, high) + WINDOW
+
+
+def _compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Whole groups of one key and salt: spans to remove, and of equal parts
+    the first one, which goes on with its key and content."""
+    known = table.column("content").is_valid().to_numpy()
+    part = table.column("salt").to_numpy() >= 0
+    parts = table.filter(pa.array(part))
+    best, gone = _firsts_of(parts)
+    spans = [table.filter(pa.array(~known)), parts.take(pa.array(gone, pa.int64()))]
+    spans += [pa.Table.from_batches([b]) for b in _repeats(table.filter(pa.array(known & ~part)))]
+    for marks in spans:
+        n = marks.num_rows
+        columns = [pa.nulls(n, pa.int64()), *(marks.column(c) for c in MARKS.names), pa.nulls(n, pa.binary())]
+        yield from pa.table(columns, names=KEPT).to_batches()
+    yield from parts.take(pa.array(best, pa.int64())).select(KEPT).to_batches()
+
+
+def _firsts_of(table: pa.Table) -> tuple[list[int], list[int]]:
+    """Rows whose key and content no smaller row has, and the others."""
+    where = list(zip(*(table.column(c).to_pylist() for c in ("doc", "tie", "start")), strict=True))
+    best: dict[tuple[int, bytes], int] = {}
+    gone: list[int] = []
+    for k, name in enumerate(zip(table.column("key").to_pylist(), table.column("content").to_pylist(), strict=True)):
+        other = best.setdefault(name, k)
+        if other != k:
+            best[name], lost = (k, other) if where[k] < where[other] else (other, k)
+            gone.append(lost)
+    return list(best.values()), gone
 
 
 def _repeats(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -442,7 +497,9 @@ def _repeats(table: pa.Table) -> Iterator[pa.RecordBatch]:
                 here = (doc[k], tie[k], start[k]) < (doc[other], tie[other], start[other])
                 best[content[k]], lost = (k, other) if here else (other, k)
                 gone.append(lost)
-        if len(best) > 1:
+        if len(best) > MOST:
+            yield _equal_in_many(doc, tie, start, content, list(best.values()))
+        elif len(best) > 1:
             collection += best.values()
             if len(collection) >= BATCH_SEGMENTS:
                 yield _equal_strings(doc, tie, start, content, collection)
@@ -467,6 +524,23 @@ def _equal_strings(doc, tie, start, content, collection: list[int]) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[pick][who], tie[pick][who], a, b)], schema=MARKS)
 
 
+def _equal_in_many(doc, tie, start, content, group: list[int]) -> pa.RecordBatch:
+    """The same spans for a group too large for one transform, string by string."""
+    best: dict[bytes, tuple[int, ...]] = {}
+    gone: list[tuple[int, ...]] = []
+    for k in group:
+        d, t, s, raw = int(doc[k]), int(tie[k]), int(start[k]), content[k]
+        for at in range(len(raw) - WINDOW + 1):
+            here, string = (d, t, s + at, k), raw[at : at + WINDOW]
+            met = best.setdefault(string, here)
+            if met is not here:
+                best[string] = min(met, here)
+                gone.append(max(met, here))
+    _, _, s, k = np.array(gone, np.int64).reshape(-1, 4).T
+    who, a, b = merged(k, s, s + WINDOW)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[who], tie[who], a, b)], schema=MARKS)
+
+
 def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """``(doc, tie, start, end)`` byte spans of ``texts (doc, tie, text)``
     whose strings all start earlier elsewhere; spans may overlap.
@@ -475,6 +549,12 @@ def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     cores go to their buckets, then the candidates' hashes and places, last
     the bytes of those segments that share an anchor but differ, which is
     what the transform compares.
+
+    Anchors of more than ``hot`` differing segments are cut into parts around
+    a core, those of more than ``PACKED`` times as many into single strings.
+    Of equal parts one a batch is sent, and of these one a salted group goes
+    on; so a group has at most as many rows as an anchor that is not packed
+    has segments, or ``SALTS``.
     """
     spark = texts.sparkSession
     n, sc = partitions(spark), spark.sparkContext
@@ -491,20 +571,32 @@ def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
 
     several, _ = settle(found.where("key is not null").groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
     total = several.agg(F.sum("n")).first()[0] or 0
-    crowded = several.where(F.col("n") > max(hot, total // HOT_ANCHORS)).select("key").toArrow()
+    limit = max(hot, total // HOT_ANCHORS)
+    crowded = several.where(F.col("n") > limit).toArrow()
+    names, counts = crowded.column("key").to_numpy(), crowded.column("n").to_numpy()
+    busy = (np.sort(names), np.sort(names[counts > PACKED * limit]))
     differing = found.where("key is not null").join(several.select("key"), "key", "left_semi")
-    sent = sc.broadcast((_bitmap(differing, "place", PLACE_MAP_BITS), np.sort(crowded.column("key").to_numpy())))
+    sent = sc.broadcast((_bitmap(differing, "place", PLACE_MAP_BITS), *busy))
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from _contents(batch, cores.value, *sent.value)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped_batches(batches, ["key", "salt"], 20_000):
+            yield from _compared(table)
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped_batches(batches, ["key"], 20_000):
             yield from _repeats(table)
 
-    dealt = texts.mapInArrow(contents, ROWS_DDL).repartition(n, "key").sortWithinPartitions("key")
-    partly, _ = settle(dealt.mapInArrow(compare, MARKS_DDL), "spans")
+    dealt = texts.mapInArrow(contents, ROWS_DDL).repartition(n, "key", "salt").sortWithinPartitions("key", "salt")
+    met, _ = settle(dealt.mapInArrow(compare, KEPT_DDL), "spans")
+    partly = met.where("key is null").select(*MARKS.names)
+    if len(names):
+        kept = met.where("key is not null").repartition(n, "key").sortWithinPartitions("key")
+        parted, _ = settle(kept.mapInArrow(last, MARKS_DDL), "parted")
+        partly = partly.unionByName(parted)
     return equal.unionByName(partly)
 
 

@@ -162,3 +162,63 @@ def test_against_sql(spark):
 def test_merged_spans():
     owner, start, end = S.merged(np.array([1, 0, 0, 1, 0]), np.array([5, 10, 0, 0, 3]), np.array([9, 12, 4, 5, 7]))
     assert list(zip(owner, start, end, strict=True)) == [(0, 0, 7), (0, 10, 12), (1, 0, 9)]
+
+
+def parted(texts, **more):
+    """What is sent of texts whose anchors are all crowded: ``(key, content)``, and all rows."""
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(len(texts))), "tie": [0] * len(texts), "text": texts})
+    cores, places = (np.full(1 << (bits - 3), 255, np.uint8) for bits in (S.CORE_BITS, S.PLACE_MAP_BITS))
+    raw = "".join(texts).encode()
+    ends = np.cumsum([len(t.encode()) for t in texts])
+    names = np.unique(S.segments(np.frombuffer(raw, np.uint8), np.append(0, ends[:-1]), ends)[4].view(np.int64))
+    rows = [r for b in S._contents(batch, cores, places, names, **{k: names for k in more}) for r in b.to_pylist()]
+    return [(r["key"], r["content"]) for r in rows if r["content"] is not None], rows
+
+
+def test_equal_parts_are_sent_once():
+    """Texts around one passage: a part inside it goes on once, not once a text."""
+    rng = random.Random(8)
+    passage = words(rng, 40)
+    texts = [words(rng, 8) + passage + words(rng, 8) for _ in range(120)]
+    parts, rows = parted(texts)
+    assert len(parts) == len(set(parts)) > 120
+    strings = {(k, t[a : a + 100].encode()) for k, t in enumerate(texts) for a in range(len(t) - 99)}
+    spans = [(r["doc"], r["content"] or texts[r["doc"]].encode()[r["start"] : r["end"]]) for r in rows]
+    assert {(d, c[a : a + 100]) for d, c in spans for a in range(len(c) - 99)} == strings
+
+
+def test_a_packed_anchor_comes_in_single_strings():
+    rng = random.Random(9)
+    passage = words(rng, 40)
+    parts, _ = parted([words(rng, 8) + passage + words(rng, 8) for _ in range(60)], packed=True)
+    assert {len(c) for _, c in parts} == {S.WINDOW} and len({k for k, _ in parts}) == len(parts)
+
+
+def test_a_group_of_many_contents():
+    """More different contents around one core than a transform holds."""
+    core = bytes(np.random.default_rng(1).integers(97, 123, 97, dtype=np.uint8))
+    edges = [bytes((97 + a, 97 + b, 97 + c)) for a in range(26) for b in range(26) for c in range(26)]
+    n = (1 << S.PLACE_BITS) // 104 + 2
+    content = [edges[k % len(edges)] + core + edges[k // len(edges)] for k in range(n)]
+    table = pa.table({
+        "key": pa.array([7] * n), "doc": pa.array(range(n)), "tie": pa.array([0] * n), "start": pa.array([0] * n),
+        "end": pa.array([103] * n), "content": pa.array(content, pa.binary()),
+    })
+    seen, want, got = set(), np.zeros((n, 103), bool), np.zeros((n, 103), bool)
+    for k, raw in enumerate(content):
+        for at in range(4):
+            want[k, at : at + 100] |= raw[at : at + 100] in seen
+            seen.add(raw[at : at + 100])
+    for batch in S._repeats(table):
+        for r in batch.to_pylist():
+            got[r["doc"], r["start"] : r["end"]] = True
+    assert want.any() and (got == want).all()
+
+
+def test_packed_anchors_against_brute_force(spark, docs_of):
+    """One passage in all texts, its anchors packed (hot=2) or split (hot=30)."""
+    rng = random.Random(10)
+    passage = words(rng, 40)
+    rows = [(k, words(rng, 8) + passage + words(rng, 8) + (words(rng, 3) if k % 3 else passage)) for k in range(120)]
+    for hot in (2, 30):
+        assert found(S.without_repeats(docs_of(rows).repartition(5), hot=hot)) == brute(rows)
