@@ -12,17 +12,19 @@ above the threshold are then compared word by word.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle
+from ..session import scratch_folder
+from .common import fresh, settle
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -221,35 +223,60 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = spark.createDataFrame([], SCHEMA)
-    for index in indexes(benchmark):
-        sent = spark.sparkContext.broadcast(index)
-
-        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column("doc_id").to_pylist()
-                rows = [
-                    (ids[k], item, *values)
-                    for k, text in enumerate(batch.column("text"))
-                    for item, values in sent.value.matches(text.as_py()).items()
-                ]
-                columns = list(zip(*rows, strict=True)) or [[]] * 6
-                kinds = [pa.int64()] * 2 + [pa.float64()] * 4
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                    ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"],
-                )
-
-        out = out.unionByName(thin.mapInArrow(find, SCHEMA))
+    slices = indexes(benchmark)
+    first, second = next(slices, None), next(slices, None)
+    if first is None:
+        return spark.createDataFrame([], SCHEMA)
+    if second is None:
+        out = thin.mapInArrow(_finder(spark.sparkContext.broadcast(first)), SCHEMA)
+    else:
+        out = _by_slice(spark, chain((first, second), slices), lambda sent: thin.mapInArrow(_finder(sent), SCHEMA))
     best = F.max(F.struct("score", "overlap", "question_overlap", "answer_overlap")).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
+def _by_slice(spark: SparkSession, slices: Iterator[Index], job: Callable[[Broadcast[Index]], DataFrame]) -> DataFrame:
+    """The rows a job gives for each slice. They are written, and the slice's
+    index is taken from the executors, before the next one is sent."""
+    folder = scratch_folder(spark, "slices")
+    for index in slices:
+        sent = spark.sparkContext.broadcast(index)
+        rows = job(sent)
+        rows.write.mode("append").parquet(folder)
+        sent.destroy()
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
+def _finder(sent: Broadcast[Index]):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            rows = [
+                (ids[k], item, *values)
+                for k, text in enumerate(batch.column("text"))
+                for item, values in sent.value.matches(text.as_py()).items()
+            ]
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.int64()] * 2 + [pa.float64()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+                ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"],
+            )
+
+    return find
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item, with all their columns; no shuffle."""
-    for index in indexes(benchmark):
-        docs = docs.where(~_holds(docs.sparkSession.sparkContext.broadcast(index))("text"))
-    return docs
+    """The documents that hold no item, with all their columns. No shuffle
+    where the benchmark is one slice; else texts that hold an item are met
+    again by their SHA-256."""
+    slices = indexes(benchmark)
+    first, second = next(slices, None), next(slices, None)
+    if second is None:
+        return docs.where(~_holds(docs.sparkSession.sparkContext.broadcast(first))("text")) if first else docs
+    digest, name = F.sha2("text", 256), fresh(docs, "__text")
+    held = _by_slice(docs.sparkSession, chain((first, second), slices), lambda sent: docs.where(_holds(sent)("text")).select(digest.alias(name)))
+    return docs.withColumn(name, digest).join(held, name, "left_anti").drop(name)
 
 
 def _holds(sent: Broadcast[Index]):

@@ -128,3 +128,28 @@ def test_slices_change_neither_pairs_nor_scores(spark, docs_of, monkeypatch):
         monkeypatch.setattr(D, "PASS_ITEMS", size)
         assert {tuple(r) for r in D.contaminated_pairs(docs_of(rows), benchmark).collect()} == want
     assert len(list(D.indexes(benchmark))) > 20
+
+
+def test_one_index_at_a_time(spark, docs_of, monkeypatch):
+    """Of several slices no two indexes are on the executors at once, and
+    both results are those of a single slice."""
+    rows, items = corpus()
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of(rows).selectExpr("*", "1 AS __text")
+    jobs = [lambda: D.contaminated_pairs(docs, benchmark), lambda: D.clean(docs, benchmark)]
+    want = [sorted(map(str, job().collect())) for job in jobs]
+    monkeypatch.setattr(D, "PASS_ITEMS", 9)
+    live, most = set(), []
+    send, destroy = type(spark.sparkContext).broadcast, D.Broadcast.destroy
+
+    def broadcast(sc, value):
+        sent = send(sc, value)
+        if isinstance(value, D.Index):
+            live.add(id(sent))
+            most.append(len(live))
+        return sent
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    monkeypatch.setattr(D.Broadcast, "destroy", lambda sent, *a: (live.discard(id(sent)), destroy(sent, *a)))
+    assert [sorted(map(str, job().collect())) for job in jobs] == want
+    assert len(most) == 10 and max(most) == 1
