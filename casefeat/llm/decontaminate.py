@@ -11,6 +11,8 @@ above the threshold are then compared word by word.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -34,10 +36,26 @@ SHINGLE = 5
 BLOCK_ITEMS = 4
 MIN_STRIDE = 64
 PASS_ITEMS, PASS_BYTES = 512, 4_000_000
+MARKS = frozenset("`´<>") | {c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "P"}
+
+
+def _bare(word: str) -> str:
+    first, end = 0, len(word)
+    while first < end and word[first] in MARKS:
+        first += 1
+    while end > first and word[end - 1] in MARKS:
+        end -= 1
+    return word[first:end] or word
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    """Words between white space in one case (capitals first, so that a copy
+    in capitals keeps ``ß`` and ``ı``), without the marks at their ends; a
+    word of marks only stays as it is."""
+    text = text or ""
+    folded = text.lower() if text.isascii() else text.upper().casefold()
+    words = [w if w.isalnum() else _bare(w) for w in folded.split()]
+    return " ".join(words).encode("utf-8", "surrogatepass").split(b" ") if words else []
 
 
 def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:

@@ -153,3 +153,18 @@ def test_one_index_at_a_time(spark, docs_of, monkeypatch):
     monkeypatch.setattr(D.Broadcast, "destroy", lambda sent, *a: (live.discard(id(sent)), destroy(sent, *a)))
     assert [sorted(map(str, job().collect())) for job in jobs] == want
     assert len(most) == 10 and max(most) == 1
+
+
+def test_quoted_and_upper_cased_copies(spark, docs_of):
+    rng = random.Random(11)
+    short = "how many legs has a spider got altogether"
+    accented = "où élève señor naïve straße ısı garçon déjà vu crème brûlée über ñandú çok güzel"
+    items = [(1, short), (2, accented), (3, "+ = ! ?"), (4, words(rng, 30)), (5, "what is it, (then)?")]
+    rows = [
+        (1, f'He asked: "{short}" and left'), (2, f"{words(rng, 20)} ({short})."), (3, f"so {accented.upper()} so"),
+        (4, "x + = ! ? y"), (5, f"«{items[3][1]}»\u00a0end"), (6, words(rng, 50)), (7, "\u201cWHAT IS IT then\u201d"),
+    ]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated_pairs(docs_of(rows), benchmark).collect()}
+    assert got == {(1, 1), (2, 1), (3, 2), (4, 3), (5, 4), (7, 5)}
+    assert {r["doc_id"] for r in D.clean(docs_of(rows), benchmark).collect()} == {6}
