@@ -9,15 +9,19 @@ allowed pages is too low is rejected.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard
+from ..session import discard, scratch_folder
 from .common import settle
 
+PLAIN_LEVELS = 8
+FEW = 2_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,7 +55,7 @@ class Tree:
     many, keep a segment literal. ``z``: how far a branch's labelled share
     may be from its siblings' to be merged. ``prior`` and ``strength``: the
     share of allowed pages assumed, and the number of pages it counts as.
-    ``depth``: deeper segments share the last template."""
+    ``depth``: deeper segments share the last template; None: no end."""
 
     share: float = 0.1
     support: int = 3
@@ -59,7 +63,7 @@ class Tree:
     prior: float = 0.7
     strength: float = 2.0
     least: float = 0.5
-    depth: int = 8
+    depth: int | None = None
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -89,13 +93,18 @@ def template_verdicts(paths: DataFrame, tree: Tree) -> DataFrame:
     Each level aggregates pages by (host, template so far, segment), so a
     host with a third of all pages is spread over its segments; the tables of
     a level are written and joined by keys that adaptive execution can split.
+    From ``PLAIN_LEVELS`` on, finished paths are set aside before each level,
+    and what is left of a branch with few paths is done in one task.
     """
-    spark = paths.sparkSession
-    parts = F.slice(F.filter(F.split("path", "/"), lambda s: s != ""), 1, tree.depth)
+    parts = F.filter(F.split("path", "/"), lambda s: s != "")
+    if tree.depth is not None:
+        parts = F.slice(parts, 1, tree.depth)
     state, path = settle(paths.withColumn("parts", parts).withColumn("template", F.lit("")), "paths")
     depth = state.agg(F.max(F.size("parts"))).first()[0] or 0
-    for level in range(depth):
+    for level in range(min(depth, PLAIN_LEVELS)):
         state, path = _deeper(state, path, level, tree)
+    if depth > PLAIN_LEVELS:
+        state = _deepest(state, path, tree)
     leaves = state.groupBy("host", "template").agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b"))
     purity = (F.col("a") + tree.strength * tree.prior) / (F.col("a") + F.col("b") + tree.strength)
     judged, _ = settle(leaves.select("host", "template", purity.alias("purity")), "templates")
@@ -136,6 +145,74 @@ def _deeper(state: DataFrame, path: str, level: int, tree: Tree) -> tuple[DataFr
     return out, new
 
 
+FINISHED = "host string, path string, n long, allowed long, blocked long, template string"
+
+
+def _deepest(state: DataFrame, path: str, tree: Tree) -> DataFrame:
+    """All levels from ``PLAIN_LEVELS`` on."""
+    spark = state.sparkSession
+    folder = scratch_folder(spark, "finished")
+    columns = [c.split()[0] for c in FINISHED.split(", ")]
+    level = PLAIN_LEVELS
+    while True:
+        longer = state.where(F.size("parts") > level)
+        state.where(F.size("parts") <= level).select(*columns).write.mode("append").parquet(folder)
+        counted, own = settle(longer.groupBy("host", "template").agg(F.count("*").alias("paths")), "branches")
+        few = longer.join(counted.where(F.col("paths") <= FEW), ["host", "template"], "left_semi")
+        few.groupBy("host", "template").applyInPandas(_finisher(level, tree, columns), FINISHED).write.mode("append").parquet(folder)
+        many = counted.where(F.col("paths") > FEW)
+        if many.isEmpty():
+            return spark.read.schema(FINISHED).parquet(folder)
+        state, path = settle(longer.join(many, ["host", "template"], "left_semi"), "paths", drop=path)
+        discard(spark, own)
+        state, path = _deeper(state, path, level, tree)
+        level += 1
+
+
+def _finisher(level: int, tree: Tree, columns: list[str]):
+    def finish(group: pd.DataFrame) -> pd.DataFrame:
+        return _finished(group, level, tree)[columns]
+
+    return finish
+
+
+def _finished(group: pd.DataFrame, level: int, tree: Tree) -> pd.DataFrame:
+    """The paths of one branch with their last template, by the same rules."""
+    parts = group["parts"].tolist()
+    n, allowed, blocked = (group[c].tolist() for c in ("n", "allowed", "blocked"))
+    out = group["template"].tolist()
+    open_ = [(list(range(len(parts))), level)]
+    while open_:
+        rows, at = open_.pop()
+        branches: dict[str, list[int]] = {}
+        for k in rows:
+            if len(parts[k]) > at:
+                branches.setdefault(parts[k][at], []).append(k)
+        sums = {p: [sum(c[k] for k in own) for c in (n, allowed, blocked)] for p, own in branches.items()}
+        whole = [sum(c) for c in zip(*sums.values(), strict=True)]
+        named: dict[str, list[int]] = {}
+        for part, own in branches.items():
+            named.setdefault(_name(part, sums[part], whole, tree), []).extend(own)
+        for name, own in named.items():
+            template = f"{out[own[0]]}/{name}"
+            for k in own:
+                out[k] = template
+            open_.append((own, at + 1))
+    return group.assign(template=out)
+
+
+def _name(part: str, own: list[int], whole: list[int], tree: Tree) -> str:
+    n, allowed, blocked = own
+    labelled, every = allowed + blocked, whole[1] + whole[2]
+    if n < tree.support or n < tree.share * whole[0]:
+        return "*"
+    if labelled == 0:
+        return "{unknown}"
+    share = whole[1] / every
+    apart = abs(allowed / labelled - share) > tree.z * math.sqrt(share * (1 - share) / labelled)
+    return part if apart or (0 < share < 1 and (allowed == 0 or blocked == 0)) else "{alike}"
+
+
 def url_verdicts(pages: DataFrame, rules: Sequence[Rule] = RULES, tree: Tree | None = None) -> DataFrame:
     """``(page_id, host, path, rule, verdict, template, purity)`` of every
     page: the longest rule decides, else the page's template.

@@ -130,3 +130,25 @@ def test_repeated_rows_and_no_rows(spark):
 def test_against_sql(spark):
     name = "op8_url_filter"
     assert difference(queries()[name](spark, SF_DIR), duck(SF_DIR), ORACLES[name]) is None
+
+
+@pytest.mark.parametrize("few", [U.FEW, 4])
+def test_branches_that_part_late(spark, monkeypatch, few):
+    """Paths of up to 14 segments, alike in the first eight."""
+    monkeypatch.setattr(U, "FEW", few)
+    rng = random.Random(5)
+    paths = {}
+    for k in range(150):
+        kind = rng.choice(["good", "bad", "odd"])
+        path = "/a" * 8 + f"/{kind}/{rng.choice('xyz')}/{k}" + "/end" * rng.randrange(4)
+        n, known = rng.randint(1, 3), rng.random() < 0.5
+        paths[path] = (n, n if known and kind == "good" else 0, n if known and kind == "bad" else 0)
+    paths["/a/b"] = paths["/a" * 8] = (3, 0, 0)
+    rows = [("h.com", p, *x) for p, x in paths.items()]
+    frame = spark.createDataFrame(rows, "host string, path string, n long, allowed long, blocked long")
+    tree = U.Tree()
+    got = {r["path"]: r for r in U.template_verdicts(frame, tree).collect()}
+    want = slow_tree([(p, [s for s in p.split("/") if s], *x) for p, x in paths.items()], tree)
+    assert {p: r["template"] for p, r in got.items()} == want and len(got) == len(rows)
+    for p, r in got.items():
+        assert ("/bad/" not in p or r["verdict"] == "block") and ("/good/" not in p or r["verdict"] == "allow")
