@@ -174,10 +174,166 @@ SELECT page_id, j.host, j.path, rule, coalesce(own, CASE WHEN purity < 0.5::DOUB
 FROM judged j JOIN verdict v ON j.host = v.host AND j.path = v.path
 """
 
+# Masks per document, then every order and step of the five filters.
+OP11 = r"""
+WITH RECURSIVE texts AS (
+  SELECT d.doc_id, coalesce(d.source, '') AS part, coalesce(d.text, '') AS t,
+         coalesce(l.good, FALSE) AS good, coalesce(l.toxic, FALSE) AS toxic
+  FROM documents d
+  LEFT JOIN (SELECT doc_id, bool_or(coalesce(quality = 1, FALSE)) AS good, bool_or(coalesce(toxic = 1, FALSE)) AS toxic
+             FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id
+),
+words AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY t) AS first_id
+  FROM texts
+),
+masks AS (
+  SELECT part, good, toxic,
+         CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN first_id < doc_id THEN 16 ELSE 0 END AS mask
+  FROM words
+),
+counts AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE toxic) AS n_toxic
+  FROM masks GROUP BY part, mask
+),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS b),
+prefixes AS (
+  SELECT '' AS o, 0 AS used, 0 AS bit, 0 AS step
+  UNION ALL
+  SELECT o || f, used + b, b, step + 1 FROM prefixes, letters WHERE used & b = 0
+),
+steps AS (
+  SELECT full_.o AS filter_order, p.step, p.bit, p.used - p.bit AS earlier
+  FROM prefixes full_ JOIN prefixes p ON full_.step = 5 AND p.step > 0 AND starts_with(full_.o, p.o)
+),
+results AS (
+  SELECT part, filter_order, step, bit,
+         sum(n) FILTER (WHERE mask & (bit | earlier) = 0) AS kept,
+         sum(n) FILTER (WHERE mask & bit <> 0 AND mask & earlier = 0) AS removed,
+         sum(n) FILTER (WHERE mask & bit <> 0 AND mask & earlier <> 0) AS redundant,
+         sum(n) FILTER (WHERE mask = bit) AS unique_fails,
+         sum(n_good) FILTER (WHERE mask & bit <> 0 AND mask & earlier = 0) AS good_lost,
+         sum(n_toxic) FILTER (WHERE mask & bit <> 0 AND mask & earlier = 0) AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+       coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       (sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM results
+"""
+
+
+def _merkle(depth: int) -> str:
+    """The tree level by level; sources of up to 3^depth documents, and as
+    many sources."""
+
+    def level(name: str, k: int) -> str:
+        # Single nodes are carried along unchanged.
+        return f"""
+{name}{k + 1} AS (
+  SELECT g, pos // 3 AS pos, (max(n) + 2) // 3 AS n,
+         CASE WHEN max(n) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h
+  FROM {name}{k} GROUP BY g, pos // 3
+)"""
+
+    def siblings(name: str, k: int, place: str) -> str:
+        return f"""
+{name}_s{k} AS (
+  SELECT a.g, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r, max(a.n) > 1 AS up
+  FROM {name}{k} a JOIN {name}{k} b ON a.g = b.g AND a.pos // 3 = b.pos // 3
+  GROUP BY a.g, a.pos
+)"""
+
+    ctes = [
+        r"""
+leaves AS (
+  SELECT doc_id, source,
+         CASE WHEN source IS NULL THEN '' ELSE '+' || source END AS g,
+         sha256(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')
+           || coalesce(strlen(text) || ':' || text, '-')) AS h,
+         sha256(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')
+           || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) AS cut
+  FROM documents
+)""",
+        "n0 AS (SELECT doc_id, g, h, cut, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM leaves)",
+    ]
+    for k in range(depth):
+        ctes += [siblings("n", k, "pos"), level("n", k)]
+    ctes.append(
+        f"t0 AS (SELECT 'all' AS g, g AS source_key, h, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM n{depth})"
+    )
+    for k in range(depth):
+        ctes += [siblings("t", k, "pos"), level("t", k)]
+    joins, folds, proof = [], "start_h", []
+    for k in range(depth):
+        joins.append(f"LEFT JOIN n_s{k} a{k} ON a{k}.g = n0.g AND a{k}.pos = n0.pos // {3**k} AND a{k}.up")
+    for k in range(depth):
+        joins.append(f"LEFT JOIN t_s{k} b{k} ON b{k}.pos = t0.pos // {3**k} AND b{k}.up")
+    names = [f"{x}{k}" for x in "ab" for k in range(depth)]
+    proof = " || ".join(f"coalesce({n}.l || {n}.r, '')" for n in names)
+    sides = ", ".join(f"{n}.l AS {n}l, {n}.r AS {n}r" for n in names)
+    ctes.append(f"""
+met AS (
+  SELECT n0.doc_id, n0.h AS leaf, t0.h AS subroot, (SELECT h FROM t{depth}) AS root, sha256({proof}) AS proof_sha256,
+         CASE WHEN c.sum % 2 = 0 THEN n0.cut ELSE n0.h END AS f_0, {sides}
+  FROM n0 JOIN t0 ON t0.source_key = n0.g LEFT JOIN sums c ON c.doc_id = n0.doc_id {" ".join(joins)}
+)""")
+    for k, n in enumerate(names):
+        before = "met" if k == 0 else f"fold{k}"
+        ctes.append(
+            f"fold{k + 1} AS (SELECT *, CASE WHEN {n}l IS NULL THEN f_{k} ELSE sha256({n}l || f_{k} || {n}r) END AS f_{k + 1} FROM {before})"
+        )
+    # DuckDB has no crc32: byte by byte over the decimal digits.
+    crc = """
+RECURSIVE table_ AS (
+  SELECT b, b AS v, 0 AS k FROM range(256) t(b)
+  UNION ALL
+  SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM table_ WHERE k < 8
+),
+bytes AS (SELECT b, v FROM table_ WHERE k = 8),
+digits AS (
+  SELECT DISTINCT doc_id, doc_id::VARCHAR AS s, 0 AS k, 4294967295::BIGINT AS v FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT d.doc_id, d.s, d.k + 1, xor(d.v >> 8, b.v)
+  FROM digits d JOIN bytes b ON b.b = xor(d.v & 255, ascii(substr(d.s, d.k + 1, 1))::BIGINT)
+  WHERE d.k < length(d.s)
+),
+sums AS (SELECT doc_id, xor(v, 4294967295) AS sum FROM digits WHERE k = length(s))"""
+    last = len(names)
+    return f"""
+WITH {crc}, {", ".join(ctes)}
+SELECT doc_id, leaf, subroot, root, proof_sha256, f_{last} AS folded_root, f_{last} = root AS verified FROM fold{last}
+"""
+
+
+OP12 = _merkle(7)
+
+OP13 = """
+WITH lowered AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM lowered WINDOW same AS (PARTITION BY t)
+"""
+
 ORACLES = {
     "op2_source_mixing": OP2,
     "op3_embedding_near_dedup": OP3,
     "op5_warc_archive": OP5,
     "op7_suffix_dedup": OP7,
     "op8_url_filter": OP8,
+    "op11_filter_audit": OP11,
+    "op12_merkle_manifest": OP12,
+    "op13_exact_dedup": OP13,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding, simhash, suffix, tokens, urls, vectors, warc
+from . import audit, decontaminate, merkle, mixing, quality, sharding, simhash, suffix, tokens, trie, urls, vectors, warc
 from .ship import with_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,23 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order, per source."""
+    return audit.filter_audit(spark, f"{sf_dir}/documents.parquet", _table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether the copy that was
+    received still leads to the root."""
+    docs = _table(spark, sf_dir, "documents")
+    return merkle.merkle_manifest(docs, merkle.without_line_breaks(docs)).drop("path")
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts of every document and the row that stays."""
+    return trie.exact_groups(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -115,6 +132,9 @@ def queries() -> dict[str, Query]:
             op8_url_filter,
             op9_token_files,
             op10_benchmark_decontamination,
+            op11_filter_audit,
+            op12_merkle_manifest,
+            op13_exact_dedup,
             pipeline,
         )
     }

@@ -75,7 +75,7 @@ def test_run_equals_the_stages(stages, spark):
 
 def test_every_query_is_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None), (None, ""), (2, "a b c"), (2, "a b c"), (3, "x " * 100_000)]])
