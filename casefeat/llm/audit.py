@@ -6,7 +6,8 @@ is known only when all files are seen. So the state of a text holds its
 smallest id so far and who has it; when a smaller one arrives the earlier
 owner's mask is retracted from its part's counter and counted again with the
 duplicate's bit. Counters of failure masks are all that leaves the stream;
-every order and step follows from them.
+every order and step follows from them. Texts share a state entry by their
+digests, some 256 each, as calling Python costs more than looking one up.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import scratch_folder
-from .common import settle
+from .common import partitions, settle
 
 FILTERS = "ABCDE"
 BIT = {f: 1 << k for k, f in enumerate(FILTERS)}
@@ -35,17 +36,19 @@ MARKS = re.compile(rb"[#$%&*|]")
 BATCHES, HELD = 8, 200_000
 
 MARKED = "doc_id long, part string, mask int, key binary"
-GROUPED = "key binary, part string, good boolean, toxic boolean, mask int, min_id long, n_min long, n long, n_null long"
+FLAGGED = f"{MARKED}, good boolean, toxic boolean"
+GROUPED = "bucket long, key binary, part string, good boolean, toxic boolean, mask int, min_id long, n_min long, n long, n_null long"
 DELTA = "part string, mask int, good boolean, toxic boolean, delta long"
-STATE = "min_id long, held string"
-# The state lies on the executors' disks, with a log of changes in the
-# checkpoint folder; it need not fit into memory.
+STATE = "texts string"
+# Texts per state entry, and bytes of state that a text takes.
+BUCKET_TEXTS, TEXT_BYTES = 256, 150
+# A partition's state above this many bytes lies on the executor's disk with a
+# log of changes; below, the files such a store allocates would outweigh it.
+MEMORY_STATE = 32_000_000
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
-    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
 }
 
 
@@ -83,14 +86,15 @@ def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
     return zip(*[c.to_pylist() for c in batch.columns], strict=True)
 
 
-def group_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def group_up(batches: Iterator[pa.RecordBatch], buckets: int = 1) -> Iterator[pa.RecordBatch]:
     """Rows of one text, part and label meet before the shuffle: the smallest
     id, how many have it, and how many there are. So a text that a third of
     all rows hold is a few rows per task."""
     held: dict[tuple, list] = {}
 
     def passed():
-        out = [(*group, *values) for group, values in held.items()]
+        # Without any id the smallest is written as 0; ``n`` tells.
+        out = [(int.from_bytes(g[0][:7], "little") % buckets, *g, low or 0, *rest) for g, (low, *rest) in held.items()]
         held.clear()
         return _batch(GROUPED, out)
 
@@ -115,7 +119,7 @@ def settle_text(groups: Iterator[tuple], old: tuple | None) -> tuple[tuple | Non
     good, toxic, n), ..])`` and the changes ``(part, mask, good, toxic, n)``
     of the counters."""
     groups = list(groups)
-    least = min((g[4] for g in groups if g[4] is not None), default=None)
+    least = min((g[4] for g in groups if g[6]), default=None)
     if old is not None:
         least = old[0] if least is None else min(least, old[0])
     out, held = [], {}
@@ -127,7 +131,7 @@ def settle_text(groups: Iterator[tuple], old: tuple | None) -> tuple[tuple | Non
             else:
                 out += [(part, mask, good, toxic, -n), (part, mask | BIT["E"], good, toxic, n)]
     for part, good, toxic, mask, low, n_low, n, n_null in groups:
-        first = n_low if low is not None and low == least else 0
+        first = n_low if n and low == least else 0
         if first:
             held[part, good, toxic] = held.get((part, good, toxic), 0) + first
         if first + n_null:
@@ -138,20 +142,22 @@ def settle_text(groups: Iterator[tuple], old: tuple | None) -> tuple[tuple | Non
 
 
 def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The state of one text takes in a micro-batch."""
+    """The texts of one state entry take in a micro-batch."""
     columns = ["part", "good", "toxic", "mask", "min_id", "n_min", "n", "n_null"]
-    rows = []
+    met: dict[str, list[tuple]] = {}
     for frame in frames:
-        for row in zip(*[frame[c].tolist() for c in columns], strict=True):
-            rows.append((*row[:4], None if row[4] != row[4] or row[6] == 0 else int(row[4]), *row[5:]))
-    old = None
-    if state.exists:
-        least, held = state.get
-        old = (least, [tuple(h) for h in json.loads(held)])
-    new, out = settle_text(rows, old)
-    if new is not None and new != old:
-        state.update((new[0], json.dumps(new[1])))
-    yield pd.DataFrame(out, columns=["part", "mask", "good", "toxic", "delta"])
+        for digest, *row in zip(frame["key"], *[frame[c].tolist() for c in columns], strict=True):
+            met.setdefault(digest.hex(), []).append(tuple(row))
+    texts = json.loads(state.get[0]) if state.exists else {}
+    changes = []
+    for digest, groups in met.items():
+        old = texts.get(digest)
+        new, out = settle_text(groups, old and (old[0], [tuple(h) for h in old[1]]))
+        if new is not None:
+            texts[digest] = new
+        changes += out
+    state.update((json.dumps(texts),))
+    yield pd.DataFrame(changes, columns=["part", "mask", "good", "toxic", "delta"])
 
 
 def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,22 +194,26 @@ def mask_counts(spark: SparkSession, path: str, labels: DataFrame, files_per_bat
     flagged = marked.join(flags, "doc_id", "left").select(
         "doc_id", "part", "mask", "key", F.coalesce("good", never).alias("good"), F.coalesce("toxic", never).alias("toxic")
     )
+    buckets = max(1, -(-table.count() // BUCKET_TEXTS))
     changes = (
-        flagged.mapInArrow(group_up, GROUPED)
-        .groupBy("key")
+        flagged.mapInArrow(lambda batches: group_up(batches, buckets), GROUPED)
+        .groupBy("bucket")
         .applyInPandasWithState(update, DELTA, STATE, "append", GroupStateTimeout.NoTimeout)
         .mapInArrow(add_up, DELTA)
     )
     folder = scratch_folder(spark, "audit")
-    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
-    for k, v in STATE_STORE.items():
-        spark.conf.set(k, v)
+    store = STATE_STORE if buckets * BUCKET_TEXTS * TEXT_BYTES > MEMORY_STATE * partitions(spark) else {}
+    before = {k: spark.conf.get(k, None) for k in store}
+    for k, v in store.items():
+        if before[k] is None:
+            spark.conf.set(k, v)
     try:
         writer = changes.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
         writer.trigger(availableNow=True).start(f"{folder}/changes").awaitTermination()
     finally:
         for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+            if v is None:
+                spark.conf.unset(k)
     deltas = spark.read.schema(DELTA).parquet(f"{folder}/changes")
     n = F.sum("delta")
     counts = deltas.groupBy("part", "mask").agg(

@@ -109,9 +109,13 @@ def test_empty_table(spark):
     assert result(spark, [], [], 1) == {}
 
 
-def test_session_settings_stay(spark):
+def test_state_on_disk(spark, monkeypatch):
+    """The other state store gives the same, and the session's settings stay."""
     before = {k: spark.conf.get(k, None) for k in A.STATE_STORE}
-    result(spark, [(1, "x", "s")], [], 1)
+    monkeypatch.setattr(A, "MEMORY_STATE", 0)
+    monkeypatch.setattr(A, "BUCKET_TEXTS", 5)
+    rows, labels = corpus(4)
+    assert result(spark, rows, labels, 3) == expected(rows, labels)
     assert {k: spark.conf.get(k, None) for k in A.STATE_STORE} == before
 
 
@@ -127,8 +131,8 @@ def test_settling_in_any_order(seed):
         state, sums, left = None, Counter(), list(rows)
         while left:
             take, left = left[: (n := rng.randint(1, 8))], left[n:]
-            (batch,) = list(A.group_up([A._batch(A.MARKED.replace("key binary", "key binary, good boolean, toxic boolean"), [(i, p, 3, b"k", g, t) for p, g, t, i in take])]))
-            groups = [r[1:4] + r[4:] for r in A._rows_of(batch)]
+            (batch,) = list(A.group_up([A._batch(A.FLAGGED, [(i, p, 3, b"k", g, t) for p, g, t, i in take])]))
+            groups = [r[2:] for r in A._rows_of(batch)]
             state, out = A.settle_text(groups, state)
             for *counter, n in out:
                 sums[tuple(counter)] += n
