@@ -174,10 +174,13 @@ BEFORE_AFTER = f"""counts AS (
     count(*) FILTER (e.dt > c.pred_dt AND e.dt < c.pred_dt + to_microseconds({DAY_US})) AS n_after
   FROM cases c JOIN ev e ON c.pid = e.pid GROUP BY 1)"""
 
+# A case draws by entity and time.
+CASE_DRAW = "(pid || '@' || epoch_us(pred_dt))"
+
 SPLIT = f"""split AS (
   SELECT case_id, pid, CASE WHEN {_below('pid', 'split', 0.1)} THEN 'out_test'
-    WHEN {_hash('case_id', 'split')} < {round(0.1 * 2**32)} THEN 'in_test'
-    WHEN {_hash('case_id', 'split')} < {round(0.2 * 2**32)} THEN 'in_valid' ELSE 'in_train' END AS split
+    WHEN {_hash(CASE_DRAW, 'split')} < {round(0.1 * 2**32)} THEN 'in_test'
+    WHEN {_hash(CASE_DRAW, 'split')} < {round(0.2 * 2**32)} THEN 'in_valid' ELSE 'in_train' END AS split
   FROM cases)"""
 
 
@@ -381,6 +384,38 @@ FROM cases JOIN ({_count(-DAY_US, 0)}) USING (case_id)"""
   CASE WHEN CAST(pid AS BIGINT) % 2 = 0 THEN rec_num ELSE -1 END AS nrow,
   CASE WHEN CAST(pid AS BIGINT) % 2 = 1 THEN 'miss' WHEN rec_num = 0 THEN 'empty' ELSE 'hit' END AS status
 FROM cases JOIN ({_count(-DAY_US, 0)}) USING (case_id)"""
+    sql["local_ids_downsample"] = with_(local, local_cases) + f"""SELECT local_id AS case_id, pid, pred_dt FROM cases
+WHERE {_below(CASE_DRAW, 'downsample', 0.1)}"""
+    sql["local_ids_split"] = with_(local, local_cases, SPLIT.replace("SELECT case_id, pid,", "SELECT local_id AS case_id, pid, pred_dt,", 1)) + "SELECT * FROM split"
+    sql["local_ids_batches"] = with_(
+        local, local_cases,
+        f"""placed AS (SELECT *, row_number() OVER (ORDER BY {_hash(CASE_DRAW, 'batch')} % 1024, local_id, pid, pred_dt) - 1 AS row_no
+  FROM cases)""",
+    ) + "SELECT row_no // 500 AS batch, row_no, local_id AS case_id, pid, pred_dt FROM placed"
+    before, after = (
+        f"""SELECT c.case_id, max_by(e.{{v}}, (e.dt, -e.rec_id)) AS v, max(e.dt) AS dt FROM cases c JOIN ev e ON c.pid = e.pid
+ AND e.dt >= c.pred_dt - to_microseconds({7 * DAY_US}) AND e.dt < c.pred_dt GROUP BY 1""".format(v="value"),
+        f"""SELECT c.case_id, min_by(e.value, (e.dt, e.rec_id)) AS v, min(e.dt) AS dt FROM cases c JOIN ev e ON c.pid = e.pid
+ AND e.dt > c.pred_dt AND e.dt < c.pred_dt + to_microseconds({DAY_US}) GROUP BY 1""",
+    )
+    # The id as text decides between records of one instant.
+    before = before.replace("(e.dt, -e.rec_id)", "{'dt': e.dt, 'n': -rank}").replace("JOIN ev e", "JOIN ranked e")
+    after = after.replace("(e.dt, e.rec_id)", "{'dt': e.dt, 'n': rank}").replace("JOIN ev e", "JOIN ranked e")
+    ranked = "ranked AS (SELECT *, row_number() OVER (ORDER BY CAST(rec_id AS VARCHAR)) AS rank FROM ev)"
+    sql["nearest_values"] = with_(CASES, EV, ranked) + f"""SELECT c.case_id, c.pid, c.pred_dt, b.dt AS before_dt, b.v AS before_value,
+  a.dt AS after_dt, a.v AS after_value
+FROM cases c LEFT JOIN ({before}) b USING (case_id) LEFT JOIN ({after}) a USING (case_id)"""
+    sql["case_function_change"] = with_(CASES, EV, ranked) + f"""SELECT c.case_id, c.pid, c.pred_dt,
+  a.v - b.v AS change, coalesce(n.rec_num, 0) AS n_before, a.v / (1 + abs(c_acctbal)) AS relative
+FROM cases c LEFT JOIN ({before}) b USING (case_id) LEFT JOIN ({after}) a USING (case_id)
+LEFT JOIN ({_count(-DAY_US, 0)}) n USING (case_id) LEFT JOIN customer ON c.pid = CAST(c_custkey AS VARCHAR)"""
+    sql["observe_windows"] = with_(CASES, EV) + f"""SELECT c.case_id, c.pid, c.pred_dt, e.rec_id, e.dt,
+  CAST(CASE WHEN e.dt < c.pred_dt THEN 1 ELSE 0 END + CASE WHEN e.dt < c.pred_dt AND e.dt >= c.pred_dt - to_microseconds({DAY_US}) THEN 2 ELSE 0 END
+    + CASE WHEN e.dt >= c.pred_dt AND e.dt < c.pred_dt + to_microseconds({2 * HOUR_US}) THEN 4 ELSE 0 END
+    + CASE WHEN e.dt >= c.pred_dt + to_microseconds({240 * HOUR_US}) THEN 8 ELSE 0 END AS BIGINT) AS windows
+FROM cases c JOIN ev e ON c.pid = e.pid AND e.dt >= c.pred_dt - to_microseconds({7 * DAY_US})
+  AND (e.dt < c.pred_dt + to_microseconds({2 * HOUR_US}) OR e.dt >= c.pred_dt + to_microseconds({240 * HOUR_US}))
+  AND e.dt < c.pred_dt + to_microseconds({264 * HOUR_US})"""
     sql["compress_custom_max"] = with_(
         CASES, EV, BF7D, FULL_DAYS, toks("kept", "full", weighted=True), empties("kept"),
         "step_n AS (SELECT case_id, rel_d, count(*) AS n FROM kept GROUP BY ALL)",
@@ -457,7 +492,8 @@ FROM cases JOIN days_before d USING (case_id) JOIN after_lists a USING (case_id)
     sql["store_incremental"] = with_(*MEAN_DAY, short_vocab("5MinInD")) + f"""SELECT case_id, any_value(pid) AS pid,
   any_value(pred_dt) AS pred_dt, rel_d, {listed('idx')} AS keyidx, {listed('m')} AS wgt
 FROM day JOIN vocab ON token = grn JOIN cases USING (case_id) GROUP BY case_id, rel_d"""
-    for name in ("grown_vocabulary", "other_groups", "raced", "compacted", "stage_reuse"):
+    sql["store_two_sources"] = with_(CASES, EV, BF24H) + f"{FILTER_COLUMNS} FROM obs WHERE event_type = 'error'"
+    for name in ("grown_vocabulary", "other_groups", "raced", "compacted", "stage_reuse", "from_observation", "from_records", "all_stages"):
         sql[f"store_{name}"] = sql["store_incremental"]
     sql["store_size"] = with_(CASES, EV) + f"""SELECT count(*) AS n_cases, CAST(sum(n) AS BIGINT) AS n_rows FROM (
   SELECT c.case_id, count(e.rec_id) AS n FROM cases c LEFT JOIN ev e ON c.pid = e.pid
@@ -476,7 +512,7 @@ FROM ids JOIN cases USING (case_id) GROUP BY case_id, rel_d"""
 WHERE n_before > 0 AND n_after > 0"""
     sql["case_filter_sftflt"] = with_(CASES, EV, BEFORE_AFTER) + """SELECT case_id, pid, pred_dt FROM counts
 WHERE n_before >= 2 AND n_after >= 3"""
-    sql["downsample"] = with_(CASES) + f"SELECT case_id, pid FROM cases WHERE {_below('case_id', 'downsample', 0.1)}"
+    sql["downsample"] = with_(CASES) + f"SELECT case_id, pid FROM cases WHERE {_below(CASE_DRAW, 'downsample', 0.1)}"
     sql["split_sets"] = with_(CASES, SPLIT) + "SELECT case_id, pid, split FROM split"
     tagged = "SELECT case_id, pid, split FROM split JOIN customer ON pid = CAST(c_custkey AS VARCHAR) WHERE "
     sql["set_selector"] = with_(CASES, SPLIT) + tagged + """split = 'in_train'
@@ -484,7 +520,7 @@ WHERE n_before >= 2 AND n_after >= 3"""
     sql["set_selector_out_whole"] = with_(CASES, SPLIT) + tagged + "split LIKE 'out_%' AND c_acctbal >= 0"
     sql["batch_export"] = with_(
         CASES,
-        f"""numbered AS (SELECT *, row_number() OVER (ORDER BY {_hash('case_id', 'batch')} % 1024,
+        f"""numbered AS (SELECT *, row_number() OVER (ORDER BY {_hash(CASE_DRAW, 'batch')} % 1024,
   case_id) - 1 AS row_no FROM cases)""",
     ) + "SELECT row_no // 500 AS batch, row_no % 500 AS pos, row_no, case_id, pred_dt FROM numbered"
     return sql

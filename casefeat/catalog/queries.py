@@ -27,7 +27,9 @@ from ..functions.tokens import number_to_token
 from ..operators import cases as case_sets
 from ..operators import compress as cmp
 from ..operators.nest import in_batches
+from ..operators.nearest import Nearest, case_function, nearest_records
 from ..operators.observe import check_period, observe, observed_count, record_count
+from ..operators.observe import observe_windows as windows_of
 from ..operators.tokens import attach_tokens, one_token_per_slot
 from ..operators.vocab import (
     Vocabulary,
@@ -831,6 +833,72 @@ def local_ids_store(spark, sf):
     )
 
 
+@query
+def local_ids_downsample(spark, sf):
+    return case_sets.downsample(numbered_cases(spark, sf), 0.1).select(case_number(), "pid", "pred_dt")
+
+
+@query
+def local_ids_split(spark, sf):
+    split = case_sets.split_cases(numbered_cases(spark, sf), out=0.1, test=0.1, valid=0.1)
+    return split.select(case_number(), "pid", "pred_dt", "split")
+
+
+@query
+def local_ids_batches(spark, sf):
+    rows = in_batches(numbered_cases(spark, sf), 500).select("batch", F.explode("rows").alias("r"))
+    return rows.select(
+        "batch", F.col("r.row_no").cast("bigint").alias("row_no"), F.col("r.case_id").cast("bigint").alias("case_id"),
+        F.col("r.pid").alias("pid"), F.col("r.pred_dt").alias("pred_dt"),
+    )
+
+
+# -- as-of matches and functions of several observations -------------------------
+
+
+def last_and_first(spark, sf) -> DataFrame:
+    """The last record of the week before a case and the first of the day after."""
+    wanted = {"before": Nearest(BF7D), "after": Nearest(AFTER_TRIGGER["Af24H"], "first")}
+    records = load_records(event_source(spark, sf, "value"))
+    return nearest_records(purchase_cases(spark, sf), records, wanted, ["value"])
+
+
+@query
+def nearest_values(spark, sf):
+    return last_and_first(spark, sf).select(
+        case_number(), "pid", "pred_dt", F.col("before.dt").alias("before_dt"), F.col("before.value").alias("before_value"),
+        F.col("after.dt").alias("after_dt"), F.col("after.value").alias("after_value"),
+    )
+
+
+@query
+def case_function_change(spark, sf):
+    """A case function of three observations and an attribute of the entity."""
+    cases = purchase_cases(spark, sf)
+    counts = record_count(cases, load_records(event_source(spark, sf)), BF24H)
+    balance = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("pid"), "c_acctbal")
+
+    def change(near, counts, entity):
+        after, before = near["after"]["value"], near["before"]["value"]
+        return {
+            "change": after - before,
+            "n_before": F.coalesce(counts["rec_num"], F.lit(0)),
+            "relative": after / (1 + F.abs(entity["c_acctbal"])),
+        }
+
+    observed = {"near": last_and_first(spark, sf), "counts": counts, "entity": balance}
+    rows = case_function(cases, observed, change)
+    return rows.select(case_number(), "pid", "pred_dt", "change", "n_before", "relative")
+
+
+@query
+def observe_windows(spark, sf):
+    """Four windows, two overlapping and one far off, in one join."""
+    periods = [BF7D, BF24H, AF2H, CheckPeriod("eleventh day", 240, 264)]
+    rows = windows_of(purchase_cases(spark, sf).select(*CASE_KEY), load_records(event_source(spark, sf)), periods)
+    return rows.select(case_number(), "pid", "pred_dt", F.col("rec_id").cast("bigint").alias("rec_id"), "dt", "windows")
+
+
 @query
 def compress_custom_max(spark, sf):
     highest = cmp.Method(
@@ -1062,6 +1130,44 @@ def store_stage_reuse(spark, sf):
     return stored_rows(store.compute_missing(feature, cases, stage=stage))
 
 
+@query
+def store_from_observation(spark, sf):
+    """From stored observations, kept by an earlier feature with another
+    filter; nothing is observed again."""
+    cases, feature, store = purchase_cases(spark, sf), stored_feature(spark, sf), new_store(spark)
+    other = replace(feature, filter=Filter("Morning", thresholds={}), tokens=None, compress=None)
+    store.through(other, cases, keep=["observation"])
+    return stored_rows(store.through(feature, cases))
+
+
+@query
+def store_from_records(spark, sf):
+    """From the filtered records that are stored for the early cases; the
+    others are computed from the source."""
+    cases, feature, store = purchase_cases(spark, sf), stored_feature(spark, sf), new_store(spark)
+    store.through(replace(feature, compress=None), early(cases), keep=["records"])
+    return stored_rows(store.through(feature, cases))
+
+
+@query
+def store_all_stages(spark, sf):
+    """Every stage kept: the tokens are read for early cases only."""
+    cases, feature, store = purchase_cases(spark, sf), stored_feature(spark, sf), new_store(spark)
+    store.through(feature, early(cases), keep=["observation", "records", "tokens"])
+    return stored_rows(store.through(feature, cases, keep=["observation"]))
+
+
+@query
+def store_two_sources(spark, sf):
+    """Two sources of one name and form: each has rows of its own."""
+    cases, store = purchase_cases(spark, sf), new_store(spark)
+    source = event_source(spark, sf)
+    errors = replace(source, df=source.df.where(F.col("event_type") == "error"))
+    store.compute_missing(Feature(BF24H, source, WHOLE), cases)
+    rows = store.compute_missing(Feature(BF24H, errors, WHOLE), cases)
+    return rows.select(case_number(), "pid", "pred_dt", F.col("rec_id").cast("bigint").alias("rec_id"), "dt")
+
+
 @query
 def store_status(spark, sf):
     """After a first run over the early cases: hit, known empty, or miss."""

@@ -6,7 +6,8 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -271,7 +272,9 @@ class Compress:
 class Feature:
     """One feature: the chain stops at the first stage that is ``None``.
     ``version`` tells apart stored results when code or tables behind the
-    same names have changed."""
+    same names have changed. A feature that ends with its filter shows ids and
+    times only; ``wide`` keeps the records' columns and the time levels, so
+    that later stages can start from its rows."""
 
     period: CheckPeriod
     source: RecordSource | None = None
@@ -280,8 +283,11 @@ class Feature:
     compress: Compress | None = None
     alias: str | None = None
     version: str = ""
+    wide: bool = False
 
     def __post_init__(self):
+        if self.wide and (self.filter is None or self.tokens is not None):
+            raise ValueError("wide rows are those of a feature that ends with its filter")
         stages = [self.source, self.filter, self.tokens, self.compress]
         if self.compress is not None and self.tokens is not None and self.tokens.vocab is None:
             raise ValueError("compressing needs a vocabulary")
@@ -313,44 +319,80 @@ class Feature:
     def column(self) -> str:
         return self.alias or self.name
 
+    @property
+    def prefixes(self) -> list[Feature]:
+        """The feature cut off after each stage whose rows a later stage can
+        start from: observation, filtered records, tokens."""
+        cut = []
+        if self.filter is not None:
+            cut.append(replace(self, filter=None, tokens=None, compress=None, alias=None, wide=False))
+        if self.tokens is not None:
+            cut.append(replace(self, tokens=None, compress=None, alias=None, wide=True))
+        if self.compress is not None:
+            cut.append(replace(self, compress=None, alias=None))
+        return cut
+
     @property
     def config_hash(self) -> str:
-        """Tells apart features that share a name but not their settings:
-        columns enter by their expressions, a built vocabulary by a hash of
-        its rows. Code behind the same expressions (a Python function outside
-        Spark, a table of the same name) is told apart by ``version``."""
+        """Tells apart features that share a name but not their settings or
+        their records: the key of its last stage."""
+        return self.stage_keys[-1]
+
+    @cached_property
+    def stage_keys(self) -> list[str]:
+        """One key per stage that is set: a hash of the stage's settings and
+        of the key before it, so features that begin alike share the keys of
+        their common stages. Columns enter by their expressions, a built
+        vocabulary by a hash of its rows, tables by what is read and how (see
+        :func:`described_table`). Code behind the same expressions (a Python
+        function outside Spark) is told apart by ``version``."""
         source, flt, tokens, program = self.source, self.filter, self.tokens, self.compress
-        described = {
-            "version": self.version,
-            "period": [self.period.start_us, self.period.end_us, self.period.start_exclusive],
-            "source": source
-            and [source.name, source.pid, source.rec_id, source.dt, _plain(source.columns), source.text_ids,
-                 source.df.schema.simpleString()],
-            "filter": flt
-            and [
-                flt.name,
-                flt.legacy_dayparts,
-                flt.rules_for(source.name),
-                [[k, _expression(p if isinstance(p, Column) else p(F.col("dt")))] for k, p in sorted(flt.predicates.items())],
-            ],
-            "tokens": tokens
-            and [
-                tokens.name,
-                [_grain(g) for g in tokens.grains],
-                tokens.calendar,
-                tokens.unk,
-                tokens.on_unknown,
-                getattr(tokens.vocab, "fingerprint", None),
-            ],
-            "compress": program
-            and [
-                [[s.rule, [_plain(a) for a in s.actions]] for s in program.steps],
-                list(program.prefix_layers),
-                list(program.focal_layers),
-                [[k, _method(m)] for k, m in sorted(program.methods.items())],
-            ],
-        }
-        return hashlib.sha256(json.dumps(described).encode()).hexdigest()[:16]
+        stages = [[self.version, self.period.start_us, self.period.end_us, self.period.start_exclusive]]
+        if source is not None:
+            stages.append(
+                [source.name, source.pid, source.rec_id, source.dt, _plain(source.columns), source.text_ids,
+                 described_table(source.df)]
+            )
+        if flt is not None:
+            predicates = [
+                [k, _expression(p if isinstance(p, Column) else p(F.col("dt")))] for k, p in sorted(flt.predicates.items())
+            ]
+            stages.append([flt.name, flt.legacy_dayparts, flt.rules_for(source.name), predicates, self.wide])
+        if tokens is not None:
+            stages.append(
+                [tokens.name, [_grain(g) for g in tokens.grains], tokens.calendar, tokens.unk, tokens.on_unknown,
+                 getattr(tokens.vocab, "fingerprint", None) if program is not None else None]
+            )
+        if program is not None:
+            stages.append(
+                [[[s.rule, [_plain(a) for a in s.actions]] for s in program.steps], list(program.prefix_layers),
+                 list(program.focal_layers), [[k, _method(m)] for k, m in sorted(program.methods.items())]]
+            )
+        keys, before = [], ""
+        for stage in stages:
+            before = hashlib.sha256(json.dumps([before, stage]).encode()).hexdigest()[:16]
+            keys.append(before)
+        return keys
+
+    @property
+    def unnamed_tables(self) -> bool:
+        """Whether records or grains come from memory, where nothing but
+        ``version`` tells two tables of one form apart."""
+        tables = [self.source.df] if self.source is not None else []
+        if self.tokens is not None:
+            tables += [g.df for g in self.tokens.grains if isinstance(g, GrainTable)]
+        return any(not t.inputFiles() for t in tables)
+
+
+def described_table(df: DataFrame) -> list:
+    """What tells a table from another one: its columns, the folders or single
+    files it is read from, and the plan over them with its names and numbers
+    made plain. Files that are added to a folder later are the same table."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    ids: dict[str, str] = {}
+    plain = re.sub(r"#\d+", lambda m: ids.setdefault(m[0], f"#{len(ids)}"), plan)
+    places = {re.sub(r"/(part-[^/]*|[^/]*=[^/]*)(/.*)?$", "", f) for f in df.inputFiles()}
+    return [df.schema.simpleString(), sorted(places), re.sub(r"\b[xyz]_#?\d+\b", "v", plain)]
 
 
 def _expression(column: Column) -> str:
@@ -361,7 +403,7 @@ def _expression(column: Column) -> str:
 
 def _grain(grain: GrainTable | GrainColumn) -> list:
     if isinstance(grain, GrainTable):
-        return [grain.name, grain.df.schema.simpleString()]
+        return [grain.name, described_table(grain.df)]
     parts = [grain.key(), grain.wgt() if grain.wgt else []]
     return [grain.name, *[[_expression(c) for c in ([p] if isinstance(p, Column) else p)] for p in parts]]
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .timing import micros
+
 HASH_RANGE = 1 << 32
 
 
@@ -18,6 +20,14 @@ def below_ratio(key: Column, ratio: float, seed: str = "") -> Column:
     return stable_hash(key, seed) < F.lit(round(ratio * HASH_RANGE)).cast("bigint")
 
 
+def case_draw(cases: DataFrame, seed: str = "") -> Column:
+    """32-bit number of a case, from its entity and time: record ids may
+    repeat from one entity to the next, so the name does not enter. A case
+    without entity or time draws like any other."""
+    at = F.coalesce(micros(cases, "pred_dt").cast("string"), F.lit(""))
+    return stable_hash(F.concat(F.coalesce(F.col("pid").cast("string"), F.lit("")), F.lit("@"), at), seed)
+
+
 def entity_group(pid: Column, range_size: int | None = None, groups: int = 64) -> Column:
     """Storage group of an entity: id range for numeric ids, hash otherwise."""
     if range_size is not None:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CASE_KEY
-from ..functions.hashing import HASH_RANGE, below_ratio, stable_hash
+from ..functions.hashing import HASH_RANGE, below_ratio, case_draw
 from .ranking import with_rank
 
 SPLITS = ("in_train", "in_valid", "in_test", "out_test")
@@ -41,23 +41,23 @@ def filter_cases(cases: DataFrame, counts: DataFrame, condition: Column) -> Data
 
 
 def downsample(cases: DataFrame, ratio: float, seed: str = "downsample") -> DataFrame:
-    """Keep about ``ratio`` of the cases; the choice depends on the case key
-    only, so it repeats on any layout."""
-    return cases.where(below_ratio(F.col("case_id"), ratio, seed))
+    """Keep about ``ratio`` of the cases; the choice depends on entity and
+    time only, so it repeats on any layout and under any name."""
+    return cases.where(case_draw(cases, seed) < F.lit(round(ratio * HASH_RANGE)).cast("bigint"))
 
 
 def split_cases(
     cases: DataFrame, out: float, test: float, valid: float, seed: str = "split"
 ) -> DataFrame:
     """Column ``split``: whole entities are held out first (``out_test``),
-    then single cases go to test, valid or train."""
+    then single cases go to test, valid or train, by entity and time."""
     if not 0 <= test + valid <= 1:
         raise ValueError("test and valid ratios must sum to at most 1")
-    draw = stable_hash(F.col("case_id"), seed)
+    draw = case_draw(cases, seed)
     test_end = round(test * HASH_RANGE)
     valid_end = round((test + valid) * HASH_RANGE)
     split = (
-        F.when(below_ratio(F.col("pid"), out, seed), "out_test")
+        F.when(below_ratio(F.coalesce(F.col("pid").cast("string"), F.lit("")), out, seed), "out_test")
         .when(draw < F.lit(test_end).cast("bigint"), "in_test")
         .when(draw < F.lit(valid_end).cast("bigint"), "in_valid")
         .otherwise("in_train")

@@ -14,18 +14,24 @@ from ..functions.timing import in_hours, level_micros
 MAX_LISTED_BUCKETS = 256
 
 
-def filter_rows(records: DataFrame, flt: Filter) -> DataFrame:
-    """Apply the predicate the filter names; ``Whl`` keeps everything. A
-    predicate looks at one record, so it runs before records meet cases."""
+def filter_condition(flt: Filter) -> Column | None:
+    """The condition that the filter's name stands for; none for ``Whl``."""
     if flt.name == "Whl":
-        return records
+        return None
     if flt.name in flt.predicates:
         predicate = flt.predicates[flt.name]
-        return records.where(predicate if isinstance(predicate, Column) else predicate(F.col("dt")))
+        return predicate if isinstance(predicate, Column) else predicate(F.col("dt"))
     hours = LEGACY_DAYPART_HOURS if flt.legacy_dayparts else DAYPART_HOURS
     if flt.name not in hours:
         raise ValueError(f"unknown filter {flt.name!r}")
-    return records.where(in_hours(F.col("dt"), hours[flt.name]))
+    return in_hours(F.col("dt"), hours[flt.name])
+
+
+def filter_rows(records: DataFrame, flt: Filter) -> DataFrame:
+    """Apply the predicate the filter names; ``Whl`` keeps everything. A
+    predicate looks at one record, so it runs before records meet cases."""
+    condition = filter_condition(flt)
+    return records if condition is None else records.where(condition)
 
 
 def counts_bare_times(rules: dict[str, float]) -> bool:
@@ -56,6 +62,17 @@ def good_buckets(rows: DataFrame, rules: dict[str, float], distinct_times: bool
     return found
 
 
+def keep_full(rows: DataFrame, rules: dict[str, float]) -> DataFrame:
+    """Observed rows (with their levels) of buckets that satisfy all rules."""
+    if not rules:
+        return rows
+    times_only = counts_bare_times(rules)
+    bare = rows.select(*CASE_KEY, *LEVELS, "dt", *([] if times_only else ["rec_id"]))
+    for good in good_buckets(bare.distinct() if times_only else bare, rules, times_only):
+        rows = rows.join(good, good.columns, "left_semi")
+    return rows
+
+
 def can_be_listed(target: str, period: CheckPeriod) -> bool:
     """Whether a case has few enough buckets of this level in the period."""
     if target not in LEVELS:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CASE_KEY
-from ..functions.hashing import stable_hash
+from ..functions.hashing import case_draw
 from ..functions.tokens import each
 from .ranking import with_position
 
@@ -41,12 +41,12 @@ def one_row_per_case(rows: DataFrame, order: Sequence[str], name: str) -> DataFr
 
 def in_batches(cases: DataFrame, size: int, cells: int | None = None) -> DataFrame:
     """Numbered batches of ``size`` cases as lists of structs. The order is a
-    stable hash of the case, so it repeats for the same cases. No task numbers
+    stable hash of entity and time, so it repeats for the same cases. No task numbers
     all of them: hash cells are numbered one by one, 1,024 of them or as many
     as keep a cell at about ``CELL_CASES`` cases."""
     if cells is None:
         cells = max(1024, -(-cases.count() // CELL_CASES))
-    draw = stable_hash(F.col("case_id"), "batch")
+    draw = case_draw(cases, "batch")
     order = [c for c in CASE_KEY if c in cases.columns]
     numbered = with_position(cases, [], F.pmod(draw, F.lit(cells)), order, "row_no")
     entry = F.struct("row_no", *cases.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,6 +95,59 @@ def observe(
     return joined.select(*left, *right)
 
 
+# Bits of a mask of windows.
+MAX_WINDOWS = 62
+
+
+def hull(periods: Sequence[CheckPeriod]) -> list[tuple[int, int]]:
+    """The stretches of time that any of the periods covers, disjoint and in
+    order, as microseconds from the case (half-open)."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted((p.start_us, p.end_us) for p in periods):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], last))
+        else:
+            out.append((first, last))
+    return out
+
+
+def observe_windows(
+    cases: DataFrame, records: DataFrame, periods: Sequence[CheckPeriod], mask: str = "windows", width_us: int | None = None
+) -> DataFrame:
+    """One row per case and record of its entity inside any of the periods,
+    with ``mask``: bit ``i`` tells whether the record lies in period ``i``.
+
+    One interval join serves all periods: their windows are cut at their
+    bounds into the stretches they cover together, and a record meets a case
+    once however many periods overlap there. A column ``mask`` of the records
+    says which periods want the record at all. The time distance in
+    microseconds stays in the result.
+    """
+    if not 0 < len(periods) <= MAX_WINDOWS:
+        raise ValueError(f"from 1 to {MAX_WINDOWS} periods fit one join, got {len(periods)}")
+    wanted = F.col(mask) if mask in records.columns else F.lit((1 << len(periods)) - 1).cast("bigint")
+    rows = records.withColumn(mask, wanted).where(F.col(mask) != 0).withColumn("__u", micros(records, "dt"))
+    stretches = hull(periods)
+    width = width_us or max(last - first for first, last in stretches)
+    spans = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in stretches])
+    windows = cases.withColumn("__p", micros(cases, "pred_dt")).withColumn("__x", F.explode(spans))
+    windows = windows.withColumns({"__s": F.col("__p") + F.col("__x.a"), "__e": F.col("__p") + F.col("__x.b")}).drop("__x")
+    windows = windows.withColumn("__b", F.explode(F.sequence(bucket(F.col("__s"), width), bucket(F.col("__e") - 1, width))))
+    rows = rows.withColumn("__b", bucket(F.col("__u"), width))
+    inside = (F.col("__u") >= F.col("__s")) & (F.col("__u") < F.col("__e"))
+    meets = [F.col("c.pid") == F.col("r.pid"), F.col("c.__b") == F.col("r.__b"), inside]
+    joined = windows.alias("c").join(rows.alias("r"), meets)
+    away = F.col("r.__u") - F.col("c.__p")
+    bits = F.lit(0).cast("bigint")
+    for i, p in enumerate(periods):
+        first = p.start_us + (1 if p.start_exclusive else 0)
+        bits = bits + F.when((away >= first) & (away < p.end_us), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
+    left = [F.col(f"c.{c}") for c in cases.columns]
+    right = [F.col(f"r.{c}") for c in records.columns if c not in {*cases.columns, mask}]
+    out = joined.select(*left, *right, (-away).alias(DISTANCE), bits.bitwiseAND(F.col(f"r.{mask}")).alias(mask))
+    return out.where(F.col(mask) != 0)
+
+
 def _split_hot_cells(windows: DataFrame, rows: DataFrame, limit: int):
     """Spread the records of cells above ``limit`` rows over parts and repeat
     the few windows that meet them, so no cell is one task's work."""
@@ -162,7 +215,7 @@ def record_count(
     line = bounds.unionByName(rows, allowMissingColumns=True).withColumn("cell", bucket(F.col("u"), width_us))
     # Written once: counting, numbering and adding up all read the line, and
     # the records behind it are scanned a single time.
-    line = _cut_crowded(materialize(line), width_us, max_cell_rows)
+    line = cut_crowded(materialize(line), width_us, max_cell_rows)
     # A bound sorts before a record of the same instant: it counts records
     # strictly earlier than itself.
     running = (
@@ -184,7 +237,7 @@ def record_count(
     return inside.join(offsets, ["pid", "cell", "sub"]).groupBy(*CASE_KEY).agg(*counts)
 
 
-def _cut_crowded(line: DataFrame, width_us: int, limit: int) -> DataFrame:
+def cut_crowded(line: DataFrame, width_us: int, limit: int) -> DataFrame:
     """Column ``sub``: the part of its bucket that a row lies in, from counts;
     0 in buckets of at most ``limit`` rows."""
     counts = line.groupBy("pid", "cell").agg(F.count("*").alias("__n")).where(F.col("__n") > limit)

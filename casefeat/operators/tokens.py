@@ -107,8 +107,11 @@ def encoded_records(
     vocab: Vocabulary,
     on_unknown: str = "fail",
     rfg: bool = False,
+    keep: Sequence[str] = (),
+    name: str = "tok",
 ) -> DataFrame:
-    """Records as ``pid, rec_id, dt, tok``: token lists already as ids.
+    """Records as ``pid, rec_id, dt``, the columns in ``keep`` and ``tok``:
+    token lists already as ids.
 
     When every token is a column of its own, each is looked up by a broadcast
     join and the list is put together in place: no shuffle. Otherwise the
@@ -122,13 +125,13 @@ def encoded_records(
             break
         single += pairs
     if single is None or vocab.size > MAX_BROADCAST_TOKENS:
-        listed = attach_tokens(records, tokens).select("pid", "rec_id", "dt", "tkn_key", "tkn_wgt")
-        return encode_tokens(listed, vocab, on_unknown, rfg)
+        listed = attach_tokens(records, tokens).select("pid", "rec_id", "dt", *keep, "tkn_key", "tkn_wgt")
+        return encode_tokens(listed, vocab, on_unknown, rfg).withColumnRenamed("tok", name)
     if tokens.calendar is not None:
         single += [(k, F.lit(1.0)) for k in calendar_columns(F.col("dt"))]
     names = [f"__{i}" for i in range(len(single))]
     rows = records.select(
-        "pid", "rec_id", "dt",
+        "pid", "rec_id", "dt", *keep,
         *[k.alias(f"{n}k") for n, (k, _) in zip(names, single)],
         *[w.alias(f"{n}w") for n, (_, w) in zip(names, single)],
     )
@@ -141,7 +144,7 @@ def encoded_records(
         idx, group = _known(F.col(f"{n}i"), F.col(f"{n}g"), F.col(f"{n}k"), vocab, on_unknown)
         entries.append(token_entry(idx, F.col(f"{n}w"), group if rfg else None))
     tok = F.filter(F.array(*entries), lambda t: t["idx"].isNotNull())
-    return rows.select("pid", "rec_id", "dt", tok.alias("tok"))
+    return rows.select("pid", "rec_id", "dt", *keep, tok.alias(name))
 
 
 def encode_tokens(rows: DataFrame, vocab: Vocabulary, on_unknown: str = "fail", rfg: bool = False) -> DataFrame:
@@ -150,6 +153,9 @@ def encode_tokens(rows: DataFrame, vocab: Vocabulary, on_unknown: str = "fail",
     also one that equals another. A token outside the vocabulary fails, turns
     into the unknown token, or is dropped."""
     kept = [c for c in rows.columns if c not in ("tkn_key", "tkn_wgt")]
+    clash = {"pos", "t", "grn", "weight", "idx", "rfg", "rfg_idx"} & {c.lower() for c in kept}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} would clash; rename them")
     pair = F.arrays_zip(F.col("tkn_key").alias("grn"), F.col("tkn_wgt").alias("weight"))
     numbered = rows.withColumn("__row", F.monotonically_increasing_id())
     long = numbered.select(*kept, "__row", F.posexplode_outer(pair).alias("pos", "t"))

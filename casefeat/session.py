@@ -64,6 +64,14 @@ def _discard_at_exit(spark: SparkSession, path: str) -> None:
         discard(spark, path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared folder, of which readers
+    take the columns they need; deleted when the driver's Python ends."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext

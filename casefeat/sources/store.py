@@ -24,11 +24,13 @@ from ..config import Feature
 from ..constants import CASE_KEY
 from ..functions.hashing import entity_group
 from ..operators.vocab import Vocabulary, build_vocab
-from ..plans.features import build_feature
+from ..plans.features import build_feature, settled_rows
 from ..session import materialize
 from .records import write_by_group
 
 PAIR = ["pid", "pred_dt"]
+# Stages that can be stored in between, in their order.
+STAGES = ("observation", "records", "tokens")
 # Number of compactions a feature may have: newer ones sort first.
 LAST_RUN = 10**12
 
@@ -57,6 +59,11 @@ class FeatureStore:
         return replace(feature, tokens=replace(tokens, vocab=build_vocab(tokens.vocab, (), tokens.unk)))
 
     def key(self, feature: Feature) -> str:
+        """Name and settings of a feature, and what its records are read
+        from. Records from memory need a ``version``: nothing else would tell
+        two sources of one name and form apart."""
+        if not feature.version and feature.unnamed_tables:
+            raise ValueError(f"{feature.name}: its records are not read from files; give the feature a version to store it")
         text = "".join(c if c.isalnum() or c in "._-" else "_" for c in feature.name)
         return f"{text}_{self.settled(feature).config_hash}"
 
@@ -160,6 +167,56 @@ class FeatureStore:
             return self.read(feature, cases, compute(cases.limit(0)).schema)
         return self.read(feature, cases)
 
+    def through(self, feature: Feature, cases: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """Rows of a feature, each case from the deepest stage that is stored
+        for it, the feature's own rows stored where they were missing.
+
+        ``keep`` names stages to store on the way (``observation``,
+        ``records``, ``tokens``). Stages that some earlier run stored are
+        read for the cases it knew; only the others are computed from the
+        stage before. Features that begin alike share their stages, since a
+        stage's key is a hash of its settings and of the key before it.
+        """
+        feature = self.settled(feature)
+        chain = [*feature.prefixes, feature]
+        names = [*STAGES[: len(chain) - 1], "feature"]
+        unknown = set(keep) - set(STAGES)
+        if unknown:
+            raise ValueError(f"stages are {STAGES}, got {sorted(unknown)}")
+        kept = [n in keep or n == "feature" for n in names]
+        usable = [k or self._stored(self._folder("manifest", f)) is not None for k, f in zip(kept, chain, strict=True)]
+
+        def rows(place: int, some: DataFrame) -> DataFrame:
+            stage = chain[place]
+            known = self.manifest(stage, some).select(*PAIR)
+            missing = materialize(some.join(known, PAIR, "left_anti"))
+            none = missing.isEmpty()
+            if kept[place]:
+                if not none:
+                    self._publish(stage, missing, build(place, missing))
+                return self._rows_or_none(stage, some)
+            found = self._rows_or_none(stage, some)
+            return found if none else found.unionByName(build(place, missing))
+
+        def build(place: int, some: DataFrame) -> DataFrame:
+            stage = chain[place]
+            before = [k for k in range(place) if usable[k]]
+            if not before:
+                return build_feature(some, stage)
+            found = rows(before[-1], some)
+            if names[before[-1]] == "tokens":
+                return build_feature(some, stage, stored=found)
+            if names[before[-1]] == "observation":
+                found = settled_rows(found, stage)
+            return build_feature(some, stage, settled=found)
+
+        return rows(len(chain) - 1, cases.select(*CASE_KEY))
+
+    def _rows_or_none(self, feature: Feature, cases: DataFrame) -> DataFrame:
+        if self._stored(self._folder("rows", feature)) is None:
+            return self.spark.createDataFrame([], build_feature(cases.limit(0), feature).schema)
+        return self.read(feature, cases)
+
     def compact(self, feature: Feature, cases: DataFrame) -> str | None:
         """Rewrite what readers see as one run, then delete all others, lost
         ones included. Run it while nobody writes; readers of the old runs
