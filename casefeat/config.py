@@ -351,7 +351,7 @@ class Feature:
         if source is not None:
             stages.append(
                 [source.name, source.pid, source.rec_id, source.dt, _plain(source.columns), source.text_ids,
-                 described_table(source.df)]
+                 described_table(source.df, self.version)]
             )
         if flt is not None:
             predicates = [
@@ -360,7 +360,7 @@ class Feature:
             stages.append([flt.name, flt.legacy_dayparts, flt.rules_for(source.name), predicates, self.wide])
         if tokens is not None:
             stages.append(
-                [tokens.name, [_grain(g) for g in tokens.grains], tokens.calendar, tokens.unk, tokens.on_unknown,
+                [tokens.name, [_grain(g, self.version) for g in tokens.grains], tokens.calendar, tokens.unk, tokens.on_unknown,
                  getattr(tokens.vocab, "fingerprint", None) if program is not None else None]
             )
         if program is not None:
@@ -374,25 +374,24 @@ class Feature:
             keys.append(before)
         return keys
 
-    @property
-    def unnamed_tables(self) -> bool:
-        """Whether records or grains come from memory, where nothing but
-        ``version`` tells two tables of one form apart."""
-        tables = [self.source.df] if self.source is not None else []
-        if self.tokens is not None:
-            tables += [g.df for g in self.tokens.grains if isinstance(g, GrainTable)]
-        return any(not t.inputFiles() for t in tables)
 
-
-def described_table(df: DataFrame) -> list:
+def described_table(df: DataFrame, version: str = "") -> list:
     """What tells a table from another one: its columns, the folders or single
     files it is read from, and the plan over them with its names and numbers
-    made plain. Files that are added to a folder later are the same table."""
+    made plain. Files that are added to a folder later are the same table.
+
+    Rows that come from memory or a checkpoint have no such name; they enter
+    by a hash of all rows, which takes a pass over them, unless ``version``
+    tells them apart."""
     plan = df._jdf.queryExecution().analyzed().toString()
     ids: dict[str, str] = {}
     plain = re.sub(r"#\d+", lambda m: ids.setdefault(m[0], f"#{len(ids)}"), plan)
     places = {re.sub(r"/(part-[^/]*|[^/]*=[^/]*)(/.*)?$", "", f) for f in df.inputFiles()}
-    return [df.schema.simpleString(), sorted(places), re.sub(r"\b[xyz]_#?\d+\b", "v", plain)]
+    content = None
+    if not version and re.search(r"\b(LocalRelation|LogicalRDD)\b", plan):
+        row = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
+        content = [str(v) for v in df.select(row.alias("h")).agg(F.count("*"), F.sum(F.col("h").cast("decimal(38,0)"))).first()]
+    return [df.schema.simpleString(), sorted(places), re.sub(r"\b[xyz]_#?\d+\b", "v", plain), content]
 
 
 def _expression(column: Column) -> str:
@@ -401,9 +400,9 @@ def _expression(column: Column) -> str:
     return re.sub(r"\b[xyz]_\d+\b", lambda m: names.setdefault(m[0], f"v{len(names)}"), str(column))
 
 
-def _grain(grain: GrainTable | GrainColumn) -> list:
+def _grain(grain: GrainTable | GrainColumn, version: str) -> list:
     if isinstance(grain, GrainTable):
-        return [grain.name, described_table(grain.df)]
+        return [grain.name, described_table(grain.df, version)]
     parts = [grain.key(), grain.wgt() if grain.wgt else []]
     return [grain.name, *[[_expression(c) for c in ([p] if isinstance(p, Column) else p)] for p in parts]]
 

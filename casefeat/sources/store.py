@@ -59,11 +59,7 @@ class FeatureStore:
         return replace(feature, tokens=replace(tokens, vocab=build_vocab(tokens.vocab, (), tokens.unk)))
 
     def key(self, feature: Feature) -> str:
-        """Name and settings of a feature, and what its records are read
-        from. Records from memory need a ``version``: nothing else would tell
-        two sources of one name and form apart."""
-        if not feature.version and feature.unnamed_tables:
-            raise ValueError(f"{feature.name}: its records are not read from files; give the feature a version to store it")
+        """Name and settings of a feature, and what its records are read from."""
         text = "".join(c if c.isalnum() or c in "._-" else "_" for c in feature.name)
         return f"{text}_{self.settled(feature).config_hash}"
 

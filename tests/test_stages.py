@@ -33,7 +33,7 @@ def test_keys_are_a_chain(setup):
     assert set(replace(feature, version="2").stage_keys).isdisjoint(keys)
 
 
-def test_a_key_sees_the_records(setup):
+def test_a_key_sees_the_files(setup):
     _, feature, store = setup
     source = feature.source
     errors = replace(source, df=source.df.where(F.col("event_type") == "error"))
@@ -41,11 +41,14 @@ def test_a_key_sees_the_records(setup):
     assert store.key(replace(feature, source=errors)) != store.key(feature) == store.key(replace(feature, source=again))
 
 
-def test_records_from_memory_need_a_version(cases, source, spark):
+def test_records_from_memory(cases, source, spark):
+    """They enter by their rows: other rows are other records, even of one form."""
+    key = new_store(spark).key
     feature = Feature(CheckPeriod.parse("Bf24H"), source, Filter(thresholds={}))
-    with pytest.raises(ValueError, match="version"):
-        new_store(spark).key(feature)
-    assert new_store(spark).key(replace(feature, version="1"))
+    rows = source.df.collect()
+    same = replace(source, df=spark.createDataFrame(rows[::-1], source.df.schema))
+    fewer = replace(source, df=spark.createDataFrame(rows[:-1], source.df.schema))
+    assert key(replace(feature, source=same)) == key(feature) != key(replace(feature, source=fewer))
 
 
 @pytest.mark.parametrize("kept", [["observation"], ["records"], ["tokens"]])
