@@ -31,22 +31,42 @@ ROWS_PER_GROUP = 1_000
 PAGE_BYTES = 262_144
 FILE_TOKENS = 50_000_000
 CACHED = 800_000
-# One Latin word with marks (no apostrophe), or two with a line break between.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)(?:(\n)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*))?")
-# How the byte-level alphabet writes a blank and a line break.
-BLANK, LINE_BREAK = "\u0120", "\u010a"
+# Parts encoded in one text, and documents whose parts are learned together.
+PARTS, DOCUMENTS = 200, 250
+# A blank inside a run of white space; Python's kind includes the tokenizer's.
+INNER_BLANK = re.compile(r"\s \s")
+# Seen first, as it is found fast: a blank before other white space.
+EDGE = re.compile(r" [^\S ]")
+# How the byte-level alphabet writes a blank.
+BLANK = "\u0120"
+# Fixed value: the byte-level pre-tokenizer's pattern, for ASCII text.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 END = 0
 
 FILE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("ids", pa.list_(pa.uint32()))])
 
 
-class Encoder:
-    """The tokenizer, with a memory for pieces of text seen before.
+class Words(dict):
+    """Ids of what the pre-tokenizer keeps together, found when first asked for."""
+
+    def __init__(self, tokenizer):
+        self.model = tokenizer.model
+        self.alphabet = {c: tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(128)}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = array("I", [t.id for t in self.model.tokenize(piece.translate(self.alphabet))]).tobytes()
+        return ids
+
 
-    A byte-level pre-tokenizer starts a new piece at every single blank that
-    is followed by anything but a blank. So a text without double blanks and
-    without special tokens is the sum of its parts between blanks, each with
-    its blank; parts are encoded once. Other texts are encoded whole.
+class Encoder:
+    """The tokenizer, with a memory for parts of text seen before.
+
+    A byte-level pre-tokenizer keeps a run of white space together but for its
+    last character before a word, which may go with the word if it is a blank.
+    So a new piece starts at every single blank, unless there is white space
+    on both sides of it. A text without such blanks, double blanks and special
+    tokens is the sum of its parts between blanks, each with its blank; parts
+    are encoded once. Other texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -56,58 +76,64 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.letters = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x250)}
+        self.words = Words(self.tokenizer)
+        vocab = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[i for token, i in vocab.items() if token.startswith(BLANK)]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def ids(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        cut = [None if self.is_odd(t) else t.split(" ") for t in texts]
+        self.learn(set().union(*[p for p in cut if p is not None]))
+        known, out = self.known.__getitem__, []
+        for text, parts in zip(texts, cut, strict=True):
+            if parts is None:
+                out.append(self.whole([text])[0])
+            else:
+                first = self.whole(parts[:1])[0] if parts[0] else b""
+                out.append(first + b"".join(map(known, parts[1:])))
+        return out
+
+    def is_odd(self, text: str) -> bool:
         if "  " in text or any(s in text for s in self.special):
-            return self.whole([text])[0]
-        first, *parts = text.split(" ")
-        try:
-            return self.begin(first) + b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            self.learn(parts)
-            return self.begin(first) + b"".join(map(self.known.__getitem__, parts))
-
-    def begin(self, first: str) -> bytes:
-        return self.whole([first])[0] if first else b""
-
-    def learn(self, parts: list[str]) -> None:
-        if len(self.known) > CACHED:
+            return True
+        return EDGE.search(text) is not None and INNER_BLANK.search(text) is not None
+
+    def learn(self, parts: set[str]) -> None:
+        """Encode the parts not known yet, many of them as one text: a part
+        begins where a piece, or a token, begins with a blank. ASCII parts are
+        cut into pieces here, since many pieces are known; parts with white
+        space at an end would join their neighbours', so they are encoded
+        alone."""
+        new = parts.difference(self.known)
+        if len(self.known) + len(new) > CACHED:
             self.known.clear()
             self.words.clear()
-        for part in set(parts):
-            if part not in self.known:
-                self.known[part] = b"".join(map(self.word, self.cut(part)))
-
-    def cut(self, part: str) -> list[str]:
-        """What the pre-tokenizer makes of a part with its blank. Latin words
-        with marks behind them, and two of them around a line break, always
-        fall into the same pieces; other parts are left to the library."""
-        plain = PLAIN.fullmatch(part)
-        if plain is None:
-            return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(" " + part)]
-        word, marks, line, word2, marks2 = plain.groups()
-        pieces = [BLANK + (word if part.isascii() else word.translate(self.letters))]
-        if marks:
-            pieces.append(marks)
-        if line:
-            pieces += [LINE_BREAK, word2 if part.isascii() else word2.translate(self.letters)]
-            if marks2:
-                pieces.append(marks2)
-        return pieces
-
-    def word(self, word: str) -> bytes:
-        """Ids of what the pre-tokenizer keeps together."""
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.words[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
-        return ids
+            new = parts
+        alone = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
+        self.known.update(zip(alone, self.whole([f" {p}" for p in alone]), strict=True))
+        rest = new.difference(alone)
+        plain = [p for p in rest if p.isascii()]
+        pieces = PIECES.findall("".join([f" {p}" for p in plain]))
+        found = list(map(self.words.__getitem__, pieces))
+        self._add(plain, found, [k for k, p in enumerate(pieces) if p[0] == " "], b"".join)
+        others = list(rest.difference(plain))
+        lines = ["".join([f" {p}" for p in others[k : k + PARTS]]) for k in range(0, len(others), PARTS)]
+        raw = b"".join(self.whole(lines))
+        self._add(others, raw, (np.flatnonzero(self.begins[np.frombuffer(raw, "<u4")]) * 4).tolist(), bytes)
+
+    def _add(self, parts: list[str], ids, at: list[int], join) -> None:
+        if len(at) != len(parts):
+            raise RuntimeError("parts do not begin with their blanks: not a byte-level tokenizer")
+        ends = [*at, len(ids)][1:]
+        self.known.update(zip(parts, [join(ids[s:e]) for s, e in zip(at, ends, strict=True)], strict=True))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -120,6 +146,14 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def encoded(own: Encoder, batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+    """``(doc_id, ids)`` of the batch's rows, a few documents at a time."""
+    for k in range(0, batch.num_rows, DOCUMENTS):
+        some = batch.slice(k, DOCUMENTS)
+        texts = [t or "" for t in some.column("text").to_pylist()]
+        yield from zip(some.column("doc_id").to_pylist(), own.many(texts), strict=True)
+
+
 def _writer(store, path: str) -> pq.ParquetWriter:
     return pq.ParquetWriter(
         path, FILE_SCHEMA, filesystem=store, compression="zstd", compression_level=1,
@@ -157,11 +191,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
 
         waiting = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            for doc_id, ids in encoded(own, batch):
                 if out is None:
                     path = f"{base}/{uuid.uuid4().hex}.parquet"
                     out, tokens, documents = _writer(store, path), 0, 0
-                held.append((doc_id, own.ids(text.as_py() or "") + end))
+                held.append((doc_id, ids + end))
                 documents += 1
                 waiting += len(held[-1][1]) // 4
                 if len(held) == ROWS_PER_GROUP or waiting >= FILE_TOKENS // 10:

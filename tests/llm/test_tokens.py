@@ -1,5 +1,6 @@
 """Token files: ids, places, encodings and selective reads."""
 
+import itertools
 import zlib
 
 import numpy as np
@@ -17,7 +18,7 @@ ODD = [
     "", " ", "  ", "   ", "a", " a", "a ", "a  b", "a   b", "\n", "a\n b", "a \nb", "a\n  b", "\n\n\n", "it's 's 'll", "a 's", "é ß ñ",
     "a\u00a0b", "a \u00a0b", "a\u00a0 b", "\u00a0 \u00a0", "\u3000 x", "日本語 テキスト", "🙂 🙂🙂", "x\x00y \x1c z", "tab\tand\x0bmore \x0c",
     "<|endoftext|>", "a <|endoftext|> b", "<|endof text|>", "123 456abc", "...!!! ???", "A" * 300, "word " * 50, "\r\n x\r\n", "a\u2028 b",
-    "\ufeff x", "ﬁ ligature", "e\u0301 combining", "\u200b \u200d", "٣ ४ Ⅷ ½",
+    "price \u00a0 \u00a0 total", "Tel \u00a0 \u00a0 Fax", "é \u00a0 \u00a0", "a\n \nb", "a\n b\n c \nd", "\ufeff x", "ﬁ ligature", "e\u0301 combining", "\u200b \u200d", "٣ ४ Ⅷ ½",
 ]
 
 
@@ -35,6 +36,20 @@ def test_pieces_equal_whole_texts(tokenizer):
         assert np.frombuffer(own.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+SPACES = [" ", "\u00a0", "\t", "\n", "\u3000", "\x1c", "\x85"]
+
+
+def test_all_runs_of_white_space(tokenizer):
+    """Every run of up to five, with and without words on either side."""
+    own = T.Encoder(PATH)
+    runs = ["".join(r) for n in range(1, 6) for r in itertools.product(SPACES[: 7 if n < 5 else 5], repeat=n)]
+    texts = [f"{a}{run}{b}" for run in runs for a, b in (("", ""), ("price", ""), ("", "total"), ("é", "Fax"))]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for k in range(0, len(texts), 500):
+        for text, ids, right in zip(texts[k : k + 500], own.many(texts[k : k + 500]), want[k : k + 500], strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == right, repr(text)
+
+
 def test_the_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(T, "CACHED", 10)
     own, plain = T.Encoder(PATH), T.Encoder(PATH)
