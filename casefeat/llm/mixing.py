@@ -51,12 +51,19 @@ def unit_hash(value: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(2**52)
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of a row's columns, nulls told apart by their place."""
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    return F.xxhash64(*columns, F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in columns]))
+
+
 def mix(docs: DataFrame, seed: int = 0, cap: int = CAP) -> DataFrame:
-    """``(doc_id, text_hash, source, size, source_size, target, copies)`` of
-    every row: how often the mix takes it. ``size`` is the number of words.
+    """``(doc_id, text_hash, row_hash, source, size, source_size, target,
+    copies)`` of every row: how often the mix takes it. ``size`` is the number of words,
+    ``row_hash`` a hash of all columns.
 
     The same rows and seed give the same copies, however partitioned. Rows
-    equal in doc_id and text are interchangeable. A null text has size 0, a
+    equal in all columns are interchangeable. A null text has size 0, a
     null source is a source, a null doc_id an id. A source without words has
     target 0 and nothing is taken. Places in a source are found without
     sorting it in one task: ranks inside (source, size, hash byte), offsets
@@ -64,7 +71,8 @@ def mix(docs: DataFrame, seed: int = 0, cap: int = CAP) -> DataFrame:
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     thin = docs.select(
-        "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"), digest.alias("h")
+        "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"),
+        row_hash(docs).alias("row_hash"), digest.alias("h"),
     )
     sized, _ = settle(thin, "sizes")
     targets, _ = settle(source_targets(sized, cap), "targets")
@@ -77,31 +85,29 @@ def mix(docs: DataFrame, seed: int = 0, cap: int = CAP) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.partitionBy("sid", "size").orderBy("hb").rowsBetween(*up_to)), F.lit(0))
     offsets = cells.withColumn("b", before).join(sizes.withColumn("s", smaller).drop("n"), ["sid", "size"])
     offsets, _ = settle(offsets.select("sid", "size", "hb", (F.col("b") + F.col("s")).alias("offset")), "offsets")
-    inside = Window.partitionBy("sid", "size", "hb").orderBy("h", "doc_id", "text_hash")
+    inside = Window.partitionBy("sid", "size", "hb").orderBy("h", "doc_id", "text_hash", "row_hash")
     placed = rows.withColumn("r", F.row_number().over(inside) - 1).join(offsets, ["sid", "size", "hb"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     at = F.col("offset") + F.col("r")
     shift = unit_hash(F.col("source"), seed)
     copies = F.floor(rate * (at + 1) + shift) - F.floor(rate * at + shift)
-    return placed.select("doc_id", "text_hash", "source", "size", "source_size", "target", copies.alias("copies"))
+    return placed.select("doc_id", "text_hash", "row_hash", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mixed_rows(docs: DataFrame, seed: int = 0, cap: int = CAP) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with
-    all its columns. Rows equal in doc_id, source and text are taken together
-    (their copies add up, other columns come from one of them)."""
-    taken = mix(docs, seed, cap).groupBy("doc_id", "text_hash", "source")
+    all its columns. Rows that differ in any column are taken each by itself;
+    of wholly equal ones the copies add up."""
+    taken = mix(docs, seed, cap).groupBy("doc_id", "row_hash", "source")
     counts, _ = settle(taken.agg(F.sum("copies").alias("__copies"), F.count("*").alias("__n")), "copies")
     if not counts.where("__n > 1").isEmpty():
-        docs = docs.dropDuplicates(["doc_id", "source", "text"])
+        docs = docs.dropDuplicates()
     wanted = counts.where("__copies > 0").select(
-        F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), F.col("source").alias("__s"), "__copies"
+        F.col("doc_id").alias("__d"), F.col("row_hash").alias("__r"), F.col("source").alias("__s"), "__copies"
     )
     met = docs.join(
         wanted,
-        docs["doc_id"].eqNullSafe(wanted["__d"])
-        & (F.xxhash64(docs["text"]) == wanted["__t"])
-        & docs["source"].eqNullSafe(wanted["__s"]),
+        docs["doc_id"].eqNullSafe(wanted["__d"]) & (row_hash(docs) == wanted["__r"]) & docs["source"].eqNullSafe(wanted["__s"]),
     )
     each, columns = fresh(docs, "copy"), [docs[f"`{c}`"] for c in docs.columns]
     return met.select(*columns, F.explode(F.sequence(F.lit(1), wanted["__copies"])).alias(each)).drop(each)

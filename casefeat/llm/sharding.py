@@ -1,9 +1,11 @@
 """A uniform shuffle into shards of exact size by a communication matrix.
 
 Every partition learns from a multivariate hypergeometric draw how many of
-its rows go to each target; it deals its rows out in a random order of its
-own, the rows are exchanged, and each target orders what it got at random
+its rows go to each shard; it deals its rows out in a random order of its
+own, the rows are exchanged, and each shard orders what it got at random
 once more. Together this is a uniform permutation with exact shard sizes.
+A shard is ordered by random keys in ranges of about 250,000 rows, so its
+size, and the number of input partitions, do not bound the parallelism.
 """
 
 from __future__ import annotations
@@ -19,10 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import partitions
+from .common import partitions, settle
 
 ROWS_PER_BIN = 250_000
-MAX_CELLS = 4_000_000
 
 
 def draw(rng: np.random.Generator, good: int, bad: int, taken: int) -> int:
@@ -66,19 +67,19 @@ def equal_parts(n: int, parts: int) -> list[int]:
     return [n // parts + (k < n % parts) for k in range(parts)]
 
 
-def bin_sizes(rows: int, shards: int, n_partitions: int, width: int) -> list[tuple[int, int, int]]:
-    """``(shard, first slot, rows)`` of each bin. A shard is cut into bins of
-    equal size that one task can order, as many as there are tasks to use;
-    the matrix never has more than ``MAX_CELLS`` numbers."""
-    per_shard = max(-(-rows // (shards * ROWS_PER_BIN)), -(-width // shards))
-    per_shard = max(1, min(per_shard, MAX_CELLS // (shards * max(n_partitions, 1))))
-    out = []
-    for shard, size in enumerate(equal_parts(rows, shards)):
-        first = 0
-        for part in equal_parts(size, per_shard):
-            out.append((shard, first, part))
-            first += part
-    return out
+def bins_per_shard(rows: int, shards: int, width: int) -> int:
+    """Ranges of keys that a shard is ordered in: one task each."""
+    return max(1, -(-rows // (shards * ROWS_PER_BIN)), -(-width // shards))
+
+
+def drawn(share: np.ndarray, seed: int, p: int, per_shard: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(bin, key)`` of each row of partition ``p``: its shard at random, as
+    often as the matrix says, and a random key, whose range is the bin. The
+    same for the same arguments, without looking at a row."""
+    rng = np.random.default_rng([seed, 2, p])
+    where = rng.permutation(np.repeat(np.arange(len(share), dtype=np.int64), share))
+    key = rng.integers(0, 2**63 - 1, len(where), dtype=np.int64)
+    return where * per_shard + ((key >> 31) * per_shard >> 32), key
 
 
 def shard_rows(df: DataFrame, shards: int = 8, seed: int = 0) -> DataFrame:
@@ -93,7 +94,9 @@ def shard_rows(df: DataFrame, shards: int = 8, seed: int = 0) -> DataFrame:
 
     The input is checkpointed first: counting, dealing and any retry must see
     the same partitions. The driver gets one count per partition and draws a
-    matrix of bounded size; rows only move once.
+    matrix of partitions times shards; rows only move once. Where a range of
+    keys begins in its shard follows from the draws, which are repeated for
+    that without reading a row.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -104,31 +107,40 @@ def shard_rows(df: DataFrame, shards: int = 8, seed: int = 0) -> DataFrame:
     counts = {r["p"]: r["n"] for r in counted.collect()}
     total = sum(counts.values())
     order = sorted(counts)
-    bins = bin_sizes(total, shards, len(order), partitions(spark))
-    matrix = communication_matrix([counts[p] for p in order], [n for _, _, n in bins], seed)
+    per_shard = bins_per_shard(total, shards, partitions(spark))
+    matrix = communication_matrix([counts[p] for p in order], equal_parts(total, shards), seed)
     sent = sc.broadcast({p: matrix[k] for k, p in enumerate(order)})
-    added = [T.StructField(n, t) for n, t in (("bin", T.IntegerType()), ("key", T.LongType()), ("origin", T.LongType()))]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column("p").to_pylist():
+                bins, n = np.unique(drawn(sent.value[p], seed, p, per_shard)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int64()), pa.array(n, pa.int64())], ["bin", "n"])
+
+    which = spark.createDataFrame([(p,) for p in order], "p int").repartition(partitions(spark), "p")
+    sizes = which.mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    sizes = sizes.withColumn("shard", F.expr(f"cast(bin div {per_shard} as int)"))
+    earlier = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first")
+    places, _ = settle(sizes.select("bin", "shard", first), "shard-places")
+    added = [T.StructField(n, t) for n, t in (("bin", T.LongType()), ("key", T.LongType()), ("origin", T.LongType()))]
     schema = T.StructType([*fixed.schema.fields, *added])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = TaskContext.get().partitionId()
-        rng = np.random.default_rng([seed, 2, p])
-        share = sent.value.get(p)
-        where = rng.permutation(np.repeat(np.arange(len(share), dtype=np.int32), share)) if share is not None else None
+        where, key = drawn(sent.value[p], seed, p, per_shard) if p in sent.value else (None, None)
         at = 0
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            key = rng.integers(0, 2**63 - 1, n, dtype=np.int64)
             origin = (np.int64(p) << 40) + np.arange(at, at + n)
-            arrays = [*batch.columns, pa.array(where[at : at + n]), pa.array(key), pa.array(origin)]
+            arrays = [*batch.columns, pa.array(where[at : at + n]), pa.array(key[at : at + n]), pa.array(origin)]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "bin", "key", "origin"])
             at += n
 
     dealt = fixed.mapInArrow(deal, schema)
-    places = spark.createDataFrame([(b, s, f) for b, (s, f, _) in enumerate(bins)], "bin int, shard int, first long")
     line = Window.partitionBy("bin").orderBy("key", "origin")
-    placed = dealt.withColumn("rank", F.row_number().over(line) - 1).join(F.broadcast(places), "bin")
+    placed = dealt.withColumn("rank", F.row_number().over(line) - 1).join(places, "bin")
     named = [F.col(f"c{k}").alias(c) for k, c in enumerate(keep)]
     return placed.select(*named, "shard", (F.col("first") + F.col("rank")).alias("slot"))

@@ -95,3 +95,12 @@ def test_rows_of_the_mix(spark, docs_of):
 def test_empty_table(spark, docs_of):
     assert M.mix(docs_of([])).count() == 0
     assert M.mixed_rows(docs_of([])).count() == 0
+
+
+def test_rows_that_differ_elsewhere_are_kept(spark):
+    """Rows of one id, source and text in two languages are two rows; wholly equal ones add up."""
+    rows = [(1, "x y z", lang, "a", n) for lang, n in (("en", 5), ("de", 5), ("de", None), (None, 5))] + [(2, "u v w", "en", "a", 5)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter(tuple(r) for r in M.mixed_rows(docs).collect())
+    # One source: its target is its own size, so each row is taken once.
+    assert got == Counter(rows)

@@ -74,7 +74,25 @@ def test_odd_rows_and_clashing_columns(spark, docs_of):
     assert Counter(r["__bin"] for r in got) == {9: 4} and sum(r["doc_id"] is None for r in got) == 1
 
 
-def test_more_bins_than_one_per_shard():
-    bins = S.bin_sizes(1000, 8, 3, 64)
-    assert len(bins) == 64 and sum(n for _, _, n in bins) == 1000
-    assert len(S.bin_sizes(10**12, 8, 100_000, 200)) * 100_000 <= S.MAX_CELLS
+def test_bins_stay_small():
+    """As many rows to a bin whatever the number of rows and partitions."""
+    for rows in (10**6, 10**9, 2 * 10**10, 10**12):
+        assert rows / (8 * S.bins_per_shard(rows, 8, 1)) <= S.ROWS_PER_BIN
+    assert S.bins_per_shard(1000, 8, 64) == 8 and S.bins_per_shard(0, 8, 1) == 1
+
+
+def test_draws_fill_the_shards_evenly():
+    share = np.array([100_000, 0, 50_000])
+    bins, key = S.drawn(share, 1, 7, 10)
+    sizes = np.bincount(bins, minlength=30)
+    assert sizes.reshape(3, 10).sum(1).tolist() == share.tolist() and len(set(key.tolist())) == 150_000
+    assert abs(sizes[:10] - 10_000).max() < 600 and abs(sizes[20:] - 5_000).max() < 450
+    assert (S.drawn(share, 1, 7, 10)[0] == bins).all() and (S.drawn(share, 1, 8, 10)[0] != bins).any()
+
+
+def test_many_bins(spark, monkeypatch):
+    monkeypatch.setattr(S, "ROWS_PER_BIN", 7)
+    got = S.shard_rows(spark.range(0, 500, 1, 6), 3, 4).collect()
+    assert sorted(r["id"] for r in got) == list(range(500))
+    for s, n in enumerate((167, 167, 166)):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n))
