@@ -91,10 +91,11 @@ def vocabulary(tokens: Tokens, rules: Sequence[str]) -> Vocabulary:
 
 
 def compressed(
-    cases: DataFrame, feature: Feature, stored: DataFrame | None = None, settled: DataFrame | None = None, **how
+    cases: DataFrame, feature: Feature, stored: DataFrame | None = None, settled: DataFrame | None = None,
+    vocab: Vocabulary | None = None, **how,
 ) -> tuple[cmp.State, Vocabulary]:
     """The compress program's final state."""
-    state, vocab = token_state(cases, feature, stored, settled, **how)
+    state, vocab = token_state(cases, feature, stored, settled, vocab, **how)
     if not any(step.method for step in feature.compress.steps):
         state = cmp.fill_empty(state)
     return cmp.run_program(state, feature.compress, vocab), vocab
@@ -114,15 +115,17 @@ def _grouped(feature: Feature) -> bool:
 
 
 def token_state(
-    cases: DataFrame, feature: Feature, stored: DataFrame | None = None, settled: DataFrame | None = None, **how
+    cases: DataFrame, feature: Feature, stored: DataFrame | None = None, settled: DataFrame | None = None,
+    vocab: Vocabulary | None = None, **how,
 ) -> tuple[cmp.State, Vocabulary]:
     """Where the compress program starts. Tokens are turned into ids once per
     record, so cases and their windows only ever move numbers. ``stored`` are
     finished token rows of the cases (the feature cut off after its tokens),
     ``settled`` their filtered records, with or without their ids: then
-    nothing is observed again."""
+    nothing is observed again. ``vocab`` is the vocabulary with the program's
+    count tokens, where it is there already."""
     tokens, program = feature.tokens, feature.compress
-    vocab = vocabulary(tokens, program.rules)
+    vocab = vocab or vocabulary(tokens, program.rules)
     flat, rfg = _flat(feature), _grouped(feature)
     if stored is not None:
         seen = stored.where(F.col("dt").isNotNull()).withColumnRenamed("R", "rec_id")
@@ -143,10 +146,11 @@ def token_state(
 
 
 def feature_rows(
-    cases: DataFrame, feature: Feature, stored: DataFrame | None = None, settled: DataFrame | None = None, **how
+    cases: DataFrame, feature: Feature, stored: DataFrame | None = None, settled: DataFrame | None = None,
+    vocab: Vocabulary | None = None, **how,
 ) -> DataFrame:
     """A compressed feature's output rows by case, ``CP`` left out."""
-    state, _ = compressed(cases, feature, stored, settled, **how)
+    state, _ = compressed(cases, feature, stored, settled, vocab, **how)
     program = feature.compress
     values = cmp.value_columns(state)
     layers = dict.fromkeys([*program.prefix_layers, *program.focal_layers])
@@ -197,9 +201,9 @@ def row_order(feature: Feature) -> list[str]:
     return [c for c in layers if c != "CP"]
 
 
-def shared_observation(cases: DataFrame, features: Sequence[Feature]) -> list[DataFrame]:
-    """The observed rows of each of several features of one source, read off
-    one written table: one scan, one interval join, whatever the number of
+def shared_observation(cases: DataFrame, features: Sequence[Feature]) -> list[tuple[DataFrame, Vocabulary | None]]:
+    """The observed rows of each of several features of one source (and the
+    vocabulary they are encoded with), read off one written table: one scan, one interval join, whatever the number of
     features.
 
     Predicates are settled per record, as bits of the features that want it;
@@ -209,12 +213,12 @@ def shared_observation(cases: DataFrame, features: Sequence[Feature]) -> list[Da
     """
     rows = load_records(features[0].source)
     shown = [c for c in rows.columns if c not in ("pid", "rec_id", "dt")]
-    wanted, added, columns = F.lit(0).cast("bigint"), {}, []
+    wanted, added, columns, vocabs = F.lit(0).cast("bigint"), {}, [], []
     for i, feature in enumerate(features):
         condition = None if feature.filter is None else filter_condition(feature.filter)
         bit = F.lit(1 << i).cast("bigint")
         wanted = wanted + (bit if condition is None else F.when(condition, bit).otherwise(F.lit(0).cast("bigint")))
-        names = {}
+        names, vocab = {}, None
         if feature.compress is not None:
             vocab, flat, rfg = vocabulary(feature.tokens, feature.compress.rules), _flat(feature), _grouped(feature)
             same = (id(feature.tokens), flat, rfg, tuple(feature.compress.rules))
@@ -228,17 +232,19 @@ def shared_observation(cases: DataFrame, features: Sequence[Feature]) -> list[Da
         elif feature.filter is None or feature.tokens is not None:
             names = {c: c for c in shown}
         columns.append(names)
+        vocabs.append(vocab)
     moved = list(dict.fromkeys(c for names in columns for c in names))
     records = rows.select("pid", "rec_id", "dt", *moved, wanted.alias("windows"))
     pairs = written(observe_windows(cases.select(*CASE_KEY), records, [f.period for f in features]), "windows")
     out = []
-    for i, names in enumerate(columns):
+    for i, (names, vocab) in enumerate(zip(columns, vocabs, strict=True)):
         mine = pairs.where(F.col("windows").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0)
-        out.append(mine.select(*CASE_KEY, "rec_id", "dt", DISTANCE, *[F.col(c).alias(n) for c, n in names.items()]))
+        shown_as = [F.col(c).alias(n) for c, n in names.items()]
+        out.append((mine.select(*CASE_KEY, "rec_id", "dt", DISTANCE, *shown_as), vocab))
     return out
 
 
-def _observed_together(cases: DataFrame, features: Sequence[Feature]) -> dict[int, DataFrame]:
+def _observed_together(cases: DataFrame, features: Sequence[Feature]) -> dict[int, tuple[DataFrame, Vocabulary | None]]:
     """Observed rows of the features that share a source, by their place."""
     sources: dict[int, list[int]] = {}
     for i, f in enumerate(features):
@@ -267,11 +273,13 @@ def build_features(cases: DataFrame, features: Sequence[Feature], **how) -> Data
         if i not in together:
             rows = build_feature(cases, feature, **how)
         elif feature.filter is None:
-            rows = together[i].drop(DISTANCE)
+            rows = together[i][0].drop(DISTANCE)
         else:
             # The predicate was settled before the join.
-            seen = keep_full(add_relative_time(together[i]), feature.filter.rules_for(feature.source.name))
-            rows = build_feature(cases, feature, settled=seen)
+            seen, vocab = together[i]
+            seen = keep_full(add_relative_time(seen), feature.filter.rules_for(feature.source.name))
+            given = {"vocab": vocab} if vocab is not None else {}
+            rows = build_feature(cases, feature, settled=seen, **given)
         joined = joined.join(one_row_per_case(rows, row_order(feature), feature.column), list(CASE_KEY), "left")
     return joined
 
