@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CASE_KEY
-from ..functions.hashing import case_draw
+from ..functions.hashing import case_draw, stable_hash
 from ..functions.tokens import each
 from .ranking import with_position
 
@@ -46,7 +46,9 @@ def in_batches(cases: DataFrame, size: int, cells: int | None = None) -> DataFra
     as keep a cell at about ``CELL_CASES`` cases."""
     if cells is None:
         cells = max(1024, -(-cases.count() // CELL_CASES))
-    draw = case_draw(cases, "batch")
+    # Rows that carry a name only go by it.
+    keyed = {"pid", "pred_dt"} <= set(cases.columns)
+    draw = case_draw(cases, "batch") if keyed else stable_hash(F.col("case_id"), "batch")
     order = [c for c in CASE_KEY if c in cases.columns]
     numbered = with_position(cases, [], F.pmod(draw, F.lit(cells)), order, "row_no")
     entry = F.struct("row_no", *cases.columns)
