@@ -235,6 +235,7 @@ UNION ALL SELECT CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR), o_orde
     sql["observe_after_2h_excluding_trigger"] = with_(CASES, EV, AF2H) + OBS_COLUMNS + " WHERE dt > pred_dt"
     sql["observe_bucketed"] = before_7d
     sql["observe_hot_cells"] = before_7d
+    sql["observe_surveyed"] = before_7d
     sql["observe_time_pruned"] = before_24h
     sql["observe_orders_before_2m"] = f"""WITH recs AS (
   SELECT CAST(o_custkey AS VARCHAR) AS pid, CAST(o_orderkey AS VARCHAR) AS rec_id, o_orderdate AS dt, o_totalprice FROM orders),

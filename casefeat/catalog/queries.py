@@ -383,6 +383,12 @@ def observe_time_pruned(spark, sf):
     return observed(spark, sf, BF24H, prune=True)
 
 
+@query
+def observe_surveyed(spark, sf):
+    """Records cut to the cells that windows reach, crowded cells split."""
+    return observed(spark, sf, BF7D, how="surveyed")
+
+
 def order_source(spark, sf) -> RecordSource:
     orders = table(spark, sf, "orders").withColumnRenamed("o_orderdate", "OrderDT")
     return RecordSource("Orders", orders, "o_custkey", "o_orderkey", None, ["o_totalprice", "absent"])

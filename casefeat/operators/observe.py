@@ -12,7 +12,8 @@ from ..config import CheckPeriod
 from ..constants import CASE_KEY, UNIT_MICROS
 from ..functions.hashing import stable_hash
 from ..functions.timing import DISTANCE, bucket, micros, shifted
-from ..session import materialize
+from ..session import estimated_bytes, materialize
+from .survey import Survey, reached, spread, survey
 
 # Columns that place an observed row: rows of one cell lie together.
 CELL = ("pid", "__b", "__part")
@@ -23,6 +24,10 @@ MAX_BROADCAST_CELLS = 100_000
 # Rows of one entity and time bucket that one task may number.
 MAX_CELL_ROWS = 1_000_000
 
+# Records of more bytes than this (Spark's estimate of the columns read) are
+# surveyed before they are shuffled; below, the survey costs more than it saves.
+SURVEY_BYTES = 1 << 30
+
 
 def check_period(cases: DataFrame, period: CheckPeriod) -> DataFrame:
     """Cases with the window ``[dt_start, dt_end)`` of the period."""
@@ -47,12 +52,13 @@ def observe(
     cases: DataFrame,
     records: DataFrame,
     period: CheckPeriod,
-    how: str = "bucketed",
+    how: str = "auto",
     width_us: int | None = None,
     hot_cell_rows: int | None = None,
     prune: bool = False,
     partitions: int | None = None,
     keep_cell: bool = False,
+    found: Survey | None = None,
 ) -> DataFrame:
     """One row per case and record of its entity inside the period.
 
@@ -60,29 +66,38 @@ def observe(
     ``bucketed`` cuts time into buckets of the window's length, so a case
     meets at most two buckets of its entity and an entity's history is
     spread over many tasks. ``hot_cell_rows`` additionally splits every
-    (entity, bucket) cell with more records than that. ``prune`` first cuts
+    (entity, bucket) cell with more records than that. ``surveyed`` needs no
+    such number: it looks at both sides first (:func:`join_survey`; ``found``
+    where that was done), cuts the records to the times and cells that windows
+    reach before they are shuffled, and splits the cells where too many pairs
+    meet. ``auto`` is ``surveyed`` for records above ``SURVEY_BYTES``, else
+    ``bucketed``; all forms give the same rows. ``prune`` first cuts
     the records to the time range the cases can reach. ``partitions`` fixes
     the number of join tasks, for windows so crowded that the pairs far
     outgrow the shuffled input. ``keep_cell`` leaves
     the columns the join was made on (``CELL``) in the result, and the time
     distance in microseconds.
     """
+    if how == "auto":
+        how = join_form(records, hot_cell_rows)
+    if how not in ("plain", "bucketed", "surveyed"):
+        raise ValueError(f"how must be auto, plain, bucketed or surveyed, got {how!r}")
     if prune:
         records = prune_records(cases, records, period)
-    windows = _with_window(cases, period)
-    rows = records.withColumn("__u", micros(records, "dt"))
     keys = ["pid"]
-    if how == "bucketed":
-        width = width_us or period.length_us
-        first, last = bucket(F.col("__s"), width), bucket(F.col("__e") - 1, width)
-        windows = windows.withColumn("__b", F.explode(F.sequence(first, last)))
-        rows = rows.withColumn("__b", bucket(F.col("__u"), width))
+    if how == "plain":
+        windows, rows = _with_window(cases, period), records.withColumn("__u", micros(records, "dt"))
+    else:
+        windows, rows = _sides(cases, records, period, width_us)
         keys.append("__b")
-        if hot_cell_rows is not None:
-            windows, rows = _split_hot_cells(windows, rows, hot_cell_rows)
-            keys.append("__part")
-    elif how != "plain":
-        raise ValueError(f"how must be plain or bucketed, got {how!r}")
+    if how == "bucketed" and hot_cell_rows is not None:
+        windows, rows = _split_hot_cells(windows, rows, hot_cell_rows)
+        keys.append("__part")
+    if how == "surveyed":
+        found = found or survey(windows, rows)
+        rows = reached(_in_time(rows, found.low, found.high), found)
+        windows, rows, more = spread(windows, rows, found)
+        keys += more
     if partitions is not None:
         windows, rows = (side.repartition(partitions, *keys) for side in (windows, rows))
     inside = (F.col("__u") >= F.col("__s")) & (F.col("__u") < F.col("__e"))
@@ -95,6 +110,29 @@ def observe(
     return joined.select(*left, *right)
 
 
+def join_form(records: DataFrame, hot_cell_rows: int | None = None) -> str:
+    """The form of the interval join that ``auto`` stands for."""
+    big = hot_cell_rows is None and estimated_bytes(records) > SURVEY_BYTES
+    return "surveyed" if big else "bucketed"
+
+
+def join_survey(cases: DataFrame, records: DataFrame, period: CheckPeriod, width_us: int | None = None) -> Survey:
+    """What a surveyed join of these sides has to know; it holds for any part
+    of the cases and of the records as well."""
+    return survey(*_sides(cases, records, period, width_us))
+
+
+def _sides(
+    cases: DataFrame, records: DataFrame, period: CheckPeriod, width_us: int | None
+) -> tuple[DataFrame, DataFrame]:
+    """Windows and records with the buckets of time they meet on."""
+    width = width_us or period.length_us
+    first, last = bucket(F.col("__s"), width), bucket(F.col("__e") - 1, width)
+    windows = _with_window(cases, period).withColumn("__b", F.explode(F.sequence(first, last)))
+    rows = records.withColumn("__u", micros(records, "dt"))
+    return windows, rows.withColumn("__b", bucket(F.col("__u"), width))
+
+
 # Bits of a mask of windows.
 MAX_WINDOWS = 62
 
@@ -112,14 +150,16 @@ def hull(periods: Sequence[CheckPeriod]) -> list[tuple[int, int]]:
 
 
 def observe_windows(
-    cases: DataFrame, records: DataFrame, periods: Sequence[CheckPeriod], mask: str = "windows", width_us: int | None = None
+    cases: DataFrame, records: DataFrame, periods: Sequence[CheckPeriod], mask: str = "windows",
+    width_us: int | None = None, how: str = "auto",
 ) -> DataFrame:
     """One row per case and record of its entity inside any of the periods,
     with ``mask``: bit ``i`` tells whether the record lies in period ``i``.
 
     One interval join serves all periods: their windows are cut at their
     bounds into the stretches they cover together, and a record meets a case
-    once however many periods overlap there. A column ``mask`` of the records
+    once however many periods overlap there. ``how`` is ``auto``, ``bucketed``
+    or ``surveyed``, as for :func:`observe`. A column ``mask`` of the records
     says which periods want the record at all. The time distance in
     microseconds stays in the result.
     """
@@ -134,8 +174,14 @@ def observe_windows(
     windows = windows.withColumns({"__s": F.col("__p") + F.col("__x.a"), "__e": F.col("__p") + F.col("__x.b")}).drop("__x")
     windows = windows.withColumn("__b", F.explode(F.sequence(bucket(F.col("__s"), width), bucket(F.col("__e") - 1, width))))
     rows = rows.withColumn("__b", bucket(F.col("__u"), width))
+    keys = ["pid", "__b"]
+    if (join_form(records) if how == "auto" else how) == "surveyed":
+        found = survey(windows, rows)
+        rows = reached(_in_time(rows, found.low, found.high), found)
+        windows, rows, more = spread(windows, rows, found)
+        keys += more
     inside = (F.col("__u") >= F.col("__s")) & (F.col("__u") < F.col("__e"))
-    meets = [F.col("c.pid") == F.col("r.pid"), F.col("c.__b") == F.col("r.__b"), inside]
+    meets = [F.col(f"c.{k}") == F.col(f"r.{k}") for k in keys] + [inside]
     joined = windows.alias("c").join(rows.alias("r"), meets)
     away = F.col("r.__u") - F.col("c.__p")
     bits = F.lit(0).cast("bigint")
@@ -170,7 +216,11 @@ def prune_records(cases: DataFrame, records: DataFrame, period: CheckPeriod) ->
     range is read off the cases first (two values), so the scan can skip
     files and row groups by their time statistics."""
     windows = _with_window(cases, period)
-    low, high = windows.agg(F.min("__s"), F.max("__e")).first()
+    return _in_time(records, *windows.agg(F.min("__s"), F.max("__e")).first())
+
+
+def _in_time(records: DataFrame, low: int | None, high: int | None) -> DataFrame:
+    """Records from ``low`` to ``high`` (excluded), none without bounds."""
     if low is None:
         return records.where(F.lit(False))
     low, high = (_instant(records, us) for us in (low, high))

@@ -23,7 +23,7 @@ from ..operators.filters import (
     with_good_lists,
 )
 from ..operators.nest import nest, one_row_per_case
-from ..operators.observe import MAX_WINDOWS, check_period, observe, observe_windows
+from ..operators.observe import MAX_WINDOWS, check_period, join_form, join_survey, observe, observe_windows
 from ..operators.tokens import TOKEN_LISTS, attach_tokens, encode_tokens, encoded_records, record_label, with_unk
 from ..operators.vocab import Vocabulary, build_vocab
 from ..session import materialize, written
@@ -50,6 +50,12 @@ def filtered_rows(cases: DataFrame, feature: Feature, records: DataFrame, **how)
     rules = feature.filter.rules_for(feature.source.name)
     keys = cases.select(*CASE_KEY)
     listed, joined = [], []
+    if how.get("how", "auto") == "auto":
+        how = {**how, "how": join_form(records, how.get("hot_cell_rows"))}
+    if how["how"] == "surveyed" and "found" not in how:
+        # One survey serves the thresholds and the join that carries tokens.
+        thin = source_records(feature).select("pid", "dt")
+        how = {**how, "found": join_survey(keys, thin, period, how.get("width_us"))}
     if rules:
         bare = source_records(feature).select("pid", "rec_id", "dt")
         times_only = counts_bare_times(rules)

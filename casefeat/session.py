@@ -78,3 +78,9 @@ def materialize(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of a plan's rows in bytes: from file sizes and the
+    columns read, an upper bound where rows are filtered."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
