@@ -276,6 +276,16 @@ SELECT case_id, CAST(coalesce(sum(n) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 24
         """second AS (SELECT * FROM first SEMI JOIN (SELECT case_id FROM first GROUP BY 1
   HAVING count(DISTINCT rel_d) >= 4) USING (case_id))""",
     ) + f"{FILTER_COLUMNS} FROM second"
+    steps, before = [], "obs"
+    for i, (source, target, need) in enumerate(
+        [("dt", "rel_h", 2), ("rel_h", "rel_d", 2), ("rel_5min", "rel_w", 8), ("rel_d", "rel_cp", 2)]
+    ):
+        steps.append(
+            f"""rule{i} AS (SELECT * FROM {before} SEMI JOIN (SELECT case_id, {target} FROM {before} GROUP BY 1, 2
+  HAVING count(DISTINCT {source}) >= {need}) USING (case_id, {target}))"""
+        )
+        before = f"rule{i}"
+    sql["threshold_cascade"] = with_(CASES, EV, BF7D, *steps) + f"{FILTER_COLUMNS} FROM {before}"
     sql["threshold_share"] = with_(
         CASES, EV, BF7D, "night AS (SELECT * FROM obs WHERE hour(dt) < 6)"
     ) + f"""{FILTER_COLUMNS} FROM night SEMI JOIN (SELECT case_id, rel_d FROM night GROUP BY 1, 2
@@ -424,6 +434,18 @@ FROM cases c JOIN ev e ON c.pid = e.pid AND e.dt >= c.pred_dt - to_microseconds(
   SELECT case_id, rel_d, token, CASE WHEN count(*) < any_value(n) THEN greatest(max(w), 0) ELSE max(w) END AS weight
   FROM toks JOIN step_n USING (case_id, rel_d) GROUP BY ALL) WHERE weight > 0
 UNION ALL SELECT case_id, rel_d, '5MinInD', CAST(n AS DOUBLE) FROM step_n
+UNION ALL SELECT case_id, 0, 'UNK', 1.0 FROM empty UNION ALL SELECT case_id, 0, '5MinInD', 1.0 FROM empty"""
+    for name, q in (("compress_custom_median", 0.5), ("compress_custom_quantile", 0.9)):
+        sql[name] = with_(
+            CASES, EV, BF7D, FULL_DAYS, toks("kept", "full", weighted=True), empties("kept"),
+            "step_n AS (SELECT case_id, rel_d, count(*) AS n FROM kept GROUP BY ALL)",
+            f"""lists AS (SELECT case_id, rel_d, token, CAST({q} AS DOUBLE) * (any_value(n) - 1) AS place, list_sort(list_concat(
+  list(CAST(w AS DOUBLE)), list_transform(range(any_value(n) - count(*)), lambda i: CAST(0 AS DOUBLE)))) AS l
+  FROM toks JOIN step_n USING (case_id, rel_d) GROUP BY ALL)""",
+            """ends AS (SELECT case_id, rel_d, token, place - floor(place) AS part,
+  l[CAST(floor(place) AS BIGINT) + 1] AS low, l[CAST(ceil(place) AS BIGINT) + 1] AS high FROM lists)""",
+        ) + """SELECT case_id, rel_d, token, low + (high - low) * part AS weight FROM ends WHERE low + (high - low) * part > 0
+UNION ALL SELECT case_id, rel_d, '5MinInD', CAST(n AS DOUBLE) FROM step_n
 UNION ALL SELECT case_id, 0, 'UNK', 1.0 FROM empty UNION ALL SELECT case_id, 0, '5MinInD', 1.0 FROM empty"""
     names = {
         "unk": "UNK", "click": "click", "error": "error", "purchase": "purchase", "signup": "signup",

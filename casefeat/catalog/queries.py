@@ -506,6 +506,12 @@ def threshold_chain(spark, sf):
     return filtered(spark, sf, Filter(thresholds={"DTInD": 2, "RInDT": 0, "DInCP": 4}))
 
 
+@query
+def threshold_cascade(spark, sf):
+    """Four rules on times, settled in one pass."""
+    return filtered(spark, sf, Filter(thresholds={"DTInH": 2, "HInD": 2, "5MinInW": 8, "DInCP": 2}))
+
+
 @query
 def threshold_share(spark, sf):
     return filtered(spark, sf, Filter("Night", thresholds={"HInD": 8}))
@@ -919,6 +925,25 @@ def compress_custom_max(spark, sf):
     return long_rows(purchase_cases(spark, sf), feature, ["D"])
 
 
+def compress_quantile(spark, sf, q: float) -> DataFrame:
+    feature = event_feature(
+        spark, sf, [rolled("5MinInD", "quantile")], tokens=full_tokens(spark, sf, weighted=True),
+        methods={"quantile": cmp.quantile(q)}, focal_layers=["CP", "D"],
+    )
+    return long_rows(purchase_cases(spark, sf), feature, ["D"])
+
+
+@query
+def compress_custom_median(spark, sf):
+    """Median weight per day, absent zeros included."""
+    return compress_quantile(spark, sf, 0.5)
+
+
+@query
+def compress_custom_quantile(spark, sf):
+    return compress_quantile(spark, sf, 0.9)
+
+
 @query
 def flatten_wide(spark, sf):
     feature = event_feature(spark, sf, [rolled("5MinInD", "mean")], focal_layers=["CP", "D"])

@@ -41,6 +41,7 @@ class Method:
     can be accounted for. ``linear`` methods scale with their weights and can
     run on thousandths; others get natural weights. ``merge`` combines partial
     values; a method that has it is pre-aggregated where the rows lie.
+    ``values`` methods see all weights of the group (see :func:`over_values`).
     """
 
     agg: Callable[[Column], Column]
@@ -48,6 +49,45 @@ class Method:
     rounded: bool = False
     linear: bool = False
     merge: Callable[[Column], Column] | None = None
+    values: bool = False
+
+
+def over_values(finish: Callable[[Column, Column], Column], rounded: bool = False) -> Method:
+    """A method that sees every weight of a token in its group, absent zeros
+    included: ``finish(histogram, rows)`` gets the distinct weights in order
+    with their numbers, as a list of ``(weight, present)``. Equal weights are
+    counted where the rows lie and counts are merged after the shuffle, so a
+    group is moved and kept as its distinct weights, not as its rows."""
+    return Method(F.count, lambda value, present, rows: finish(value, rows), rounded, values=True)
+
+
+def quantile(q: float) -> Method:
+    """The ``q`` quantile of a token's weights in the group, linear between
+    neighbours; ``quantile(0.5)`` is the median."""
+    if not 0 <= q <= 1:
+        raise ValueError(f"a quantile lies between 0 and 1, got {q}")
+
+    def finish(histogram: Column, rows: Column) -> Column:
+        place = F.lit(float(q)) * (rows - 1)
+        low, high = F.floor(place), F.ceil(place)
+
+        def passed(acc: Column, entry: Column) -> Column:
+            seen = acc["seen"] + entry["present"]
+            return F.struct(
+                seen.alias("seen"),
+                *[
+                    F.coalesce(acc[name], F.when(seen > at, entry["weight"])).alias(name)
+                    for name, at in (("low", low), ("high", high))
+                ],
+            )
+
+        none = F.lit(None).cast("double")
+        start = F.struct(F.lit(0).cast("bigint").alias("seen"), none.alias("low"), none.alias("high"))
+        return F.aggregate(
+            histogram, start, passed, lambda acc: acc["low"] + (acc["high"] - acc["low"]) * (place - low)
+        )
+
+    return over_values(finish)
 
 
 METHODS: Mapping[str, Method] = {
@@ -160,7 +200,9 @@ def roll_up(state: State, rule: str, method: Method, vocab: Vocabulary) -> State
     row = F.array(token_entry(F.lit(ROW_IDX), one, no_group))
     group = ["rfg_idx"] if state.rfg else []
     same_group = [F.min("rfg_idx").alias("rfg_idx")] if state.rfg else []
-    merged = state.raw and method.merge is not None
+    merged = state.raw and (method.merge is not None or method.values)
+    # Methods over values count equal weights first.
+    entry = ["idx", "weight"] if method.values else ["idx"]
 
     def sums(rows: DataFrame) -> DataFrame:
         long = rows.select(
@@ -171,8 +213,9 @@ def roll_up(state: State, rule: str, method: Method, vocab: Vocabulary) -> State
         long = long.select(*CASE_KEY, level, *state.cell, *fields)
         # Grouping by the join's cell as well needs no shuffle after it.
         by = state.cell if merged else ()
-        summed = long.groupBy(*CASE_KEY, *by, level, "idx").agg(
-            *same_group, method.agg(F.col("weight")).alias("v"), F.count("*").alias("present")
+        value = [] if method.values else [method.agg(F.col("weight")).alias("v")]
+        summed = long.groupBy(*CASE_KEY, *by, level, *entry).agg(
+            *same_group, *value, F.count("*").alias("present")
         )
         return summed.drop(*by)
 
@@ -182,8 +225,14 @@ def roll_up(state: State, rule: str, method: Method, vocab: Vocabulary) -> State
         # buckets x vocabulary) and placed by case for all later steps.
         summed = summed.repartition(*CASE_KEY)
     if merged:
+        value = [] if method.values else [method.merge(F.col("v")).alias("v")]
+        summed = summed.groupBy(*CASE_KEY, level, *entry).agg(
+            *same_group, *value, F.sum("present").alias("present")
+        )
+    if method.values:
+        listed = F.sort_array(F.collect_list(F.struct(F.col("weight").cast("double").alias("weight"), "present")))
         summed = summed.groupBy(*CASE_KEY, level, "idx").agg(
-            *same_group, method.merge(F.col("v")).alias("v"), F.sum("present").alias("present")
+            *same_group, listed.alias("v"), F.sum("present").alias("present")
         )
     grouped = summed.groupBy(*CASE_KEY, level).agg(
         F.max(F.when(F.col("idx") == ROW_IDX, F.col("present"))).alias("n"),
@@ -194,6 +243,9 @@ def roll_up(state: State, rule: str, method: Method, vocab: Vocabulary) -> State
 
     def finished(e):
         value, n = e["v"], F.col("n")
+        if method.values:
+            absent = F.struct(F.lit(0.0).alias("weight"), (n - e["present"]).alias("present"))
+            value = F.when(n > e["present"], F.sort_array(F.concat(value, F.array(absent)))).otherwise(value)
         if not method.rounded:
             return method.finish(value, e["present"], n)
         if state.exact and method.linear:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CheckPeriod, Filter, split_rule
 from ..constants import CASE_KEY, DAYPART_HOURS, LEGACY_DAYPART_HOURS, LEVELS
-from ..functions.timing import in_hours, level_micros
+from ..functions.timing import coarser, in_hours, level_micros
+from ..session import written
 
 # Good buckets of a case travel as a list on the case up to this many;
 # beyond, rows are kept by a semi join.
@@ -47,8 +48,15 @@ def good_buckets(rows: DataFrame, rules: dict[str, float], distinct_times: bool
 
     The count is partially aggregated, so a crowded bucket is never gathered
     in one place. ``distinct_times`` says that a case's rows already differ
-    in time; times are then counted without telling them apart again.
+    in time; times are then counted without telling them apart again, and
+    several rules that look at times only are settled in one pass, as one set
+    of buckets (:func:`settled_buckets`). Other rows are written once for all
+    of several rules.
     """
+    if len(rules) > 1 and distinct_times and counts_bare_times(rules):
+        return [settled_buckets(rows, rules)]
+    if len(rules) > 1:
+        rows = written(rows, "bare")
     as_column = {"DT": "dt", "R": "rec_id"}
     found = []
     for rule, need in rules.items():
@@ -62,6 +70,32 @@ def good_buckets(rows: DataFrame, rules: dict[str, float], distinct_times: bool
     return found
 
 
+def settled_buckets(rows: DataFrame, rules: dict[str, float]) -> DataFrame:
+    """The buckets that satisfy all rules in order, for rules on times only:
+    (case, B) with the finest B any rule asks for.
+
+    Levels are nested, so whether a time survives is settled by its finest
+    bucket. Times are first counted per case and 5 minutes; a case has as many
+    such slots as its period, however many records. Slots are placed by case
+    once, and every rule is a window over those that the rules before it left.
+    """
+    slots = rows.groupBy(*CASE_KEY, "5Min").agg(F.count("*").alias("__times")).repartition(*CASE_KEY)
+    parts = [split_rule(rule) for rule in rules]
+    named = {level for pair in parts for level in pair if level in LEVELS}
+    slots = slots.withColumns({level: coarser("5Min", level) for level in LEVELS if level in named - {"5Min"}})
+    for (source, target), need in zip(parts, rules.values(), strict=True):
+        inside = Window.partitionBy(*CASE_KEY, target)
+        if source == "DT":
+            n = F.sum("__times").over(inside)
+        else:
+            same = Window.partitionBy(*CASE_KEY, target, source).orderBy("5Min")
+            slots = slots.withColumn("__first", (F.row_number().over(same) == 1).cast("int"))
+            n = F.sum("__first").over(inside)
+        slots = slots.withColumn("__n", n).where(F.col("__n") >= need).drop("__n", "__first")
+    finest = max((target for _, target in parts), key=LEVELS.index)
+    return slots.select(*CASE_KEY, finest).distinct()
+
+
 def keep_full(rows: DataFrame, rules: dict[str, float]) -> DataFrame:
     """Observed rows (with their levels) of buckets that satisfy all rules."""
     if not rules:
