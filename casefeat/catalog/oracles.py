@@ -516,8 +516,10 @@ FROM cases JOIN days_before d USING (case_id) JOIN after_lists a USING (case_id)
   any_value(pred_dt) AS pred_dt, rel_d, {listed('idx')} AS keyidx, {listed('m')} AS wgt
 FROM day JOIN vocab ON token = grn JOIN cases USING (case_id) GROUP BY case_id, rel_d"""
     sql["store_two_sources"] = with_(CASES, EV, BF24H) + f"{FILTER_COLUMNS} FROM obs WHERE event_type = 'error'"
-    for name in ("grown_vocabulary", "other_groups", "raced", "compacted", "stage_reuse", "from_observation", "from_records", "all_stages"):
+    for name in ("grown_vocabulary", "other_groups", "raced", "compacted", "compacted_meanwhile", "stage_reuse", "from_observation", "from_records", "all_stages"):
         sql[f"store_{name}"] = sql["store_incremental"]
+    last = "WHERE case_id IN (SELECT case_id FROM cases ORDER BY case_id DESC LIMIT 10) GROUP BY"
+    sql["store_lookup"] = last.join(sql["store_incremental"].rsplit("GROUP BY", 1))
     sql["store_size"] = with_(CASES, EV) + f"""SELECT count(*) AS n_cases, CAST(sum(n) AS BIGINT) AS n_rows FROM (
   SELECT c.case_id, count(e.rec_id) AS n FROM cases c LEFT JOIN ev e ON c.pid = e.pid
     AND e.dt >= c.pred_dt - to_microseconds({DAY_US}) AND e.dt < c.pred_dt

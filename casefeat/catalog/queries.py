@@ -1129,7 +1129,7 @@ def store_raced(spark, sf):
     """Two runs that both took every case for missing."""
     cases, feature, store = purchase_cases(spark, sf), stored_feature(spark, sf), new_store(spark)
     for _ in range(2):
-        store._publish(feature, cases, build_feature(cases, feature))
+        store.commit(feature, store.prepare(feature, cases, build_feature(cases, feature)))
     return stored_rows(store.read(feature, cases))
 
 
@@ -1143,6 +1143,32 @@ def store_compacted(spark, sf):
     return stored_rows(store.read(feature, cases))
 
 
+@query
+def store_compacted_meanwhile(spark, sf):
+    """Compacted after another writer's rows are written and before they are
+    committed; half of its cases have been stored by a third one by then."""
+    cases, feature, store = purchase_cases(spark, sf), stored_feature(spark, sf), new_store(spark)
+    feature = store.settled(feature)
+    late = cases.where(F.col("pred_dt") >= F.lit("2024-01-16").cast("timestamp_ntz"))
+    store.compute_missing(feature, early(cases))
+    pending = store.prepare(feature, late, build_feature(late, feature))
+    store.compute_missing(feature, late.where(F.xxhash64("pid") % 2 == 0))
+    store.compact(feature, cases, grace_hours=1)
+    store.commit(feature, pending)
+    return stored_rows(store.read(feature, cases))
+
+
+@query
+def store_lookup(spark, sf):
+    """The last ten cases, by their folders and entities, from two runs."""
+    cases, feature, store = purchase_cases(spark, sf), stored_feature(spark, sf), new_store(spark)
+    feature = store.settled(feature)
+    store.compute_missing(feature, early(cases))
+    store.compute_missing(feature, cases)
+    last = cases.orderBy(case_number().desc()).limit(10)
+    return stored_rows(store.lookup(feature, last))
+
+
 @query
 def store_size(spark, sf):
     """Stored cases and rows after a first run."""

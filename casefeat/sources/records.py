@@ -30,12 +30,16 @@ def load_records(source: RecordSource) -> DataFrame:
     return df.select(*[c.alias(name) for name, c in ids.items()], F.col(dt).alias("dt"), *rest)
 
 
-def write_by_group(rows: DataFrame, path: str, order: Sequence[str]) -> None:
+def write_by_group(rows: DataFrame, path: str, order: Sequence[str], bloom: Sequence[str] = ()) -> None:
     """Write rows with a ``grp`` column, one folder per group. Rebalancing
     gathers small groups and splits crowded ones into several files by size;
-    rows are sorted for row-group skipping."""
+    rows are sorted for row-group skipping. Columns in ``bloom`` get a Bloom
+    filter per row group, as large as their values need."""
     placed = rows.hint("rebalance", F.col("grp")).sortWithinPartitions("grp", *order)
-    placed.write.mode("errorifexists").partitionBy("grp").parquet(path)
+    writer = placed.write.mode("errorifexists").option("parquet.bloom.filter.adaptive.enabled", "true")
+    for name in bloom:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    writer.partitionBy("grp").parquet(path)
 
 
 def write_grouped(
