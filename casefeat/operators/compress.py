@@ -107,7 +107,9 @@ class State:
     ``order`` sorts the rows of a case; ``unique`` lists hold a token once;
     ``cell`` names the columns raw rows were joined on; ``rfg`` tells whether
     entries carry their grain group. ``stand_in`` holds one ``[UNK]`` row per
-    case until the first roll-up, which drops the ones not needed.
+    case until the first roll-up, which drops the ones not needed. ``summed``
+    are the first roll-up's sums with those of the stand-ins, where they were
+    taken without joining cases and records (``operators/running.py``).
     """
 
     rows: DataFrame
@@ -122,6 +124,7 @@ class State:
     sfx: tuple[str, ...] = ()
     counts: tuple[str, ...] = ()
     cell: tuple[str, ...] = ()
+    summed: DataFrame | None = None
 
     @property
     def lists(self) -> list[str]:
@@ -219,12 +222,12 @@ def roll_up(state: State, rule: str, method: Method, vocab: Vocabulary) -> State
         )
         return summed.drop(*by)
 
-    summed = _gathered(state, level, sums)
-    if state.raw:
+    summed = _gathered(state, level, sums) if state.summed is None else state.summed
+    if state.raw and state.summed is None:
         # The one shuffle after the join. From here on a case is small (time
         # buckets x vocabulary) and placed by case for all later steps.
         summed = summed.repartition(*CASE_KEY)
-    if merged:
+    if merged and state.summed is None:
         value = [] if method.values else [method.merge(F.col("v")).alias("v")]
         summed = summed.groupBy(*CASE_KEY, level, *entry).agg(
             *same_group, *value, F.sum("present").alias("present")
@@ -267,7 +270,7 @@ def roll_up(state: State, rule: str, method: Method, vocab: Vocabulary) -> State
     rows = grouped.withColumn("tok", F.concat(tokens, count)).drop("e", "n")
     return replace(
         state, rows=rows, stand_in=None, prefix=prefix, order=prefix, exact=exact, raw=False, counts=(),
-        cell=(),
+        cell=(), summed=None,
     )
 
 

@@ -133,6 +133,18 @@ def _sides(
     return windows, rows.withColumn("__b", bucket(F.col("__u"), width))
 
 
+def window_pairs(cases: DataFrame, records: DataFrame, period: CheckPeriod) -> tuple[int, int, int]:
+    """How many pairs the bucketed join tries, and how many records and cases
+    there are: from counts per (entity, bucket), without joining any."""
+    windows, rows = _sides(cases, records, period, None)
+    cell = ["pid", "__b"]
+    n, m = (side.groupBy(*cell).agg(F.count("*").alias(c)) for side, c in ((rows, "n"), (windows, "m")))
+    both = n.join(m, cell, "full").agg(
+        F.sum(F.col("n").cast("double") * F.col("m")).alias("pairs"), F.sum("n").alias("n"), F.sum("m").alias("m")
+    ).first()
+    return int(both.pairs or 0), both.n or 0, both.m or 0
+
+
 # Bits of a mask of windows.
 MAX_WINDOWS = 62
 
@@ -294,6 +306,8 @@ def cut_crowded(line: DataFrame, width_us: int, limit: int) -> DataFrame:
     crowded = materialize(counts.select("pid", "cell", F.ceil(F.col("__n") * 2 / limit).alias("__parts")))
     if crowded.isEmpty():
         return line.withColumn("sub", F.lit(0).cast("bigint"))
+    if crowded.limit(MAX_BROADCAST_CELLS + 1).count() <= MAX_BROADCAST_CELLS:
+        crowded = F.broadcast(crowded)
     inside = F.col("u") - F.col("cell") * width_us
     sub = F.floor(inside / width_us * F.coalesce("__parts", F.lit(1)))
     return line.join(crowded, ["pid", "cell"], "left").withColumn("sub", sub).drop("__parts")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Feature, Tokens
-from ..constants import CASE_KEY, LEVELS
+from ..config import Feature, Tokens, split_rule
+from ..constants import CASE_KEY, LEVELS, UNK_IDX
 from ..functions.timing import DISTANCE, add_relative_time
 from ..functions.tokens import last_per_idx
 from ..operators import compress as cmp
@@ -24,6 +25,7 @@ from ..operators.filters import (
 )
 from ..operators.nest import nest, one_row_per_case
 from ..operators.observe import MAX_WINDOWS, check_period, join_form, join_survey, observe, observe_windows
+from ..operators.running import summed_in_line
 from ..operators.tokens import TOKEN_LISTS, attach_tokens, encode_tokens, encoded_records, record_label, with_unk
 from ..operators.vocab import Vocabulary, build_vocab
 from ..session import materialize, written
@@ -120,6 +122,17 @@ def _grouped(feature: Feature) -> bool:
     return not wanted.isdisjoint({"rfg", "keyInrfg"})
 
 
+def _adds_up(feature: Feature) -> bool:
+    """Whether the program starts with plain sums over all observed records."""
+    if not _flat(feature) or _grouped(feature) or feature.filter.rules_for(feature.source.name):
+        return False
+    steps = feature.compress.steps
+    action = steps[0].actions[1] if len(steps[0].actions) > 1 else ("",)
+    methods = {**cmp.METHODS, **feature.compress.methods}
+    method = methods.get(action[1]) if action[0] == "method" else None
+    return method is not None and method.linear and method.agg is F.sum and method.merge is F.sum
+
+
 def token_state(
     cases: DataFrame, feature: Feature, stored: DataFrame | None = None, settled: DataFrame | None = None,
     vocab: Vocabulary | None = None, **how,
@@ -148,7 +161,12 @@ def token_state(
         records = records.withColumn("tok", last_per_idx(F.col("tok")))
     given = stored is not None or settled is not None
     rows = records if given else filtered_rows(cases, feature, records, **how)
-    return cmp.start(rows, cases, vocab, unique=flat, rfg=rfg), vocab
+    state = cmp.start(rows, cases, vocab, unique=flat, rfg=rfg)
+    if not given and not how and _adds_up(feature):
+        level = split_rule(program.steps[0].rule)[1]
+        keys = cases.select(*CASE_KEY)
+        state = replace(state, summed=summed_in_line(keys, records, feature.period, level, cmp.ROW_IDX, UNK_IDX))
+    return state, vocab
 
 
 def feature_rows(
