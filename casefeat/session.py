@@ -8,16 +8,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Skewed joins are split at run time even where that costs one more shuffle.
-# A few shuffled records grow into many (case, record) pairs, so partitions
-# are merged less eagerly than by default.
+# A few shuffled records grow into many (case, record) pairs, each with all its
+# tokens, and a task's memory is some 60 times what it reads: partitions are
+# merged up to a few MB only, and files are read in small pieces.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m",
+    "spark.sql.files.maxPartitionBytes": "16m",
 }
 
+# Shuffles start with a partition for every so many bytes of a query's tables,
+# so that those partitions stay small however large the tables are.
+BYTES_PER_PARTITION = 1 << 20
+MAX_PARTITIONS = 10_000
+
+# Spark's estimate for rows it knows nothing about is above this.
+UNKNOWN_BYTES = 1 << 60
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
@@ -25,6 +36,26 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def fit_partitions(*tables: DataFrame) -> int:
+    """Let shuffles start with as many partitions as the tables' files ask for;
+    adaptive execution merges those that turn out small. Never fewer than the
+    session has."""
+    spark = tables[0].sparkSession
+    size = sum(_leaf_bytes(df) for df in tables)
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    known = [spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get(key, None) or 0]
+    n = max(min(size // BYTES_PER_PARTITION, MAX_PARTITIONS), *map(int, known))
+    spark.conf.set(key, str(n))
+    return n
+
+
+def _leaf_bytes(df: DataFrame) -> int:
+    """Bytes of the tables a plan reads, where Spark knows them."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(size for size in sizes if size < UNKNOWN_BYTES)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir`` (or has set as
     checkpoint folder)."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import keep_all_left
 from ..operators.ranking import with_position
-from ..session import materialize
+from ..session import fit_partitions, materialize
 
 
 def id_chain(levels: Sequence[tuple[str, DataFrame]]) -> DataFrame:
@@ -17,6 +17,7 @@ def id_chain(levels: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     table holds its own id and at least its parent's. A missing child gets
     ``M`` and the parent's id, so it is unique and repeatable."""
     ids = [name for name, _ in levels]
+    fit_partitions(*[df for _, df in levels])
     tables = []
     for i, (name, df) in enumerate(levels):
         known = [c for c in ids[: i + 1] if c in df.columns]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import RecordSource
 from ..functions.hashing import entity_group
+from ..session import fit_partitions
 
 
 def time_column(df: DataFrame) -> str:
@@ -27,6 +28,7 @@ def load_records(source: RecordSource) -> DataFrame:
     wanted = df.columns if source.columns == "ALL" else source.columns
     rest = [c for c in wanted if c in df.columns and c not in (*keys.values(), dt)]
     ids = {name: F.col(c).cast("string") if source.text_ids else F.col(c) for name, c in keys.items()}
+    fit_partitions(df)
     return df.select(*[c.alias(name) for name, c in ids.items()], F.col(dt).alias("dt"), *rest)
 
 
