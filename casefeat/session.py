@@ -26,6 +26,10 @@ SETTINGS = {
 BYTES_PER_PARTITION = 1 << 20
 MAX_PARTITIONS = 10_000
 
+# A side of a join is broadcast by its estimated size up to here only. Estimates
+# come from files: ids as text in a task's hash table take some 20 times as much.
+BROADCAST_BYTES = 1 << 20
+
 # Spark's estimate for rows it knows nothing about is above this.
 UNKNOWN_BYTES = 1 << 60
 
@@ -33,6 +37,9 @@ UNKNOWN_BYTES = 1 << 60
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    # A session that broadcasts less, or nothing, keeps its own bound.
+    if spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() > BROADCAST_BYTES:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(BROADCAST_BYTES))
     return spark
 
 
