@@ -39,8 +39,9 @@ INNER_BLANK = re.compile(r"\s \s")
 EDGE = re.compile(r" [^\S ]")
 # How the byte-level alphabet writes a blank.
 BLANK = "\u0120"
-# Fixed value: the byte-level pre-tokenizer's pattern, for ASCII text.
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+# Fixed value: the byte-level pre-tokenizer's pattern, for ASCII text. What is
+# found most is tried first; a word or a number never begins with an apostrophe.
+PIECES = re.compile(r" ?[A-Za-z]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 END = 0
 
 FILE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("ids", pa.list_(pa.uint32()))])
@@ -66,7 +67,8 @@ class Encoder:
     So a new piece starts at every single blank, unless there is white space
     on both sides of it. A text without such blanks, double blanks and special
     tokens is the sum of its parts between blanks, each with its blank; parts
-    are encoded once. Other texts are encoded whole.
+    are encoded once. An ASCII text without special tokens is cut into pieces
+    at once, which are encoded once. Other texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -90,19 +92,31 @@ class Encoder:
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [None if self.is_odd(t) else t.split(" ") for t in texts]
-        self.learn(set().union(*[p for p in cut if p is not None]))
+        plain = [t.isascii() and not self.is_special(t) for t in texts]
+        cut = [None if p or self.is_odd(t) else t.split(" ") for t, p in zip(texts, plain, strict=True)]
+        split = [p for p in cut if p is not None]
+        self.learn(set().union(*[p[1:] for p in split]))
+        firsts = iter(self.whole([p[0] for p in split]))
         known, out = self.known.__getitem__, []
-        for text, parts in zip(texts, cut, strict=True):
-            if parts is None:
+        for text, parts, ascii_only in zip(texts, cut, plain, strict=True):
+            if ascii_only:
+                out.append(self.of_pieces(text))
+            elif parts is None:
                 out.append(self.whole([text])[0])
             else:
-                first = self.whole(parts[:1])[0] if parts[0] else b""
-                out.append(first + b"".join(map(known, parts[1:])))
+                out.append(next(firsts) + b"".join(map(known, parts[1:])))
         return out
 
+    def of_pieces(self, text: str) -> bytes:
+        if len(self.words) > CACHED:
+            self.words.clear()
+        return b"".join(map(self.words.__getitem__, PIECES.findall(text)))
+
+    def is_special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
     def is_odd(self, text: str) -> bool:
-        if "  " in text or any(s in text for s in self.special):
+        if "  " in text or self.is_special(text):
             return True
         return EDGE.search(text) is not None and INNER_BLANK.search(text) is not None
 
